@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from glossa.llm import exact_dedup, mixing, quality, sentencepiece_codec, token_count
+from glossa.llm import exact_dedup, language_id, mixing, quality, sentencepiece_codec, token_count
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op3_sentencepiece": sentencepiece_codec.query,
     "op4_quality": quality.query,
     "op5_token_counts": token_count.query,
+    "op7_language_id": language_id.query,
     "op8_mix_sources": mixing.query,
 }
 
