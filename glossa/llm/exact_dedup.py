@@ -140,7 +140,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     groups = texts.groupBy("fp", "text").agg(F.count("*").alias("group_size")).where("group_size > 1")
     groups = groups.select("fp", F.unhex(F.sha2("text", 256)).alias("sha"), "group_size")
     best = base.join(F.broadcast(suspects) if few else suspects, "fp", "left_semi").groupBy("fp", "sha").agg(F.max(F.struct("doc_id", "uid")).alias("top"))
-    chosen = groups.join(best, ["fp", "sha"])
+    chosen = cut(groups.join(best, ["fp", "sha"]))  # a table of its own, so that the join below may split a hot group
     out = base.join(chosen, ["fp", "sha"], "left")
     return out.select(
         "doc_id", F.when(F.col("top").isNotNull(), F.col("top.doc_id")).otherwise(F.col("doc_id")).alias("keep_id"),
