@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glossa.llm import exact_dedup, hmm_lm, language_id, mixing, quality, sentencepiece_codec, token_count
+from glossa.llm import exact_dedup, hmm_lm, jaccard_join, language_id, mixing, quality, sentencepiece_codec, token_count
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_language_id": language_id.query,
     "op8_mix_sources": mixing.query,
     "op9_hmm_lm": hmm_lm.query,
+    "op10_jaccard_join": jaccard_join.query,
 }
 
 ORACLES = {
