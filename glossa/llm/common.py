@@ -134,6 +134,13 @@ def slabs(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2_000_000)
                 yield t.slice(a, b - a).combine_chunks()
 
 
+def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows as dictionaries, one at a time: rows of packed arrays may be megabytes each."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def pack(values: np.ndarray) -> bytes:
     """An array as bytes: its length and its dtype's letter first."""
     return struct.pack("<c", values.dtype.char.encode()) + np.ascontiguousarray(values).tobytes()

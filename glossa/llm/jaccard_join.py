@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import find_words, lower, mix, pack, ragged, shingle_hashes, slabs, span_hash, tasks_for, text_bytes, unpack, whole_text
+from glossa.llm.common import each_row, find_words, lower, mix, pack, ragged, shingle_hashes, slabs, span_hash, tasks_for, text_bytes, unpack, whole_text
 from glossa.operators.graph import connected_components
 from glossa.session import cut
 
@@ -144,7 +144,7 @@ def _sum_counts(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _merge_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     token, count = np.zeros(0, _U), np.zeros(0, np.int64)
-    for r in (r for b in batches for r in b.to_pylist()):
+    for r in each_row(batches):
         token, count = np.concatenate([token, unpack(r["token"])]), np.concatenate([count, unpack(r["count"])])
         best = _top(token, count)
         token, count = token[best], count[best]
@@ -247,7 +247,7 @@ def _groups(key, pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _star(gap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in (r for b in batches for r in b.to_pylist()):
+        for r in each_row(batches):
             sizes, node, q = unpack(r["sizes"]), unpack(r["node"]), unpack(r["size"]).astype(np.int64)
             group = ragged(sizes)[0]
             by = np.lexsort((mix(node), group))
@@ -273,7 +273,7 @@ def _cross(comp_of, gap: int):
     """Pairs of different components inside the groups; comp_of gives the components of a row of groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in (r for b in batches for r in b.to_pylist()):
+        for r in each_row(batches):
             sizes, node, q = unpack(r["sizes"]), unpack(r["node"]), unpack(r["size"]).astype(np.int64)
             comp = comp_of(r, node)
             first = np.cumsum(sizes) - sizes
@@ -406,14 +406,14 @@ def _labelled(groups: DataFrame, comps: DataFrame) -> DataFrame:
     rows = cut(groups.withColumn("row", F.monotonically_increasing_id()))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in (r for b in batches for r in b.to_pylist()):
+        for r in each_row(batches):
             x = np.unique(unpack(r["node"])).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), r["row"])), pa.array(x)], ["row", "node"])
 
     tied = rows.select("row", "node").mapInArrow(spread, "row long, node long").join(comps, "node").groupBy("row").agg(F.collect_list(F.struct("node", "component")).alias("of"))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in (r for b in batches for r in b.to_pylist()):
+        for r in each_row(batches):
             node = np.array([x["node"] for x in r["of"] or []], np.int64)
             comp = np.array([x["component"] for x in r["of"] or []], np.int64)
             by = np.argsort(node)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from glossa.llm import exact_dedup, hmm_lm, jaccard_join, language_id, mixing, quality, sentencepiece_codec, token_count
+from glossa.llm import exact_dedup, hmm_lm, jaccard_join, language_id, mixing, quality, sentencepiece_codec, suffix_dedup, token_count
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op3_sentencepiece": sentencepiece_codec.query,
     "op4_quality": quality.query,
     "op5_token_counts": token_count.query,
+    "op6_suffix_dedup": suffix_dedup.query,
     "op7_language_id": language_id.query,
     "op8_mix_sources": mixing.query,
     "op9_hmm_lm": hmm_lm.query,
