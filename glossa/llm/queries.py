@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from glossa.llm import exact_dedup, hmm_lm, jaccard_join, language_id, mixing, quality, sentencepiece_codec, suffix_dedup, token_count
+from glossa.llm import ann, exact_dedup, hmm_lm, jaccard_join, language_id, mixing, quality, sentencepiece_codec, suffix_dedup, token_count
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
+    "op2_learned_partitions": ann.query,
     "op3_sentencepiece": sentencepiece_codec.query,
     "op4_quality": quality.query,
     "op5_token_counts": token_count.query,
