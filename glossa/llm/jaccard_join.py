@@ -13,6 +13,10 @@ To find all links without all pairs of a group:
 3. Cross round: only pairs of different components that meet under both orders are verified.
 A pair inside one component needs no check, so after the two rounds no link is missing.
 
+Before any text moves, a pair must pass a bound on the symmetric difference: documents carry
+the parities of BITS hash classes of their shingles, and the parities that differ are never
+more than the shingles that do. Near copies just short of linking end there.
+
 Verification is exact on whole texts, with shingles as 48-bit hashes (two documents of 1,000
 shingles confuse any two of them with probability 4e-9).
 """
@@ -36,9 +40,9 @@ WIDTH, PERCENT = 5, 80
 FREQUENT = 1 << 17
 #: Bytes of text in a chunk, postings in a bucket, postings in a row of groups.
 CHUNK_BYTES, BUCKET_POSTINGS, ROW_POSTINGS = 16_000_000, 1_500_000, 100_000
-#: Node ids (16 bytes each) up to this many are broadcast; beyond it they are joined by a shuffle.
+#: Ids of documents whose texts are asked for (16 bytes each) are broadcast up to this many; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
-ORDERS = 2
+ORDERS, BITS = 2, 1024
 _MASK = np.uint64((1 << 48) - 1)
 _U = np.uint64
 
@@ -62,6 +66,28 @@ def _nodes(sets: np.ndarray, before: np.ndarray) -> np.ndarray:
     return mix((total[before[1:]] - total[before[:-1]]) + n.astype(_U) * _U(0x2545F4914F6CDD1D))
 
 
+def _parities(sets: np.ndarray, before: np.ndarray) -> list[bytes]:
+    """BITS parities of each set: how many of its shingles fall in each hash class, modulo 2."""
+    bit = (mix(sets ^ _U(0x6A09E667F3BCC909)) & _U(BITS - 1)).astype(np.int64)
+    out: list[bytes] = []
+    for a in range(0, len(before) - 1, 500):
+        b = min(a + 500, len(before) - 1)
+        doc = ragged(np.diff(before[a : b + 1]))[0]
+        odd = np.bincount(doc * BITS + bit[before[a] : before[b]], minlength=(b - a) * BITS).reshape(b - a, BITS) & 1
+        out += [r.tobytes() for r in np.packbits(odd.astype(np.uint8), axis=1)]
+    return out
+
+
+def _near(n_a: np.ndarray, n_b: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether pairs may link: sizes, and rows of 64-bit words of parities. Never false for a pair that links."""
+    differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+    return (100 + percent) * np.maximum(differ, np.abs(n_a - n_b)) <= (100 - percent) * (n_a + n_b)
+
+
+def _words(raw: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), _U).reshape(-1, BITS // 64)
+
+
 def _size_key(n: np.ndarray) -> np.ndarray:
     """The size on a logarithmic scale: sets whose keys differ by more than _gap() are too unlike in size."""
     return np.minimum(np.log(np.maximum(n, 1)) * 2000, 65535).astype(np.uint16)
@@ -87,7 +113,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Ta
 
 def _describe(width: int, owners: int):
     """Rows of documents (kind 0) and, for owners, shingles that a chunk holds more than once (kind 1)."""
-    names = ["kind", "doc_id", "n", "node", "owner", "token", "count"]
+    names = ["kind", "doc_id", "n", "node", "bits", "owner", "token", "count"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -109,14 +135,14 @@ def _describe(width: int, owners: int):
             full = np.flatnonzero(np.diff(cuts))
             k = len(full)
             none = pa.nulls(k, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(k), pa.int32()), none, none, none, pa.array(full, pa.int32()),
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(k), pa.int32()), none, none, none, pa.nulls(k, pa.binary()), pa.array(full, pa.int32()),
                 pa.array([pack(token[cuts[o] : cuts[o + 1]]) for o in full], pa.binary()), pa.array([pack(count[cuts[o] : cuts[o + 1]]) for o in full], pa.binary())], names)
 
         for t, sets, before in _sets(batches, width):
             n, nodes = np.diff(before), _nodes(sets, before)
             k = t.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k), pa.int32()), t["doc_id"].combine_chunks(), pa.array(n, pa.int64()), pa.array(nodes.view(np.int64)),
-                pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names)
+                pa.array(_parities(sets, before), pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names)
             held += np.split(sets, before[1:-1])
             seen.append(nodes)
             size += t.nbytes
@@ -234,6 +260,13 @@ def _groups(key, pdf: pd.DataFrame) -> pd.DataFrame:
     size = np.diff(first, append=len(token))
     many = np.repeat(size > 1, size)
     node, q, size = node[many], q[many], size[size > 1]
+    if len(node):
+        # leaders first: the node that meets most others in this bucket, near copies' likeliest centre
+        group = ragged(size)[0]
+        _, which = np.unique(node, return_inverse=True)
+        degree = np.bincount(which, size[group] - 1)[which]
+        by = np.lexsort((mix(node), -degree, group))
+        node, q = node[by], q[by]
     out = []
     ends = np.cumsum(size)
     a = 0
@@ -249,9 +282,7 @@ def _star(gap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in each_row(batches):
             sizes, node, q = unpack(r["sizes"]), unpack(r["node"]), unpack(r["size"]).astype(np.int64)
-            group = ragged(sizes)[0]
-            by = np.lexsort((mix(node), group))
-            lead = by[np.cumsum(sizes) - sizes][group]
+            lead = np.repeat(np.cumsum(sizes) - sizes, sizes)
             ok = (node[lead] != node) & (np.abs(q[lead] - q) <= gap)
             yield _pairs(node[lead[ok]], node[ok])
 
@@ -269,37 +300,99 @@ def _pairs(a: np.ndarray, b: np.ndarray, order: int | None = None) -> pa.RecordB
     return pa.RecordBatch.from_arrays(cols, ["a", "b"] + ([] if order is None else ["order"]))
 
 
-def _cross(comp_of, gap: int):
-    """Pairs of different components inside the groups; comp_of gives the components of a row of groups."""
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows of groups, the groups that hold nodes of different components."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            r = {c: batch.column(c)[i].as_py() for c in ("row", "order", "sizes", "node", "size")}
+            sizes, node, q = unpack(r["sizes"]), unpack(r["node"]), unpack(r["size"])
+            of = batch.column("of").slice(i, 1).flatten()
+            comp = node.view(np.int64).copy()
+            if len(of):
+                known, label = of.field("node").to_numpy(), of.field("component").to_numpy()
+                by = np.argsort(known)
+                known, label = known[by], label[by]
+                at = np.minimum(np.searchsorted(known, comp), len(known) - 1)
+                comp = np.where(known[at] == comp, label[at], comp)
+            first = np.cumsum(sizes) - sizes
+            several = np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first)
+            use = several[ragged(sizes)[0]]
+            if use.any():
+                cols = [pack(x) for x in (sizes[several], node[use], q[use], comp[use])]
+                yield pa.RecordBatch.from_arrays([pa.array([r["row"]]), pa.array([r["order"]], pa.int32()), *[pa.array([x], pa.binary()) for x in cols]], ["row", "order", "sizes", "node", "size", "comp"])
+
+
+def _cross(gap: int, percent: int):
+    """Pairs of different components inside groups whose sizes and parities let them link, each once a row of groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in each_row(batches):
-            sizes, node, q = unpack(r["sizes"]), unpack(r["node"]), unpack(r["size"]).astype(np.int64)
-            comp = comp_of(r, node)
-            first = np.cumsum(sizes) - sizes
-            mixed = np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first)
-            group = ragged(sizes)[0]
-            use = mixed[group]
-            node, q, comp, group = node[use], q[use], comp[use], group[use]
-            by = np.lexsort((q, group))
-            node, q, comp, group = node[by], q[by], comp[by], group[by]
-            place = group * (1 << 20) + q
-            upto = np.searchsorted(place, place + gap, side="right")  # partners of greater or equal size within the bound
-            n = upto - np.arange(len(node)) - 1
-            a = 0
-            while a < len(node):  # a bounded number of candidates at a time
-                b = max(a + 1, int(np.searchsorted(np.cumsum(n[a:]), 2_000_000, side="right")) + a)
-                i, k = ragged(n[a:b])
-                i += a
-                j = i + 1 + k
-                ok = comp[i] != comp[j]
-                x, y = node[i[ok]].view(np.int64), node[j[ok]].view(np.int64)
-                yield _pairs(np.minimum(x, y).view(_U), np.maximum(x, y).view(_U), r["order"])
-                a = b
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = {c: batch.column(c)[i].as_py() for c in ("order", "sizes", "node", "size", "comp")}
+                of = batch.column("of").slice(i, 1).flatten()
+                known = of.field("node").to_numpy()
+                by = np.argsort(known)
+                known, n_of, bits_of = known[by], of.field("n").to_numpy()[by], _words(of.field("bits").to_pylist())[by]
+                sizes, node, q, comp = unpack(r["sizes"]), unpack(r["node"]), unpack(r["size"]).astype(np.int64), unpack(r["comp"])
+                at = np.searchsorted(known, node.view(np.int64))
+                group = ragged(sizes)[0]
+                by = np.lexsort((q, group))
+                at, node, q, comp, group = at[by], node[by], q[by], comp[by], group[by]
+                place = group * (1 << 20) + q
+                upto = np.searchsorted(place, place + gap, side="right")  # partners of no smaller size, within the bound
+                n = upto - np.arange(len(node)) - 1
+                total = np.cumsum(n)
+                found = []
+                a = 0
+                while a < len(node):  # a bounded number of comparisons at a time
+                    b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + 300_000, side="right")))
+                    x, k = ragged(n[a:b])
+                    x += a
+                    y = x + 1 + k
+                    ok = comp[x] != comp[y]
+                    x, y = x[ok], y[ok]
+                    ok = _near(n_of[at[x]], n_of[at[y]], bits_of[at[x]], bits_of[at[y]], percent)
+                    u, v = node[x[ok]].view(np.int64), node[y[ok]].view(np.int64)
+                    found.append(np.stack([np.minimum(u, v), np.maximum(u, v)]))
+                    a = b
+                if found:
+                    u, v = np.concatenate(found, axis=1)
+                    yield _pairs(u.view(_U), v.view(_U), r["order"])
 
     return run
 
 
+def _bound(percent: int):
+    """Pairs (a, b) whose sizes and parities let them link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = _near(b.column("n_a").to_numpy(), b.column("n_b").to_numpy(), _words(b.column("bits_a").to_pylist()), _words(b.column("bits_b").to_pylist()), percent)
+            keep = pa.array(np.flatnonzero(ok))
+            yield pa.RecordBatch.from_arrays([b.column("a").take(keep), b.column("b").take(keep)], ["a", "b"])
+
+    return run
+
+
+def _likely(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    a = info.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    b = info.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    return pairs.join(b, "b").join(a, "a").mapInArrow(_bound(percent), "a long, b long")
+
+
+def _attach(rows: DataFrame, info: DataFrame) -> DataFrame:
+    """Rows of groups with `of`: what info says of each node in them, by a shuffle of (row, node)."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in each_row(batches):
+            x = np.unique(unpack(r["node"])).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), r["row"])), pa.array(x)], ["row", "node"])
+
+    told = [c for c in info.columns if c != "node"]
+    tied = rows.select("row", "node").mapInArrow(spread, "row long, node long").join(info, "node")
+    return rows.join(tied.groupBy("row").agg(F.collect_list(F.struct("node", *told)).alias("of")), "row", "left")
+
+
 def _verify(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
@@ -351,31 +444,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(docs, text).alias("text"))
     owners = min(4096, tasks_for(spark))
-    described = cut(source.mapInArrow(_describe(width, owners), "kind int, doc_id long, n long, node long, owner int, token binary, count binary"))
+    described = cut(source.mapInArrow(_describe(width, owners), "kind int, doc_id long, n long, node long, bits binary, owner int, token binary, count binary"))
     nodes = described.where("kind = 0").select("doc_id", "n", "node")
     shared = spark.sparkContext.broadcast(_frequent(described))
     total = nodes.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
     buckets = int(min(1 << 19, max(tasks_for(spark), total // BUCKET_POSTINGS + 1)))
     postings = source.mapInArrow(_postings(shared, width, percent, buckets), "order int, bucket int, token binary, node binary, size binary")
-    groups = cut(postings.groupBy("order", "bucket").applyInPandas(_groups, "order int, sizes binary, node binary, size binary"))
-    reps = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    groups = postings.groupBy("order", "bucket").applyInPandas(_groups, "order int, sizes binary, node binary, size binary")
+    groups = cut(groups.withColumn("row", F.monotonically_increasing_id()))
+    info = cut(described.where("kind = 0 and n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    reps = info.select("node", "doc_id")
     gap = _gap(percent)
     stars = groups.where("order = 0").mapInArrow(_star(gap), "a long, b long").distinct()
-    edges = _links(stars, source, reps, width, percent)
+    edges = _links(_likely(stars, info, percent), source, reps, width, percent)
     comps = cut(connected_components(edges, "a", "b"))
-    if comps.count() <= BROADCAST_ROWS:
-        rows = comps.mapInArrow(_packed, "node binary, comp binary").collect()
-        node = np.concatenate([unpack(r.node) for r in rows]) if rows else np.zeros(0, np.int64)
-        comp = np.concatenate([unpack(r.comp) for r in rows]) if rows else np.zeros(0, np.int64)
-        by = np.argsort(node)
-        table = spark.sparkContext.broadcast((node[by], comp[by]))
-
-        def of(_row, x: np.ndarray) -> np.ndarray:
-            return _lookup(x.view(np.int64), *table.value)
-
-        crossed = groups.mapInArrow(_cross(of, gap), "a long, b long, order int")
-    else:
-        crossed = _labelled(groups, comps).mapInArrow(_cross(lambda r, x: unpack(r["comp"]), gap), "a long, b long, order int")
+    mixed = cut(_attach(groups, comps).mapInArrow(_mixed, "row long, order int, sizes binary, node binary, size binary, comp binary"))
+    crossed = _attach(mixed, info.select("node", "n", "bits")).mapInArrow(_cross(gap, percent), "a long, b long, order int")
     met = crossed.distinct().groupBy("a", "b").agg(F.count("*").alias("orders")).where(F.col("orders") == ORDERS).select("a", "b")
     more = _links(met, source, reps, width, percent)
     if not more.isEmpty():
@@ -387,42 +471,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     return nodes.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _lookup(x: np.ndarray, node: np.ndarray, comp: np.ndarray) -> np.ndarray:
-    """Components of nodes; a node of no component is its own."""
-    if not len(node):
-        return x
-    at = np.minimum(np.searchsorted(node, x), len(node) - 1)
-    return np.where(node[at] == x, comp[at], x)
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.array([pack(b.column(c).to_numpy())], pa.binary()) for c in ("node", "component")], ["node", "comp"])
-
-
-def _labelled(groups: DataFrame, comps: DataFrame) -> DataFrame:
-    """groups with the components of their nodes, by a shuffle of (row of groups, node): the way for any number of components."""
-    rows = cut(groups.withColumn("row", F.monotonically_increasing_id()))
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in each_row(batches):
-            x = np.unique(unpack(r["node"])).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), r["row"])), pa.array(x)], ["row", "node"])
-
-    tied = rows.select("row", "node").mapInArrow(spread, "row long, node long").join(comps, "node").groupBy("row").agg(F.collect_list(F.struct("node", "component")).alias("of"))
-
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in each_row(batches):
-            node = np.array([x["node"] for x in r["of"] or []], np.int64)
-            comp = np.array([x["component"] for x in r["of"] or []], np.int64)
-            by = np.argsort(node)
-            c = _lookup(unpack(r["node"]).view(np.int64), node[by], comp[by])
-            yield pa.RecordBatch.from_arrays([pa.array([r["order"]], pa.int32()), *[pa.array([x], pa.binary()) for x in (r["sizes"], r["node"], r["size"], pack(c))]], ["order", "sizes", "node", "size", "comp"])
-
-    return rows.join(tied, "row", "left").drop("row").mapInArrow(label, "order int, sizes binary, node binary, size binary, comp binary")
-
-
 def query(spark, sf_dir):
     """op10: all documents."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
