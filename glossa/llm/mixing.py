@@ -55,7 +55,7 @@ def source_targets(sizes: DataFrame, source: str = "source", share: float = 1.5,
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, most: int = 2,
-        weights=WEIGHTS, block_rows: int = 20_000, extra: tuple[str, ...] = (), ordered: bool = True) -> DataFrame:
+        weights=WEIGHTS, block_rows: int = 2_000, extra: tuple[str, ...] = (), ordered: bool = True) -> DataFrame:
     """One row per document: id, size, source_size, target, taken, copies, position, and `extra` columns.
 
     taken: the words that the mix takes of the document. In digest order the document covers
