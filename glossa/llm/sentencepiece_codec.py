@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import ahocorasick
 import numpy as np
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from glossa.llm.common import slabs, whole_text
 
 SPACE = "▁"
-CACHE = 200_000
+CACHE = 400_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -89,15 +89,15 @@ class Codec:
         self.byte = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t == 6}
         self.id = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t == 1}
         self.auto = ahocorasick.Automaton()
+        # with each piece, what is known of the pieces before it: may it follow them (-1: the start, -2: no state)
         for p, i in self.id.items():
-            self.auto.add_word(p, (i, len(p)))
+            self.auto.add_word(p, (i, len(p), {-2: False}))
         self.auto.make_automaton()
         self.single = {p for p in self.id if len(p) == 1}
         inside = any(SPACE in p.lstrip(SPACE) for p in self.id)
         cut = "".join(c for c in "\n\t\r" if not any(c in p for p in self.id))
         self.chunks = re.compile("[\\s\\S]+" if inside else f"{SPACE}+[^{SPACE}{cut}]*|[^{SPACE}{cut}]+" + (f"|[{cut}]" if cut else "")).findall
         self.cache: dict[str, tuple[int, ...]] = {}
-        self.pair: dict[int, bool] = {}
         self.shown = [self._show(i) for i in range(len(self.pieces))]
 
     def _show(self, i: int) -> str | None:
@@ -123,14 +123,8 @@ class Codec:
 
     def _follows(self, a: int, b: int) -> bool:
         """Whether piece b may stand after piece a (a = -1: at the start)."""
-        key = (a + 1) << 32 | b
-        found = self.pair.get(key)
-        if found is None:
-            if len(self.pair) > 1_000_000:
-                self.pair.clear()
-            want = [self.pieces[b]] if a < 0 else [self.pieces[a], self.pieces[b]]
-            found = self.pair[key] = self._merged("".join(want)) == want
-        return found
+        want = [self.pieces[b]] if a < 0 else [self.pieces[a], self.pieces[b]]
+        return self._merged("".join(want)) == want
 
     def _segment(self, s: str) -> list[int]:
         """The pieces of a string all of whose characters are pieces."""
@@ -138,19 +132,22 @@ class Codec:
         last, start = [-2] * (n + 1), [0] * (n + 1)
         last[0] = -1
         if self.bpe:
-            pair, follows = self.pair, self._follows
-            for end, (i, length) in self.auto.iter(s):
-                end += 1
-                if last[end] == -2:
-                    p = last[end - length]
-                    if p != -2:
-                        ok = pair.get((p + 1) << 32 | i)
-                        if ok or (ok is None and follows(p, i)):
-                            last[end], start[end] = i, end - length
+            follows, done = self._follows, -1
+            for end, (i, length, before) in self.auto.iter(s):
+                if end != done:  # the longest piece first; the rest are passed over once one fits
+                    p = last[end + 1 - length]
+                    ok = before.get(p)
+                    if ok is None:
+                        if len(before) > 4096:
+                            before.clear()
+                            before[-2] = False
+                        ok = before[p] = follows(p, i)
+                    if ok:
+                        last[end + 1], start[end + 1], done = i, end + 1 - length, end
         else:
             best = [-1e30] * (n + 1)
             best[0] = 0.0
-            for end, (i, length) in self.auto.iter(s):
+            for end, (i, length, _) in self.auto.iter(s):
                 end += 1
                 score = best[end - length] + self.scores[i]
                 if score > best[end]:
@@ -183,12 +180,13 @@ class Codec:
             return []
         chunks = self.chunks((SPACE if self.prefix else "") + text.replace(" ", SPACE))
         cache = self.cache
+        for c in set(chunks).difference(cache):
+            cache[c] = self._chunk(c)
+        out = list(chain.from_iterable(map(cache.__getitem__, chunks)))
         if len(cache) > CACHE:
-            cache.clear()
-        for c in chunks:
-            if c not in cache:
-                cache[c] = self._chunk(c)
-        return list(chain.from_iterable(map(cache.__getitem__, chunks)))
+            for c in list(islice(cache, CACHE // 2)):  # the older half; what is common comes back at once
+                del cache[c]
+        return out
 
     def decode(self, ids) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
