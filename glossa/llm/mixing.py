@@ -2,9 +2,10 @@
 
 A time-varying curriculum. The mix runs over training time t in [0, 1]. Every source has a
 linear weight schedule w_s(t) = 1 + drift_s * (2t - 1), whose integral W_s(t) says what part
-of the source's demand is used up by t. A document's place in its source (by a digest of its
-id) gives its cumulative token demand u in [0, 1]; its training position is W_s^-1(u), in
-closed form. Documents are then range-sorted by position.
+of the source's demand, its target, is used up by t. The demand walks through the source's
+documents in the order of a digest of their ids, again from the first when it has seen all; a
+document that begins after u words of demand is due at W_s^-1(u / target), in closed form.
+Documents are then range-sorted by position.
 
 Targets: a source's share of `share` times all words goes by weight, stops at `most` times
 its own words, and the excess is shared again by weight until no source is above; that
@@ -25,6 +26,8 @@ from glossa.session import cut
 WEIGHTS = (5, 2, 1)
 #: The table of sources, about 60 bytes a row, is broadcast up to this many; beyond it, it is joined by a shuffle.
 BROADCAST_SOURCES = 100_000
+#: A plan of so many rows (16 bytes each) may be broadcast to the documents; a longer one is joined by a shuffle.
+BROADCAST_DOCS = 2_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -48,23 +51,24 @@ def source_targets(sizes: DataFrame, source: str = "source", share: float = 1.5,
     # with the sources before a row held at their caps, the level each unit of weight from this row on gets
     level = (F.lit(share) * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
     fits = ranked.withColumn("level", level).withColumn("free", F.col("level") * F.col("weight") <= F.col("cap"))
-    first = F.min(F.when(F.col("free"), F.col("level"))).over(everything)  # the level is non-decreasing until it fits
+    # the first source, by cap per weight, that its level does not fill: it and all after it get that level
+    first = F.min(F.when(F.col("free"), F.struct(F.col("cap") / F.col("weight"), "ordinal", "level"))).over(everything)["level"]
     return fits.withColumn("target", F.least(F.col("cap"), F.coalesce(first, F.col("cap")) * F.col("weight"))).withColumn(
         "target", F.when(F.col("source_size") > 0, F.col("target")).otherwise(0.0)
     ).select(source, "source_size", "ordinal", "target")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, most: int = 2,
-        weights=WEIGHTS, block_rows: int = 2_000, extra: tuple[str, ...] = (), ordered: bool = True) -> DataFrame:
-    """One row per document: id, size, source_size, target, taken, copies, position, and `extra` columns.
-
-    taken: the words that the mix takes of the document. In digest order the document covers
-    the words (a, b] of its source, and takes those that floor(b * r) - floor(a * r) counts,
-    r = target / source_size <= most: sums differ from the target by less than one word, and
-    no document gives more than `most` times its size. copies: how many times the document
-    is started, position: where in training its first word falls (null: it takes nothing).
-    Null or empty text: size 0, taken 0. Repeated rows count each for itself, and rows equal in
-    id and size are interchangeable, so reruns agree. An empty table gives no rows.
+        weights=WEIGHTS, block_rows: int = 2_000, extra: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, copies, position, and `extra` columns.
+
+    taken: the words that the mix takes of the document, at most `most` times its size. If it
+    covers the words [a, b) of its source of S words, these are the words of [a, b), [a + S,
+    b + S), ... below the rounded target: a source's taken words sum to that exactly, and at
+    most one document of a source is taken in part. copies: how many times the document is
+    started; position: when its first word falls (null: it takes nothing). Null or empty text:
+    size 0, taken 0. Repeated rows count each for itself; rows equal in id and size are
+    interchangeable, so reruns agree. An empty table gives no rows.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source).alias("__source"), word_count(F.col(text)).alias("size"),
@@ -85,22 +89,44 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     starts = sums.select(F.col("ordinal").alias("__o"), F.col("__block").alias("__b"), F.coalesce(F.sum("__size").over(upto), F.lit(0)).alias("__start"))
     inside = W.partitionBy("ordinal", "__block").orderBy("__digest", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = keyed.withColumn("__in", F.sum("size").over(inside)).join(starts, (F.col("ordinal") == F.col("__o")) & (F.col("__block") == F.col("__b")))
-    ratio = F.col("target") / F.col("source_size")
-    end = F.col("__start") + F.col("__in")
-    begin = end - F.col("size")
-    upper = F.when(end == F.col("source_size"), F.round(F.col("target"))).otherwise(F.floor(end * ratio))
-    taken = F.when(F.col("size") > 0, F.greatest(F.lit(0), F.least(F.col("size") * most, (upper - F.floor(begin * ratio)).cast("long")))).otherwise(0).cast("long")
-    # W_s(t) = t + d * (t^2 - t) with d in (-1, 1); its inverse for the demand u
-    u = begin / F.col("source_size")
+    begin = F.col("__start") + F.col("__in") - F.col("size")
+    goal = F.round("target").cast("long")
+    left = [goal - F.col("source_size") * j - begin for j in range(most)]
+    taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), x)) for x in left), F.lit(0)).cast("long")
+    started = sum((((x > 0) & (F.col("size") > 0)).cast("int") for x in left), F.lit(0)).cast("int")
+    out = placed.withColumn("taken", taken).withColumn("copies", started)
+    return out.select("doc_id", "size", "source_size", "target", "taken", "copies", F.when(F.col("copies") > 0, due(begin / goal)).alias("position"),
+                      F.col("ordinal").alias("source_ordinal"), begin.cast("long").alias("begin"), *extra)
+
+
+def due(u: Column) -> Column:
+    """W_s^-1 of a part of a source's demand: W_s(t) = t + d (t^2 - t), with drift d in (-1, 1) by the source's ordinal."""
     d = (F.col("ordinal") % 3 - 1) * 0.5
-    inverse = F.when(d == 0, u).otherwise((d - 1 + F.sqrt((1 - d) * (1 - d) + 4 * d * u)) / (2 * d))
-    out = placed.withColumn("taken", taken).select(
-        "doc_id", "size", "source_size", "target", "taken",
-        F.when(F.col("taken") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int").alias("copies"),
-        F.when(F.col("taken") > 0, inverse).alias("position"), *extra)
-    if not ordered:
-        return out
-    return out.repartitionByRange(F.col("position").asc_nulls_last(), F.col("doc_id")).sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
+    return F.when(d == 0, u).otherwise((d - 1 + F.sqrt((1 - d) * (1 - d) + 4 * d * u)) / (2 * d))
+
+
+def in_order(rows: DataFrame, position: str = "position", tie: str = "doc_id") -> DataFrame:
+    """Rows range-sorted by a position in [0, 1] (null last). Positions spread words evenly, so ranges need no sampling."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.least(F.lit(n - 1), F.floor(F.coalesce(F.col(position), F.lit(1.0)) * n)).cast("int")
+    # rows without a position would all be last: they are spread, as they have no order
+    part = F.when(F.col(position).isNull(), F.pmod(F.xxhash64(tie), F.lit(n)).cast("int")).otherwise(part)
+    return rows.repartitionById(n, part).sortWithinPartitions(F.col(position).asc_nulls_last(), tie)
+
+
+def curriculum(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mix itself: the rows of docs, all columns, each as often as it is started, in training order.
+
+    Documents that the mix takes nothing of are left out; one taken in part is given whole.
+    Ids are expected to be unique. Text moves once, in the range sort.
+    """
+    plan = mix(docs, id_col, text, source, **options).where("copies > 0")
+    plan = cut(plan.select(F.col("doc_id").alias("__id"), F.posexplode(F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda j: j)).alias("__copy", "__j"),
+                           F.col("source_ordinal").alias("ordinal"), "begin", "source_size", F.round("target").cast("long").alias("__goal")))
+    plan = plan.select("__id", due((F.col("begin") + F.col("source_size") * F.col("__copy")) / F.col("__goal")).alias("__position"))
+    few = plan.count() <= BROADCAST_DOCS
+    rows = docs.join(F.broadcast(plan) if few else plan, F.col(id_col) == F.col("__id")).drop("__id")
+    return in_order(rows, "__position", id_col).select(*docs.columns)
 
 
 ORACLE = r"""
@@ -115,19 +141,18 @@ leveled AS (
   SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) - COALESCE(sum(cap) OVER (ORDER BY cap / weight, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
          / sum(weight) OVER (ORDER BY cap / weight, ordinal ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
 targets AS (
-  SELECT source, source_size, ordinal, CASE WHEN source_size > 0 THEN least(cap, COALESCE((SELECT min(level) FROM leveled WHERE level * weight <= cap), 1e300) * weight) ELSE 0.0 END AS target FROM leveled),
+  SELECT source, source_size, ordinal, CASE WHEN source_size > 0 THEN least(cap, COALESCE((SELECT level FROM leveled WHERE level * weight <= cap ORDER BY cap / weight, ordinal LIMIT 1), 1e300) * weight) ELSE 0.0 END AS target FROM leveled),
 placed AS (
-  SELECT doc_id, size, source_size, ordinal, target,
-         CAST(sum(size) OVER (PARTITION BY ordinal ORDER BY digest, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS b
+  SELECT doc_id, size, source_size, ordinal, target, CAST(round(target) AS BIGINT) AS goal,
+         CAST(sum(size) OVER (PARTITION BY ordinal ORDER BY digest, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS a
   FROM rows r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source),
 cut AS (
-  SELECT *, CASE WHEN size > 0 THEN greatest(0, least(size * 2,
-      CAST(CASE WHEN b = source_size THEN round(target) ELSE floor(b * (target / source_size)) END - floor((b - size) * (target / source_size)) AS BIGINT))) ELSE 0 END AS taken,
-      (b - size) / CAST(source_size AS DOUBLE) AS u, (ordinal % 3 - 1) * 0.5::DOUBLE AS d
+  SELECT *, greatest(0, least(size, goal - a)) + greatest(0, least(size, goal - source_size - a)) AS taken,
+         CASE WHEN size > 0 THEN CAST(goal > a AS INTEGER) + CAST(goal - source_size > a AS INTEGER) ELSE 0 END AS copies,
+         CASE WHEN goal > 0 THEN a / CAST(goal AS DOUBLE) END AS u, (ordinal % 3 - 1) * 0.5::DOUBLE AS d
   FROM placed)
-SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken,
-       CAST(CASE WHEN taken > 0 THEN ceil(taken / CAST(size AS DOUBLE)) ELSE 0 END AS INTEGER) AS copies,
-       CASE WHEN taken > 0 THEN round(CASE WHEN d = 0 THEN u ELSE (d - 1 + sqrt((1 - d) * (1 - d) + 4 * d * u)) / (2 * d) END, 9) END AS position
+SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken, CAST(copies AS INTEGER) AS copies,
+       CASE WHEN copies > 0 THEN round(CASE WHEN d = 0 THEN u ELSE (d - 1 + sqrt((1 - d) * (1 - d) + 4 * d * u)) / (2 * d) END, 9) END AS position
 FROM cut
 """
 
@@ -135,4 +160,4 @@ FROM cut
 def query(spark, sf_dir):
     """op8: mixes all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix(docs).withColumn("position", F.round("position", 9))
+    return in_order(mix(docs)).withColumn("position", F.round("position", 9)).drop("source_ordinal", "begin")
