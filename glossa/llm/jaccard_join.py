@@ -14,8 +14,8 @@ To find all links without all pairs of a group:
 A pair inside one component needs no check, so after the two rounds no link is missing.
 
 Before any text moves, a pair must pass a bound on the symmetric difference: documents carry
-the parities of BITS hash classes of their shingles, and the parities that differ are never
-more than the shingles that do. Near copies just short of linking end there.
+the parities of hash classes of their shingles (about a bit a shingle), and the parities that
+differ are never more than the shingles that do. Near copies just short of linking end there.
 
 Verification is exact on whole texts, with shingles as 48-bit hashes (two documents of 1,000
 shingles confuse any two of them with probability 4e-9).
@@ -39,10 +39,12 @@ WIDTH, PERCENT = 5, 80
 #: Frequent shingles that both orders put last; only the order, not the result, depends on them, so the list may be bounded.
 FREQUENT = 1 << 17
 #: Bytes of text in a chunk, postings in a bucket, postings in a row of groups.
-CHUNK_BYTES, BUCKET_POSTINGS, ROW_POSTINGS = 16_000_000, 1_500_000, 100_000
+CHUNK_BYTES, BUCKET_POSTINGS, ROW_POSTINGS = 16_000_000, 1_000_000, 60_000
 #: Ids of documents whose texts are asked for (16 bytes each) are broadcast up to this many; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
-ORDERS, BITS = 2, 1024
+ORDERS = 2
+#: Parity bits of a document: the power of two from its number of shingles up, within these.
+LEAST_BITS, MOST_BITS = 256, 1 << 15
 _MASK = np.uint64((1 << 48) - 1)
 _U = np.uint64
 
@@ -67,25 +69,63 @@ def _nodes(sets: np.ndarray, before: np.ndarray) -> np.ndarray:
 
 
 def _parities(sets: np.ndarray, before: np.ndarray) -> list[bytes]:
-    """BITS parities of each set: how many of its shingles fall in each hash class, modulo 2."""
-    bit = (mix(sets ^ _U(0x6A09E667F3BCC909)) & _U(BITS - 1)).astype(np.int64)
-    out: list[bytes] = []
-    for a in range(0, len(before) - 1, 500):
-        b = min(a + 500, len(before) - 1)
-        doc = ragged(np.diff(before[a : b + 1]))[0]
-        odd = np.bincount(doc * BITS + bit[before[a] : before[b]], minlength=(b - a) * BITS).reshape(b - a, BITS) & 1
-        out += [r.tobytes() for r in np.packbits(odd.astype(np.uint8), axis=1)]
+    """The parities of each set: how many of its shingles fall in each hash class, modulo 2."""
+    h = mix(sets ^ _U(0x6A09E667F3BCC909))
+    bits = _classes(np.diff(before))
+    out: list[bytes | None] = [None] * len(bits)
+    for size in np.unique(bits).tolist():
+        docs = np.flatnonzero(bits == size)
+        step = max(1, (1 << 20) // size)
+        for a in range(0, len(docs), step):
+            d = docs[a : a + step]
+            n = (before[1:] - before[:-1])[d]
+            row, place = ragged(n)
+            at = (h[before[d][row] + place] & _U(size - 1)).astype(np.int64)
+            odd = np.bincount(row * size + at, minlength=len(d) * size).reshape(len(d), size) & 1
+            for k, raw in zip(d.tolist(), np.packbits(odd.astype(np.uint8), axis=1)):
+                out[k] = raw.tobytes()
     return out
 
 
-def _near(n_a: np.ndarray, n_b: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Whether pairs may link: sizes, and rows of 64-bit words of parities. Never false for a pair that links."""
-    differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-    return (100 + percent) * np.maximum(differ, np.abs(n_a - n_b)) <= (100 - percent) * (n_a + n_b)
-
-
-def _words(raw: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(raw), _U).reshape(-1, BITS // 64)
+def _classes(n: np.ndarray) -> np.ndarray:
+    return np.clip(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+
+
+class Parities:
+    """Sizes and parities of documents, to tell pairs that cannot link. A longer row of parities
+    folds to a shorter one, as its classes are hashes modulo a power of two."""
+
+    def __init__(self, n: np.ndarray, raw: list[bytes], percent: int):
+        self.n, self.percent = n, percent
+        self.words = np.array([len(r) // 8 for r in raw], np.int64)
+        self.at = np.zeros(len(raw), np.int64)
+        self.table: dict[int, np.ndarray] = {}
+        for w in np.unique(self.words).tolist():
+            mine = np.flatnonzero(self.words == w)
+            self.at[mine] = np.arange(len(mine))
+            self.table[w] = np.frombuffer(b"".join(raw[k] for k in mine), _U).reshape(-1, w)
+
+    def _rows(self, i: np.ndarray, w: int) -> np.ndarray:
+        out = np.empty((len(i), w), _U)
+        for size in np.unique(self.words[i]).tolist():
+            on = self.words[i] == size
+            x = self.table[size][self.at[i[on]]]
+            while x.shape[1] > w:
+                x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+            out[on] = x
+        return out
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether each pair may link; never false for a pair that does."""
+        most = (100 - self.percent) * (self.n[i] + self.n[j]) // (100 + self.percent)
+        ok = np.abs(self.n[i] - self.n[j]) <= most
+        width = np.minimum(self.words[i], self.words[j])
+        for w in np.unique(width[ok]).tolist():
+            these = np.flatnonzero(ok & (width == w))
+            for a in range(0, len(these), max(1, (1 << 19) // w)):
+                k = these[a : a + max(1, (1 << 19) // w)]
+                ok[k] = np.bitwise_count(self._rows(i[k], w) ^ self._rows(j[k], w)).sum(1, dtype=np.int64) <= most[k]
+        return ok
 
 
 def _size_key(n: np.ndarray) -> np.ndarray:
@@ -300,9 +340,24 @@ def _pairs(a: np.ndarray, b: np.ndarray, order: int | None = None) -> pa.RecordB
     return pa.RecordBatch.from_arrays(cols, ["a", "b"] + ([] if order is None else ["order"]))
 
 
-def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows of groups, the groups that hold nodes of different components."""
-    for batch in batches:
+def _partners(group: np.ndarray, q: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """For nodes sorted by group and size: the first and the last of those like enough in size."""
+    place = group * (1 << 20) + q
+    return np.searchsorted(place, place - gap), np.searchsorted(place, place + gap, side="right") - 1
+
+
+def _mixed(gap: int):
+    """Of rows of groups, the nodes with a partner of another component and like size, by group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _mixed_rows(batch, gap)
+
+    return run
+
+
+def _mixed_rows(batch: pa.RecordBatch, gap: int) -> Iterator[pa.RecordBatch]:
+    if batch.num_rows:
         for i in range(batch.num_rows):
             r = {c: batch.column(c)[i].as_py() for c in ("row", "order", "sizes", "node", "size")}
             sizes, node, q = unpack(r["sizes"]), unpack(r["node"]), unpack(r["size"])
@@ -314,11 +369,18 @@ def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 known, label = known[by], label[by]
                 at = np.minimum(np.searchsorted(known, comp), len(known) - 1)
                 comp = np.where(known[at] == comp, label[at], comp)
-            first = np.cumsum(sizes) - sizes
-            several = np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first)
-            use = several[ragged(sizes)[0]]
+            group = ragged(sizes)[0]
+            q = q.astype(np.int64)
+            by = np.lexsort((q, group))
+            group, q, node, comp = group[by], q[by], node[by], comp[by]
+            low, high = _partners(group, q, gap)
+            # the components within reach are all one's own if they change nowhere in between
+            change = np.concatenate([[0], np.cumsum(comp[1:] != comp[:-1])])
+            use = change[high] != change[low]
             if use.any():
-                cols = [pack(x) for x in (sizes[several], node[use], q[use], comp[use])]
+                sizes = np.bincount(group[use])
+                sizes = sizes[sizes > 0]
+                cols = [pack(x) for x in (sizes, node[use], q[use].astype(np.uint16), comp[use])]
                 yield pa.RecordBatch.from_arrays([pa.array([r["row"]]), pa.array([r["order"]], pa.int32()), *[pa.array([x], pa.binary()) for x in cols]], ["row", "order", "sizes", "node", "size", "comp"])
 
 
@@ -332,15 +394,14 @@ def _cross(gap: int, percent: int):
                 of = batch.column("of").slice(i, 1).flatten()
                 known = of.field("node").to_numpy()
                 by = np.argsort(known)
-                known, n_of, bits_of = known[by], of.field("n").to_numpy()[by], _words(of.field("bits").to_pylist())[by]
+                known, raw = known[by], of.field("bits").to_pylist()
+                told = Parities(of.field("n").to_numpy()[by], [raw[k] for k in by.tolist()], percent)
                 sizes, node, q, comp = unpack(r["sizes"]), unpack(r["node"]), unpack(r["size"]).astype(np.int64), unpack(r["comp"])
                 at = np.searchsorted(known, node.view(np.int64))
                 group = ragged(sizes)[0]
                 by = np.lexsort((q, group))
                 at, node, q, comp, group = at[by], node[by], q[by], comp[by], group[by]
-                place = group * (1 << 20) + q
-                upto = np.searchsorted(place, place + gap, side="right")  # partners of no smaller size, within the bound
-                n = upto - np.arange(len(node)) - 1
+                n = _partners(group, q, gap)[1] - np.arange(len(node))  # partners of no smaller size
                 total = np.cumsum(n)
                 found = []
                 a = 0
@@ -351,7 +412,7 @@ def _cross(gap: int, percent: int):
                     y = x + 1 + k
                     ok = comp[x] != comp[y]
                     x, y = x[ok], y[ok]
-                    ok = _near(n_of[at[x]], n_of[at[y]], bits_of[at[x]], bits_of[at[y]], percent)
+                    ok = told.near(at[x], at[y])
                     u, v = node[x[ok]].view(np.int64), node[y[ok]].view(np.int64)
                     found.append(np.stack([np.minimum(u, v), np.maximum(u, v)]))
                     a = b
@@ -367,7 +428,10 @@ def _bound(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = _near(b.column("n_a").to_numpy(), b.column("n_b").to_numpy(), _words(b.column("bits_a").to_pylist()), _words(b.column("bits_b").to_pylist()), percent)
+            m = b.num_rows
+            n = np.concatenate([b.column("n_a").to_numpy(), b.column("n_b").to_numpy()])
+            told = Parities(n, b.column("bits_a").to_pylist() + b.column("bits_b").to_pylist(), percent)
+            ok = told.near(np.arange(m), np.arange(m, 2 * m))
             keep = pa.array(np.flatnonzero(ok))
             yield pa.RecordBatch.from_arrays([b.column("a").take(keep), b.column("b").take(keep)], ["a", "b"])
 
@@ -458,7 +522,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     stars = groups.where("order = 0").mapInArrow(_star(gap), "a long, b long").distinct()
     edges = _links(_likely(stars, info, percent), source, reps, width, percent)
     comps = cut(connected_components(edges, "a", "b"))
-    mixed = cut(_attach(groups, comps).mapInArrow(_mixed, "row long, order int, sizes binary, node binary, size binary, comp binary"))
+    mixed = cut(_attach(groups, comps).mapInArrow(_mixed(gap), "row long, order int, sizes binary, node binary, size binary, comp binary"))
     crossed = _attach(mixed, info.select("node", "n", "bits")).mapInArrow(_cross(gap, percent), "a long, b long, order int")
     met = crossed.distinct().groupBy("a", "b").agg(F.count("*").alias("orders")).where(F.col("orders") == ORDERS).select("a", "b")
     more = _links(met, source, reps, width, percent)
@@ -471,6 +535,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     return nodes.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, all columns, without near copies: of each component the smallest id stays.
+
+    An id stays if any of its rows does; rows without an id and texts without words stay.
+    """
+    found = jaccard_components(docs, id_col, text, width, percent).where("doc_id is not null")
+    gone = cut(found.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone").select(F.col("doc_id").alias("__id")))
+    few = gone.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("__id"), "left_anti")
+
+
 def query(spark, sf_dir):
     """op10: all documents."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
