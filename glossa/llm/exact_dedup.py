@@ -149,6 +149,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     )
 
 
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that exact_dedup keeps. Text that stays is not shuffled (but for rows that repeat a kept one)."""
+    found = cut(exact_dedup(docs, id_col, text).where("not kept").select("doc_id", "keep_id", "text_sha256"))
+    same_row = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+
+    def ids(df: DataFrame) -> DataFrame:
+        df = df.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__dropped")).distinct()
+        return F.broadcast(df) if found.count() <= BROADCAST_ROWS // 8 else df
+
+    keyed = docs.withColumn("__sha", F.sha2(whole_text(docs, text), 256))
+    is_in = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__dropped"))
+    kept = keyed.join(ids(found.where(~same_row)), is_in, "left_anti")
+    repeats = found.where(same_row)
+    if not repeats.isEmpty():
+        once = kept.join(ids(repeats), is_in, "left_semi").dropDuplicates([id_col, "__sha"])
+        kept = kept.join(ids(repeats), is_in, "left_anti").unionByName(once)
+    return kept.drop("__sha")
+
+
 ORACLE = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
        sha256(COALESCE(text, '')) AS text_sha256
