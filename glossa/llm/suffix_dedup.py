@@ -13,7 +13,12 @@ of all distinct contexts of its anchors and reads repeats off adjacent common pr
 
 Whole equal contexts are told apart from different ones by a 64-bit hash and its count before
 any bytes move, so a passage that a third of all documents hold costs one entry for each
-block of rows, and each distinct context moves once.
+block of rows. Of the distinct contexts of an anchor only those move that share a core with
+another: if a window is repeated, the bytes around its anchor agree over one of CORES stretches
+that leave out less than a window's CORES-th part.
+
+A core that more than HOT distinct contexts share is not sorted in one piece: windows over it
+are compared by hash, split over tasks by hash range, which is the exact way at any size.
 """
 
 from __future__ import annotations
@@ -37,6 +42,10 @@ GRAM = 96
 BLOCK_BYTES, OWNER_ANCHORS = 16_000_000, 2_000_000
 #: Ids of documents whose contexts are asked for (16 bytes each) are broadcast up to this many.
 BROADCAST_ROWS = 2_000_000
+#: Stretches around an anchor, one of which any two places of a repeated window share whole.
+CORES = 4
+#: Contexts of one core up to which they are sorted as one text; windows that one task compares beyond that; bytes sorted at a time.
+HOT, HOT_CONTEXTS, SORT_BYTES = 1500, 200_000, 1_000_000
 _U = np.uint64
 
 
@@ -80,8 +89,30 @@ def context(pos: np.ndarray, start: np.ndarray, end: np.ndarray, length: int, gr
     return np.maximum(pos + gram - length, start), np.minimum(pos + length, end)
 
 
+def core_spans(pos: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(CORES, anchors) starts and ends of the cores: k steps to the left and the rest to the right."""
+    step = (length - gram) // CORES
+    k = np.arange(CORES)[:, None]
+    return pos - k * step, pos + gram + (CORES - 1 - k) * step
+
+
+def _direct_order(raw: bytes, text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes sorted on depth bytes: by their first 16 as numbers, then ties by their bytes."""
+    padded = np.concatenate([text, np.zeros(16, np.uint8)])
+    view = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    one = np.ascontiguousarray(view[at]).view(">u8")[:, 0].astype(_U)
+    two = np.ascontiguousarray(view[at + 8]).view(">u8")[:, 0].astype(_U)
+    by = np.lexsort((two, one))
+    at, one, two = at[by], one[by], two[by]
+    tied = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], tied, [False]]).astype(np.int8)))
+    for a, b in zip(edge[::2].tolist(), (edge[1::2] + 1).tolist()):
+        at[a:b] = sorted(at[a:b].tolist(), key=lambda i: raw[i + 16 : i + depth])
+    return at
+
+
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """All suffixes of text in order, compared on `depth` bytes (ties in any order); two-stage.
+    """All suffixes of text in order, compared on at least `depth` bytes (ties in any order); two-stage.
 
     The text must end with a byte smaller than all others.
     """
@@ -91,9 +122,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     nxt = text[np.minimum(stop + 1, n - 1)]
     rising = nxt > text  # smaller than its successor
     rising[n - 1] = True  # the end is its own bucket's only one
-    direct = np.flatnonzero(rising)
-    raw = text.tobytes()
-    direct = np.array(sorted(direct.tolist(), key=lambda i: raw[i : i + depth]), np.int64)
+    direct = _direct_order(text.tobytes(), text, np.flatnonzero(rising), depth)
     rank = np.empty(n, np.int64)
     count = np.bincount(text, minlength=256)
     tail = np.cumsum(count)
@@ -171,7 +200,7 @@ def find_repeats(pieces: list[bytes], places: np.ndarray, length: int) -> tuple[
 
 
 def _blocks(length: int, gram: int, owners: int):
-    names = ["owner", "block", "entry", "doc", "pos"]
+    names = ["owner", "block", "wide", "narrow", "doc", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, k = TaskContext.get().partitionId() << 24, 0
@@ -180,32 +209,37 @@ def _blocks(length: int, gram: int, owners: int):
 
         def flush() -> pa.RecordBatch:
             nonlocal k
-            h, ctx, doc, key, pos = (np.concatenate(x) for x in zip(*held))
+            h, ctx, doc, key, pos = (np.concatenate(x) for x in list(zip(*held))[:5])
+            cores = np.concatenate([x[5] for x in held], axis=1)
             held.clear()
             by = np.lexsort((ctx, h))
-            h, ctx, doc, key, pos = h[by], ctx[by], doc[by], key[by], pos[by]
+            h, ctx, doc, key, pos, cores = h[by], ctx[by], doc[by], key[by], pos[by], cores[:, by]
             cuts = np.searchsorted(((h >> _U(32)) * _U(owners)) >> _U(32), np.arange(owners + 1, dtype=_U))
             out = []
             for o in np.flatnonzero(np.diff(cuts)):
                 s = slice(cuts[o], cuts[o + 1])
                 new = np.concatenate([[True], (h[s][1:] != h[s][:-1]) | (ctx[s][1:] != ctx[s][:-1])])
                 at = np.flatnonzero(new)
-                many = np.diff(at, append=len(new))
-                entry = np.stack([h[s][at], ctx[s][at], many.astype(_U), doc[s][at].view(_U), key[s][at].view(_U), pos[s][at].astype(_U)])
-                mine = np.stack([doc[s], key[s], pos[s], np.cumsum(new) - 1])
-                out.append((int(o), base + k, pack(entry.ravel()), pack(mine.ravel())))
+                wide = np.stack([h[s][at], ctx[s][at], doc[s][at].view(_U), key[s][at].view(_U)])
+                narrow = np.concatenate([[np.diff(at, append=len(new)), pos[s][at]], cores[:, s][:, at]]).astype(np.uint32)
+                out.append((int(o), base + k, pack(wide.ravel()), pack(narrow.ravel()), pack(np.stack([doc[s], key[s]]).ravel()), pack(np.stack([pos[s], np.cumsum(new) - 1]).astype(np.uint32).ravel())))
             k += 1
-            cols = list(zip(*out)) or [[], [], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["owner", "block", "entry", "mine"])
+            cols = list(zip(*out)) or [[]] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), *[pa.binary()] * 4))], names)
 
         for t in slabs(batches, "text", 1_500_000):
             data, off = text_bytes(t["text"].combine_chunks())
             h, pos, row = anchors(data, off, length, gram)
-            a, b = context(pos, off[:-1][row], off[1:][row], length, gram)
-            place = (pos - a).astype(_U)  # the same bytes around another place are another context
-            ctx = mix(span_hash(data, a, b) + place)
+            start, end = off[:-1][row], off[1:][row]
+            a, b = context(pos, start, end, length, gram)
+            left, right = core_spans(pos, length, gram)
+            inside = (left >= start) & (right <= end)
+            left, right = np.where(inside, left, pos), np.where(inside, right, pos)
+            hashes = span_hash(data, np.concatenate([a, left.ravel()]), np.concatenate([b, right.ravel()]))
+            ctx = mix(hashes[: len(pos)] + (pos - a).astype(_U))  # the same bytes around another place are another context
+            cores = np.where(inside, hashes[len(pos) :].reshape(CORES, -1) >> _U(32) | _U(1), _U(0))
             ids, keys = t["doc_id"].to_numpy(), t["key"].to_numpy()
-            held.append((h, ctx, ids[row], keys[row], pos - off[:-1][row]))
+            held.append((h, ctx, ids[row], keys[row], pos - start, cores))
             size += len(data)
             if size >= BLOCK_BYTES:
                 yield flush()
@@ -216,27 +250,37 @@ def _blocks(length: int, gram: int, owners: int):
     return run
 
 
-def _own(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each entry of each block: 1 if its whole context occurs twice, else 0; and, as asks, one place of
-    each distinct context of anchors that have several."""
-    lists = [unpack(x).reshape(6, -1) for x in pdf["entry"]]
+def _own(key, pdf: pd.DataFrame, hot: int) -> pd.DataFrame:
+    """For each entry of each block: 1 if its whole context occurs twice, else 0 (kind 0). And asks (kind 1): one
+    place of each distinct context that shares a core with another, once for each core."""
+    lists = [unpack(x).reshape(4, -1) for x in pdf["wide"]]
     size = [x.shape[1] for x in lists]
-    e = np.concatenate(lists, axis=1)
-    by = np.lexsort((e[1], e[0]))
-    h, ctx, many = e[0][by], e[1][by], e[2][by].astype(np.int64)
+    wide = np.concatenate(lists, axis=1)
+    narrow = np.concatenate([unpack(x).reshape(2 + CORES, -1) for x in pdf["narrow"]], axis=1)
+    by = np.lexsort((wide[1], wide[0]))
+    h, ctx = wide[0][by], wide[1][by]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])])
     first = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
-    total = np.add.reduceat(many, first)
+    total = np.add.reduceat(narrow[0][by].astype(np.int64), first)
     answer = np.empty(len(h), np.uint8)
-    answer[by] = (total[group] > 1).astype(np.uint8)
-    hh = h[first]
-    other = np.concatenate([[False], hh[1:] == hh[:-1]])
-    other[:-1] |= other[1:]
-    ask = by[first[other]]
+    answer[by] = (total[np.cumsum(new) - 1] > 1).astype(np.uint8)
     rows = [(0, b, pack(a)) for b, a in zip(pdf["block"], np.split(answer, np.cumsum(size)[:-1])) if a.any()]
-    if len(ask):
-        rows.append((1, None, pack(e[[0, 3, 4, 5]][:, ask].ravel())))
+    one = by[first]
+    asks, told = [], []
+    for k in range(CORES):
+        core = narrow[2 + k][one]
+        name = mix(wide[0][one] + (core.astype(_U) << _U(3) | _U(k)))
+        _, group, count = np.unique(name, return_inverse=True, return_counts=True)
+        members = np.bincount(group, (mix(wide[1][one]) >> _U(24)).astype(float))[group]
+        use = (core > 0) & (count[group] > 1)
+        for other_members, other_use in told:  # the same contexts met at an earlier core already
+            use &= ~(other_use & (other_members == members) & (count[group] <= hot))
+        told.append((members, use.copy()))
+        i = np.flatnonzero(use)
+        asks.append(np.stack([name[i], wide[2][one[i]], wide[3][one[i]], narrow[1][one[i]].astype(_U), np.full(len(i), k, _U), count[group[i]].astype(_U)]))
+    asks = np.concatenate(asks, axis=1)
+    if asks.shape[1]:
+        rows.append((1, None, pack(asks.ravel())))
     out = pd.DataFrame(rows, columns=["kind", "block", "payload"])
     out["owner"] = int(key[0])
     return out[["owner", "kind", "block", "payload"]]
@@ -247,7 +291,8 @@ def _twice(length: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in each_row(batches):
-            doc, key, pos, nth = unpack(r["mine"]).reshape(4, -1)
+            doc, key = unpack(r["doc"]).reshape(2, -1)
+            pos, nth = unpack(r["at"]).reshape(2, -1).astype(np.int64)
             hit = unpack(r["payload"])[nth] > 0
             yield _spans(doc[hit], key[hit], pos[hit] + gram - length, pos[hit] + length)
 
@@ -266,18 +311,19 @@ def _spans(doc: np.ndarray, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa
 
 def _asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for r in each_row(batches):
-        e = unpack(r["payload"]).reshape(4, -1)
-        by = np.lexsort((e[2], e[1]))
-        h, doc, key, pos = e[0][by], e[1][by], e[2][by], e[3][by]
+        e = unpack(r["payload"]).reshape(6, -1)
+        e = e[:, np.lexsort((e[2], e[1]))]
+        doc, key = e[1], e[2]
         first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]))
         ends = np.append(first[1:], len(doc))
-        asks = [pack(np.stack([h[s:t], pos[s:t]]).ravel()) for s, t in zip(first, ends)]
+        asks = [pack(e[[0, 3, 4, 5], s:t].ravel()) for s, t in zip(first, ends)]
         yield pa.RecordBatch.from_arrays([pa.array(doc[first].view(np.int64)), pa.array(key[first].view(np.int64)), pa.array(asks, pa.binary())], ["doc_id", "key", "asks"])
 
 
-def _cut_out(length: int, gram: int, owners: int):
-    """The bytes of the contexts asked for, packed by owner."""
-    names = ["owner", "anchor", "doc_id", "key", "from", "bytes"]
+def _cut_out(length: int, gram: int, hot: int):
+    """The bytes of the contexts asked for, by core; those of a core with many contexts go to several tasks."""
+    names = ["core", "part", "parts", "k", "doc_id", "key", "pos", "from", "bytes"]
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -285,52 +331,103 @@ def _cut_out(length: int, gram: int, owners: int):
             for doc, key, text, asks in zip(*[b.column(c).to_pylist() for c in ("doc_id", "key", "text", "asks")]):
                 raw = text.encode("utf-8", "surrogatepass")
                 for x in asks:
-                    h, pos = unpack(x).reshape(2, -1)
-                    for v, p in zip(h.tolist(), pos.tolist()):
+                    name, pos, k, count = unpack(x).reshape(4, -1)
+                    for c, p, i, n in zip(name.view(np.int64).tolist(), pos.tolist(), k.tolist(), count.tolist()):
                         a, e = max(p + gram - length, 0), min(p + length, len(raw))
-                        out.append(((v >> 32) * owners >> 32, v - (1 << 64) if v >> 63 else v, doc, key, a, raw[a:e]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names)
+                        parts = 0 if n <= hot else -(-n // HOT_CONTEXTS)
+                        for part in range(max(parts, 1)):
+                            out.append((c, part, parts, i, doc, key, p, a, raw[a:e]))
+            for lo in range(0, len(out), 5000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[lo : lo + 5000]), types)], names)
 
     return run
 
 
-def _compare(length: int, limit: int):
-    """Repeats between the distinct contexts of each anchor; rows come sorted by anchor."""
+def _joined(doc: np.ndarray, key: np.ndarray, start: np.ndarray, length: int) -> pa.RecordBatch:
+    """Spans of repeated windows of (doc, key) by their starts."""
+    by = np.lexsort((start, key, doc))
+    doc, key, start = doc[by], key[by], start[by]
+    new = np.concatenate([[True], (np.diff(start) > 1) | (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]) if len(doc) else np.zeros(0, bool)
+    s = np.flatnonzero(new)
+    last = np.append(s[1:], len(doc))[: len(s)] - 1
+    return _spans(doc[s], key[s], start[s], start[last] + length)
+
+
+def _compare(length: int, gram: int):
+    """Repeats among the contexts of each core; rows come sorted by core and part."""
+
+    def sort(part: pa.Table) -> pa.RecordBatch:
+        doc, key, begin = (part[c].to_numpy() for c in ("doc_id", "key", "from"))
+        _, nth = np.unique(np.stack([doc, key], 1), axis=0, return_inverse=True)
+        row, start = find_repeats(part["bytes"].to_pylist(), (nth.ravel().astype(np.int64) << 40) + begin, length)
+        return _joined(doc[row], key[row], begin[row] + start, length)
+
+    def hashes(part: pa.Table) -> tuple[np.ndarray, ...]:
+        """Windows over the core that fall to this part: hash, document, start."""
+        data = np.frombuffer(b"".join(part["bytes"].to_pylist()), np.uint8)
+        size = np.array([len(x) for x in part["bytes"].to_pylist()])
+        begin, pos, k, parts, mine = (part[c].to_numpy().astype(np.int64) for c in ("from", "pos", "k", "parts", "part"))
+        offset = np.cumsum(size) - size
+        left, right = core_spans(pos, length, gram)
+        low = np.maximum(right[k, np.arange(len(k))] - length, begin)
+        high = np.minimum(left[k, np.arange(len(k))], begin + size - length)
+        row, place = ragged(np.maximum(high - low + 1, 0))
+        at = low[row] + place
+        h = span_hash(data, at - begin[row] + offset[row], at - begin[row] + offset[row] + length)
+        ok = (h % parts[row].astype(_U)).astype(np.int64) == mine[row]
+        return h[ok], part["doc_id"].to_numpy()[row[ok]], part["key"].to_numpy()[row[ok]], at[ok]
+
+    def match(seen: list[tuple]) -> pa.RecordBatch:
+        h, doc, key, start = (np.concatenate(x) for x in zip(*seen))
+        place = mix(doc.view(_U) ^ mix(key.view(_U) + start.astype(_U)))
+        by = np.lexsort((place, h))
+        h, place, doc, key, start = h[by], place[by], doc[by], key[by], start[by]
+        if not len(h):
+            return _joined(doc, key, start, length)
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        several = place[first] != place[np.append(first[1:], len(h)) - 1]
+        hit = np.repeat(several, np.diff(first, append=len(h)))
+        return _joined(doc[hit], key[hit], start[hit], length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
+        held: pa.Table | None = None  # whole cores to be sorted together
+        seen: list[tuple] = []  # windows of the core that is compared by hash
+        core = None
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                t = pa.Table.from_batches([batch.slice(lo, 2000)])
+                hot = t["parts"].to_numpy() > 0
+                names = t["core"].to_numpy()
+                for at in _runs(names, hot, t["part"].to_numpy()):
+                    piece = t.slice(at[0], at[1] - at[0])
+                    if hot[at[0]]:
+                        name = (names[at[0]], piece["part"][0].as_py())
+                        if name != core and seen:
+                            yield match(seen)
+                            seen = []
+                        core = name
+                        seen.append(hashes(piece))
+                    else:
+                        held = piece if held is None else pa.concat_tables([held, piece])
+                        if held.nbytes > SORT_BYTES:
+                            anchor = held["core"].to_numpy()
+                            stop = int(np.searchsorted(-(anchor != anchor[-1]).astype(int), 0))
+                            if stop:
+                                yield sort(held.slice(0, stop).combine_chunks())
+                                held = held.slice(stop).combine_chunks()
+        if seen:
+            yield match(seen)
+        if held is not None:
+            yield sort(held.combine_chunks())
 
-        def solve(part: pa.Table) -> pa.RecordBatch:
-            doc, key, begin = (part[c].to_numpy() for c in ("doc_id", "key", "from"))
-            _, nth = np.unique(np.stack([doc, key], 1), axis=0, return_inverse=True)
-            row, start = find_repeats(part["bytes"].to_pylist(), (nth.ravel().astype(np.int64) << 40) + begin, length)
-            a = begin[row] + start
-            # starts of windows one after another are one span
-            joined = np.concatenate([[True], (np.diff(a) != 1) | (row[1:] != row[:-1])]) if len(a) else np.zeros(0, bool)
-            s = np.flatnonzero(joined)
-            last = np.append(s[1:], len(a))[: len(s)] - 1
-            return _spans(doc[row[s]], key[row[s]], a[s], a[last] + length)
+    return run
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            held.append(b)
-            size += b.nbytes
-            if size > limit:  # all but the last anchor's rows, which may go on
-                t = pa.Table.from_batches(held).combine_chunks()
-                anchor = t["anchor"].to_numpy()
-                stop = int(np.searchsorted(anchor, anchor[-1]))
-                if stop:
-                    yield solve(t.slice(0, stop))
-                held, size = t.slice(stop).to_batches(), t.slice(stop).nbytes
-                if not stop:
-                    size = 0
-        if held:
-            yield solve(pa.Table.from_batches(held).combine_chunks())
 
-    return run
+def _runs(core: np.ndarray, hot: np.ndarray, part: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of rows: of one hot core and part, or of cores that are not hot."""
+    new = np.flatnonzero((hot[1:] != hot[:-1]) | (hot[1:] & ((core[1:] != core[:-1]) | (part[1:] != part[:-1])))) + 1
+    cuts = [0, *new.tolist(), len(core)]
+    return [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,7 +460,7 @@ def _union(spans: list[bytes] | None, size: int) -> list[tuple[int, int]]:
     return list(zip(a[first].tolist(), e[last].tolist()))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, keep_bytes: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, keep_bytes: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and `kept`, what is left).
 
     Every byte in a window of `length` bytes that starts anywhere else too goes, in all its
@@ -372,23 +469,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     allowed). What is left need not be UTF-8, so it is binary.
     """
     spark = docs.sparkSession
-    if not 8 <= gram <= length:
-        raise ValueError("gram must lie between 8 and length")
+    if not 8 <= gram <= length - CORES:
+        raise ValueError("gram must lie between 8 and length - CORES")
     source = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(docs, text).alias("text"))
     source = source.select(F.coalesce("id", F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64("id", "text").alias("key"), "text")
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     owners = int(min(1 << 20, max(tasks_for(spark), total * 2 // (length - gram + 2) // OWNER_ANCHORS + 1)))
-    blocks = cut(source.mapInArrow(_blocks(length, gram, owners), "owner int, block long, entry binary, mine binary"))
-    owned = cut(blocks.select("owner", "block", "entry").groupBy("owner").applyInPandas(_own, "owner int, kind int, block long, payload binary"))
-    twice = blocks.select("owner", "block", "mine").join(owned.where("kind = 0").select("owner", "block", "payload"), ["owner", "block"])
+    blocks = cut(source.mapInArrow(_blocks(length, gram, owners), "owner int, block long, wide binary, narrow binary, doc binary, at binary"))
+    owned = cut(blocks.select("owner", "block", "wide", "narrow").groupBy("owner").applyInPandas(lambda key, pdf: _own(key, pdf, hot), "owner int, kind int, block long, payload binary"))
+    twice = blocks.select("owner", "block", "doc", "at").join(owned.where("kind = 0").select("owner", "block", "payload"), ["owner", "block"])
     spans = twice.mapInArrow(_twice(length, gram), "doc_id long, key long, spans binary")
-    # contexts of anchors that have several different ones
+    # contexts that share a core with a different one
     asks = cut(owned.where("kind = 1").select("payload").mapInArrow(_asks, "doc_id long, key long, asks binary").groupBy("doc_id", "key").agg(F.collect_list("asks").alias("asks")))
     few = asks.count() <= BROADCAST_ROWS
     one = source.join(F.broadcast(asks.select("doc_id", "key")) if few else asks.select("doc_id", "key"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
-    pieces = one.join(asks, ["doc_id", "key"]).mapInArrow(_cut_out(length, gram, owners), "owner int, anchor long, doc_id long, key long, from long, bytes binary")
-    sorted_ = pieces.drop("owner").repartition(owners, "anchor").sortWithinPartitions("anchor")
-    spans = spans.union(sorted_.mapInArrow(_compare(length, 3_000_000), "doc_id long, key long, spans binary"))
+    pieces = one.join(asks, ["doc_id", "key"]).mapInArrow(_cut_out(length, gram, hot), "core long, part int, parts int, k int, doc_id long, key long, pos long, from long, bytes binary")
+    by_core = pieces.repartition(max(owners, tasks_for(spark)), "core", "part").sortWithinPartitions("core", "part")
+    spans = spans.union(by_core.mapInArrow(_compare(length, gram), "doc_id long, key long, spans binary"))
     by_doc = cut(spans.groupBy("doc_id", "key").agg(F.collect_list("spans").alias("spans")))
     out = source.join(by_doc, ["doc_id", "key"], "left").select("doc_id", "text", "spans").mapInArrow(_strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     out = out.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
