@@ -7,6 +7,7 @@ touched by vector instructions only. Words are runs of bytes other than space an
 
 from __future__ import annotations
 
+import ctypes
 import struct
 from collections.abc import Iterator
 
@@ -16,6 +17,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:
+    _libc = None
+
 U64 = np.uint64
 _SEP = np.zeros(256, bool)
 _SEP[[32, *range(9, 14)]] = True
@@ -120,6 +126,13 @@ def ragged(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return group, np.arange(len(group)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+def trim() -> None:
+    """Give memory that numpy and Arrow no longer use back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def slabs(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2_000_000) -> Iterator[pa.Table]:
     """Regroup Arrow batches into tables of about `limit` bytes of text each (at least a row)."""
     for batch in batches:
@@ -132,6 +145,7 @@ def slabs(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2_000_000)
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield t.slice(a, b - a).combine_chunks()
+        trim()
 
 
 def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -139,6 +153,7 @@ def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch.slice(i, 1).to_pylist()[0]
+        trim()
 
 
 def pack(values: np.ndarray) -> bytes:

@@ -39,7 +39,7 @@ WIDTH, PERCENT = 5, 80
 #: Frequent shingles that both orders put last; only the order, not the result, depends on them, so the list may be bounded.
 FREQUENT = 1 << 17
 #: Bytes of text in a chunk, postings in a bucket, postings in a row of groups.
-CHUNK_BYTES, BUCKET_POSTINGS, ROW_POSTINGS = 16_000_000, 1_000_000, 60_000
+CHUNK_BYTES, BUCKET_POSTINGS, ROW_POSTINGS = 8_000_000, 1_000_000, 60_000
 #: Ids of documents whose texts are asked for (16 bytes each) are broadcast up to this many; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 ORDERS = 2
