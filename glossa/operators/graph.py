@@ -2,23 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.session import cut
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the edges of a partition, as many as tie the same nodes together: each node to the smallest of its tree."""
+    parent: dict = {}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            parent.setdefault(u, u)
+            parent.setdefault(v, v)
+            a, b = root(u), root(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    pairs = [(root(x), x) for x in parent]
+    pairs = [p for p in pairs if p[0] != p[1]]
+    for lo in range(0, len(pairs), 100_000):
+        u, v = zip(*pairs[lo : lo + 100_000])
+        yield pa.RecordBatch.from_arrays([pa.array(u, batch.schema.field(0).type), pa.array(v, batch.schema.field(1).type)], ["u", "v"])
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over undirected edges.
 
-    Alternates the large-star and small-star steps, which move every edge towards the
+    Partitions first reduce their edges to forests, so a dense group costs an edge a node.
+    Then alternates the large-star and small-star steps, which move every edge towards the
     smallest neighbour; rounds grow with the logarithm of the diameter, each round is two
     shuffles of the remaining edges, and nothing but one boolean reaches the driver.
     Only nodes that appear in an edge are returned. A null end drops its edge.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     loops = e.where("u = v").select("u").distinct()
-    e = cut(e.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    e = e.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    kind = e.schema["u"].dataType.simpleString()
+    few = max(1, int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    e = cut(e.repartition(few, "u").mapInArrow(_forest, f"u {kind}, v {kind}").distinct())
     nodes = e.select(F.col("u").alias("node")).union(e.select("v")).union(loops).distinct()
     print_sum = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")
     seen = None
