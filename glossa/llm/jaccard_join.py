@@ -300,13 +300,6 @@ def _groups(key, pdf: pd.DataFrame) -> pd.DataFrame:
     size = np.diff(first, append=len(token))
     many = np.repeat(size > 1, size)
     node, q, size = node[many], q[many], size[size > 1]
-    if len(node):
-        # leaders first: the node that meets most others in this bucket, near copies' likeliest centre
-        group = ragged(size)[0]
-        _, which = np.unique(node, return_inverse=True)
-        degree = np.bincount(which, size[group] - 1)[which]
-        by = np.lexsort((mix(node), -degree, group))
-        node, q = node[by], q[by]
     out = []
     ends = np.cumsum(size)
     a = 0
@@ -318,13 +311,30 @@ def _groups(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["order", "sizes", "node", "size"])
 
 
+def _degrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many others each node meets in the groups of a row."""
+    for r in each_row(batches):
+        sizes, node = unpack(r["sizes"]), unpack(r["node"])
+        x, which = np.unique(node, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(np.bincount(which, np.repeat(sizes - 1, sizes)).astype(np.int64))], ["node", "degree"])
+
+
 def _star(gap: int):
+    """Ties the members of each group to the one that meets most others anywhere, near copies' likeliest centre."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in each_row(batches):
-            sizes, node, q = unpack(r["sizes"]), unpack(r["node"]), unpack(r["size"]).astype(np.int64)
-            lead = np.repeat(np.cumsum(sizes) - sizes, sizes)
-            ok = (node[lead] != node) & (np.abs(q[lead] - q) <= gap)
-            yield _pairs(node[lead[ok]], node[ok])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sizes, node, q = (unpack(batch.column(c)[i].as_py()) for c in ("sizes", "node", "size"))
+                q = q.astype(np.int64)
+                of = batch.column("of").slice(i, 1).flatten()
+                known, degree = of.field("node").to_numpy(), of.field("degree").to_numpy()
+                by = np.argsort(known)
+                degree = degree[by][np.searchsorted(known[by], node.view(np.int64))]
+                group = ragged(sizes)[0]
+                lead = np.lexsort((mix(node), -degree, group))[np.cumsum(sizes) - sizes][group]
+                ok = (node[lead] != node) & (np.abs(q[lead] - q) <= gap)
+                yield _pairs(node[lead[ok]], node[ok])
 
     return run
 
@@ -519,7 +529,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     info = cut(described.where("kind = 0 and n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     reps = info.select("node", "doc_id")
     gap = _gap(percent)
-    stars = groups.where("order = 0").mapInArrow(_star(gap), "a long, b long").distinct()
+    first = groups.where("order = 0")
+    degrees = first.mapInArrow(_degrees, "node long, degree long").groupBy("node").agg(F.sum("degree").alias("degree"))
+    stars = _attach(first, degrees).mapInArrow(_star(gap), "a long, b long").distinct()
     edges = _links(_likely(stars, info, percent), source, reps, width, percent)
     comps = cut(connected_components(edges, "a", "b"))
     mixed = cut(_attach(groups, comps).mapInArrow(_mixed(gap), "row long, order int, sizes binary, node binary, size binary, comp binary"))
