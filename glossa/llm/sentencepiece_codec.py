@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import slabs, whole_text
+from glossa.llm.common import slabs, trim, whole_text
 
 SPACE = "▁"
 CACHE = 400_000
@@ -188,6 +188,11 @@ class Codec:
                 del cache[c]
         return out
 
+    def forget(self) -> None:
+        """At the end of a task: the worker lives on, its chunks need not."""
+        self.cache.clear()
+        trim()
+
     def decode(self, ids) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
         shown = self.shown
@@ -225,12 +230,15 @@ def encode_column(column, path: str):
     """A column of id arrays for a column of whole texts (null: empty)."""
 
     @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
-        c, ids, off = codec(path), array("i"), [0]
-        for t in texts:
-            ids.extend(c.encode(t.as_py()))
-            off.append(len(ids))
-        return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32)))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        c = codec(path)
+        for texts in batches:
+            ids, off = array("i"), [0]
+            for t in texts:
+                ids.extend(c.encode(t.as_py()))
+                off.append(len(ids))
+            yield pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32)))
+        c.forget()
 
     return encode(F.coalesce(column, F.lit("")))
 
@@ -267,6 +275,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text: s
             yield pa.RecordBatch.from_arrays(
                 [t["doc_id"].combine_chunks(), pa.array(np.diff(off), pa.int64()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat)), pa.array(same, pa.bool_())],
                 ["doc_id", "n_pieces", "ids", "round_trip"])
+        c.forget()
 
     return rows.mapInArrow(run, f"doc_id {kind}, n_pieces long, ids array<int>, round_trip boolean")
 

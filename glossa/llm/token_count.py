@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import ragged, slabs, whole_text
+from glossa.llm.common import ragged, slabs, trim, whole_text
 
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -136,6 +136,8 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
             n = pa.array(m.count(texts), pa.int64())
             size = pa.array([len(x.encode("utf-8", "surrogatepass")) for x in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks().cast(pa.int64()), size, n], ["doc_id", "n_bytes", "n_tokens"])
+        m.cache = {}  # the worker lives on after the task
+        trim()
 
     out = rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
