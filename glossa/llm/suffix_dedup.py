@@ -39,7 +39,7 @@ from glossa.session import cut
 LENGTH = 400
 GRAM = 96
 #: Bytes of text in a block; anchors and context bytes that one owner should hold.
-BLOCK_BYTES, OWNER_ANCHORS = 16_000_000, 2_000_000
+BLOCK_BYTES, OWNER_ANCHORS = 16_000_000, 1_000_000
 #: Ids of documents whose contexts are asked for (16 bytes each) are broadcast up to this many.
 BROADCAST_ROWS = 2_000_000
 #: Stretches around an anchor, one of which any two places of a repeated window share whole.
@@ -93,6 +93,7 @@ def core_spans(pos: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.
     """(CORES, anchors) starts and ends of the cores: k steps to the left and the rest to the right."""
     step = (length - gram) // CORES
     k = np.arange(CORES)[:, None]
+    pos = np.atleast_1d(pos)
     return pos - k * step, pos + gram + (CORES - 1 - k) * step
 
 
@@ -111,10 +112,11 @@ def _direct_order(raw: bytes, text: np.ndarray, at: np.ndarray, depth: int) -> n
     return at
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """All suffixes of text in order, compared on at least `depth` bytes (ties in any order); two-stage.
+def suffix_array(text: np.ndarray, depth: int, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
+    """Suffixes of text in order, compared on at least `depth` bytes (ties in any order); two-stage.
 
-    The text must end with a byte smaller than all others.
+    The text must end with a byte smaller than all others. low, high: sort only the suffixes that
+    start in these ranges, and the few after each range that they are induced from.
     """
     n = len(text)
     same = np.flatnonzero(np.concatenate([text[1:] != text[:-1], [True]]))
@@ -122,33 +124,37 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     nxt = text[np.minimum(stop + 1, n - 1)]
     rising = nxt > text  # smaller than its successor
     rising[n - 1] = True  # the end is its own bucket's only one
-    direct = _direct_order(text.tobytes(), text, np.flatnonzero(rising), depth)
+    wanted = np.ones(n, bool)
+    if low is not None:
+        ups = np.flatnonzero(rising)
+        until = ups[np.searchsorted(ups, high)]
+        wanted = np.cumsum(np.bincount(low, minlength=n + 1) - np.bincount(until + 1, minlength=n + 1))[:n] > 0
+    direct = _direct_order(text.tobytes(), text, np.flatnonzero(rising & wanted), depth)
     rank = np.empty(n, np.int64)
-    count = np.bincount(text, minlength=256)
+    count = np.bincount(text[wanted], minlength=256)
     tail = np.cumsum(count)
     bucket = text[direct]
     up = np.bincount(bucket, minlength=256)
     # the direct ones close their bucket
-    place = np.arange(len(direct)) - (np.cumsum(up) - up)[bucket] + (tail - up)[bucket]
-    rank[direct] = place
+    rank[direct] = np.arange(len(direct)) - (np.cumsum(up) - up)[bucket] + (tail - up)[bucket]
     # the rest by buckets: first those whose successor lies in an earlier bucket, in its order,
     # then those of a run of this byte, each after the one it precedes
-    falling = np.flatnonzero(~rising)
+    falling = np.flatnonzero(~rising & wanted)
     run = (stop - np.arange(n))[falling]
     by = np.lexsort((run, text[falling]))
     falling, run = falling[by], run[by]
     code = text[falling].astype(np.int64) << 32 | run
     cuts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
-    head = tail - count
-    filled = np.zeros(256, np.int64)
+    filled = tail - count
     for a, b in zip(cuts, np.append(cuts[1:], len(falling))):
         group = falling[a:b]
         c = int(text[group[0]])
         order = group[np.argsort(rank[group + 1], kind="stable")]
-        rank[order] = head[c] + filled[c] + np.arange(len(order))
+        rank[order] = filled[c] + np.arange(len(order))
         filled[c] += len(order)
-    out = np.empty(n, np.int64)
-    out[rank] = np.arange(n)
+    chosen = np.flatnonzero(wanted)
+    out = np.empty(len(chosen), np.int64)
+    out[rank[chosen]] = chosen
     return out
 
 
@@ -169,8 +175,8 @@ def equal_neighbours(text: np.ndarray, sa: np.ndarray, length: int, left: np.nda
     return same
 
 
-def find_repeats(pieces: list[bytes], places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(piece, start) of windows that occur at another place too.
+def find_repeats(pieces: list[bytes], places: np.ndarray, length: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, start) of windows that occur at another place too, of those that start from low to high in each piece.
 
     places: where each piece lies in the corpus; pieces may overlap there, and a window that two
     pieces show of one place is one window.
@@ -183,7 +189,7 @@ def find_repeats(pieces: list[bytes], places: np.ndarray, length: int) -> tuple[
     begin = np.cumsum(size + 1) - (size + 1)
     piece, at = ragged(size + 1)
     left = np.append(size[piece] - at, 0)
-    sa = suffix_array(text, length)
+    sa = suffix_array(text, length, begin + low, begin + high)
     same = equal_neighbours(text, sa, length, left)
     member = same.copy()
     member[1:] |= same[:-1]
@@ -227,7 +233,7 @@ def _blocks(length: int, gram: int, owners: int):
             cols = list(zip(*out)) or [[]] * 6
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), *[pa.binary()] * 4))], names)
 
-        for t in slabs(batches, "text", 1_500_000):
+        for t in slabs(batches, "text", 500_000):
             data, off = text_bytes(t["text"].combine_chunks())
             h, pos, row = anchors(data, off, length, gram)
             start, end = off[:-1][row], off[1:][row]
@@ -250,7 +256,7 @@ def _blocks(length: int, gram: int, owners: int):
     return run
 
 
-def _own(key, pdf: pd.DataFrame, hot: int) -> pd.DataFrame:
+def _own(key, pdf: pd.DataFrame) -> pd.DataFrame:
     """For each entry of each block: 1 if its whole context occurs twice, else 0 (kind 0). And asks (kind 1): one
     place of each distinct context that shares a core with another, once for each core."""
     lists = [unpack(x).reshape(4, -1) for x in pdf["wide"]]
@@ -266,16 +272,12 @@ def _own(key, pdf: pd.DataFrame, hot: int) -> pd.DataFrame:
     answer[by] = (total[np.cumsum(new) - 1] > 1).astype(np.uint8)
     rows = [(0, b, pack(a)) for b, a in zip(pdf["block"], np.split(answer, np.cumsum(size)[:-1])) if a.any()]
     one = by[first]
-    asks, told = [], []
+    asks = []
     for k in range(CORES):
         core = narrow[2 + k][one]
         name = mix(wide[0][one] + (core.astype(_U) << _U(3) | _U(k)))
         _, group, count = np.unique(name, return_inverse=True, return_counts=True)
-        members = np.bincount(group, (mix(wide[1][one]) >> _U(24)).astype(float))[group]
         use = (core > 0) & (count[group] > 1)
-        for other_members, other_use in told:  # the same contexts met at an earlier core already
-            use &= ~(other_use & (other_members == members) & (count[group] <= hot))
-        told.append((members, use.copy()))
         i = np.flatnonzero(use)
         asks.append(np.stack([name[i], wide[2][one[i]], wide[3][one[i]], narrow[1][one[i]].astype(_U), np.full(len(i), k, _U), count[group[i]].astype(_U)]))
     asks = np.concatenate(asks, axis=1)
@@ -333,7 +335,8 @@ def _cut_out(length: int, gram: int, hot: int):
                 for x in asks:
                     name, pos, k, count = unpack(x).reshape(4, -1)
                     for c, p, i, n in zip(name.view(np.int64).tolist(), pos.tolist(), k.tolist(), count.tolist()):
-                        a, e = max(p + gram - length, 0), min(p + length, len(raw))
+                        left, right = core_spans(p, length, gram)
+                        a, e = max(int(right[i, 0]) - length, 0), min(int(left[i, 0]) + length, len(raw))
                         parts = 0 if n <= hot else -(-n // HOT_CONTEXTS)
                         for part in range(max(parts, 1)):
                             out.append((c, part, parts, i, doc, key, p, a, raw[a:e]))
@@ -359,19 +362,25 @@ def _compare(length: int, gram: int):
     def sort(part: pa.Table) -> pa.RecordBatch:
         doc, key, begin = (part[c].to_numpy() for c in ("doc_id", "key", "from"))
         _, nth = np.unique(np.stack([doc, key], 1), axis=0, return_inverse=True)
-        row, start = find_repeats(part["bytes"].to_pylist(), (nth.ravel().astype(np.int64) << 40) + begin, length)
+        low, high, _, _ = windows(part)
+        row, start = find_repeats(part["bytes"].to_pylist(), (nth.ravel().astype(np.int64) << 40) + begin, length, low - begin, high - begin)
         return _joined(doc[row], key[row], begin[row] + start, length)
 
+    def windows(part: pa.Table) -> tuple[np.ndarray, ...]:
+        """The first and the last start of windows over the core, in the document; where pieces begin and how long they are."""
+        size = np.array([len(x) for x in part["bytes"].to_pylist()])
+        begin, pos, k = (part[c].to_numpy().astype(np.int64) for c in ("from", "pos", "k"))
+        left, right = (x[k, np.arange(len(k))] for x in core_spans(pos, length, gram))
+        low = np.maximum(right - length, begin)
+        return low, np.maximum(np.minimum(left, begin + size - length), low), begin, size
+
     def hashes(part: pa.Table) -> tuple[np.ndarray, ...]:
         """Windows over the core that fall to this part: hash, document, start."""
         data = np.frombuffer(b"".join(part["bytes"].to_pylist()), np.uint8)
-        size = np.array([len(x) for x in part["bytes"].to_pylist()])
-        begin, pos, k, parts, mine = (part[c].to_numpy().astype(np.int64) for c in ("from", "pos", "k", "parts", "part"))
+        low, high, begin, size = windows(part)
+        parts, mine = (part[c].to_numpy().astype(np.int64) for c in ("parts", "part"))
         offset = np.cumsum(size) - size
-        left, right = core_spans(pos, length, gram)
-        low = np.maximum(right[k, np.arange(len(k))] - length, begin)
-        high = np.minimum(left[k, np.arange(len(k))], begin + size - length)
-        row, place = ragged(np.maximum(high - low + 1, 0))
+        row, place = ragged(np.minimum(high, begin + size - length) - low + 1)
         at = low[row] + place
         h = span_hash(data, at - begin[row] + offset[row], at - begin[row] + offset[row] + length)
         ok = (h % parts[row].astype(_U)).astype(np.int64) == mine[row]
@@ -476,7 +485,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     owners = int(min(1 << 20, max(tasks_for(spark), total * 2 // (length - gram + 2) // OWNER_ANCHORS + 1)))
     blocks = cut(source.mapInArrow(_blocks(length, gram, owners), "owner int, block long, wide binary, narrow binary, doc binary, at binary"))
-    owned = cut(blocks.select("owner", "block", "wide", "narrow").groupBy("owner").applyInPandas(lambda key, pdf: _own(key, pdf, hot), "owner int, kind int, block long, payload binary"))
+    owned = cut(blocks.select("owner", "block", "wide", "narrow").groupBy("owner").applyInPandas(_own, "owner int, kind int, block long, payload binary"))
     twice = blocks.select("owner", "block", "doc", "at").join(owned.where("kind = 0").select("owner", "block", "payload"), ["owner", "block"])
     spans = twice.mapInArrow(_twice(length, gram), "doc_id long, key long, spans binary")
     # contexts that share a core with a different one
