@@ -2,15 +2,16 @@
 
 Documents are sets of 5-word shingles. Under any global order of shingles, two sets with
 Jaccard similarity of at least t share one of the first n - ceil(t n) + 1 shingles of each
-(prefix filter). Two orders are used, both putting shingles known to be frequent last and
-breaking ties by independent hashes; a candidate pair must meet under both.
+(prefix filter). Several orders are used: one that puts shingles known to be frequent last and
+is indexed, and orders by independent hashes; a candidate pair must meet under all of them
+before its sets are compared.
 
 To find all links without all pairs of a group:
 1. Documents of one set are one node. Prefixes go to buckets of shingles as packed arrays;
    buckets keep the groups of two nodes and more.
 2. Star round: each group ties its members to one leader. Links that verify give components,
    which takes up copies and near copies, however many, in pairs linear in their number.
-3. Cross round: only pairs of different components that meet under both orders are verified.
+3. Cross round: only pairs of different components that meet under all orders are verified.
 A pair inside one component needs no check, so after the two rounds no link is missing.
 
 Before any text moves, a pair must pass a bound on the symmetric difference: documents carry
@@ -31,18 +32,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import each_row, find_words, lower, mix, pack, ragged, shingle_hashes, slabs, span_hash, tasks_for, text_bytes, unpack, whole_text
+from glossa.llm.common import each_row, find_words, lower, mix, pack, ragged, shingle_hashes, slabs, span_hash, tasks_for, text_bytes, trim, unpack, whole_text
 from glossa.operators.graph import connected_components
 from glossa.session import cut
 
 WIDTH, PERCENT = 5, 80
 #: Frequent shingles that both orders put last; only the order, not the result, depends on them, so the list may be bounded.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 19
 #: Bytes of text in a chunk, postings in a bucket, postings in a row of groups.
 CHUNK_BYTES, BUCKET_POSTINGS, ROW_POSTINGS = 8_000_000, 1_000_000, 60_000
 #: Ids of documents whose texts are asked for (16 bytes each) are broadcast up to this many; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
-ORDERS = 2
+#: Orders by hash that candidates must meet under, besides the indexed one.
+HASH_ORDERS = 2
 #: Parity bits of a document: the power of two from its number of shingles up, within these.
 LEAST_BITS, MOST_BITS = 256, 1 << 15
 _MASK = np.uint64((1 << 48) - 1)
@@ -186,7 +188,7 @@ def _describe(width: int, owners: int):
             held += np.split(sets, before[1:-1])
             seen.append(nodes)
             size += t.nbytes
-            if size > CHUNK_BYTES:
+            if size > 2 * CHUNK_BYTES:
                 if (b := flush()) is not None:
                     yield b
                 size = 0
@@ -204,7 +206,7 @@ def _sum_counts(pdf: pd.DataFrame) -> pd.DataFrame:
     token, inverse = np.unique(np.concatenate([unpack(x) for x in pdf["token"]]), return_inverse=True)
     count = np.bincount(inverse, np.concatenate([unpack(x) for x in pdf["count"]])).astype(np.int64)
     best = _top(token, count)
-    best = best[count[best] >= 8]
+    best = best[count[best] >= 4]
     return pd.DataFrame({"token": [pack(token[best])], "count": [pack(count[best])]})
 
 
@@ -226,64 +228,67 @@ def _frequent(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     count = np.concatenate([unpack(r["count"]) for r in rows]) if rows else np.zeros(0, np.int64)
     best = _top(token, count)
     best = best[np.argsort(token[best])]
-    return token[best], np.clip(np.log2(np.maximum(count[best], 1)) - 2, 1, 15).astype(_U)
+    return token[best], np.clip(np.log2(np.maximum(count[best], 1)) - 1, 1, 15).astype(_U)
 
 
 def prefix_lengths(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
 
 
-def _prefixes(sets: np.ndarray, before: np.ndarray, frequent: np.ndarray, classes: np.ndarray, order: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(44-bit token, text) of the first shingles of each text under an order."""
+def _prefixes(sets: np.ndarray, before: np.ndarray, frequent: np.ndarray, classes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(44-bit token, text) of the first shingles of each text under the indexed order."""
     doc = ragged(np.diff(before))[0]
     cls = np.zeros(len(sets), _U)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, sets), len(frequent) - 1)
         cls = np.where(frequent[at] == sets, classes[at], _U(0))
-    key = np.sort(doc.astype(_U) << _U(48) | cls << _U(44) | mix(sets + _U((order + 1) << 50)) >> _U(20))
-    p = prefix_lengths(np.diff(before), percent)
-    row, place = ragged(p)
+    key = np.sort(doc.astype(_U) << _U(48) | cls << _U(44) | mix(sets) >> _U(20))
+    row, place = ragged(prefix_lengths(np.diff(before), percent))
     return key[before[:-1][row] + place] & _U((1 << 44) - 1), row
 
 
+def _hash_prefixes(s: np.ndarray, percent: int) -> list[np.ndarray]:
+    """The sorted first shingles of one set under each order by hash."""
+    p = int(prefix_lengths(np.array([len(s)]), percent)[0])
+    return [np.sort(mix(s + _U((o + 1) << 50)))[:p] for o in range(HASH_ORDERS)]
+
+
 def _postings(shared, width: int, percent: int, buckets: int):
-    names = ["order", "bucket", "token", "node", "size"]
+    names = ["bucket", "token", "node", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, classes = shared.value
-        held: list[list[tuple]] = [[] for _ in range(ORDERS)]
+        held: list[tuple] = []
         size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for o in range(ORDERS):
-                token, node, q = (np.concatenate(x) for x in zip(*held[o]))
-                held[o].clear()
-                scaled = token * _U(buckets)
-                bucket, rest = (scaled >> _U(44)).astype(np.int64), ((scaled & _U((1 << 44) - 1)) >> _U(12)).astype(np.uint32)
-                by = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-                full = np.flatnonzero(np.diff(cuts))
-                cols = [[pack(x[by[cuts[k] : cuts[k + 1]]]) for k in full] for x in (rest, node, q)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), o), pa.int32()), pa.array(full, pa.int32()), *[pa.array(c, pa.binary()) for c in cols]], names)
+        def flush() -> pa.RecordBatch:
+            token, node, q = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            scaled = token * _U(buckets)
+            bucket, rest = (scaled >> _U(44)).astype(np.int64), ((scaled & _U((1 << 44) - 1)) >> _U(12)).astype(np.uint32)
+            by = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
+            full = np.flatnonzero(np.diff(cuts))
+            cols = [[pack(x[by[cuts[k] : cuts[k + 1]]]) for k in full] for x in (rest, node, q)]
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *[pa.array(c, pa.binary()) for c in cols]], names)
 
         for t, sets, before in _sets(batches, width):
             nodes, q = _nodes(sets, before), _size_key(np.diff(before))
             keep = _first(nodes)
-            for o in range(ORDERS):
-                token, row = _prefixes(sets, before, frequent, classes, o, percent)
-                use = keep[row]
-                held[o].append((token[use], nodes[row[use]], q[row[use]]))
+            token, row = _prefixes(sets, before, frequent, classes, percent)
+            use = keep[row]
+            held.append((token[use], nodes[row[use]], q[row[use]]))
             size += t.nbytes
             if size > CHUNK_BYTES:
-                yield from flush()
+                yield flush()
                 size = 0
-        if size:
-            yield from flush()
+        if held:
+            yield flush()
 
     return run
 
 
-def _groups(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _groups(pdf: pd.DataFrame) -> pd.DataFrame:
     """Groups of two nodes or more that share a token, as packed arrays."""
     token, node, q = (np.concatenate([unpack(x) for x in pdf[c]]) for c in ("token", "node", "size"))
     by = np.argsort(token, kind="stable")
@@ -306,9 +311,9 @@ def _groups(key, pdf: pd.DataFrame) -> pd.DataFrame:
     while a < len(size):  # rows of whole groups
         base = ends[a - 1] if a else 0
         b = max(a + 1, int(np.searchsorted(ends, base + ROW_POSTINGS, side="right")))
-        out.append((int(key[0]), pack(size[a:b]), pack(node[base : ends[b - 1]]), pack(q[base : ends[b - 1]])))
+        out.append((pack(size[a:b]), pack(node[base : ends[b - 1]]), pack(q[base : ends[b - 1]])))
         a = b
-    return pd.DataFrame(out, columns=["order", "sizes", "node", "size"])
+    return pd.DataFrame(out, columns=["sizes", "node", "size"])
 
 
 def _degrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,15 +344,14 @@ def _star(gap: int):
     return run
 
 
-def _pairs(a: np.ndarray, b: np.ndarray, order: int | None = None) -> pa.RecordBatch:
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     a, b = a.view(np.int64), b.view(np.int64)
     by = np.lexsort((b, a))
     a, b = a[by], b[by]
     if len(a):
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         a, b = a[new], b[new]
-    cols = [pa.array(a), pa.array(b)] + ([] if order is None else [pa.array(np.full(len(a), order), pa.int32())])
-    return pa.RecordBatch.from_arrays(cols, ["a", "b"] + ([] if order is None else ["order"]))
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def _partners(group: np.ndarray, q: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
@@ -369,7 +373,7 @@ def _mixed(gap: int):
 def _mixed_rows(batch: pa.RecordBatch, gap: int) -> Iterator[pa.RecordBatch]:
     if batch.num_rows:
         for i in range(batch.num_rows):
-            r = {c: batch.column(c)[i].as_py() for c in ("row", "order", "sizes", "node", "size")}
+            r = {c: batch.column(c)[i].as_py() for c in ("row", "sizes", "node", "size")}
             sizes, node, q = unpack(r["sizes"]), unpack(r["node"]), unpack(r["size"])
             of = batch.column("of").slice(i, 1).flatten()
             comp = node.view(np.int64).copy()
@@ -391,7 +395,7 @@ def _mixed_rows(batch: pa.RecordBatch, gap: int) -> Iterator[pa.RecordBatch]:
                 sizes = np.bincount(group[use])
                 sizes = sizes[sizes > 0]
                 cols = [pack(x) for x in (sizes, node[use], q[use].astype(np.uint16), comp[use])]
-                yield pa.RecordBatch.from_arrays([pa.array([r["row"]]), pa.array([r["order"]], pa.int32()), *[pa.array([x], pa.binary()) for x in cols]], ["row", "order", "sizes", "node", "size", "comp"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["row"]]), *[pa.array([x], pa.binary()) for x in cols]], ["row", "sizes", "node", "size", "comp"])
 
 
 def _cross(gap: int, percent: int):
@@ -400,7 +404,7 @@ def _cross(gap: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                r = {c: batch.column(c)[i].as_py() for c in ("order", "sizes", "node", "size", "comp")}
+                r = {c: batch.column(c)[i].as_py() for c in ("sizes", "node", "size", "comp")}
                 of = batch.column("of").slice(i, 1).flatten()
                 known = of.field("node").to_numpy()
                 by = np.argsort(known)
@@ -428,7 +432,7 @@ def _cross(gap: int, percent: int):
                     a = b
                 if found:
                     u, v = np.concatenate(found, axis=1)
-                    yield _pairs(u.view(_U), v.view(_U), r["order"])
+                    yield _pairs(u.view(_U), v.view(_U))
 
     return run
 
@@ -468,8 +472,10 @@ def _attach(rows: DataFrame, info: DataFrame) -> DataFrame:
 
 
 def _verify(width: int, percent: int):
+    """Pairs that meet under the orders by hash and link."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
+        known: dict[int, tuple] = {}
         for batch in batches:
             for lo in range(0, batch.num_rows, 400):
                 part = batch.slice(lo, 400)
@@ -479,21 +485,30 @@ def _verify(width: int, percent: int):
                     if fresh:
                         take = part.column(col).take(pa.array(list(fresh.values())))
                         sets, before = shingle_sets(take, width)
-                        known.update(zip(fresh, np.split(sets, before[1:-1])))
+                        known.update((x, (s, _hash_prefixes(s, percent))) for x, s in zip(fresh, np.split(sets, before[1:-1])))
                 ok = []
                 for x, y in zip(a, b):
-                    s, t = known[x], known[y]
-                    at = np.minimum(np.searchsorted(s, t), len(s) - 1)
-                    both = int((s[at] == t).sum())
-                    ok.append(100 * both >= percent * (len(s) + len(t) - both))
-                if len(known) > 2000:
+                    (s, f), (t, g) = known[x], known[y]
+                    meets = all(_common(u, v) for u, v in zip(f, g))
+                    both = _common(s, t) if meets else 0
+                    ok.append(meets and 100 * both >= percent * (len(s) + len(t) - both))
+                if len(known) > 1000:
                     known.clear()
                 keep = np.flatnonzero(ok)
                 yield pa.RecordBatch.from_arrays([part.column("a").take(pa.array(keep)), part.column("b").take(pa.array(keep))], ["a", "b"])
+            trim()
 
     return run
 
 
+def _common(s: np.ndarray, t: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    if not len(s) or not len(t):
+        return 0
+    at = np.minimum(np.searchsorted(s, t), len(s) - 1)
+    return int((s[at] == t).sum())
+
+
 def _links(pairs: DataFrame, source: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs of nodes (a, b) that link, by their whole texts. One text of each node in a pair is moved, not all texts."""
     pairs = cut(pairs)
@@ -523,21 +538,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     shared = spark.sparkContext.broadcast(_frequent(described))
     total = nodes.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
     buckets = int(min(1 << 19, max(tasks_for(spark), total // BUCKET_POSTINGS + 1)))
-    postings = source.mapInArrow(_postings(shared, width, percent, buckets), "order int, bucket int, token binary, node binary, size binary")
-    groups = postings.groupBy("order", "bucket").applyInPandas(_groups, "order int, sizes binary, node binary, size binary")
+    postings = source.mapInArrow(_postings(shared, width, percent, buckets), "bucket int, token binary, node binary, size binary")
+    groups = postings.groupBy("bucket").applyInPandas(_groups, "sizes binary, node binary, size binary")
     groups = cut(groups.withColumn("row", F.monotonically_increasing_id()))
     info = cut(described.where("kind = 0 and n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     reps = info.select("node", "doc_id")
     gap = _gap(percent)
-    first = groups.where("order = 0")
-    degrees = first.mapInArrow(_degrees, "node long, degree long").groupBy("node").agg(F.sum("degree").alias("degree"))
-    stars = _attach(first, degrees).mapInArrow(_star(gap), "a long, b long").distinct()
+    degrees = groups.mapInArrow(_degrees, "node long, degree long").groupBy("node").agg(F.sum("degree").alias("degree"))
+    stars = _attach(groups, degrees).mapInArrow(_star(gap), "a long, b long").distinct()
     edges = _links(_likely(stars, info, percent), source, reps, width, percent)
     comps = cut(connected_components(edges, "a", "b"))
-    mixed = cut(_attach(groups, comps).mapInArrow(_mixed(gap), "row long, order int, sizes binary, node binary, size binary, comp binary"))
-    crossed = _attach(mixed, info.select("node", "n", "bits")).mapInArrow(_cross(gap, percent), "a long, b long, order int")
-    met = crossed.distinct().groupBy("a", "b").agg(F.count("*").alias("orders")).where(F.col("orders") == ORDERS).select("a", "b")
-    more = _links(met, source, reps, width, percent)
+    mixed = cut(_attach(groups, comps).mapInArrow(_mixed(gap), "row long, sizes binary, node binary, size binary, comp binary"))
+    crossed = _attach(mixed, info.select("node", "n", "bits")).mapInArrow(_cross(gap, percent), "a long, b long").distinct()
+    more = _links(crossed, source, reps, width, percent)
     if not more.isEmpty():
         comps = cut(connected_components(edges.union(more), "a", "b"))
     least = reps.join(comps, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
