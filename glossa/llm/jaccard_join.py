@@ -316,42 +316,63 @@ def _groups(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["sizes", "node", "size"])
 
 
-def _degrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many others each node meets in the groups of a row."""
-    for r in each_row(batches):
-        sizes, node = unpack(r["sizes"]), unpack(r["node"])
-        x, which = np.unique(node, return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(np.bincount(which, np.repeat(sizes - 1, sizes)).astype(np.int64))], ["node", "degree"])
+def _degrees(groups: DataFrame) -> DataFrame:
+    """(node, degree): how many others each node meets in all groups. Summed by owners of nodes, from packed parts."""
+    owners = tasks_for(groups.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in each_row(batches):
+            sizes, node = unpack(r["sizes"]), unpack(r["node"])
+            x, which = np.unique(node, return_inverse=True)
+            degree = np.bincount(which, np.repeat(sizes - 1, sizes)).astype(np.int64)
+            yield _batch(list(_by_owner(x.view(np.int64), owners, degree)), ["owner", "node", "degree"], [pa.int32(), pa.binary(), pa.binary()])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, which = np.unique(np.concatenate([unpack(n) for n in pdf["node"]]), return_inverse=True)
+        return pd.DataFrame({"node": x, "degree": np.bincount(which, np.concatenate([unpack(v) for v in pdf["degree"]])).astype(np.int64)})
+
+    parts = groups.select("sizes", "node").mapInArrow(count, "owner int, node binary, degree binary")
+    return parts.groupBy("owner").applyInPandas(add, "node long, degree long")
 
 
-def _star(gap: int):
+def _star(gap: int, owners: int):
     """Ties the members of each group to the one that meets most others anywhere, near copies' likeliest centre."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                sizes, node, q = (unpack(batch.column(c)[i].as_py()) for c in ("sizes", "node", "size"))
-                q = q.astype(np.int64)
-                of = batch.column("of").slice(i, 1).flatten()
-                known, degree = of.field("node").to_numpy(), of.field("degree").to_numpy()
-                by = np.argsort(known)
-                degree = degree[by][np.searchsorted(known[by], node.view(np.int64))]
-                group = ragged(sizes)[0]
-                lead = np.lexsort((mix(node), -degree, group))[np.cumsum(sizes) - sizes][group]
-                ok = (node[lead] != node) & (np.abs(q[lead] - q) <= gap)
-                yield _pairs(node[lead[ok]], node[ok])
+        for r in each_row(batches):
+            sizes, node, q = unpack(r["sizes"]), unpack(r["node"]), unpack(r["size"]).astype(np.int64)
+            told = Told(r["of"])
+            degree = told.value[np.searchsorted(told.node, node.view(np.int64))]
+            group = ragged(sizes)[0]
+            lead = np.lexsort((mix(node), -degree, group))[np.cumsum(sizes) - sizes][group]
+            ok = (node[lead] != node) & (np.abs(q[lead] - q) <= gap)
+            yield _packed_pairs(node[lead[ok]], node[ok], owners)
 
     return run
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+def _packed_pairs(a: np.ndarray, b: np.ndarray, owners: int) -> pa.RecordBatch:
+    """Distinct pairs, packed by owner of the pair."""
     a, b = a.view(np.int64), b.view(np.int64)
     by = np.lexsort((b, a))
     a, b = a[by], b[by]
-    if len(a):
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
+    a, b = a[new], b[new]
+    key = mix(a.view(_U) ^ mix(b.view(_U))).view(np.int64)
+    return _batch([(o, x, y) for o, _, x, y in _by_owner(key, owners, a, b)], ["owner", "a", "b"], [pa.int32(), pa.binary(), pa.binary()])
+
+
+def _distinct_pairs(packed: DataFrame) -> DataFrame:
+    """(a, b), each once."""
+
+    def once(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = (np.concatenate([unpack(x) for x in pdf[c]]) for c in ("a", "b"))
+        by = np.lexsort((b, a))
+        a, b = a[by], b[by]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        a, b = a[new], b[new]
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        return pd.DataFrame({"a": a[new], "b": b[new]})
+
+    return packed.groupBy("owner").applyInPandas(once, "a long, b long")
 
 
 def _partners(group: np.ndarray, q: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
@@ -364,27 +385,14 @@ def _mixed(gap: int):
     """Of rows of groups, the nodes with a partner of another component and like size, by group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from _mixed_rows(batch, gap)
-
-    return run
-
-
-def _mixed_rows(batch: pa.RecordBatch, gap: int) -> Iterator[pa.RecordBatch]:
-    if batch.num_rows:
-        for i in range(batch.num_rows):
-            r = {c: batch.column(c)[i].as_py() for c in ("row", "sizes", "node", "size")}
-            sizes, node, q = unpack(r["sizes"]), unpack(r["node"]), unpack(r["size"])
-            of = batch.column("of").slice(i, 1).flatten()
+        for r in each_row(batches):
+            sizes, node, q = unpack(r["sizes"]), unpack(r["node"]), unpack(r["size"]).astype(np.int64)
+            told = Told(r["of"])
             comp = node.view(np.int64).copy()
-            if len(of):
-                known, label = of.field("node").to_numpy(), of.field("component").to_numpy()
-                by = np.argsort(known)
-                known, label = known[by], label[by]
-                at = np.minimum(np.searchsorted(known, comp), len(known) - 1)
-                comp = np.where(known[at] == comp, label[at], comp)
+            if len(told.node):
+                at = np.minimum(np.searchsorted(told.node, comp), len(told.node) - 1)
+                comp = np.where(told.node[at] == comp, told.value[at], comp)
             group = ragged(sizes)[0]
-            q = q.astype(np.int64)
             by = np.lexsort((q, group))
             group, q, node, comp = group[by], q[by], node[by], comp[by]
             low, high = _partners(group, q, gap)
@@ -395,44 +403,37 @@ def _mixed_rows(batch: pa.RecordBatch, gap: int) -> Iterator[pa.RecordBatch]:
                 sizes = np.bincount(group[use])
                 sizes = sizes[sizes > 0]
                 cols = [pack(x) for x in (sizes, node[use], q[use].astype(np.uint16), comp[use])]
-                yield pa.RecordBatch.from_arrays([pa.array([r["row"]]), *[pa.array([x], pa.binary()) for x in cols]], ["row", "sizes", "node", "size", "comp"])
+                yield _batch([(r["row"], *cols)], ["row", "sizes", "node", "size", "comp"], [pa.int64(), *[pa.binary()] * 4])
+
+    return run
 
 
-def _cross(gap: int, percent: int):
+def _cross(gap: int, percent: int, owners: int):
     """Pairs of different components inside groups whose sizes and parities let them link, each once a row of groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = {c: batch.column(c)[i].as_py() for c in ("sizes", "node", "size", "comp")}
-                of = batch.column("of").slice(i, 1).flatten()
-                known = of.field("node").to_numpy()
-                by = np.argsort(known)
-                known, raw = known[by], of.field("bits").to_pylist()
-                told = Parities(of.field("n").to_numpy()[by], [raw[k] for k in by.tolist()], percent)
-                sizes, node, q, comp = unpack(r["sizes"]), unpack(r["node"]), unpack(r["size"]).astype(np.int64), unpack(r["comp"])
-                at = np.searchsorted(known, node.view(np.int64))
-                group = ragged(sizes)[0]
-                by = np.lexsort((q, group))
-                at, node, q, comp, group = at[by], node[by], q[by], comp[by], group[by]
-                n = _partners(group, q, gap)[1] - np.arange(len(node))  # partners of no smaller size
-                total = np.cumsum(n)
-                found = []
-                a = 0
-                while a < len(node):  # a bounded number of comparisons at a time
-                    b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + 300_000, side="right")))
-                    x, k = ragged(n[a:b])
-                    x += a
-                    y = x + 1 + k
-                    ok = comp[x] != comp[y]
-                    x, y = x[ok], y[ok]
-                    ok = told.near(at[x], at[y])
-                    u, v = node[x[ok]].view(np.int64), node[y[ok]].view(np.int64)
-                    found.append(np.stack([np.minimum(u, v), np.maximum(u, v)]))
-                    a = b
-                if found:
-                    u, v = np.concatenate(found, axis=1)
-                    yield _pairs(u.view(_U), v.view(_U))
+        for r in each_row(batches):
+            sizes, node, q, comp = unpack(r["sizes"]), unpack(r["node"]), unpack(r["size"]).astype(np.int64), unpack(r["comp"])
+            told = Told(r["of"])
+            marks = Parities(told.value, told.bits, percent)
+            at = np.searchsorted(told.node, node.view(np.int64))
+            group = ragged(sizes)[0]
+            by = np.lexsort((q, group))
+            at, node, q, comp, group = at[by], node[by], q[by], comp[by], group[by]
+            n = _partners(group, q, gap)[1] - np.arange(len(node))  # partners of no smaller size
+            total = np.cumsum(n)
+            a = 0
+            while a < len(node):  # a bounded number of comparisons at a time
+                b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + 200_000, side="right")))
+                x, k = ragged(n[a:b])
+                x += a
+                y = x + 1 + k
+                ok = comp[x] != comp[y]
+                x, y = x[ok], y[ok]
+                ok = marks.near(at[x], at[y])
+                u, v = node[x[ok]].view(np.int64), node[y[ok]].view(np.int64)
+                yield _packed_pairs(np.minimum(u, v), np.maximum(u, v), owners)
+                a = b
 
     return run
 
@@ -458,17 +459,84 @@ def _likely(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").mapInArrow(_bound(percent), "a long, b long")
 
 
-def _attach(rows: DataFrame, info: DataFrame) -> DataFrame:
-    """Rows of groups with `of`: what info says of each node in them, by a shuffle of (row, node)."""
+def _owner(node: np.ndarray, owners: int) -> np.ndarray:
+    return (mix(node.view(_U) + _U(99)) % _U(owners)).astype(np.int64)
+
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_owner(node: np.ndarray, owners: int, *more: np.ndarray) -> Iterator[tuple]:
+    """(owner, packed nodes, packed further arrays) of the owners that have any."""
+    by = np.argsort(_owner(node, owners), kind="stable")
+    cuts = np.searchsorted(_owner(node, owners)[by], np.arange(owners + 1))
+    for o in np.flatnonzero(np.diff(cuts)):
+        mine = by[cuts[o] : cuts[o + 1]]
+        yield (int(o), pack(node[mine]), *[pack(x[mine]) for x in more])
+
+
+def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+
+
+def _attach(rows: DataFrame, info: DataFrame, value: str) -> DataFrame:
+    """Rows of groups with `of`: what info says of their nodes, as packed arrays (node, value, bits).
+
+    An exchange by owners of nodes: a row asks each owner once for all of its nodes.
+    """
+    owners = tasks_for(rows.sparkSession)
+    bits = "bits" in info.columns
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in each_row(batches):
             x = np.unique(unpack(r["node"])).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), r["row"])), pa.array(x)], ["row", "node"])
+            yield _batch([(o, r["row"], n) for o, n in _by_owner(x, owners)], ["owner", "row", "asked"], [pa.int32(), pa.int64(), pa.binary()])
 
-    told = [c for c in info.columns if c != "node"]
-    tied = rows.select("row", "node").mapInArrow(spread, "row long, node long").join(info, "node")
-    return rows.join(tied.groupBy("row").agg(F.collect_list(F.struct("node", *told)).alias("of")), "row", "left")
+    def know(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            node, v = b.column("node").to_numpy(), b.column("value").to_numpy()
+            raw = b.column("bits").to_pylist() if bits else None
+            out = []
+            for o, n, w, i in _by_owner(node, owners, v, np.arange(len(node))):
+                mine = [raw[k] for k in unpack(i).tolist()] if bits else []
+                out.append((o, n, w, pack(np.array([len(x) for x in mine], np.int64)), b"".join(mine)))
+            yield _batch(out, ["owner", "node", "value", "lens", "bits"], [pa.int32(), *[pa.binary()] * 4])
+
+    def answer(asked: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
+        names = ["row", "node", "value", "lens", "bits"]
+        if not len(asked) or not len(have):
+            return pd.DataFrame({n: [] for n in names}).astype({"row": np.int64})
+        told = Told([have.iloc[i].to_dict() for i in range(len(have))])
+        out = []
+        for row, x in zip(asked["row"], asked["asked"]):
+            x = unpack(x)
+            at = np.minimum(np.searchsorted(told.node, x), len(told.node) - 1)
+            at = at[told.node[at] == x]
+            if len(at):
+                mine = [told.bits[k] for k in at.tolist()] if bits else []
+                out.append((row, pack(told.node[at]), pack(told.value[at]), pack(np.array([len(m) for m in mine], np.int64)), b"".join(mine)))
+        return pd.DataFrame(out, columns=names)
+
+    asks = rows.select("row", "node").mapInArrow(ask, "owner int, row long, asked binary")
+    known = info.select("node", F.col(value).alias("value"), *(["bits"] if bits else [])).mapInArrow(know, "owner int, node binary, value binary, lens binary, bits binary")
+    told = asks.groupBy("owner").cogroup(known.groupBy("owner")).applyInPandas(answer, "row long, node binary, value binary, lens binary, bits binary")
+    return rows.join(told.groupBy("row").agg(F.collect_list(F.struct("node", "value", "lens", "bits")).alias("of")), "row", "left")
+
+
+class Told:
+    """Packed answers as arrays sorted by node."""
+
+    def __init__(self, answers: list[dict] | None):
+        answers = answers or []
+        node = np.concatenate([unpack(a["node"]) for a in answers]) if answers else np.zeros(0, np.int64)
+        value = np.concatenate([unpack(a["value"]) for a in answers]) if answers else np.zeros(0, np.int64)
+        by = np.argsort(node)
+        self.node, self.value = node[by], value[by]
+        bits: list[bytes] = []
+        for a in answers:
+            ends = np.cumsum(unpack(a["lens"])).tolist()
+            bits += [a["bits"][s:e] for s, e in zip([0, *ends], ends)]
+        self.bits = [bits[k] for k in by.tolist()] if bits else []
 
 
 def _verify(width: int, percent: int):
@@ -544,12 +612,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     info = cut(described.where("kind = 0 and n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     reps = info.select("node", "doc_id")
     gap = _gap(percent)
-    degrees = groups.mapInArrow(_degrees, "node long, degree long").groupBy("node").agg(F.sum("degree").alias("degree"))
-    stars = _attach(groups, degrees).mapInArrow(_star(gap), "a long, b long").distinct()
+    owners, packed = tasks_for(spark), "owner int, a binary, b binary"
+    stars = _distinct_pairs(_attach(groups, _degrees(groups), "degree").mapInArrow(_star(gap, owners), packed))
     edges = _links(_likely(stars, info, percent), source, reps, width, percent)
     comps = cut(connected_components(edges, "a", "b"))
-    mixed = cut(_attach(groups, comps).mapInArrow(_mixed(gap), "row long, sizes binary, node binary, size binary, comp binary"))
-    crossed = _attach(mixed, info.select("node", "n", "bits")).mapInArrow(_cross(gap, percent), "a long, b long").distinct()
+    mixed = cut(_attach(groups, comps, "component").mapInArrow(_mixed(gap), "row long, sizes binary, node binary, size binary, comp binary"))
+    crossed = _distinct_pairs(_attach(mixed, info, "n").mapInArrow(_cross(gap, percent, owners), packed))
     more = _links(crossed, source, reps, width, percent)
     if not more.isEmpty():
         comps = cut(connected_components(edges.union(more), "a", "b"))
