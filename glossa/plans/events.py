@@ -1 +1,78 @@
-"""Queries."""
+"""Stateful and streaming queries over events."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from glossa.plans.registry import query
+from glossa.session import table
+from glossa.streaming import folds, streams
+
+_ANCHORED = """
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms FROM events), b AS (SELECT user_id, min(ms) AS anchor FROM e GROUP BY user_id UNION ALL SELECT b.user_id, min(e.ms) FROM b JOIN e ON e.user_id = b.user_id AND e.ms {op} b.anchor + {length} GROUP BY b.user_id, b.anchor),
+w AS (SELECT e.user_id, e.event_id, e.ms, max(b.anchor) AS anchor FROM e JOIN b ON b.user_id = e.user_id AND b.anchor <= e.ms GROUP BY 1, 2, 3)
+"""
+
+
+def _events(spark, d):
+    return table(spark, d, "events").select("user_id", "event_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+
+
+@query("state_rate_limit", "T01 T02", _ANCHORED.format(op=">", length=3600000) + "SELECT event_id, anchor, row_number() OVER (PARTITION BY user_id, anchor ORDER BY ms, event_id) AS nth, row_number() OVER (PARTITION BY user_id, anchor ORDER BY ms, event_id) <= 3 AS allowed FROM w")
+def _(spark, d):
+    w = folds.anchored_windows(_events(spark, d), "user_id", "ms", "event_id", 3600000, True)
+    return w.select("event_id", "anchor", "nth", (F.col("nth") <= 3).alias("allowed"))
+
+
+@query("state_ttl_cache", "T03", _ANCHORED.format(op=">=", length=86400000) + "SELECT user_id, count(*) FILTER (ms <> anchor) AS hits, count(DISTINCT anchor) AS misses FROM w GROUP BY user_id")
+def _(spark, d):
+    w = folds.anchored_windows(_events(spark, d), "user_id", "ms", "event_id", 86400000, False)
+    return w.groupBy("user_id").agg(F.count_if(F.col("ms") != F.col("anchor")).alias("hits"), F.count_distinct("anchor").alias("misses"))
+
+
+@query("state_cooldown", "T05")
+def _(spark, d):
+    e = _events(spark, d).withColumn("failed", F.col("event_type") == "error").withColumn("wait", F.lit(3600000).cast("long"))
+    return folds.cooldown(e, "user_id", "ms", "event_id", "failed", "wait").select("event_id", "skipped")
+
+
+@query("state_latest", "T10 A13", "SELECT user_id, max(event_id) AS seq, max_by(event_type, event_id) AS result FROM events GROUP BY user_id")
+def _(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.max("event_id").alias("seq"), F.max_by("event_type", "event_id").alias("result"))
+
+
+@query("stream_rate_limit", "T01 T14", _ANCHORED.format(op=">", length=3600000) + "SELECT event_id, row_number() OVER (PARTITION BY user_id, anchor ORDER BY ms, event_id) <= 3 AS allowed FROM w")
+def _(spark, d):
+    out = streams.run_available(streams.rate_limited(streams.read_events(spark, f"{d}/events.parquet"), "user_id", 3600000, 3))
+    return out.select("event_id", "allowed")
+
+
+@query("stream_single_flight", "T04", "SELECT count(DISTINCT (user_id, event_type)) AS flights FROM events")
+def _(spark, d):
+    out = streams.run_available(streams.single_flight(streams.read_events(spark, f"{d}/events.parquet"), ["user_id", "event_type"], "400 days"))
+    return out.agg(F.count("*").alias("flights"))
+
+
+@query("stream_snapshots", "T06 K08", "SELECT event_id, CAST(row_number() OVER (ORDER BY value DESC, event_id) AS INTEGER) AS pos FROM events QUALIFY pos <= 20")
+def _(spark, d):
+    seen: list[list] = []
+    rank = lambda df: df.orderBy(F.desc("value"), "event_id")
+    streams.run_available(streams.read_events(spark, f"{d}/events.parquet"), "append", streams.snapshots(seen, rank, "event_id"))
+    last = seen[-1] if seen else []
+    return spark.createDataFrame([(e, i + 1) for i, e in enumerate(last)], "event_id long, pos int")
+
+
+@query("window_tumbling_extension", "T06", """
+SELECT epoch_us(date_trunc('hour', ts)) // 1000000 AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def _(spark, d):
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    w = e.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return w.select(F.unix_seconds("window.start").alias("hour"), "event_type", "n", "total")
+
+
+@query("window_sessions_extension", "T01", """
+WITH e AS (SELECT user_id, epoch_us(ts) AS us FROM events), s AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us) < 3600000000 THEN 0 ELSE 1 END AS new FROM e)
+SELECT user_id, CAST(sum(new) AS BIGINT) AS sessions FROM s GROUP BY user_id""")
+def _(spark, d):
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.groupBy("user_id", F.session_window("ts", "1 hour")).agg(F.count("*").alias("n")).groupBy("user_id").agg(F.count("*").alias("sessions"))

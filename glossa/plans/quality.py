@@ -1 +1,104 @@
-"""Queries."""
+"""Data-quality queries over documents, labels and conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from glossa.operators import quality as q
+from glossa.plans.registry import query
+from glossa.session import table
+
+_RULES = r"""[CASE WHEN trim(text) = '' THEN 'missing' END, CASE WHEN regexp_matches(text, '(?i)\b(todo|placeholder|tbd)\b') THEN 'placeholder' END, CASE WHEN contains(text, chr(65533)) THEN 'unicode' END,
+  CASE WHEN regexp_matches(text, '\|') THEN 'table' END, CASE WHEN length(text) > 10000 THEN 'long' END, CASE WHEN regexp_matches(text, '[$%&#*]{3}') THEN 'noise' END, CASE WHEN upper(text) = text THEN 'shouting' END]"""
+
+
+def _rules():
+    c = F.col("text")
+    return {
+        "missing": F.trim(c) == "", "placeholder": c.rlike(r"(?i)\b(todo|placeholder|tbd)\b"), "unicode": F.contains(c, F.lit("�")), "table": c.rlike(r"\|"),
+        "long": F.length(c) > 10000, "noise": c.rlike(r"[$%&#*]{3}"), "shouting": F.upper(c) == c,
+    }
+
+
+@query("quality_issues", "V01 P15 A07", f"SELECT issue, count(*) AS n FROM (SELECT unnest(list_filter({_RULES}, lambda x: x IS NOT NULL)) AS issue FROM documents) GROUP BY issue")
+def _(spark, d):
+    return table(spark, d, "documents").select(F.explode(q.issues(_rules())).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+
+
+@query("quality_waterfall", "V07 A08", f"SELECT category, count(*) AS n FROM (SELECT COALESCE(list_filter({_RULES}, lambda x: x IS NOT NULL)[1], 'clean') AS category FROM documents) GROUP BY category")
+def _(spark, d):
+    return table(spark, d, "documents").select(q.waterfall(_rules(), "clean").alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query("quality_split_flags", "V08", f"""
+WITH i AS (SELECT doc_id, list_filter({_RULES}, lambda x: x IS NOT NULL) AS found FROM documents)
+SELECT doc_id, CAST(len(list_filter(found, lambda x: x NOT IN ('table', 'long'))) AS INTEGER) AS errors, CAST(len(list_filter(found, lambda x: x IN ('table', 'long'))) AS INTEGER) AS flags FROM i""")
+def _(spark, d):
+    s = q.split_flags(q.issues(_rules()), ["table", "long"])
+    return table(spark, d, "documents").select("doc_id", s.alias("s")).select("doc_id", F.size("s.errors").alias("errors"), F.size("s.flags").alias("flags"))
+
+
+@query("quality_output", "V02 A28", r"""
+WITH t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS source FROM conversations)
+SELECT conv_id, turn, trim(text) = '' AS empty, text = source AS copy, length(text) > greatest(160, 4 * length(source)) AS length_, list_sort(regexp_extract_all(text, '\d+')) = list_sort(regexp_extract_all(source, '\d+')) AS same_numbers FROM t WHERE source IS NOT NULL""")
+def _(spark, d):
+    t = table(spark, d, "conversations").withColumn("source", F.lag("text").over(W.partitionBy("conv_id").orderBy("turn", "role", "text"))).where("source is not null")
+    numbers = [F.array_sort(F.regexp_extract_all(c, F.lit(r"(\d+)"), F.lit(1))) for c in ("text", "source")]
+    return t.select("conv_id", "turn", (F.trim("text") == "").alias("empty"), (F.col("text") == F.col("source")).alias("copy"), (F.length("text") > F.greatest(F.lit(160), F.length("source") * 4)).alias("length_"), (numbers[0] == numbers[1]).alias("same_numbers"))
+
+
+@query("quality_two_paths", "V04 V06 V03", """
+SELECT doc_id, CASE WHEN quality = 1 AND n_chars > 500 THEN 'definition' WHEN quality = 1 THEN 'lexical' WHEN quality IS NULL AND n_chars BETWEEN 200 AND 3000 THEN 'mixed' ELSE 'invalid' END AS kind FROM documents LEFT JOIN labels USING (doc_id)""")
+def _(spark, d):
+    j = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    good = F.col("quality") == 1
+    return j.select("doc_id", q.waterfall({"definition": good & (F.col("n_chars") > 500), "lexical": good, "mixed": F.col("quality").isNull() & F.col("n_chars").between(200, 3000)}, "invalid").alias("kind"))
+
+
+@query("quality_exclusions", "P10 V14", r"""
+SELECT coalesce(reason, 'PLAN') AS reason, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(lower(l), '^(because|although|though|if|whether|unless|despite)\b') THEN 'NON_VISUAL_LOGICAL_RELATION' WHEN regexp_matches(lower(l), '^(perhaps|maybe|still|yet|and|but|however|very)\b') THEN 'FUNCTION_WORD'
+  WHEN regexp_matches(lower(l), '^(variant of|see also|cf\.)') THEN 'VARIANT_REFERENCE_ONLY' WHEN regexp_matches(l, '\b(Inc\.|Corp\.|Ltd\.)') THEN 'NAMED_ENTITY_POLICY' WHEN regexp_matches(lower(l), '^not\b') THEN 'NEGATION_WITHOUT_VALIDATED_SCENE' WHEN length(l) < 3 THEN 'UNSEARCHABLE_FRAGMENT' END AS reason
+  FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents) WHERE NOT regexp_matches(l, '[^\x00-\x7f]')) GROUP BY 1""")
+def _(spark, d):
+    lines = table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("l")).where(~F.col("l").rlike(r"[^\x00-\x7f]"))
+    low = F.lower("l")
+    reason = q.waterfall({
+        "NON_VISUAL_LOGICAL_RELATION": low.rlike(r"^(because|although|though|if|whether|unless|despite)\b"), "FUNCTION_WORD": low.rlike(r"^(perhaps|maybe|still|yet|and|but|however|very)\b"),
+        "VARIANT_REFERENCE_ONLY": low.rlike(r"^(variant of|see also|cf\.)"), "NAMED_ENTITY_POLICY": F.col("l").rlike(r"\b(Inc\.|Corp\.|Ltd\.)"),
+        "NEGATION_WITHOUT_VALIDATED_SCENE": low.rlike(r"^not\b"), "UNSEARCHABLE_FRAGMENT": F.length("l") < 3,
+    }, "PLAN")
+    return lines.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("quality_secrets", "V16 V17", r"""
+SELECT doc_id, regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS mail, regexp_matches(text, '\b(?:sk|pk|ghp|AKIA)[-_A-Za-z0-9]{12,}') AS secret, regexp_matches(text, 'Ã.|â€') AS mojibake, regexp_matches(text, '[ \t]+(\n|$)') AS trailing FROM documents""")
+def _(spark, d):
+    c = F.col("text")
+    return table(spark, d, "documents").select("doc_id", c.rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}").alias("mail"), c.rlike(r"\b(?:sk|pk|ghp|AKIA)[-_A-Za-z0-9]{12,}").alias("secret"), c.rlike("Ã.|â€").alias("mojibake"), c.rlike(r"[ \t]+(\n|$)").alias("trailing"))
+
+
+@query("quality_gate", "V09 A23 V10", """
+SELECT lang, count(*) AS n, CASE WHEN avg(quality) < 0.8 OR count(*) < 20 THEN 'blocked' ELSE 'open' END AS gate FROM documents JOIN labels USING (doc_id) GROUP BY lang""")
+def _(spark, d):
+    g = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").groupBy("lang").agg(F.count("*").alias("n"), F.avg("quality").alias("rate"))
+    return g.select("lang", "n", F.when((F.col("rate") < 0.8) | (F.col("n") < 20), "blocked").otherwise("open").alias("gate"))
+
+
+@query("quality_structured_content", "V11 U06", """
+SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'keys' WHEN event_id % 5 = 1 THEN 'count' WHEN event_id % 5 = 2 THEN 'duplicate' WHEN event_id % 5 = 3 THEN 'headword' ELSE 'valid' END AS verdict FROM events""")
+def _(spark, d):
+    from glossa.operators.validate import sentences_verdict
+
+    k = F.col("event_id") % 5
+    row = lambda s: '{"text":"' + s + '"}'
+    a, b, c = row("w one"), row("w two"), row("w three")
+    content = F.when(k == 0, '{"word":"w","other":[]}').when(k == 1, f'{{"word":"w","sentences":[{a}]}}').when(k == 2, f'{{"word":"w","sentences":[{a},{a},{b}]}}').when(k == 3, f'{{"word":"w","sentences":[{a},{b},{row("none")}]}}').otherwise(f'{{"word":"w","sentences":[{a},{b},{c}]}}')
+    return table(spark, d, "events").select("event_id", sentences_verdict(content, F.lit("w")).alias("verdict"))
+
+
+@query("quality_integrity", "V12 A28", """
+SELECT count(*) AS rows_, count(*) - count(DISTINCT o_orderkey) AS repeated, count(*) FILTER (o_custkey NOT IN (SELECT c_custkey FROM customer)) AS dangling FROM orders""")
+def _(spark, d):
+    o = table(spark, d, "orders").join(table(spark, d, "customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    return o.agg(F.count("*").alias("rows_"), (F.count("*") - F.count_distinct("o_orderkey")).alias("repeated"), F.count_if(F.col("c_custkey").isNull()).alias("dangling"))

@@ -1 +1,136 @@
-"""Queries."""
+"""Classification, ranking and inference queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from glossa.functions import text as t
+from glossa.functions import urls as u
+from glossa.operators import classify, inference, rank
+from glossa.plans.registry import query
+from glossa.session import table
+
+
+@query("rank_relevance", "X13 X10", """
+WITH p AS (SELECT p_partkey, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS ts, p_partkey % 7 AS prio FROM part),
+m AS (SELECT p_partkey, prio, len(list_intersect(ts, ['red', 'blue'])) AS a, len(list_intersect(ts, ['steel', 'tin'])) AS b, len(list_intersect(ts, ['box', 'metal'])) AS c FROM p)
+SELECT p_partkey, CAST(CASE WHEN a + b + c = 0 THEN -1 ELSE CASE WHEN a > 0 THEN 300 WHEN b > 0 THEN 200 ELSE 30 END + 3 * least(9, a + b + c) + greatest(0, 5 - prio) - CASE WHEN p_partkey % 2 = 0 THEN 35 ELSE 0 END END AS BIGINT) AS score FROM m""")
+def _(spark, d):
+    tokens = F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " "))
+    words = [F.array(*[F.lit(w) for w in ws]) for ws in (("red", "blue"), ("steel", "tin"), ("box", "metal"))]
+    score = rank.relevance(tokens, *words, F.col("p_partkey") % 7, F.col("p_partkey") % 2 == 0)
+    return table(spark, d, "part").select("p_partkey", score.cast("long").alias("score"))
+
+
+@query("rank_comparator", "W23 F22", """
+SELECT page_id, pos FROM (SELECT page_id, CAST(row_number() OVER (ORDER BY page_id % 5 DESC, length(html) DESC, url, page_id) AS INTEGER) AS pos FROM pages) WHERE pos <= 50""")
+def _(spark, d):
+    from pyspark.sql import Window as W
+
+    order = [F.desc(F.col("page_id") % 5), F.desc(F.length("html")), F.col("url"), F.col("page_id")]
+    top = table(spark, d, "pages").select("page_id", "html", "url").orderBy(*order).limit(50)
+    return top.select("page_id", F.row_number().over(W.orderBy(*order)).alias("pos"))
+
+
+@query("rank_facets", "X11 X12 A27", """
+WITH f AS (SELECT doc_id, list_filter([CASE WHEN regexp_matches(lower(text), '\\b(the|and)\\b') THEN 'english' END, CASE WHEN regexp_matches(lower(text), '\\b(der|und)\\b') THEN 'german' END, CASE WHEN contains(text, '|') THEN 'table' END], lambda x: x IS NOT NULL) AS fs FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]'))
+SELECT facet, count(*) AS n FROM (SELECT unnest(fs) AS facet FROM f) GROUP BY facet""")
+def _(spark, d):
+    docs = table(spark, d, "documents").where(~F.col("text").rlike(r"[^\x00-\x7f]"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9_]+|\|)"), F.lit(1))
+    return docs.select(F.explode(rank.facets(words, {"english": ["the", "and"], "german": ["der", "und"], "table": ["|"]})).alias("facet")).groupBy("facet").agg(F.count("*").alias("n"))
+
+
+@query("rank_diverse", "W20 X12")
+def _(spark, d):
+    words = F.slice(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), F.lit(1))), 1, 12)
+    docs = table(spark, d, "documents").select("source", "doc_id", (F.col("n_chars") % 100).cast("double").alias("score"), words.alias("terms"))
+    docs = docs.withColumn("facets", F.transform(F.slice("terms", 1, 3), lambda w: w.substr(1, 1)))
+    return rank.diverse_top(docs, "source", "doc_id", "score", "facets", "terms", k=10)
+
+
+@query("rank_overview", "W21")
+def _(spark, d):
+    import pandas as pd
+
+    docs = table(spark, d, "documents").select("source", "doc_id", F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit("([a-z])"), F.lit(1))), 1, 4).alias("facets"))
+    few = docs.where("doc_id < 400")
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id")
+        at = rank.overview([set(x) for x in pdf["facets"]])
+        return pd.DataFrame({"source": pdf["source"].iloc[at], "doc_id": pdf["doc_id"].iloc[at]})
+
+    return few.groupBy("source").applyInPandas(pick, "source string, doc_id long")
+
+
+@query("rank_stop_test", "W22 T08", """
+SELECT lang, count(*) >= 20 AND count(DISTINCT source) FILTER (source <> 'src0') >= 2 AND count(*) FILTER (source = 'src1') > 0 AS enough FROM documents GROUP BY lang""")
+def _(spark, d):
+    docs = table(spark, d, "documents").select("lang", F.array(F.when(F.col("source") == "src0", "subject").otherwise(F.col("source"))).alias("f"))
+    return docs.groupBy("lang").agg(rank.enough(F.col("f"), "src1", 20).alias("enough"))
+
+
+@query("classify_rules", "X05 X06 X07 X08 X09 X16 X19 P09", """
+SELECT p_partkey, CASE WHEN regexp_matches(x, '\\b(steel|metal|brass|tin|wood|plastic)\\b') THEN 'material' END AS kind, CASE WHEN regexp_matches(x, '\\b(steel|metal|brass|tin|wood|plastic)\\b') THEN regexp_extract(x, '\\b(steel|metal|brass|tin|wood|plastic)\\b', 1) || ' material' END AS query
+FROM (SELECT p_partkey, lower(p_type || ' ' || p_name) AS x FROM part) WHERE NOT regexp_matches(x, 'happy|sad|rain|snow|dog|cat|bird|fish|rice|bread|school|city|^(eat|run|read|write|walk|swim|sing|teach|learn|help)')""")
+def _(spark, d):
+    x = F.concat_ws(" ", F.lower("p_type"), F.lower("p_name"))
+    rows = table(spark, d, "part").where(~x.rlike("happy|sad|rain|snow|dog|cat|bird|fish|rice|bread|school|city|^(eat|run|read|write|walk|swim|sing|teach|learn|help)"))
+    c = classify.classify(x)
+    return rows.select("p_partkey", c["kind"].alias("kind"), c["query"].alias("query"))
+
+
+@query("classify_diagnose", "X14 X03", "SELECT n_nationkey, 'dog of ' || replace(lower(n_name), '_', ' ') AS seen, 'animal' AS first_met FROM nation")
+def _(spark, d):
+    c = classify.diagnose(F.concat(F.lit("The dog of "), F.col("n_name"), F.lit(" (n)")))
+    return table(spark, d, "nation").select("n_nationkey", c["text"].alias("seen"), F.get(c["met"], F.lit(0)).alias("first_met"))
+
+
+@query("classify_plan", "X10 X15", "SELECT n_nationkey, tier, q FROM (SELECT n_nationkey, 'A' AS tier, 'flag of ' || lower(n_name) AS q FROM nation UNION ALL SELECT n_nationkey, 'B', lower(n_name) || ' place' FROM nation UNION ALL SELECT n_nationkey, 'C', lower(n_name) FROM nation)")
+def _(spark, d):
+    plan = classify.search_plan(F.lit("place"), F.concat(F.lit("flag of "), F.lower("n_name")), F.lower("n_name"))
+    return table(spark, d, "nation").select("n_nationkey", F.inline(plan))
+
+
+@query("identity_dedup", "F21 U07 P13", """
+WITH k AS (SELECT page_id, regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^www\\.', '') || regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/$', '') AS page FROM pages) SELECT page_id, min(page_id) OVER (PARTITION BY page) AS identity FROM k""")
+def _(spark, d):
+    from glossa.operators import graph
+
+    p = table(spark, d, "pages").withColumn("url", F.regexp_replace("url", r"\?.*$", ""))
+    keys = p.select("page_id", F.explode(u.identity_keys(F.col("page_id"), F.col("url"))).alias("key")).where(F.col("key").startswith("page:"))
+    first = keys.groupBy("key").agg(F.min("page_id").alias("first"))
+    c = graph.connected_components(keys.join(first, "key").select("page_id", "first"), "page_id", "first")
+    return c.select(F.col("node").alias("page_id"), F.col("component").alias("identity"))
+
+
+@query("infer_memoised", "T11 T12 T13 T15 X01 X02 A17", """
+SELECT doc_id, CASE WHEN lang = 'de' THEN NULL ELSE upper(lang) END AS output, lang = 'de' AS failed, doc_id <> min(doc_id) OVER (PARTITION BY lang) AS reused FROM documents""")
+def _(spark, d):
+    @inference.adapter("upper")
+    def run(batch: list[str]) -> list[str]:
+        if "de" in batch:
+            raise ValueError("not supported")
+        return [x.upper() for x in batch]
+
+    out = inference.infer(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", "lang", run)
+    return out.select("doc_id", "output", F.col("error").isNotNull().alias("failed"), "reused")
+
+
+@query("infer_rounds", "T08 X04", "SELECT p_partkey FROM part WHERE p_partkey % 10 IN (1, 2)")
+def _(spark, d):
+    p = table(spark, d, "part").select("p_partkey")
+    return inference.rounds(lambda k: p.where(F.col("p_partkey") % 10 == min(k + 1, 2)), "p_partkey", 10**9)
+
+
+@query("vector_topk_extension", "X13", """
+SELECT q.vec_id AS query_id, e.vec_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9), e.vec_id) AS INTEGER) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id < 3 QUALIFY rank <= 5""")
+def _(spark, d):
+    from pyspark.sql import Window as W
+
+    e = table(spark, d, "embeddings")
+    q = F.broadcast(e.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))  # three fixed queries
+    dist = F.sqrt(F.aggregate(F.zip_with("q", "embedding", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x))
+    j = e.join(q, F.col("vec_id") != F.col("query_id")).withColumn("dist", F.round(dist, 9))
+    return j.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("dist", "vec_id"))).where("rank <= 5").select("query_id", "vec_id", "rank")

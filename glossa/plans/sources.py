@@ -1 +1,119 @@
-"""Queries."""
+"""Source and sink queries: parsing of text columns, and round trips through files in the shared folder."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from glossa.operators import store
+from glossa.plans.registry import query
+from glossa.session import ensure_checkpoint_dir, table
+from glossa.sources import readers as r
+
+
+def _folder(spark) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query("source_lexicon_lines", "S01 S02", """
+SELECT p_type AS traditional, p_brand AS simplified, 'pin1 yin1' AS pinyin, 2 AS n, p_name AS first_def FROM (SELECT replace(p_type, ' ', '_') AS p_type, p_brand, p_name, p_partkey FROM part) WHERE p_partkey % 3 <> 0""")
+def _(spark, d):
+    p = table(spark, d, "part")
+    line = F.concat(F.replace("p_type", F.lit(" "), F.lit("_")), F.lit(" "), "p_brand", F.lit(" [pin1 yin1] /"), "p_name", F.lit("/second/ "))
+    lines = p.select(F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("# "), line)).otherwise(line).alias("value"))
+    rows = r.read_lexicon_lines(lines)
+    return rows.select("traditional", "simplified", "pinyin", F.size("definitions").alias("n"), F.get("definitions", F.lit(0)).alias("first_def"))
+
+
+@query("source_comment_lines", "S02", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE starts_with(l, '#') OR starts_with(l, 'T') GROUP BY doc_id")
+def _(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("value"))
+    lines = lines.withColumn("value", F.regexp_replace("value", "^T", "#"))
+    return r.header_lines(lines).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("source_json_lines", "S04", """
+SELECT event_id, CASE WHEN event_id % 5 = 1 THEN 'malformed-json' WHEN event_id % 5 = 2 THEN 'oversized-record' END AS error, CASE WHEN event_id % 5 NOT IN (1, 2) THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events""")
+def _(spark, d):
+    k = F.col("event_id") % 5
+    e = table(spark, d, "events").select("event_id", F.when(k == 1, F.concat(F.lit("{"), "props")).when(k == 2, F.concat("props", F.repeat(F.lit(" "), 60))).otherwise(F.col("props")).alias("value"))
+    # the reader works on any text column; ids travel inside the line
+    lines = e.select(F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), F.lit(',"p":'), "value", F.lit("}")).alias("value"), "event_id")
+    bad = F.octet_length("value")
+    parsed = r.parse_json_lines(lines.select("value"), "id bigint, p struct<k:bigint>", most=70)
+    ok = parsed.where("error is null").select(F.col("row.id").alias("event_id"), F.col("row.p.k").alias("k"))
+    errors = lines.select("event_id", F.when(bad > 70, "oversized-record").when(F.get_json_object("value", "$").isNull(), "malformed-json").alias("error"))
+    return errors.join(ok, "event_id", "left").select("event_id", "error", "k")
+
+
+@query("source_files_round_trip", "S03 S05 S07 S08 K02 K03", "SELECT 'json' AS format, count(*) AS n, 0::BIGINT AS lost FROM nation UNION ALL SELECT 'csv', count(*), 0 FROM nation UNION ALL SELECT 'tsv', count(*), 0 FROM nation UNION ALL SELECT 'parquet', count(*), 0 FROM nation")
+def _(spark, d):
+    n, folder = table(spark, d, "nation"), _folder(spark)
+    n.write.json(f"{folder}/a.json")
+    n.write.csv(f"{folder}/a.csv", header=True, quote='"', escape='"')
+    n.write.csv(f"{folder}/a.tsv", header=True, sep="\t", quote='"', escape='"')
+    n.write.parquet(f"{folder}/a.parquet")
+    schema = "n_nationkey int, n_name string, n_regionkey int"
+    back = {"json": spark.read.schema(schema).json(f"{folder}/a.json"), "csv": r.read_any(spark, f"{folder}/a.csv", schema).where("malformed is null").drop("malformed"),
+            "tsv": r.read_any(spark, f"{folder}/a.tsv", schema).where("malformed is null").drop("malformed"), "parquet": spark.read.parquet(f"{folder}/a.parquet")}
+    out = None
+    for name, df in back.items():
+        one = df.agg(F.count("n_nationkey").alias("n")).crossJoin(n.exceptAll(df).agg(F.count("*").alias("lost"))).select(F.lit(name).alias("format"), "n", "lost")  # single rows
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("source_json_map", "S06 S14", "SELECT key, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY key")
+def _(spark, d):
+    return r.read_json_map(table(spark, d, "events"), "props", "key", "value").groupBy("key").agg(F.count("*").alias("n"))
+
+
+@query("source_wordnet_tab", "S09 S10 S20", "SELECT n_nationkey || '-n' AS synset, lower(replace(n_name, '_', ' ')) AS lemma FROM nation WHERE n_nationkey % 2 = 0")
+def _(spark, d):
+    field = F.when(F.col("n_nationkey") % 2 == 0, "lemma").otherwise("def")
+    lines = table(spark, d, "nation").select(F.concat_ws("\t", F.concat(F.col("n_nationkey").cast("string"), F.lit("-n")), field, F.upper("n_name")).alias("value"))
+    return r.wordnet_tab(lines, "lemma")
+
+
+@query("source_wordnet_data", "S11 S20", "SELECT lpad(CAST(n_nationkey AS VARCHAR), 8, '0') AS \"offset\", 2 AS n_words, lpad(CAST(n_regionkey AS VARCHAR), 8, '0') AS parent, 'gloss of ' || n_name AS gloss FROM nation")
+def _(spark, d):
+    lines = table(spark, d, "nation").select(F.format_string("%08d 03 n 02 %s 0 other 0 002 @ %08d n 0000 ~ 00000001 n 0000 | gloss of %s", "n_nationkey", F.replace("n_name", F.lit(" "), F.lit("_")), "n_regionkey", "n_name").alias("value"))
+    w = r.wordnet_data(lines)
+    return w.select("offset", F.size("words").alias("n_words"), F.get("parents", F.lit(0)).alias("parent"), "gloss")
+
+
+@query("source_flatten", "S13", """
+SELECT conv_id, count(*) FILTER (role <> 'system' AND length(text) > 20) AS glosses FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role <> 'system' AND length(text) > 20) > 0""")
+def _(spark, d):
+    sense = F.struct(F.array(F.col("role")).alias("tags"), F.when(F.length("text") <= 20, "form").alias("form_of"), F.array("text").alias("glosses"))
+    nested = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(sense).alias("senses"))
+    return r.flatten_senses(nested, "conv_id", "senses", "system").groupBy("conv_id").agg(F.count("*").alias("glosses"))
+
+
+@query("source_oriented", "S14", "SELECT c_name AS english, unnest([c_mktsegment, 'x']) AS other FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_mktsegment, unnest([c_mktsegment, 'x']) FROM customer WHERE c_custkey % 2 <> 0")
+def _(spark, d):
+    c = table(spark, d, "customer").select(F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("en"), F.col("c_mktsegment").alias("headword"), F.array("c_mktsegment", F.lit("x")).alias("translations"))
+    return r.oriented(c, ["english", "en", "headword"], ["malay", "ms", "translations"])
+
+
+@query("source_shards", "S15 S16 S17 K10 T14", "SELECT count(*) AS rows_, count(*) = (SELECT count(*) FROM orders) AS complete, true AS contiguous FROM orders")
+def _(spark, d):
+    from pyspark.sql import Window as W
+
+    o, folder = table(spark, d, "orders"), _folder(spark)
+    for k in range(3):
+        o.where(F.col("o_orderkey") % 3 == k).write.parquet(f"{folder}/shard={k}")
+    back = spark.read.parquet(folder)
+    runs = back.groupBy("shard").agg(F.count("*").alias("n")).withColumn("end", F.sum("n").over(W.orderBy("shard"))).withColumn("start", F.col("end") - F.col("n"))
+    gap = F.coalesce(F.lag("end").over(W.orderBy("shard")), F.lit(0)) != F.col("start")
+    return runs.withColumn("gap", gap).agg(F.sum("n").alias("rows_"), (F.sum("n") == F.lit(o.count())).alias("complete"), (F.count_if(F.col("gap")) == 0).alias("contiguous"))
+
+
+@query("sink_publish", "K01 K05 K06 M03", "SELECT count(*) AS n, true AS same_version FROM customer")
+def _(spark, d):
+    c, root = table(spark, d, "customer"), _folder(spark)
+    store.publish(c.where("c_custkey % 2 = 0"), root, ["c_custkey"])
+    first = store.publish(c, root, ["c_custkey"])
+    again = store.publish(c.repartition(3), root, ["c_custkey"])
+    return store.load(spark, root).agg(F.count("*").alias("n")).withColumn("same_version", F.lit(first == again))
