@@ -32,8 +32,11 @@ def run_available(df: DataFrame, mode: str = "append", each: Callable[[DataFrame
     return spark.read.schema(df.schema).parquet(f"{folder}/out")
 
 
-def rate_limited(events: DataFrame, key: str, length_ms: int, most: int) -> DataFrame:
-    """T01 as a stream: (key, event_id, allowed), windows anchored at a key's first event after the last has ended."""
+def rate_limited(events: DataFrame, key: str, length_ms: int, most: int, delay: str = "1 hour") -> DataFrame:
+    """T01 as a stream: (key, event_id, allowed), windows anchored at a key's first event after the last has ended.
+
+    A key's state goes once the watermark has passed the end of its window.
+    """
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -48,11 +51,11 @@ def rate_limited(events: DataFrame, key: str, length_ms: int, most: int) -> Data
             n += 1
             allowed.append(n <= most)
         state.update((anchor, n))
-        state.setTimeoutDuration(length_ms)
+        state.setTimeoutTimestamp(max(anchor + length_ms, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({key: rows[key], "event_id": rows["event_id"], "allowed": allowed})
 
-    rows = events.select(key, "event_id", F.unix_millis("ts").alias("ms"))
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, event_id long, allowed boolean", "anchor long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = events.withWatermark("ts", delay).select(key, "event_id", "ts", F.unix_millis("ts").alias("ms"))
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, event_id long, allowed boolean", "anchor long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def single_flight(events: DataFrame, keys: list[str], delay: str = "60 seconds") -> DataFrame:
