@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from glossa.session import cut
 
 
+#: Forest edges (two ids each) up to this many are settled by one task; more are by rounds over all tasks.
+FEW_EDGES = 250_000
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the edges of a partition, as many as tie the same nodes together: each node to the smallest of its tree."""
     parent: dict = {}
@@ -38,7 +42,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """(node, component): the smallest node reachable over undirected edges.
 
     Partitions first reduce their edges to forests, so a dense group costs an edge a node.
-    Then alternates the large-star and small-star steps, which move every edge towards the
+    A small remainder is settled by one task. Else alternates the large-star and small-star steps, which move every edge towards the
     smallest neighbour; rounds grow with the logarithm of the diameter, each round is two
     shuffles of the remaining edges, and nothing but one boolean reaches the driver.
     Only nodes that appear in an edge are returned. A null end drops its edge.
@@ -50,6 +54,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     few = max(1, int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
     e = cut(e.repartition(few, "u").mapInArrow(_forest, f"u {kind}, v {kind}").distinct())
     nodes = e.select(F.col("u").alias("node")).union(e.select("v")).union(loops).distinct()
+    if e.count() <= FEW_EDGES:
+        tied = e.repartition(1).mapInArrow(_forest, f"u {kind}, v {kind}")
+        return nodes.join(tied.select(F.col("v").alias("node"), F.col("u").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     print_sum = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")
     seen = None
     for _ in range(max_rounds):

@@ -12,7 +12,9 @@ from glossa.sources import readers
 from glossa.streaming import folds, streams
 
 
-def test_connected_components_match_union_find(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_connected_components_match_union_find(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW_EDGES", few)
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(7, 7), (None, 3)]
     parent = {}
