@@ -43,6 +43,8 @@ FREQUENT = 1 << 19
 CHUNK_BYTES, BUCKET_POSTINGS, ROW_POSTINGS = 8_000_000, 1_000_000, 60_000
 #: Ids of documents whose texts are asked for (16 bytes each) are broadcast up to this many; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Nodes that one owner answers for.
+OWNER_NODES = 20_000
 #: Orders by hash that candidates must meet under, besides the indexed one.
 HASH_ORDERS = 2
 #: Parity bits of a document: the power of two from its number of shingles up, within these.
@@ -316,9 +318,8 @@ def _groups(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["sizes", "node", "size"])
 
 
-def _degrees(groups: DataFrame) -> DataFrame:
+def _degrees(groups: DataFrame, owners: int) -> DataFrame:
     """(node, degree): how many others each node meets in all groups. Summed by owners of nodes, from packed parts."""
-    owners = tasks_for(groups.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in each_row(batches):
@@ -477,12 +478,11 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
 
-def _attach(rows: DataFrame, info: DataFrame, value: str) -> DataFrame:
+def _attach(rows: DataFrame, info: DataFrame, value: str, owners: int) -> DataFrame:
     """Rows of groups with `of`: what info says of their nodes, as packed arrays (node, value, bits).
 
     An exchange by owners of nodes: a row asks each owner once for all of its nodes.
     """
-    owners = tasks_for(rows.sparkSession)
     bits = "bits" in info.columns
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -612,12 +612,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     info = cut(described.where("kind = 0 and n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     reps = info.select("node", "doc_id")
     gap = _gap(percent)
-    owners, packed = tasks_for(spark), "owner int, a binary, b binary"
-    stars = _distinct_pairs(_attach(groups, _degrees(groups), "degree").mapInArrow(_star(gap, owners), packed))
+    owners, packed = int(info.count() // OWNER_NODES + 1), "owner int, a binary, b binary"
+    stars = _distinct_pairs(_attach(groups, _degrees(groups, owners), "degree", owners).mapInArrow(_star(gap, owners), packed))
     edges = _links(_likely(stars, info, percent), source, reps, width, percent)
     comps = cut(connected_components(edges, "a", "b"))
-    mixed = cut(_attach(groups, comps, "component").mapInArrow(_mixed(gap), "row long, sizes binary, node binary, size binary, comp binary"))
-    crossed = _distinct_pairs(_attach(mixed, info, "n").mapInArrow(_cross(gap, percent, owners), packed))
+    mixed = cut(_attach(groups, comps, "component", owners).mapInArrow(_mixed(gap), "row long, sizes binary, node binary, size binary, comp binary"))
+    crossed = _distinct_pairs(_attach(mixed, info, "n", owners).mapInArrow(_cross(gap, percent, owners), packed))
     more = _links(crossed, source, reps, width, percent)
     if not more.isEmpty():
         comps = cut(connected_components(edges.union(more), "a", "b"))
