@@ -102,3 +102,45 @@ SELECT count(*) AS rows_, count(*) - count(DISTINCT o_orderkey) AS repeated, cou
 def _(spark, d):
     o = table(spark, d, "orders").join(table(spark, d, "customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left")
     return o.agg(F.count("*").alias("rows_"), (F.count("*") - F.count_distinct("o_orderkey")).alias("repeated"), F.count_if(F.col("c_custkey").isNull()).alias("dangling"))
+
+
+_CASES = (
+    ("malay", "", "missing-malay"), ("malay", "flag", "english-copy"), ("malay", "TODO bendera", "placeholder"), ("malay", "旗 bendera", "invalid-language-or-unicode"), ("malay", "bendera of", "english-language-warning"),
+    ("malay", "mobil merah", "indonesian-localization-review"), ("malay", "brim topi", "corrupt-or-untranslated-output"), ("quality", "best", "invalid-quality-status"), ("status", "new", "invalid-status"),
+    ("kind", "other", "invalid-translation-kind"), ("license", "", "missing-provenance"), ("source", "PRPM list", "unsupported-dbp-attribution"), ("status", "verified", "missing-reviewer"), ("english", "flags", "sense-misalignment"),
+    ("quality", "human-verified", "unsupported-human-verification"), ("malay", "bendera", ""),
+)
+_EXPECTED = " ".join(f"WHEN {i} THEN '{code}'" for i, (_, _, code) in enumerate(_CASES))
+
+
+@query("quality_record_rules", "V01 P15", f"SELECT p_partkey, CASE p_partkey % {len(_CASES)} {_EXPECTED} END AS codes FROM part")
+def _(spark, d):
+    from glossa.operators.record_quality import SUPPLEMENT, record_issues
+
+    base = {"key": "k", "entry_id": "e", "sense_id": "sense-0", "english": "flag", "malay": "bendera", "sense_key": "k", "sense_entry_id": "e", "sense_sense_id": "sense-0", "sense_english": "flag", "status": "generated",
+            "quality": "automated-review-required", "kind": "lexical-equivalent", "source": "list", "license": "cc0", "version": "1"}
+    case = F.col("p_partkey") % len(_CASES)
+    cols = {}
+    for name, value in base.items():
+        c = F.lit(value)
+        for i, (field, bad, _) in enumerate(_CASES):
+            if field == name:
+                c = F.when(case == i, bad).otherwise(c)
+        cols[name] = c
+    none = {n: F.lit(None).cast("string") for n in ("reviewer", "permission", "justification", "idiom_explanation")}
+    lists = {n: F.array(F.lit("bendera")) for n in ("search_terms", "synonyms", "morphology")}
+    rows = table(spark, d, "part").withColumns(cols | none | lists | {"confidence": F.lit(0.5), "sense_idiom": F.lit(False), "lexical": F.lit(None).cast(SUPPLEMENT), "definition": F.lit(None).cast(SUPPLEMENT)})
+    return rows.select("p_partkey", F.array_join(record_issues(), ",").alias("codes"))
+
+
+@query("quality_output_rules", "V02 V07", """
+SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'english-copy' WHEN 1 THEN 'number-changed' WHEN 2 THEN 'repetition' WHEN 3 THEN 'length-or-truncation' ELSE '' END AS codes,
+  CASE n_nationkey % 5 WHEN 0 THEN 'identical-source-review-including-loanwords' WHEN 2 THEN 'corruption-or-repetition-review' WHEN 3 THEN 'length-or-truncation-review' ELSE 'other-recorded-rule-review' END AS category FROM nation""")
+def _(spark, d):
+    from glossa.operators.record_quality import output_issues, review_category
+
+    k = F.col("n_nationkey") % 5
+    source = F.concat(F.lit("land "), F.when(k == 1, "12").otherwise("x"))
+    text = F.when(k == 0, source).when(k == 1, "negara 13").when(k == 2, "ya ya ya ya ya dan lagi satu dua tiga empat").when(k == 3, F.repeat(F.lit("negara "), 3)).otherwise("negara x")
+    found = output_issues(source, text, F.when(k == 3, 200).otherwise(5))
+    return table(spark, d, "nation").select("n_nationkey", F.array_join(found, ",").alias("codes"), review_category(found, text).alias("category"))

@@ -236,3 +236,14 @@ def _(spark, d):
     lines = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     shown = F.transform(lines, lambda s: F.concat(s["turn"].cast("string"), F.lit(". "), s["role"], F.lit(": "), s["text"].substr(1, 40)))
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(shown, " | ").alias("sheet"), F.count("*").alias("turns"))
+
+
+@query("text_reference_templates", "F27 F26", """
+SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'variant of ' || p_brand || ' [x1]' WHEN 1 THEN 'see ' || p_brand ELSE p_name END AS restored FROM part""")
+def _(spark, d):
+    # a reference is cut out of its template for translation, and the template is put back after it
+    k = F.col("p_partkey") % 3
+    raw = F.when(k == 0, F.concat(F.lit("variant of "), "p_brand", F.lit(" [x1]"))).when(k == 1, F.concat(F.lit("see "), "p_brand")).otherwise(F.col("p_name"))
+    template = F.regexp_extract(raw, r"^(variant of|see) ", 1)
+    inner = F.when(template == "", raw).otherwise(F.regexp_extract(raw, r"^(?:variant of|see) (.*)$", 1))
+    return table(spark, d, "part").select("p_partkey", F.when(template == "", inner).otherwise(F.concat_ws(" ", template, inner)).alias("restored"))
