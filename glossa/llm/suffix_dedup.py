@@ -33,19 +33,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import each_row, mix, pack, ragged, slabs, span_hash, tasks_for, text_bytes, unpack, whole_text
+from glossa.llm.common import each_row, mix, pack, ragged, trim, slabs, span_hash, tasks_for, text_bytes, unpack, whole_text
 from glossa.session import cut
 
 LENGTH = 400
 GRAM = 96
 #: Bytes of text in a block; anchors and context bytes that one owner should hold.
-BLOCK_BYTES, OWNER_ANCHORS = 16_000_000, 1_000_000
+BLOCK_BYTES, OWNER_ANCHORS = 10_000_000, 1_000_000
 #: Ids of documents whose contexts are asked for (16 bytes each) are broadcast up to this many.
 BROADCAST_ROWS = 2_000_000
 #: Stretches around an anchor, one of which any two places of a repeated window share whole.
 CORES = 4
 #: Contexts of one core up to which they are sorted as one text; windows that one task compares beyond that; bytes sorted at a time.
-HOT, HOT_CONTEXTS, SORT_BYTES = 1500, 200_000, 1_000_000
+HOT, HOT_CONTEXTS, SORT_BYTES = 1500, 200_000, 700_000
 _U = np.uint64
 
 
@@ -328,20 +328,30 @@ def _cut_out(length: int, gram: int, hot: int):
     types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*out))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+
         for b in batches:
-            out = []
             for doc, key, text, asks in zip(*[b.column(c).to_pylist() for c in ("doc_id", "key", "text", "asks")]):
                 raw = text.encode("utf-8", "surrogatepass")
                 for x in asks:
                     name, pos, k, count = unpack(x).reshape(4, -1)
-                    for c, p, i, n in zip(name.view(np.int64).tolist(), pos.tolist(), k.tolist(), count.tolist()):
-                        left, right = core_spans(p, length, gram)
-                        a, e = max(int(right[i, 0]) - length, 0), min(int(left[i, 0]) + length, len(raw))
+                    k = k.astype(np.int64)
+                    left, right = (v[k, np.arange(len(k))] for v in core_spans(pos.astype(np.int64), length, gram))
+                    low, high = np.maximum(right - length, 0), np.minimum(left + length, len(raw))
+                    for c, p, i, n, a, e in zip(*[v.tolist() for v in (name.view(np.int64), pos, k, count, low, high)]):
                         parts = 0 if n <= hot else -(-n // HOT_CONTEXTS)
                         for part in range(max(parts, 1)):
                             out.append((c, part, parts, i, doc, key, p, a, raw[a:e]))
-            for lo in range(0, len(out), 5000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[lo : lo + 5000]), types)], names)
+                if len(out) > 3000:
+                    yield flush()
+        if out:
+            yield flush()
+        trim()
 
     return run
 
@@ -424,6 +434,7 @@ def _compare(length: int, gram: int):
                             if stop:
                                 yield sort(held.slice(0, stop).combine_chunks())
                                 held = held.slice(stop).combine_chunks()
+            trim()
         if seen:
             yield match(seen)
         if held is not None:
