@@ -19,7 +19,7 @@ from glossa.llm.chain import expectations
 from glossa.llm.common import crc_mod, find_words, lower, mix, ragged, slabs, span_hash, text_bytes, whole_text
 
 #: Labelled documents of each language that the model is fitted on; fewer languages than rows, so the bound holds at any size.
-SAMPLE_PER_LANGUAGE = 500
+SAMPLE_PER_LANGUAGE = 250
 #: Feature weights are hashed into this many slots.
 SLOTS = 1 << 17
 ROUNDS = 24
