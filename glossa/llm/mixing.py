@@ -102,7 +102,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
 def due(u: Column) -> Column:
     """W_s^-1 of a part of a source's demand: W_s(t) = t + d (t^2 - t), with drift d in (-1, 1) by the source's ordinal."""
     d = (F.col("ordinal") % 3 - 1) * 0.5
-    return F.when(d == 0, u).otherwise((d - 1 + F.sqrt((1 - d) * (1 - d) + 4 * d * u)) / (2 * d))
+    return F.when(d == 0, u).otherwise(F.abs((d - 1 + F.sqrt((1 - d) * (1 - d) + 4 * d * u)) / (2 * d)))  # abs: no negative zero
 
 
 def in_order(rows: DataFrame, position: str = "position", tie: str = "doc_id") -> DataFrame:
@@ -152,7 +152,7 @@ cut AS (
          CASE WHEN goal > 0 THEN a / CAST(goal AS DOUBLE) END AS u, (ordinal % 3 - 1) * 0.5::DOUBLE AS d
   FROM placed)
 SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken, CAST(copies AS INTEGER) AS copies,
-       CASE WHEN copies > 0 THEN round(CASE WHEN d = 0 THEN u ELSE (d - 1 + sqrt((1 - d) * (1 - d) + 4 * d * u)) / (2 * d) END, 9) END AS position
+       CASE WHEN copies > 0 THEN round(CASE WHEN d = 0 THEN u ELSE abs((d - 1 + sqrt((1 - d) * (1 - d) + 4 * d * u)) / (2 * d)) END, 9) END AS position
 FROM cut
 """
 
