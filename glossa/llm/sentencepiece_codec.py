@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from glossa.llm.common import slabs, trim, whole_text
 
 SPACE = "▁"
-CACHE = 400_000
+CACHE = 250_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -226,21 +226,30 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def encode_column(column, path: str):
-    """A column of id arrays for a column of whole texts (null: empty)."""
+def with_pieces(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, with `ids` and `n_pieces` of the whole text (null: none), in small Arrow batches.
 
-    @F.arrow_udf("array<int>")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    Columns of those names are replaced. No shuffle; repeated rows repeat; an empty table gives none.
+    """
+    from pyspark.sql import types as T
+
+    kept = [f for f in docs.schema.fields if f.name not in ("ids", "n_pieces")]
+    schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType())])
+    names = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for texts in batches:
+        for t in slabs(batches, text, 1_000_000):
             ids, off = array("i"), [0]
-            for t in texts:
-                ids.extend(c.encode(t.as_py()))
+            for s in t[text].to_pylist():
+                ids.extend(c.encode(s or ""))
                 off.append(len(ids))
-            yield pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32)))
+            flat = np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32)
+            cols = [t[n].combine_chunks() for n in names]
+            yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat)), pa.array(np.diff(off), pa.int64())], [*names, "ids", "n_pieces"])
         c.forget()
 
-    return encode(F.coalesce(column, F.lit("")))
+    return docs.mapInArrow(run, schema)
 
 
 def decode_column(column, path: str):
