@@ -9,7 +9,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from glossa.llm import exact_dedup, jaccard_join, mixing, quality, sentencepiece_codec
 from glossa.session import ensure_checkpoint_dir, ship, table
@@ -41,8 +40,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' columns, and the ids and number of their pieces."""
     import public_tokenizers
 
-    out = docs.withColumn("ids", sentencepiece_codec.encode_column(F.col("text"), public_tokenizers.path(VOCABULARY)))
-    return out.withColumn("n_pieces", F.size("ids").cast("long"))
+    return sentencepiece_codec.with_pieces(docs, public_tokenizers.path(VOCABULARY))
 
 
 STAGES = [
