@@ -32,8 +32,11 @@ from glossa.session import cut
 STATES = 6
 #: Words with a class of their own, and shape classes; both bound what is broadcast and summed.
 OWN, SHAPES = 8191, 4096
-#: Training documents (about) whose states start the model, and rounds over them; then rounds over all documents.
-SEED_DOCS, SEED_ROUNDS, ROUNDS = 1500, 25, 1
+#: Training documents (about) whose states start the model, and rounds over them.
+SEED_DOCS, SEED_ROUNDS = 1500, 25
+#: Rounds over all training documents go on until one raises the mean logarithm of a position's probability by less
+#: than SETTLED; MOST_ROUNDS only stops a model that never settles.
+SETTLED, MOST_ROUNDS = 0.001, 60
 #: Bytes of text in a block, and entries that one owner may hold.
 BLOCK_BYTES, OWNER_ENTRIES = 8_000_000, 20_000_000
 #: Positions whose forward and backward vectors are held at a time (whole texts, so one longer text may exceed it).
@@ -175,16 +178,18 @@ def _parts(before: np.ndarray) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def _e_step(m: Hmm, cls: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    start, trans, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES))
+def _e_step(m: Hmm, cls: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Expected starts, transitions and emissions; and the log-likelihood and the number of positions."""
+    start, trans, emit, fit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES)), np.zeros(2)
     for a, b in _parts(before):
         c, at = cls[before[a] : before[b]], before[a : b + 1] - before[a]
-        gamma, xi, _ = expectations(m.emit[c], at, m.trans, m.start)
+        gamma, xi, lik = expectations(m.emit[c], at, m.trans, m.start)
+        fit += lik.sum(), len(c)
         start += gamma[at[:-1][np.diff(at) > 0]].sum(0)
         trans += xi
         for j in range(STATES):
             emit[:, j] += np.bincount(c, gamma[:, j], minlength=CLASSES)
-    return start, trans, emit
+    return start, trans, emit, fit
 
 
 def _likelihoods(m: Hmm, cls: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -199,7 +204,7 @@ def _keep(cls: np.ndarray, before: np.ndarray, chosen: np.ndarray) -> tuple[np.n
 
 
 def train(blocks: DataFrame, corpus: Corpus, prior: np.ndarray) -> Hmm:
-    """States from a bounded seed of documents, then Baum-Welch rounds over all training documents."""
+    """Baum-Welch over all training documents until the likelihood settles; a bounded seed of them only starts it."""
     spark = blocks.sparkSession
     shared = spark.sparkContext.broadcast(corpus)
     rate = min(1.0, SEED_DOCS / max(corpus.docs, 1))
@@ -220,8 +225,9 @@ def train(blocks: DataFrame, corpus: Corpus, prior: np.ndarray) -> Hmm:
     # states stay long enough at first to tell texts, not neighbouring words, apart
     m = Hmm(np.full(STATES, 1 / STATES), np.full((STATES, STATES), 0.1 / STATES) + 0.9 * np.eye(STATES), noise / noise.sum(0))
     for _ in range(SEED_ROUNDS if len(cls) else 0):
-        m = _m_step(*_e_step(m, cls, before), prior)
-    for _ in range(ROUNDS if corpus.docs else 0):
+        m = _m_step(*_e_step(m, cls, before)[:3], prior)
+    last = -np.inf
+    for _ in range(MOST_ROUNDS if corpus.docs else 0):
         model = spark.sparkContext.broadcast(m)
 
         def count(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
@@ -243,8 +249,13 @@ def train(blocks: DataFrame, corpus: Corpus, prior: np.ndarray) -> Hmm:
 
         sums = use.mapInArrow(count, "s binary").repartition(SUM_TASKS).mapInArrow(add, "s binary").collect()
         s = np.sum([np.frombuffer(r.s) for r in sums], axis=0)
+        model.unpersist()
         k = STATES
-        m = _m_step(s[:k], s[k : k + k * k].reshape(k, k), s[k + k * k :].reshape(CLASSES, k), prior)
+        m = _m_step(s[:k], s[k : k + k * k].reshape(k, k), s[k + k * k : -2].reshape(CLASSES, k), prior)
+        fit = s[-2] / s[-1]
+        if fit - last < SETTLED:
+            break
+        last = fit
     return m
 
 

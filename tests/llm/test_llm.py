@@ -307,6 +307,22 @@ def test_language_model_beats_its_base(spark):
     assert hmm_lm.score_documents(frame(spark, [])).count() == 0
 
 
+def test_language_model_settles_over_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(hmm_lm, "SEED_DOCS", 4)
+    blocks, _, corpus_, prior = hmm_lm.corpus_counts(spark.read.parquet(f"{D}/documents.parquet"), "doc_id", "text", 2, 7)
+    m = hmm_lm.train(blocks, corpus_, prior)
+    gains, n = [], 0
+    for row in blocks.collect():
+        cls, before, _, _ = hmm_lm._positions(corpus_, row.asDict())
+        cls, before = hmm_lm._keep(cls, before, ~hmm_lm.unpack(row["held"]))
+        gains.append((cls, before))
+        n += len(cls)
+    steps = [hmm_lm._e_step(m, *x)[:3] for x in gains]
+    further = hmm_lm._m_step(*[sum(x) for x in zip(*steps)], prior)
+    gain = sum(hmm_lm._likelihoods(further, *x).sum() - hmm_lm._likelihoods(m, *x).sum() for x in gains) / n
+    assert abs(gain) < 0.002
+
+
 # 8
 def brute_targets(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
