@@ -26,8 +26,6 @@ from glossa.session import cut
 WEIGHTS = (5, 2, 1)
 #: The table of sources, about 60 bytes a row, is broadcast up to this many; beyond it, it is joined by a shuffle.
 BROADCAST_SOURCES = 100_000
-#: A plan of so many rows (16 bytes each) may be broadcast to the documents; a longer one is joined by a shuffle.
-BROADCAST_DOCS = 2_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -59,7 +57,7 @@ def source_targets(sizes: DataFrame, source: str = "source", share: float = 1.5,
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, most: int = 2,
-        weights=WEIGHTS, block_rows: int = 2_000, extra: tuple[str, ...] = ()) -> DataFrame:
+        weights=WEIGHTS, block_rows: int = 2_000, extra: tuple[str, ...] = (), ties: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies, position, and `extra` columns.
 
     taken: the words that the mix takes of the document, at most `most` times its size. If it
@@ -68,7 +66,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     most one document of a source is taken in part. copies: how many times the document is
     started; position: when its first word falls (null: it takes nothing). Null or empty text:
     size 0, taken 0. Repeated rows count each for itself; rows equal in id and size are
-    interchangeable, so reruns agree. An empty table gives no rows.
+    interchangeable, so reruns agree; `ties`, columns among extra, order them. An empty table gives no rows.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source).alias("__source"), word_count(F.col(text)).alias("size"),
@@ -87,7 +85,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     sums = keyed.groupBy("ordinal", "__block").agg(F.sum("size").alias("__size"))
     upto = W.partitionBy("ordinal").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select(F.col("ordinal").alias("__o"), F.col("__block").alias("__b"), F.coalesce(F.sum("__size").over(upto), F.lit(0)).alias("__start"))
-    inside = W.partitionBy("ordinal", "__block").orderBy("__digest", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy("ordinal", "__block").orderBy("__digest", "size", *ties).rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = keyed.withColumn("__in", F.sum("size").over(inside)).join(starts, (F.col("ordinal") == F.col("__o")) & (F.col("__block") == F.col("__b")))
     begin = F.col("__start") + F.col("__in") - F.col("size")
     goal = F.round("target").cast("long")
@@ -117,16 +115,16 @@ def in_order(rows: DataFrame, position: str = "position", tie: str = "doc_id") -
 def curriculum(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mix itself: the rows of docs, all columns, each as often as it is started, in training order.
 
-    Documents that the mix takes nothing of are left out; one taken in part is given whole.
-    Ids are expected to be unique. Text moves once, in the range sort.
+    Documents that the mix takes nothing of are left out; one taken in part is given whole. The
+    documents' columns travel through the mix, so rows of a null or a repeated id are rows like
+    all others: each has its own copies, at most `most`. Rows equal in id and size go by text.
     """
-    plan = mix(docs, id_col, text, source, **options).where("copies > 0")
-    plan = cut(plan.select(F.col("doc_id").alias("__id"), F.posexplode(F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda j: j)).alias("__copy", "__j"),
-                           F.col("source_ordinal").alias("ordinal"), "begin", "source_size", F.round("target").cast("long").alias("__goal")))
-    plan = plan.select("__id", due((F.col("begin") + F.col("source_size") * F.col("__copy")) / F.col("__goal")).alias("__position"))
-    few = plan.count() <= BROADCAST_DOCS
-    rows = docs.join(F.broadcast(plan) if few else plan, F.col(id_col) == F.col("__id")).drop("__id")
-    return in_order(rows, "__position", id_col).select(*docs.columns)
+    row, tie = F.struct(*[F.col(c) for c in docs.columns]), F.xxhash64(text)
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text"), F.col(source).alias("__from"), row.alias("__row"), tie.alias("__tie"))
+    plan = mix(rows, "__id", "__text", "__from", extra=("__row", "__tie"), ties=("__tie",), **options).where("copies > 0")
+    plan = plan.select("*", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("__copy"), F.col("source_ordinal").alias("ordinal"))
+    at = due((F.col("begin") + F.col("source_size") * F.col("__copy")) / F.round("target").cast("long"))
+    return in_order(plan.select("__row", F.col("doc_id").alias("__id"), at.alias("__position")), "__position", "__id").select("__row.*")
 
 
 ORACLE = r"""

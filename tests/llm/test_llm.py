@@ -361,6 +361,21 @@ def test_mix(spark, seed):
     assert all(rows_of[r.doc_id] == r.copies for r in mixing.mix(once).collect())
 
 
+def test_curriculum_keeps_rows_of_null_and_repeated_ids(spark):
+    rows = [((None, 7, i)[i % 3], " ".join([f"w{i}"] * (1 + i % 4)), "ab"[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.curriculum(df)
+    assert got.columns == df.columns
+    got = got.collect()
+    want, copies = collections.Counter(), collections.Counter(r.text for r in got)
+    for r in mixing.mix(df, extra=("source", "text")).collect():
+        want[r.source] += r.taken
+    assert {(r.doc_id, r.text, r.source) for r in got} <= set(rows) and max(copies.values()) <= 2
+    for s, n in want.items():  # at most one document of a source is taken in part
+        assert n <= sum(len(r.text.split()) for r in got if r.source == s) < n + 4
+    assert any(r.doc_id is None for r in got)
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
