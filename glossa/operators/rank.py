@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossa.session import cut
+
+
+#: Rows chosen so far, in all groups, that may be broadcast to the candidates; more are joined by a shuffle.
+BROADCAST_CHOSEN = 10_000
+
 
 def relevance(tokens: Column, exact: Column, related: Column, context: Column, priority: Column, caption_only: Column) -> Column:
     """300, 200 or 30 by the best set of terms that tokens meet, 3 for each of up to nine terms, up to 5 for an
@@ -50,21 +55,28 @@ def greedy(score: np.ndarray, facet_sets: list[set], terms: list[set], k: int) -
     return chosen
 
 
-def diverse_top(df: DataFrame, group: str, id_col: str, score: str, facet_col: str, term_col: str, k: int = 20, pool: int = 200) -> DataFrame:
-    """W20 for each group: (group, id, pos). A group's candidates are first its `pool` best by score, so no group
-    reaches one task whole, however large."""
-    from pyspark.sql import Window as W
-
-    best = df.withColumn("__rn", F.row_number().over(W.partitionBy(group).orderBy(F.desc(score), id_col))).where(F.col("__rn") <= pool)
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__rn")
-        order = greedy(pdf[score].to_numpy(float), [set(x) for x in pdf[facet_col]], [set(x) for x in pdf[term_col]], k)
-        out = pdf.iloc[order]
-        return pd.DataFrame({group: out[group], id_col: out[id_col], "pos": np.arange(1, len(order) + 1, dtype=np.int32)})
-
-    return best.groupBy(group).applyInPandas(pick, f"{group} {kinds[group]}, {id_col} {kinds[id_col]}, pos int")
+def diverse_top(df: DataFrame, group: str, id_col: str, score: str, facet_col: str, term_col: str, k: int = 20) -> DataFrame:
+    """W20 for each group: (group, id, pos), chosen as greedy() does from all rows of the group, by score and id.
+
+    Each step is one partially aggregated minimum over all candidates, so no group reaches one task whole.
+    """
+    terms, facet_set = (F.array_distinct(F.coalesce(F.col(c), F.array())) for c in (term_col, facet_col))
+    rows = cut(df.select(F.col(group).alias("g"), F.col(id_col).alias("i"), F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))).alias("score"), facet_set.alias("f"), terms.alias("t"),
+                         F.array_join(F.array_sort(terms), "|").alias("sign"), F.monotonically_increasing_id().alias("row")))
+    chosen = None
+    for pos in range(1, k + 1):
+        now, value = rows, F.col("score") + 38 * F.size("f")
+        if chosen is not None:
+            state = chosen.groupBy(F.col("g").alias("of")).agg(F.collect_list("row").alias("rows"), F.collect_list("sign").alias("signs"), F.collect_list("t").alias("ts"), F.array_distinct(F.flatten(F.collect_list("f"))).alias("seen"))
+            few = chosen.count() <= BROADCAST_CHOSEN
+            now = rows.join(F.broadcast(state) if few else state, F.col("g").eqNullSafe(F.col("of"))).where(~F.array_contains("rows", F.col("row")))
+            now = now.withColumn("r", F.size(F.filter("signs", lambda x: x == F.col("sign")))).where("r < 2")
+            alike = F.array_max(F.transform("ts", lambda x: F.size(F.array_intersect("t", x)) / F.greatest(F.lit(1), F.size(F.array_union("t", x)))))
+            value = F.col("score") + 38 * F.size(F.array_except("f", "seen")) - F.least(F.lit(180), 18 * F.col("r") + 3 * F.col("r") * F.col("r")) - 30 * alike
+        best = now.groupBy("g").agg(F.min(F.struct((-value).alias("v"), (-F.col("score")).alias("s"), "i", "row", "t", "f", "sign")).alias("b"))
+        step = best.select("g", "b.i", "b.row", "b.t", "b.f", "b.sign", F.lit(pos).alias("pos"))
+        chosen = cut(step if chosen is None else chosen.unionByName(step))
+    return chosen.select(F.col("g").alias(group), F.col("i").alias(id_col), "pos")
 
 
 def overview(facet_sets: list[set], n: int = 3) -> list[int]:

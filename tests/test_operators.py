@@ -79,6 +79,16 @@ def test_greedy_prefers_new_facets_and_limits_signatures():
     assert rank.overview([{"a"}, {"a"}, {"b"}, {"a"}, {"c"}]) == [0, 2, 4]
 
 
+def test_diverse_top_weighs_all_rows_of_a_group(spark):
+    # 300 rows share the top score; rows of a lower one bring new facets
+    rows = [("a", i, 9.0, ["p"], [f"t{i % 150}", f"u{i % 7}"]) for i in range(300)] + [("a", 300 + i, 5.0, [f"f{i}", "p"], [f"v{i}"]) for i in range(4)] + [(None, 1, 2.0, [], [])]
+    df = spark.createDataFrame(rows, "g string, id long, score double, facets array<string>, terms array<string>")
+    got = [(r.g, r.id) for r in sorted(rank.diverse_top(df, "g", "id", "score", "facets", "terms", k=4).collect(), key=lambda r: (r.g is None, r.pos))]
+    order = rank.greedy([r[2] for r in rows[:-1]], [set(r[3]) for r in rows[:-1]], [set(r[4]) for r in rows[:-1]], 4)
+    assert got == [("a", i) for i in order] + [(None, 1)]
+    assert any(i >= 300 for i in order)
+
+
 def test_bisect_isolates_the_row_at_fault():
     def run(batch):
         if "bad" in batch:
