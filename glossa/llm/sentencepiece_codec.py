@@ -8,8 +8,14 @@ follows the piece before it the way the merges would have it: the pair, merged b
 must stay that pair. Exactly one piece at each position passes, and the path it leads back
 along is the merges' result.
 
+For a unigram model the best sum is taken in double precision; of equal sums the longest last
+piece wins, and a character of no piece costs UNKNOWN below the least score.
+
 Texts are cut where no piece can reach across (before a run of spaces that follows other
-characters, and at characters of no piece), and chunks that repeat are encoded once per task.
+characters, and, for BPE, at characters of no piece), and chunks that repeat are encoded once
+while they are remembered. What a worker remembers is bounded: CHUNKS short chunks, some 20 MB,
+dropped at the end of a task, and whether PAIRS pairs of pieces may stand side by side, some
+17 MB, which holds for every text of the vocabulary and stays.
 """
 
 from __future__ import annotations
@@ -28,7 +34,13 @@ from pyspark.sql import functions as F
 from glossa.llm.common import slabs, trim, whole_text
 
 SPACE = "▁"
-CACHE = 250_000
+#: Chunks of at most SHORT characters that a worker remembers, and pairs of pieces.
+CHUNKS, SHORT, PAIRS = 100_000, 64, 200_000
+#: How far below the least score of a unigram model an unknown character lies (a fixed value of the format).
+UNKNOWN = 10.0
+#: A state is a piece's number plus one, shifted by this, so that state + piece names a pair.
+_SHIFT = 20
+_NO_STATE = -(1 << 50)
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -89,15 +101,16 @@ class Codec:
         self.byte = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t == 6}
         self.id = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t == 1}
         self.auto = ahocorasick.Automaton()
-        # with each piece, what is known of the pieces before it: may it follow them (-1: the start, -2: no state)
         for p, i in self.id.items():
-            self.auto.add_word(p, (i, len(p), {-2: False}))
+            self.auto.add_word(p, (i, len(p)))
         self.auto.make_automaton()
         self.single = {p for p in self.id if len(p) == 1}
         inside = any(SPACE in p.lstrip(SPACE) for p in self.id)
         cut = "".join(c for c in "\n\t\r" if not any(c in p for p in self.id))
         self.chunks = re.compile("[\\s\\S]+" if inside else f"{SPACE}+[^{SPACE}{cut}]*|[^{SPACE}{cut}]+" + (f"|[{cut}]" if cut else "")).findall
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.pairs: dict[int, bool] = {}  # may a piece follow a state
+        self.least = min((self.scores[i] for i in self.id.values()), default=0.0)
         self.shown = [self._show(i) for i in range(len(self.pieces))]
 
     def _show(self, i: int) -> str | None:
@@ -127,49 +140,69 @@ class Codec:
         return self._merged("".join(want)) == want
 
     def _segment(self, s: str) -> list[int]:
-        """The pieces of a string all of whose characters are pieces."""
+        """The pieces of a string all of whose characters are pieces, the way the merges have it."""
         n = len(s)
-        last, start = [-2] * (n + 1), [0] * (n + 1)
-        last[0] = -1
-        if self.bpe:
-            follows, done = self._follows, -1
-            for end, (i, length, before) in self.auto.iter(s):
-                if end != done:  # the longest piece first; the rest are passed over once one fits
-                    p = last[end + 1 - length]
-                    ok = before.get(p)
-                    if ok is None:
-                        if len(before) > 4096:
-                            before.clear()
-                            before[-2] = False
-                        ok = before[p] = follows(p, i)
-                    if ok:
-                        last[end + 1], start[end + 1], done = i, end + 1 - length, end
-        else:
-            best = [-1e30] * (n + 1)
-            best[0] = 0.0
-            for end, (i, length, _) in self.auto.iter(s):
-                end += 1
+        last, start = [_NO_STATE] * (n + 1), [0] * (n + 1)
+        last[0], done, known = 0, -1, self.pairs
+        for end, (i, length) in self.auto.iter(s):
+            if end != done:  # the longest piece first; the rest are passed over once one fits
+                pair = last[end + 1 - length] + i
+                ok = known.get(pair)
+                if ok is None:
+                    if pair < 0:
+                        continue
+                    if len(known) >= PAIRS:
+                        known.clear()
+                    ok = known[pair] = self._follows((pair >> _SHIFT) - 1, i)
+                if ok:
+                    last[end + 1], start[end + 1], done = i + 1 << _SHIFT, end + 1 - length, end
+        out = []
+        while n:
+            out.append((last[n] >> _SHIFT) - 1)
+            n = start[n]
+        return out[::-1]
+
+    def _best(self, s: str) -> list[tuple[int, int, int]]:
+        """(piece, from, to) of the segmentation of the best score sum; unknown characters stand alone."""
+        n = len(s)
+        ends: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+        for end, found in self.auto.iter(s):
+            ends[end + 1].append(found)
+        best, last, start = [0.0] * (n + 1), [self.unk] * (n + 1), [0] * (n + 1)
+        for end in range(1, n + 1):
+            top = -float("inf")
+            for i, length in ends[end]:
                 score = best[end - length] + self.scores[i]
-                if score > best[end]:
-                    best[end], last[end], start[end] = score, i, end - length
+                if score > top:
+                    top, last[end], start[end] = score, i, end - length
+            if s[end - 1] not in self.single and best[end - 1] + self.least - UNKNOWN > top:
+                top, last[end], start[end] = best[end - 1] + self.least - UNKNOWN, self.unk, end - 1
+            best[end] = top
         out = []
         while n:
-            out.append(last[n])
+            out.append((last[n], start[n], n))
             n = start[n]
         return out[::-1]
 
+    def _unknown(self, c: str) -> list[int]:
+        return [self.byte[b] for b in c.encode("utf-8", "surrogatepass")] if self.byte else [self.unk]
+
     def _chunk(self, s: str) -> tuple[int, ...]:
         out: list[int] = []
-        if self.single.issuperset(s):
-            return tuple(self._segment(s))
-        run = 0
-        for k, c in enumerate([*s, None]):
-            if c is None or c not in self.single:
-                if k > run:
-                    out += self._segment(s[run:k])
-                if c is not None:
-                    out += [self.byte[b] for b in c.encode("utf-8", "surrogatepass")] if self.byte else [self.unk]
-                run = k + 1
+        if not self.bpe:
+            for i, a, b in self._best(s):
+                out += self._unknown(s[a:b]) if i == self.unk else [i]
+        elif self.single.issuperset(s):
+            out = self._segment(s)
+        else:
+            run = 0
+            for k, c in enumerate([*s, None]):
+                if c is None or c not in self.single:
+                    if k > run:
+                        out += self._segment(s[run:k])
+                    if c is not None:
+                        out += self._unknown(c)
+                    run = k + 1
         return tuple(out)
 
     def encode(self, text: str) -> list[int]:
@@ -180,17 +213,23 @@ class Codec:
             return []
         chunks = self.chunks((SPACE if self.prefix else "") + text.replace(" ", SPACE))
         cache = self.cache
-        for c in set(chunks).difference(cache):
+        distinct = set(chunks)
+        for c in distinct.difference(cache):
             cache[c] = self._chunk(c)
         out = list(chain.from_iterable(map(cache.__getitem__, chunks)))
-        if len(cache) > CACHE:
-            for c in list(islice(cache, CACHE // 2)):  # the older half; what is common comes back at once
+        for c in distinct:
+            if len(c) > SHORT:
+                del cache[c]
+        if len(cache) > CHUNKS:
+            for c in list(islice(cache, len(cache) - CHUNKS // 2)):  # the older ones; what is common comes back at once
                 del cache[c]
+        if not self.byte:  # neighbouring unknown characters are one piece
+            out = [i for k, i in enumerate(out) if i != self.unk or not k or out[k - 1] != i]
         return out
 
     def forget(self) -> None:
         """At the end of a task: the worker lives on, its chunks need not."""
-        self.cache.clear()
+        self.cache = {}
         trim()
 
     def decode(self, ids) -> str:
