@@ -18,7 +18,9 @@ another: if a window is repeated, the bytes around its anchor agree over one of
 that leave out less than a window's CORES-th part.
 
 A core that more than HOT distinct contexts share is not sorted in one piece: windows over it
-are compared by hash, split over tasks by hash range, which is the exact way at any size.
+are compared by hash, split over tasks by hash range, which is the exact way at any size. Up to
+FEW_PARTS such ranges, each gets the contexts' bytes; beyond it, contexts are cut to windows
+first and only the windows of a range move to it, so what moves grows with the windows alone.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -39,13 +40,17 @@ from glossa.session import cut
 LENGTH = 400
 GRAM = 96
 #: Bytes of text in a block; anchors and context bytes that one owner should hold.
-BLOCK_BYTES, OWNER_ANCHORS = 10_000_000, 1_000_000
+BLOCK_BYTES, OWNER_ANCHORS = 10_000_000, 200_000
+#: Asks for contexts in a row, about 1 MB.
+ASK_ROWS = 20_000
 #: Ids of documents whose contexts are asked for (16 bytes each) are broadcast up to this many.
 BROADCAST_ROWS = 2_000_000
 #: Stretches around an anchor, one of which any two places of a repeated window share whole.
 CORES = 4
 #: Contexts of one core up to which they are sorted as one text; windows that one task compares beyond that; bytes sorted at a time.
-HOT, HOT_CONTEXTS, SORT_BYTES = 1500, 200_000, 700_000
+HOT, HOT_WINDOWS, SORT_BYTES = 1500, 600_000, 700_000
+#: Ranges of one core's windows up to which each gets the contexts' bytes.
+FEW_PARTS = 4
 _U = np.uint64
 
 
@@ -256,36 +261,54 @@ def _blocks(length: int, gram: int, owners: int):
     return run
 
 
-def _own(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _by_owner(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """Rows of each owner; they come sorted by owner."""
+    held: list[dict] = []
+    for r in each_row(batches):
+        if held and held[0]["owner"] != r["owner"]:
+            yield held[0]["owner"], held
+            held = []
+        held.append(r)
+    if held:
+        yield held[0]["owner"], held
+
+
+def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each entry of each block: 1 if its whole context occurs twice, else 0 (kind 0). And asks (kind 1): one
-    place of each distinct context that shares a core with another, once for each core."""
-    lists = [unpack(x).reshape(4, -1) for x in pdf["wide"]]
-    size = [x.shape[1] for x in lists]
-    wide = np.concatenate(lists, axis=1)
-    narrow = np.concatenate([unpack(x).reshape(2 + CORES, -1) for x in pdf["narrow"]], axis=1)
-    by = np.lexsort((wide[1], wide[0]))
-    h, ctx = wide[0][by], wide[1][by]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])])
-    first = np.flatnonzero(new)
-    total = np.add.reduceat(narrow[0][by].astype(np.int64), first)
-    answer = np.empty(len(h), np.uint8)
-    answer[by] = (total[np.cumsum(new) - 1] > 1).astype(np.uint8)
-    rows = [(0, b, pack(a)) for b, a in zip(pdf["block"], np.split(answer, np.cumsum(size)[:-1])) if a.any()]
-    one = by[first]
-    asks = []
-    for k in range(CORES):
-        core = narrow[2 + k][one]
-        name = mix(wide[0][one] + (core.astype(_U) << _U(3) | _U(k)))
-        _, group, count = np.unique(name, return_inverse=True, return_counts=True)
-        use = (core > 0) & (count[group] > 1)
-        i = np.flatnonzero(use)
-        asks.append(np.stack([name[i], wide[2][one[i]], wide[3][one[i]], narrow[1][one[i]].astype(_U), np.full(len(i), k, _U), count[group[i]].astype(_U)]))
-    asks = np.concatenate(asks, axis=1)
-    if asks.shape[1]:
-        rows.append((1, None, pack(asks.ravel())))
-    out = pd.DataFrame(rows, columns=["kind", "block", "payload"])
-    out["owner"] = int(key[0])
-    return out[["owner", "kind", "block", "payload"]]
+    place of each distinct context that shares a core with another, once for each core; ASK_ROWS in a row."""
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["owner", "kind", "block", "payload"])
+
+    for owner, rows in _by_owner(batches):
+        wide = lambda i: np.concatenate([unpack(r["wide"]).reshape(4, -1)[i] for r in rows])  # noqa: B023, E731
+        narrow = lambda i: np.concatenate([unpack(r["narrow"]).reshape(2 + CORES, -1)[i] for r in rows])  # noqa: B023, E731
+        size = [(len(r["wide"]) - 1) // 32 for r in rows]
+        h, ctx = wide(0), wide(1)
+        by = np.lexsort((ctx, h))
+        h, ctx = h[by], ctx[by]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])])
+        first = np.flatnonzero(new)
+        total = np.add.reduceat(narrow(0)[by].astype(np.int64), first)
+        answer = np.empty(len(h), np.uint8)
+        answer[by] = (total[np.cumsum(new) - 1] > 1).astype(np.uint8)
+        told = [(owner, 0, r["block"], pack(a)) for r, a in zip(rows, np.split(answer, np.cumsum(size)[:-1])) if a.any()]
+        if told:
+            yield batch(told)
+        one, h = by[first], h[first]
+        del ctx, by, new, total, answer, told
+        doc, key, pos = wide(2)[one], wide(3)[one], narrow(1)[one]
+        for k in range(CORES):
+            core = narrow(2 + k)[one]
+            name = mix(h + (core.astype(_U) << _U(3) | _U(k)))
+            _, group, count = np.unique(name, return_inverse=True, return_counts=True)
+            i = np.flatnonzero((core > 0) & (count[group] > 1))
+            for lo in range(0, len(i), ASK_ROWS):
+                j = i[lo : lo + ASK_ROWS]
+                asks = np.stack([name[j], doc[j], key[j], pos[j].astype(_U), np.full(len(j), k, _U), count[group[j]].astype(_U)])
+                yield batch([(owner, 1, None, pack(asks.ravel()))])
+    trim()
 
 
 def _twice(length: int, gram: int):
@@ -322,36 +345,72 @@ def _asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(doc[first].view(np.int64)), pa.array(key[first].view(np.int64)), pa.array(asks, pa.binary())], ["doc_id", "key", "asks"])
 
 
-def _cut_out(length: int, gram: int, hot: int):
-    """The bytes of the contexts asked for, by core; those of a core with many contexts go to several tasks."""
-    names = ["core", "part", "parts", "k", "doc_id", "key", "pos", "from", "bytes"]
-    types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+def _windows(pos: np.ndarray, k: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last start of windows over the core, in a text of which the bytes from begin to end are there."""
+    left, right = (x[k, np.arange(len(k))] for x in core_spans(pos, length, gram))
+    low = np.maximum(right - length, begin)
+    return low, np.maximum(np.minimum(left, end - length), low)
+
+
+def _cut_out(length: int, gram: int, hot: int, few: int):
+    """The bytes of the contexts asked for, by core; those of a core with many contexts go to several tasks, and
+    beyond `few` tasks as windows: rows without bytes, with packed hashes, numbers of contexts, and starts."""
+    names = ["core", "part", "parts", "k", "doc_id", "key", "pos", "from", "bytes", "windows"]
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    over = length - gram - (CORES - 1) * ((length - gram) // CORES) + 1  # windows over a core
+
+    def cut_windows(rows: list[tuple]) -> Iterator[tuple]:
+        core, _, parts, k, doc, key, pos, begin, raw, _ = zip(*rows)
+        k, pos, begin = (np.array(x, np.int64) for x in (k, pos, begin))
+        size = np.array([len(x) for x in raw])
+        low, high = _windows(pos, k, begin, begin + size, length, gram)
+        row, place = ragged(np.where(size >= length, high - low + 1, 0))
+        start = low[row] + place
+        at = start - begin[row] + (np.cumsum(size) - size)[row]
+        h = span_hash(np.frombuffer(b"".join(raw), np.uint8), at, at + length)
+        core, parts = np.array(core, np.int64)[row], np.array(parts, np.int64)[row]
+        part = (h % parts.astype(_U)).astype(np.int64)
+        by = np.lexsort((part, core))
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(core[by]) != 0) | (np.diff(part[by]) != 0)])) if len(by) else []
+        for a, b in zip(new, np.append(new[1:], len(by)).astype(int)):
+            w = by[a:b]
+            docs, nth = np.unique(row[w], return_inverse=True)
+            ids = np.array([[doc[i], key[i]] for i in docs.tolist()], np.int64).T
+            packed = pack(np.concatenate([[len(docs)], ids.ravel(), h[w].view(np.int64), nth, start[w]]).astype(np.int64))
+            yield int(core[w[0]]), int(part[w[0]]), int(parts[w[0]]), None, None, None, None, None, None, packed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            cols = list(zip(*out))
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
-
-        for b in batches:
-            for doc, key, text, asks in zip(*[b.column(c).to_pylist() for c in ("doc_id", "key", "text", "asks")]):
-                raw = text.encode("utf-8", "surrogatepass")
-                for x in asks:
-                    name, pos, k, count = unpack(x).reshape(4, -1)
-                    k = k.astype(np.int64)
-                    left, right = (v[k, np.arange(len(k))] for v in core_spans(pos.astype(np.int64), length, gram))
-                    low, high = np.maximum(right - length, 0), np.minimum(left + length, len(raw))
-                    for c, p, i, n, a, e in zip(*[v.tolist() for v in (name.view(np.int64), pos, k, count, low, high)]):
-                        parts = 0 if n <= hot else -(-n // HOT_CONTEXTS)
-                        for part in range(max(parts, 1)):
-                            out.append((c, part, parts, i, doc, key, p, a, raw[a:e]))
-                if len(out) > 3000:
-                    yield flush()
-        if out:
-            yield flush()
-        trim()
+        many: list[tuple] = []
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            if len(many) > (0 if last else 3000):
+                out.extend(cut_windows(many))
+                many.clear()
+            if len(out) > (0 if last else 3000):
+                cols = list(zip(*out))
+                out.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                b = whole.slice(lo, 500)
+                for doc, key, text, asks in zip(*[b.column(c).to_pylist() for c in ("doc_id", "key", "text", "asks")]):
+                    raw = text.encode("utf-8", "surrogatepass")
+                    for x in asks:
+                        name, pos, k, count = unpack(x).reshape(4, -1)
+                        k = k.astype(np.int64)
+                        left, right = (v[k, np.arange(len(k))] for v in core_spans(pos.astype(np.int64), length, gram))
+                        low, high = np.maximum(right - length, 0), np.minimum(left + length, len(raw))
+                        for c, p, i, n, a, e in zip(*[v.tolist() for v in (name.view(np.int64), pos, k, count, low, high)]):
+                            parts = 0 if n <= hot else -(-n * over // HOT_WINDOWS)
+                            if parts > few:
+                                many.append((c, 0, parts, i, doc, key, p, a, raw[a:e], None))
+                            else:
+                                out.extend((c, part, parts, i, doc, key, p, a, raw[a:e], None) for part in range(max(parts, 1)))
+                    yield from flush(False)
+            trim()
+        yield from flush(True)
 
     return run
 
@@ -380,12 +439,18 @@ def _compare(length: int, gram: int):
         """The first and the last start of windows over the core, in the document; where pieces begin and how long they are."""
         size = np.array([len(x) for x in part["bytes"].to_pylist()])
         begin, pos, k = (part[c].to_numpy().astype(np.int64) for c in ("from", "pos", "k"))
-        left, right = (x[k, np.arange(len(k))] for x in core_spans(pos, length, gram))
-        low = np.maximum(right - length, begin)
-        return low, np.maximum(np.minimum(left, begin + size - length), low), begin, size
+        return *_windows(pos, k, begin, begin + size, length, gram), begin, size
 
     def hashes(part: pa.Table) -> tuple[np.ndarray, ...]:
         """Windows over the core that fall to this part: hash, document, start."""
+        if part["windows"].null_count < part.num_rows:
+            found = []
+            for raw in part["windows"].to_pylist():
+                x = unpack(raw)
+                n = int(x[0])
+                (doc, key), (h, nth, start) = x[1 : 1 + 2 * n].reshape(2, -1), x[1 + 2 * n :].reshape(3, -1)
+                found.append((h.view(_U), doc[nth], key[nth], start))
+            return tuple(np.concatenate(c) for c in zip(*found))
         data = np.frombuffer(b"".join(part["bytes"].to_pylist()), np.uint8)
         low, high, begin, size = windows(part)
         parts, mine = (part[c].to_numpy().astype(np.int64) for c in ("parts", "part"))
@@ -413,8 +478,8 @@ def _compare(length: int, gram: int):
         seen: list[tuple] = []  # windows of the core that is compared by hash
         core = None
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                t = pa.Table.from_batches([batch.slice(lo, 2000)])
+            for lo in range(0, batch.num_rows, 500):
+                t = pa.Table.from_batches([batch.slice(lo, 500)])
                 hot = t["parts"].to_numpy() > 0
                 names = t["core"].to_numpy()
                 for at in _runs(names, hot, t["part"].to_numpy()):
@@ -439,6 +504,7 @@ def _compare(length: int, gram: int):
             yield match(seen)
         if held is not None:
             yield sort(held.combine_chunks())
+        trim()
 
     return run
 
@@ -480,7 +546,8 @@ def _union(spans: list[bytes] | None, size: int) -> list[tuple[int, int]]:
     return list(zip(a[first].tolist(), e[last].tolist()))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, keep_bytes: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, few_parts: int = FEW_PARTS,
+                   keep_bytes: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and `kept`, what is left).
 
     Every byte in a window of `length` bytes that starts anywhere else too goes, in all its
@@ -496,14 +563,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     owners = int(min(1 << 20, max(tasks_for(spark), total * 2 // (length - gram + 2) // OWNER_ANCHORS + 1)))
     blocks = cut(source.mapInArrow(_blocks(length, gram, owners), "owner int, block long, wide binary, narrow binary, doc binary, at binary"))
-    owned = cut(blocks.select("owner", "block", "wide", "narrow").groupBy("owner").applyInPandas(_own, "owner int, kind int, block long, payload binary"))
+    sent = blocks.select("owner", "block", "wide", "narrow").repartition(owners, "owner").sortWithinPartitions("owner", "block")
+    owned = cut(sent.mapInArrow(_own, "owner int, kind int, block long, payload binary"))
     twice = blocks.select("owner", "block", "doc", "at").join(owned.where("kind = 0").select("owner", "block", "payload"), ["owner", "block"])
     spans = twice.mapInArrow(_twice(length, gram), "doc_id long, key long, spans binary")
     # contexts that share a core with a different one
     asks = cut(owned.where("kind = 1").select("payload").mapInArrow(_asks, "doc_id long, key long, asks binary").groupBy("doc_id", "key").agg(F.collect_list("asks").alias("asks")))
     few = asks.count() <= BROADCAST_ROWS
     one = source.join(F.broadcast(asks.select("doc_id", "key")) if few else asks.select("doc_id", "key"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
-    pieces = one.join(asks, ["doc_id", "key"]).mapInArrow(_cut_out(length, gram, hot), "core long, part int, parts int, k int, doc_id long, key long, pos long, from long, bytes binary")
+    pieces = one.join(asks, ["doc_id", "key"]).mapInArrow(_cut_out(length, gram, hot, few_parts), "core long, part int, parts int, k int, doc_id long, key long, pos long, from long, bytes binary, windows binary")
     by_core = pieces.repartition(max(owners, tasks_for(spark)), "core", "part").sortWithinPartitions("core", "part")
     spans = spans.union(by_core.mapInArrow(_compare(length, gram), "doc_id long, key long, spans binary"))
     by_doc = cut(spans.groupBy("doc_id", "key").agg(F.collect_list("spans").alias("spans")))

@@ -153,15 +153,43 @@ def test_pieces_are_the_librarys(spark):
     assert len(got) == len(rows) and all(r.round_trip == ("▁" not in (dict(rows)[r.doc_id] or "")) for r in got) and [r.n_pieces for r in got if r.doc_id == -1] == [0, 0]
 
 
-def test_unigram_viterbi_takes_the_best_score():
-    c = sentencepiece_codec.Codec.__new__(sentencepiece_codec.Codec)
-    import ahocorasick
+def unigram_model(pieces, byte_fallback=False):
+    """A model file by hand: pieces with scores, the identity normaliser, no training."""
+    import struct
 
-    c.bpe, c.scores, c.auto = False, [-1.0, -1.0, -1.5, -9.0], ahocorasick.Automaton()
-    for i, p in enumerate(["a", "b", "ab", "abb"]):
-        c.auto.add_word(p, (i, len(p), {}))
-    c.auto.make_automaton()
-    assert c._segment("abb") == [2, 1]
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def part(number, raw):
+        return varint(number << 3 | 2) + varint(len(raw)) + raw
+
+    out = b""
+    special = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256 if byte_fallback else 0)]
+    for p, s, t in special + [(p, s, 1) for p, s in pieces]:
+        out += part(1, part(1, p.encode()) + varint(2 << 3 | 5) + struct.pack("<f", s) + varint(3 << 3) + varint(t))
+    out += part(2, varint(3 << 3) + varint(1) + varint(35 << 3) + varint(int(byte_fallback)))
+    return out + part(3, part(1, b"identity") + varint(3 << 3) + varint(1) + varint(4 << 3) + varint(1))
+
+
+@pytest.mark.parametrize("byte_fallback", [False, True])
+def test_unigram_pieces_are_the_librarys(tmp_path, byte_fallback):
+    import sentencepiece
+
+    rng = random.Random(6)
+    pieces = {c: -rng.randint(40, 60) / 8 for c in "abde" + sentencepiece_codec.SPACE}  # eighths: sums are exact in any precision; no c
+    while len(pieces) < 120:
+        pieces.setdefault(("" if rng.random() < 0.6 else sentencepiece_codec.SPACE) + "".join(rng.choice("abcde") for _ in range(rng.randint(1, 5))), -rng.randint(20, 90) / 8)
+    del pieces["c"]
+    path = str(tmp_path / "unigram.model")
+    with open(path, "wb") as f:
+        f.write(unigram_model(pieces.items(), byte_fallback))
+    library, codec = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.Codec(path)
+    assert not codec.bpe
+    texts = ["".join(rng.choice("abcde  xé") for _ in range(rng.randint(0, 60))) for _ in range(400)] + ["", " ", "ccc", "xxé", "abcde" * 200]
+    assert [codec.encode(t) for t in texts] == library.encode(texts)
 
 
 def test_token_counts_are_the_librarys(spark):
@@ -216,11 +244,11 @@ def brute_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [1500, 1])
-def test_repeats_match_brute_force(spark, hot):
+@pytest.mark.parametrize("hot, few", [(1500, 4), (1, 4), (1, 0)])
+def test_repeats_match_brute_force(spark, hot, few):
     rng = random.Random(3)
     rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randint(0, 60)))) for i in range(40)] + [(100, "x" * 200), (101, None), (102, ""), (None, "éàü" * 20), (100, "x" * 200)]
-    got = suffix_dedup.remove_repeats(frame(spark, rows), length=20, gram=8, hot=hot, keep_bytes=True).collect()
+    got = suffix_dedup.remove_repeats(frame(spark, rows), length=20, gram=8, hot=hot, few_parts=few, keep_bytes=True).collect()
     assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats([(i, (t or "").encode()) for i, t in rows], 20)
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
 
