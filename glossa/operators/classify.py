@@ -1,54 +1,147 @@
-"""Rule packs: ordered rules over normalised text, as tables of data."""
+"""What a gloss shows, and the query for a picture of it: rule packs as lookups, the first rule that meets decides.
+
+Families, domains, actions and nouns are tables (`packs`); a rule is a name, a condition over
+the normalised phrase, and what it makes. Adding words is adding rows, not code.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.functions.text import participle, visual_meaning
+from glossa.functions.text import participle, squeeze, without_parentheses
+from glossa.operators import packs
+
+_END = "(?![A-Za-z0-9_])"
+_START = "(?<![A-Za-z0-9_])"
+
+
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    """table[key], null if it is not there."""
+    pairs = [F.lit(x) for kv in table.items() for x in kv]
+    return F.element_at(F.create_map(*pairs), key)
+
+
+_FAMILY_OF = {word: name for name, (_, _, _, words) in packs.FAMILIES.items() for word in words} | packs.FAMILY_PHRASES
+_DOMAIN_OF = {word: name for name, (_, words) in packs.DOMAINS.items() for word in words}
+
+
+def phrase(meaning: Column) -> Column:
+    """The phrase that rules look at: no notes, labels, annotations or leading article, the first alternative, in lower case; null if nothing is left."""
+    text = F.regexp_replace(meaning, "[‘’]", "'")
+    text = F.regexp_replace(text, r"(?i)^\s*(?:(?:fig|lit|coll|colloq|arch|dial)\.\s*|(?:figurative(?:ly)?|literal(?:ly)?|idiom|literary|classical)\s*:\s*)+", "")
+    text = F.regexp_replace(F.regexp_replace(without_parentheses(text), r"\[[^\]]*\]", " "), r"\bCL:.*$", "")
+    text = F.trim(F.regexp_extract(text, "^([^;/,]*)", 1))
+    text = squeeze(F.lower(F.regexp_replace(text, "(?i)^(?:a|an|the) ", "")))
+    return F.when(text.rlike("[a-z]") & ~text.rlike(r"[^a-z0-9\s'.:-]"), text)
+
+
+def exclusion(meaning: Column, part_of_speech: Column) -> Column:
+    """Why a gloss gets no picture, null if it may: metadata, barred, grammar."""
+    low = F.lower(F.trim(meaning))
+    return (
+        F.when(low.rlike(r"^(?:cl:|see" + _END + "|(?:old )?variant of" + _END + r"|abbr\.|abbreviation|used (?:as|in|to)|a (?:particle|suffix|prefix)|grammatical)"), "metadata")
+        .when(low.rlike(f"{_START}(?:{packs.BARRED_WORDS}){_END}") | low.rlike(r"\((?:euph|derog)\.?\)"), "barred")
+        .when(F.coalesce(F.lower(part_of_speech), F.lit("")).rlike("^(?:particle|conjunction|preposition|pronoun|determiner|auxiliary|connector)" + _END), "grammar")
+        .when(low.rlike(rf"^(?:(?:{packs.GRAMMAR_STARTS}){_END}.*|(?:{packs.GRAMMAR_WORDS}))$"), "grammar")
+        .when(low.rlike(r"\([^)]*(?:particle|suffix|prefix|action marker|modal marker|discourse connector)[^)]*\)"), "grammar")
+    )
+
+
+def verb_of(words: Column, verbs: Column) -> Column:
+    """The verb a phrase begins with, as its root, if verbs has it: as it stands, or from its -ing form; null without one."""
+    first = F.get(F.split(F.regexp_replace(words, "^to ", ""), " "), F.lit(0))
+    stem = F.when(first.endswith("ing"), F.regexp_replace(first, "ing$", ""))
+    roots = F.array_compact(F.array(stem, F.concat(stem, F.lit("e")), F.regexp_replace(stem, ".$", "")))
+    known = F.filter(roots, lambda v: F.array_contains(verbs, v) & (participle(v) == first))
+    return F.when(F.array_contains(verbs, first), first).otherwise(F.get(known, F.lit(0)))
+
+
+def noun_of(words: Column, nouns: Column) -> Column:
+    """The category of a noun phrase: of the whole, else of its last word or that word's singular, in phrases of five words and without a preposition."""
+    head = F.element_at(F.split(words, " "), -1)
+    one = F.when(head.endswith("ies"), F.regexp_replace(head, "ies$", "y")).when(head.endswith("s"), F.regexp_replace(head, "s$", ""))
+    short = (F.size(F.split(words, " ")) <= 5) & ~words.rlike(f"{_START}(?:of|for|that|which|with|without|by|at|as|from){_END}")
+    return F.coalesce(F.element_at(nouns, words), F.when(short, F.coalesce(F.element_at(nouns, head), F.element_at(nouns, one))))
 
 
 @dataclass(frozen=True)
-class Rule:
-    """If pattern meets the meaning: what kind of picture, and the query (`$1` and so on from the pattern)."""
-
-    kind: str
-    pattern: str
-    query: str
-
-
-#: A general pack; a domain adds its own rules before these.
-RULES = (
-    Rule("action", r"^(?:quickly |slowly )?(eat|run|read|write|walk|swim|sing|teach|learn|help)(?: .*)?$", "person $1"),
-    Rule("emotion", r"\b(happy|sad|angry|afraid|surprised|proud)\b", "$1 person"),
-    Rule("weather", r"\b(rain|snow|storm|wind|fog)\b", "$1 weather"),
-    Rule("animal", r"\b(dog|cat|bird|fish|horse|tiger)\b", "$1"),
-    Rule("food", r"\b(rice|bread|fruit|apple|tea|soup)\b", "$1 food"),
-    Rule("place", r"\b(school|market|hospital|river|mountain|city)\b", "$1"),
-    Rule("material", r"\b(steel|metal|brass|tin|wood|plastic)\b", "$1 material"),
-)
-
-
-def classify(meaning: Column, rules: tuple[Rule, ...] = RULES, plan_source: str = "rules") -> Column:
-    """Struct (kind, query, source) of the first rule that meets; null if none does."""
-    text = visual_meaning(meaning)
-    cases = None
-    for r in rules:
-        subject = F.regexp_extract(text, r.pattern, 1)
-        shown = F.when(F.lit(r.kind == "action"), participle(subject)).otherwise(subject)
-        parts = r.query.split("$1")
-        made = F.struct(F.lit(r.kind).alias("kind"), F.concat(F.lit(parts[0]), shown, F.lit(parts[1] if len(parts) > 1 else "")).alias("query"), F.lit(plan_source).alias("source"))
-        cases = F.when(text.rlike(r.pattern), made) if cases is None else cases.when(text.rlike(r.pattern), made)
+class Made:
+    kind: Column
+    subject: Column
+    query: Column
+    fallback: Column
+    domain: Column
+
+
+def _struct(rule: str, m: Made) -> Column:
+    cut = lambda c: F.substring(squeeze(c), 1, 100)
+    return F.struct(F.lit(rule).alias("rule"), m.kind.cast("string").alias("kind"), m.subject.cast("string").alias("subject"), cut(m.query).alias("query"), cut(m.fallback).alias("fallback"), m.domain.cast("string").alias("domain"))
+
+
+def rules(words: Column, part_of_speech: Column, verbs: Column, nouns: Column) -> list[tuple[str, Column, Made]]:
+    """(name, condition, what it makes) in order."""
+    none = F.lit(None).cast("string")
+    plain = F.regexp_replace(words, "^to ", "")
+    state = F.regexp_replace(F.regexp_replace(plain, "^(?:be|being|feel|feeling|get|getting|become|becoming|look|looking|seem|seeming) ", ""), "^(?:very|deeply|extremely|really|utterly|completely) ", "")
+    family = _lookup(_FAMILY_OF, F.regexp_replace(state, "-", " "))
+    of = lambda i: _lookup({name: row[i] for name, row in packs.FAMILIES.items()}, family)
+    domain = _lookup(_DOMAIN_OF, plain)
+    shown = F.coalesce(_lookup(packs.ACTION_PHRASES, plain), verb_of(words, verbs))
+    verb = F.coalesce(_lookup(packs.SHOWN_AS, shown), shown)
+    acts = words.startswith("to ") | F.coalesce(F.lower(part_of_speech), F.lit("")).rlike("^v(?:erb)?" + _END) | (F.element_at(nouns, words).isNull() & ((plain == shown) | words.rlike("^[a-z]+ing(?: |$)"))) | _lookup(packs.ACTION_PHRASES, plain).isNotNull()
+    doing = F.concat(F.lit("person "), participle(verb))
+    particle = F.regexp_extract(plain, "^[a-z]+ (away|up|down|out|in|off|over|back)$", 1)
+    subject = F.trim(F.concat_ws(" ", doing, particle))
+    category = noun_of(words, nouns)
+    concept = Made(F.lit("conceptual"), plain, F.concat(plain, F.lit(" concept")), plain, F.coalesce(F.regexp_replace(category, "^concept:", ""), F.lit("general")))
+    return [
+        ("state", family.isNotNull(), Made(of(0), of(2), of(1), of(2), none)),
+        ("domain", domain.isNotNull(), Made(F.lit("conceptual"), plain, _lookup({n: q for n, (q, _) in packs.DOMAINS.items()}, domain), plain, domain)),
+        ("barred-verb", acts & F.coalesce(verb, F.get(F.split(plain, " "), F.lit(0))).isin(*packs.BARRED_VERBS), Made(none, none, none, none, none)),
+        ("concept-verb", acts & (verb.isNull() | verb.isin(*packs.CONCEPT_VERBS)), concept),
+        ("action", acts, Made(F.lit("action"), subject, F.concat_ws(" ", subject, _lookup(packs.ACTION_CONTEXT, verb)), subject, none)),
+        ("colour", words.rlike(f"^(?:{packs.COLOURS})$"), Made(F.lit("property"), F.concat(words, F.lit(" color")), F.concat(words, F.lit(" color objects")), words, none)),
+        ("noun", category.isNotNull() & ~category.startswith("concept:"), Made(category, words, F.concat_ws(" ", words, F.coalesce(_lookup(packs.NOUN_CONTEXT, category), F.lit("object"))), words, none)),
+        ("concept", F.lit(True), concept),
+    ]
+
+
+def _lexicon(verbs: Column | None, nouns: Column | None) -> tuple[Column, Column]:
+    return (F.array().cast("array<string>") if verbs is None else verbs), (F.create_map().cast("map<string,string>") if nouns is None else nouns)
+
+
+def classify(meaning: Column, part_of_speech: Column | None = None, verbs: Column | None = None, nouns: Column | None = None) -> Column:
+    """Struct (rule, kind, subject, query, fallback, domain) of the first rule that meets; null for an excluded or empty gloss.
+
+    verbs: an array of known verbs; nouns: a map of nouns to categories (`lexicon`).
+    """
+    pos = F.lit(None).cast("string") if part_of_speech is None else part_of_speech
+    words = phrase(meaning)
+    cases = F.when(exclusion(meaning, pos).isNotNull() | words.isNull(), None)
+    for name, holds, made in rules(words, pos, *_lexicon(verbs, nouns)):
+        cases = cases.when(F.coalesce(holds, F.lit(False)), F.when(F.lit(name != "barred-verb"), _struct(name, made)))
     return cases
 
 
-def diagnose(meaning: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """Struct of the steps that lead to a plan: the text that rules see, all rules that meet, and the first one's plan."""
-    text = visual_meaning(meaning)
-    met = F.array_compact(F.array(*[F.when(text.rlike(r.pattern), F.lit(r.kind)) for r in rules]))
-    return F.struct(text.alias("text"), met.alias("met"), classify(meaning, rules).alias("plan"))
+def lexicon(packed: DataFrame, category: str, words: str) -> DataFrame:
+    """One row (verbs, nouns) from rows of a category and its words joined by `|`: the array of the category
+    `verb`, and the map of all other words to their category, the first by name if a word has several."""
+    each = packed.select(F.col(category).alias("c"), F.explode(F.split(words, r"\|")).alias("w")).where("w <> ''")
+    one = each.where("c <> 'verb'").groupBy("w").agg(F.min("c").alias("c"))
+    nouns = one.agg(F.map_from_entries(F.coalesce(F.collect_list(F.struct("w", "c")), F.array())).alias("nouns"))
+    verbs = each.where("c = 'verb'").agg(F.array_sort(F.collect_set("w")).alias("verbs"))
+    return verbs.crossJoin(nouns)  # one row by one row
+
+
+def diagnose(meaning: Column, part_of_speech: Column | None = None, verbs: Column | None = None, nouns: Column | None = None) -> Column:
+    """Struct of the steps to a plan: why the gloss is excluded, the phrase, all rules that meet, and the plan."""
+    pos = F.lit(None).cast("string") if part_of_speech is None else part_of_speech
+    words = phrase(meaning)
+    met = F.array_compact(F.array(*[F.when(F.coalesce(holds, F.lit(False)), F.lit(name)) for name, holds, _ in rules(words, pos, *_lexicon(verbs, nouns))]))
+    return F.struct(exclusion(meaning, pos).alias("excluded"), words.alias("text"), met.alias("met"), classify(meaning, pos, verbs, nouns).alias("plan"))
 
 
 def search_plan(kind: Column, query: Column, fallback: Column) -> Column:

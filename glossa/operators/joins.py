@@ -67,3 +67,18 @@ def zip_by_ordinal(left: DataFrame, right: DataFrame, ordinal: str, key: str) ->
     """Rows joined by position; `aligned` tells whether their keys agree."""
     r = right.select(ordinal, *[F.col(c).alias(f"r_{c}") for c in right.columns if c != ordinal])
     return left.join(r, ordinal).withColumn("aligned", F.col(key).eqNullSafe(F.col(f"r_{key}")))
+
+
+def ordered_digest(df: DataFrame, key: str, line: str, fanout: int = 1000) -> DataFrame:
+    """One row (digest, rows_): SHA-256 over the lines in key order, as a tree of two levels of `fanout` keys each.
+
+    Keys are integers from 0 on. A task joins the lines of `fanout` keys, so no task sees the table whole;
+    the root joins one digest for each fanout * fanout keys.
+    """
+    level = df.select(F.floor(F.col(key) / fanout).alias("k"), F.col(key).alias("i"), F.col(line).alias("s"), F.lit(1).alias("n"))
+    for up in (fanout, None):
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda r: r["s"]), "\n")
+        level = level.groupBy("k").agg(F.sha2(text, 256).alias("s"), F.sum("n").alias("n"))
+        level = level.select(F.floor(F.col("k") / up).alias("k") if up else F.lit(0).alias("k"), F.col("k").alias("i"), "s", "n")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda r: r["s"]), "\n")
+    return level.agg(F.sha2(text, 256).alias("digest"), F.sum("n").alias("rows_"))

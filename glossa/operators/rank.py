@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossa.operators.sample import numbered
 from glossa.session import cut
 
 
@@ -28,69 +28,92 @@ def facets(tokens: Column, cues: dict[str, list[str]], most: int = 6) -> Column:
     return F.slice(found, 1, most)
 
 
-def greedy(score: np.ndarray, facet_sets: list[set], terms: list[set], k: int) -> list[int]:
-    """Positions in the order chosen. At each step the candidate with the most score, plus 38 for each facet not
-    yet seen, less min(180, 18 r + 3 r^2) for r chosen ones of the same signature, less 30 times the largest Jaccard
-    similarity to a chosen one; a signature is used twice at most; ties keep the input order."""
-    chosen: list[int] = []
-    seen: set = set()
-    used: dict = {}
-    left = list(range(len(score)))
-    signature = ["|".join(sorted(t)) for t in terms]
-    while left and len(chosen) < k:
-        left = [i for i in left if used.get(signature[i], 0) < 2]
-        best, at = None, -1
-        for i in left:
-            r = used.get(signature[i], 0)
-            similar = max((len(terms[i] & terms[j]) / max(1, len(terms[i] | terms[j])) for j in chosen), default=0.0)
-            value = score[i] + 38 * len(facet_sets[i] - seen) - min(180, 18 * r + 3 * r * r) - 30 * similar
-            if best is None or value > best:
-                best, at = value, i
-        if at < 0:
-            break
-        chosen.append(at)
-        seen |= facet_sets[at]
-        used[signature[at]] = used.get(signature[at], 0) + 1
-        left.remove(at)
-    return chosen
-
-
-def diverse_top(df: DataFrame, group: str, id_col: str, score: str, facet_col: str, term_col: str, k: int = 20) -> DataFrame:
-    """W20 for each group: (group, id, pos), chosen as greedy() does from all rows of the group, by score and id.
-
-    Each step is one partially aggregated minimum over all candidates, so no group reaches one task whole.
+def cluster_key(facet_col: Column, symbolic: Column, human: Column) -> Column:
+    """What a candidate shows, as one key: a symbol, its facets, else a person, else the subject alone."""
+    own = F.array_sort(F.array_except(facet_col, F.array(F.lit("subject"))))
+    return F.when(symbolic, "symbol").when(F.size(own) > 0, F.array_join(own, "+")).when(human, "human-subject").otherwise("subject")
+
+
+def diverse_top(df: DataFrame, group: str, id_col: str, score: str, facet_col: str, term_col: str, k: int = 20, symbolic: Column | None = None,
+                human: Column | None = None, importance: dict[str, float] | None = None, human_scenes: bool = False) -> DataFrame:
+    """W20 for each group: (group, id, pos): a greedy choice from all rows of the group.
+
+    At each step the row with the highest sum wins, ties by score, then id: its score; 38 times
+    the importance (1 unless given) of each facet not shown yet; 30 if it shows people and the
+    group is of human scenes; less min(180, 18 r + 3 r^2) for r rows chosen of its cluster, 30
+    times the largest Jaccard similarity of its terms to a chosen row's, and, for a symbol, 120
+    for each symbol chosen. A group of human scenes that has any takes one symbol at most. In a
+    group of two clusters or more within 110 of the best score, a cluster shows the same terms
+    twice at most. Without facets, a row's facet is the subject, which counts for nothing.
+
+    Each step is one partially aggregated minimum over all rows, so no group reaches one task whole.
     """
+    no = F.lit(False)
+    symbol, person = F.coalesce(no if symbolic is None else symbolic, no), F.coalesce(no if human is None else human, no)
     terms, facet_set = (F.array_distinct(F.coalesce(F.col(c), F.array())) for c in (term_col, facet_col))
-    rows = cut(df.select(F.col(group).alias("g"), F.col(id_col).alias("i"), F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))).alias("score"), facet_set.alias("f"), terms.alias("t"),
-                         F.array_join(F.array_sort(terms), "|").alias("sign"), F.monotonically_increasing_id().alias("row")))
+    rows = df.select(F.col(group).alias("g"), F.col(id_col).alias("i"), F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))).alias("score"), facet_set.alias("f"), terms.alias("t"),
+                     symbol.alias("symbol"), (person & ~symbol).alias("person"), F.monotonically_increasing_id().alias("row"))
+    cluster = cluster_key(F.col("f"), F.col("symbol"), F.col("person"))
+    rows = cut(rows.withColumn("cluster", cluster).withColumn("sign", F.concat_ws("|", F.col("cluster"), F.lit(""), F.array_sort("t"))))
+    top = rows.groupBy("g").agg(F.greatest(F.lit(0.0), F.max("score")).alias("best"), F.max("person").alias("people"))
+    near = rows.groupBy("g", "cluster").agg(F.max("score").alias("score")).join(top.withColumnRenamed("g", "of"), F.col("g").eqNullSafe(F.col("of")))
+    kinds = cut(near.groupBy("g").agg((F.count_if(F.col("score") >= F.col("best") - 110) >= 2).alias("several"), (F.max("people") & F.lit(human_scenes)).alias("scenes")))
+
+    def gain(fresh: Column) -> Column:
+        own = F.transform(F.array_except(fresh, F.array(F.lit("subject"))), lambda x: 38 * _weight(x, importance))
+        return F.aggregate(own, F.lit(0.0), lambda s, x: s + x)
+
+    scenes = F.when(F.lit(human_scenes) & F.col("person"), 30).otherwise(0)
     chosen = None
     for pos in range(1, k + 1):
-        now, value = rows, F.col("score") + 38 * F.size("f")
+        now, value = rows, F.col("score") + gain(F.col("f")) + scenes
         if chosen is not None:
-            state = chosen.groupBy(F.col("g").alias("of")).agg(F.collect_list("row").alias("rows"), F.collect_list("sign").alias("signs"), F.collect_list("t").alias("ts"), F.array_distinct(F.flatten(F.collect_list("f"))).alias("seen"))
+            state = chosen.groupBy("g").agg(F.collect_list("row").alias("rows"), F.collect_list("cluster").alias("clusters"), F.collect_list("sign").alias("signs"), F.collect_list("t").alias("ts"),
+                                            F.array_distinct(F.flatten(F.collect_list("f"))).alias("seen"), F.count_if(F.array_contains("f", "symbol")).alias("symbols"))
+            state = state.withColumnRenamed("g", "of").join(kinds.withColumnRenamed("g", "kind_of"), F.col("of").eqNullSafe(F.col("kind_of"))).drop("kind_of")
             few = chosen.count() <= BROADCAST_CHOSEN
             now = rows.join(F.broadcast(state) if few else state, F.col("g").eqNullSafe(F.col("of"))).where(~F.array_contains("rows", F.col("row")))
-            now = now.withColumn("r", F.size(F.filter("signs", lambda x: x == F.col("sign")))).where("r < 2")
+            now = now.where(~(F.col("scenes") & (F.col("symbols") >= 1) & F.col("symbol"))).where(~F.col("several") | (F.size(F.filter("signs", lambda x: x == F.col("sign"))) < 2))
+            now = now.withColumn("r", F.size(F.filter("clusters", lambda x: x == F.col("cluster"))))
             alike = F.array_max(F.transform("ts", lambda x: F.size(F.array_intersect("t", x)) / F.greatest(F.lit(1), F.size(F.array_union("t", x)))))
-            value = F.col("score") + 38 * F.size(F.array_except("f", "seen")) - F.least(F.lit(180), 18 * F.col("r") + 3 * F.col("r") * F.col("r")) - 30 * alike
-        best = now.groupBy("g").agg(F.min(F.struct((-value).alias("v"), (-F.col("score")).alias("s"), "i", "row", "t", "f", "sign")).alias("b"))
-        step = best.select("g", "b.i", "b.row", "b.t", "b.f", "b.sign", F.lit(pos).alias("pos"))
+            less = F.least(F.lit(180), 18 * F.col("r") + 3 * F.col("r") * F.col("r")) + 30 * alike + F.when(F.col("symbol"), 120 * F.col("symbols")).otherwise(0)
+            value = F.col("score") + gain(F.array_except("f", "seen")) + scenes - less
+        best = now.groupBy("g").agg(F.min(F.struct((-value).alias("v"), (-F.col("score")).alias("s"), "i", "row", "t", "f", "cluster", "sign")).alias("b"))
+        step = best.select("g", "b.i", "b.row", "b.t", "b.f", "b.cluster", "b.sign", F.lit(pos).alias("pos"))
         chosen = cut(step if chosen is None else chosen.unionByName(step))
     return chosen.select(F.col("g").alias(group), F.col("i").alias(id_col), "pos")
 
 
-def overview(facet_sets: list[set], n: int = 3) -> list[int]:
-    """N positions spread over the list, each the one that shows most new facets, then the nearest to its place."""
-    total = min(n, len(facet_sets))
-    covered: set = set()
-    chosen: list[int] = []
-    for i in range(total):
-        place = int((i + 0.5) * len(facet_sets) / total)
-        free = [j for j in range(len(facet_sets)) if j not in chosen]
-        best = min(free, key=lambda j: (-len(facet_sets[j] - covered), abs(j - place), j))
-        chosen.append(best)
-        covered |= facet_sets[best]
-    return chosen
+def _weight(facet: Column, importance: dict[str, float] | None) -> Column:
+    weight = F.lit(1.0)
+    for name, w in (importance or {}).items():
+        weight = F.when(facet == name, F.lit(float(w))).otherwise(weight)
+    return weight
+
+
+def overview(df: DataFrame, group: str, id_col: str, facet_col: str, n: int = 3) -> DataFrame:
+    """W21 for each group: (group, pos, id): n rows spread over the group in id order; for each of n even places the
+    row with most facets that none before it shows, then the nearest to the place, then the first.
+
+    Places come from a range sort, and each step is a partially aggregated minimum: no group reaches one task whole.
+    """
+    rows = numbered(df.select(F.col(group).alias("g"), F.col(id_col).alias("i"), F.array_distinct(F.coalesce(F.col(facet_col), F.array())).alias("f")), ["g", "i"], "rn")
+    size = rows.groupBy("g").agg(F.min("rn").alias("first"), F.count("*").alias("n")).withColumnRenamed("g", "of")
+    rows = cut(rows.join(size, F.col("g").eqNullSafe(F.col("of"))).select("g", "i", "f", (F.col("rn") - F.col("first")).alias("j"), "n"))
+    chosen = None
+    for pos in range(n):
+        now, fresh = rows, F.size("f")
+        if chosen is not None:
+            state = chosen.groupBy("g").agg(F.collect_list("j").alias("js"), F.array_distinct(F.flatten(F.collect_list("f"))).alias("seen")).withColumnRenamed("g", "of")
+            few = chosen.count() <= BROADCAST_CHOSEN
+            now = rows.join(F.broadcast(state) if few else state, F.col("g").eqNullSafe(F.col("of"))).where(~F.array_contains("js", F.col("j")))
+            fresh = F.size(F.array_except("f", "seen"))
+        total = F.least(F.lit(n), F.col("n"))
+        place = F.floor((pos + 0.5) * F.col("n") / total)
+        best = now.where(F.lit(pos) < total).groupBy("g").agg(F.min(F.struct((-fresh).alias("fresh"), F.abs(F.col("j") - place).alias("off"), "j", "i", "f")).alias("b"))
+        step = best.select("g", "b.i", "b.j", "b.f", F.lit(pos + 1).alias("pos"))
+        chosen = cut(step if chosen is None else chosen.unionByName(step))
+    return chosen.select(F.col("g").alias(group), "pos", F.col("i").alias(id_col))
 
 
 def enough(facet_col: Column, human: str, k: int) -> Column:

@@ -99,13 +99,20 @@ def tiered(tiers: list[DataFrame], k: int) -> DataFrame:
     return best.withColumn("pos", pos).where(F.col("pos") <= k)
 
 
-def interleave(first: DataFrame, second: DataFrame, limit: int) -> DataFrame:
-    """Ranked lists (qid, id, rank) merged: the first list keeps max(1, limit - min(size of the
-    second, ceil(limit / 2))) leading slots, then the second list, then the rest of the first; an id counts once."""
+def interleave(first: DataFrame, second: DataFrame, limit: int, both: DataFrame | None = None) -> DataFrame:
+    """Ranked lists (qid, id, rank, exact) and (qid, id, rank) merged; an id counts once.
+
+    The first list, its exact matches before the others, keeps max(1, limit - min(size of the
+    second, ceil(limit / 2))) leading slots; then come the second list and the rest of the first.
+    For the queries (qid) of `both`, which are exact in the second list too, only exact matches
+    of the first lead, and its others come last.
+    """
     size = second.groupBy("qid").agg(F.count("*").alias("n2"))
     a = first.join(size, "qid", "left")
+    a = a.withColumn("both", F.lit(False)) if both is None else a.join(both.select("qid", F.lit(True).alias("both")).distinct(), "qid", "left")
     slots = F.greatest(F.lit(1), F.lit(limit) - F.least(F.coalesce("n2", F.lit(0)), F.lit(-(-limit // 2))))
-    a = a.select("qid", "id", F.when(F.col("rank") <= slots, 0).otherwise(2).alias("band"), "rank")
+    last = F.coalesce("both", F.lit(False)) & ~F.col("exact")
+    a = a.select("qid", "id", F.when(last, 3).when(F.col("rank") <= slots, 0).otherwise(2).alias("band"), "rank")
     rows = a.union(second.select("qid", "id", F.lit(1), "rank"))
     best = rows.groupBy("qid", "id").agg(F.min(F.struct("band", "rank")).alias("at"))
     return best.withColumn("pos", F.row_number().over(W.partitionBy("qid").orderBy("at", "id"))).where(F.col("pos") <= limit).select("qid", "id", "pos")

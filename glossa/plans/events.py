@@ -30,9 +30,20 @@ def _(spark, d):
     return w.groupBy("user_id").agg(F.count_if(F.col("ms") != F.col("anchor")).alias("hits"), F.count_distinct("anchor").alias("misses"))
 
 
-@query("state_cooldown", "T05")
+@query("state_fifo_cache", "T03")
 def _(spark, d):
-    e = _events(spark, d).withColumn("failed", F.col("event_type") == "error").withColumn("wait", F.lit(3600000).cast("long"))
+    e = _events(spark, d).withColumn("failed", F.col("event_type") == "error")
+    return folds.fifo_cache(e, "event_type", "user_id", "ms", "event_id", 20, 86400000, "failed").select("event_id", "hit")
+
+
+@query("state_cooldown", "T05", """
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, event_type = 'error' AS bad, CASE WHEN event_id % 3 = 0 THEN 60 ELSE greatest(60, least(event_id % 100000, 86400)) END * 1000 AS wait FROM events),
+a AS (SELECT user_id, min({'ms': ms, 'id': event_id, 'wait': wait}) AS s FROM e WHERE bad GROUP BY user_id
+  UNION ALL SELECT a.user_id, min({'ms': e.ms, 'id': e.event_id, 'wait': e.wait}) FROM a JOIN e ON e.user_id = a.user_id AND e.bad AND e.ms >= a.s.ms + a.s.wait GROUP BY a.user_id, a.s)
+SELECT e.event_id, count(a.s) > 0 AS skipped FROM e LEFT JOIN a ON a.user_id = e.user_id AND (a.s.ms < e.ms OR (a.s.ms = e.ms AND a.s.id < e.event_id)) AND e.ms < a.s.ms + a.s.wait GROUP BY e.event_id""")
+def _(spark, d):
+    status = F.when(F.col("event_id") % 3 == 0, 401).otherwise(429)
+    e = _events(spark, d).withColumn("failed", F.col("event_type") == "error").withColumn("wait", folds.cooldown_millis(status, F.col("event_id") % 100000))
     return folds.cooldown(e, "user_id", "ms", "event_id", "failed", "wait").select("event_id", "skipped")
 
 

@@ -59,14 +59,14 @@ def _(spark, d):
 @query("quality_exclusions", "P10 V14", r"""
 SELECT coalesce(reason, 'PLAN') AS reason, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(lower(l), '^(because|although|though|if|whether|unless|despite)\b') THEN 'NON_VISUAL_LOGICAL_RELATION' WHEN regexp_matches(lower(l), '^(perhaps|maybe|still|yet|and|but|however|very)\b') THEN 'FUNCTION_WORD'
   WHEN regexp_matches(lower(l), '^(variant of|see also|cf\.)') THEN 'VARIANT_REFERENCE_ONLY' WHEN regexp_matches(l, '\b(Inc\.|Corp\.|Ltd\.)') THEN 'NAMED_ENTITY_POLICY' WHEN regexp_matches(lower(l), '^not\b') THEN 'NEGATION_WITHOUT_VALIDATED_SCENE' WHEN length(l) < 3 THEN 'UNSEARCHABLE_FRAGMENT' END AS reason
-  FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents) WHERE NOT regexp_matches(l, '[^\x00-\x7f]')) GROUP BY 1""")
+  FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents)) GROUP BY 1""")
 def _(spark, d):
-    lines = table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("l")).where(~F.col("l").rlike(r"[^\x00-\x7f]"))
-    low = F.lower("l")
+    lines = table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("l"))
+    low, end = F.lower("l"), "(?![A-Za-z0-9_])"  # an ASCII word ends
     reason = q.waterfall({
-        "NON_VISUAL_LOGICAL_RELATION": low.rlike(r"^(because|although|though|if|whether|unless|despite)\b"), "FUNCTION_WORD": low.rlike(r"^(perhaps|maybe|still|yet|and|but|however|very)\b"),
-        "VARIANT_REFERENCE_ONLY": low.rlike(r"^(variant of|see also|cf\.)"), "NAMED_ENTITY_POLICY": F.col("l").rlike(r"\b(Inc\.|Corp\.|Ltd\.)"),
-        "NEGATION_WITHOUT_VALIDATED_SCENE": low.rlike(r"^not\b"), "UNSEARCHABLE_FRAGMENT": F.length("l") < 3,
+        "NON_VISUAL_LOGICAL_RELATION": low.rlike(r"^(because|although|though|if|whether|unless|despite)" + end), "FUNCTION_WORD": low.rlike(r"^(perhaps|maybe|still|yet|and|but|however|very)" + end),
+        "VARIANT_REFERENCE_ONLY": low.rlike(r"^(variant of|see also|cf\.)"), "NAMED_ENTITY_POLICY": F.col("l").rlike(r"(?<![A-Za-z0-9_])(Inc\.|Corp\.|Ltd\.)"),
+        "NEGATION_WITHOUT_VALIDATED_SCENE": low.rlike("^not" + end), "UNSEARCHABLE_FRAGMENT": F.length("l") < 3,
     }, "PLAN")
     return lines.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
@@ -104,43 +104,86 @@ def _(spark, d):
     return o.agg(F.count("*").alias("rows_"), (F.count("*") - F.count_distinct("o_orderkey")).alias("repeated"), F.count_if(F.col("c_custkey").isNull()).alias("dangling"))
 
 
+_HUMAN = "human-verified"
+#: A field of a record (or of a supplement, after a dot), a bad value, and the codes that it gives.
 _CASES = (
     ("malay", "", "missing-malay"), ("malay", "flag", "english-copy"), ("malay", "TODO bendera", "placeholder"), ("malay", "旗 bendera", "invalid-language-or-unicode"), ("malay", "bendera of", "english-language-warning"),
     ("malay", "mobil merah", "indonesian-localization-review"), ("malay", "brim topi", "corrupt-or-untranslated-output"), ("quality", "best", "invalid-quality-status"), ("status", "new", "invalid-status"),
-    ("kind", "other", "invalid-translation-kind"), ("license", "", "missing-provenance"), ("source", "PRPM list", "unsupported-dbp-attribution"), ("status", "verified", "missing-reviewer"), ("english", "flags", "sense-misalignment"),
-    ("quality", "human-verified", "unsupported-human-verification"), ("malay", "bendera", ""),
+    ("kind", "other", "invalid-translation-kind"), ("confidence", 1.5, "invalid-confidence"), ("license", "", "missing-provenance"), ("source", "PRPM list", "unsupported-dbp-attribution"), ("status", "verified", "missing-reviewer"),
+    ("english", "flags", "sense-misalignment"), ("quality", _HUMAN, "unsupported-human-verification"), ("sense_idiom", True, "idiom-needs-semantic-explanation"), ("search_terms", "--", "invalid-malaySearchTerms"),
+    ("synonyms", "", "invalid-malaySynonyms"), ("morphology", " ", "invalid-malayMorphology"),
+    ("lexical.text", " ", "invalid-malayLexical"), ("lexical.status", "new", "invalid-malayLexical-status"), ("lexical.quality", _HUMAN, "unsupported-malayLexical-verification"), ("lexical.source", "", "missing-malayLexical-provenance"),
+    ("lexical.text", "undefined", "invalid-malayLexical-text"), ("lexical.text", "bendera 2", "invalid-lexical-supplement"), ("lexical.kind", "lexical-equivalent", "duplicate-malayLexical-kind"),
+    ("definition.text", "", "invalid-malayDefinition"), ("definition.quality", "best", "invalid-malayDefinition-status"), ("definition.status", "verified", "unsupported-malayDefinition-verification"),
+    ("definition.version", "", "missing-malayDefinition-provenance"), ("definition.text", "kain TBD", "invalid-malayDefinition-text"), ("definition.kind", "definition-translation", "duplicate-malayDefinition-kind"),
+    ("malay", "bendera", ""), ("malay", "the TODO mobil", "english-language-warning,indonesian-localization-review,placeholder"),
 )
 _EXPECTED = " ".join(f"WHEN {i} THEN '{code}'" for i, (_, _, code) in enumerate(_CASES))
 
 
-@query("quality_record_rules", "V01 P15", f"SELECT p_partkey, CASE p_partkey % {len(_CASES)} {_EXPECTED} END AS codes FROM part")
-def _(spark, d):
-    from glossa.operators.record_quality import SUPPLEMENT, record_issues
+def _record_cases(spark, d):
+    """Every row of part with a good record, but for the one field that its case makes bad."""
+    from glossa.operators.record_quality import SUPPLEMENT
 
-    base = {"key": "k", "entry_id": "e", "sense_id": "sense-0", "english": "flag", "malay": "bendera", "sense_key": "k", "sense_entry_id": "e", "sense_sense_id": "sense-0", "sense_english": "flag", "status": "generated",
-            "quality": "automated-review-required", "kind": "lexical-equivalent", "source": "list", "license": "cc0", "version": "1"}
+    base = {"key": "k", "entry_id": "e", "sense_id": "sense-0", "english": "flag", "malay": "bendera", "sense_key": "k", "sense_entry_id": "e", "sense_sense_id": "sense-0", "sense_english": "flag", "sense_idiom": False,
+            "status": "generated", "quality": "automated-review-required", "kind": None, "confidence": 0.5, "source": "list", "license": "cc0", "version": "1", "reviewer": None, "permission": None, "justification": None,
+            "idiom_explanation": None, "search_terms": "bendera", "synonyms": "panji", "morphology": "bendera-bendera"}
+    extra = {"text": "panji", "status": "generated", "quality": "automated-review-required", "source": "list", "license": "cc0", "version": "1", "reviewer": None}
     case = F.col("p_partkey") % len(_CASES)
-    cols = {}
-    for name, value in base.items():
+
+    def column(field, value):
         c = F.lit(value)
-        for i, (field, bad, _) in enumerate(_CASES):
-            if field == name:
+        for i, (name, bad, _) in enumerate(_CASES):
+            if name == field or (field == "kind" and name.endswith(".kind")):
                 c = F.when(case == i, bad).otherwise(c)
-        cols[name] = c
-    none = {n: F.lit(None).cast("string") for n in ("reviewer", "permission", "justification", "idiom_explanation")}
-    lists = {n: F.array(F.lit("bendera")) for n in ("search_terms", "synonyms", "morphology")}
-    rows = table(spark, d, "part").withColumns(cols | none | lists | {"confidence": F.lit(0.5), "sense_idiom": F.lit(False), "lexical": F.lit(None).cast(SUPPLEMENT), "definition": F.lit(None).cast(SUPPLEMENT)})
-    return rows.select("p_partkey", F.array_join(record_issues(), ",").alias("codes"))
+        return c
+
+    cols = {name: column(name, value).cast("double" if name == "confidence" else "boolean" if name == "sense_idiom" else "string") for name, value in base.items()}
+    for name in ("search_terms", "synonyms", "morphology"):
+        cols[name] = F.array(cols[name])
+    for name in ("lexical", "definition"):
+        used = [i for i, (field, _, _) in enumerate(_CASES) if field.startswith(name + ".")]
+        made = F.struct(*[column(f"{name}.{f}", v).cast("string").alias(f) for f, v in extra.items()])
+        cols[name] = F.when(case.isin(*used), made).cast(SUPPLEMENT)
+    return table(spark, d, "part").select("p_partkey", *[c.alias(n) for n, c in cols.items()])
+
+
+@query("quality_record_rules", "V01 P15", f"SELECT p_partkey, CASE p_partkey % {len(_CASES)} {_EXPECTED} END AS codes FROM part")
+def _(spark, d):
+    from glossa.operators.record_quality import codes, record_rules
+
+    return _record_cases(spark, d).select("p_partkey", F.array_join(codes(record_rules()), ",").alias("codes"))
+
+
+_FLAGS = ("english-copy", "english-language-warning", "indonesian-localization-review", "idiom-needs-semantic-explanation")
+
+
+@query("quality_record_severity", "V08 V01", "SELECT p_partkey, CASE p_partkey % " + str(len(_CASES)) + " " + " ".join(
+    f"WHEN {i} THEN '{','.join(c for c in code.split(',') if c and c not in _FLAGS)}|{','.join(c for c in code.split(',') if c in _FLAGS)}'" for i, (_, _, code) in enumerate(_CASES)) + " END AS parts FROM part")
+def _(spark, d):
+    from glossa.operators.record_quality import errors_and_flags, record_rules
+
+    rows = _record_cases(spark, d).select("p_partkey", errors_and_flags(record_rules()).alias("s"))
+    return rows.select("p_partkey", F.concat_ws("|", F.array_join("s.errors", ","), F.array_join("s.flags", ",")).alias("parts"))
+
+
+#: Source, output, tokens, codes from elsewhere, all codes, review category.
+_OUTPUTS = (
+    ("land x", " ", 1, "", "empty", "empty-output"), ("Land x", "land X", 5, "", "english-copy", "identical-source-review-including-loanwords"), ("land", "国 negara", 5, "", "unicode-or-target-script", "script-or-format-review"),
+    ("land", "negara which", 5, "", "untranslated-or-placeholder", "language-warning-review"), ("land", "kantor", 5, "", "indonesian-localization", "language-warning-review"),
+    ("land 12", "negara 13", 5, "", "number-changed", "other-recorded-rule-review"), ("land", "negara", 200, "", "length-or-truncation", "length-or-truncation-review"),
+    ("land", "ya ya ya ya ya dan lagi satu dua tiga", 20, "", "repetition", "corruption-or-repetition-review"), ("land", "", 0, "local-inference-failed", "empty,local-inference-failed", "inference-failed"),
+    ("land", "negeri", 5, "known-synset-scope-conflict", "known-synset-scope-conflict", "known-sense-conflict"), ("land", "negeri", 5, "no-independent-sense-reference", "no-independent-sense-reference", "unknown-semantics-reference-gap"),
+    ("land", "negeri", 5, "whole-output-reference-mismatch", "whole-output-reference-mismatch", "reference-mismatch-needs-semantic-review"), ("land 1", "negara", 191, "english-copy", "english-copy,length-or-truncation,number-changed", "length-or-truncation-review"),
+    ("land 1,5", "negara 1,5", 5, "", "", "other-recorded-rule-review"),
+)
 
 
-@query("quality_output_rules", "V02 V07", """
-SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'english-copy' WHEN 1 THEN 'number-changed' WHEN 2 THEN 'repetition' WHEN 3 THEN 'length-or-truncation' ELSE '' END AS codes,
-  CASE n_nationkey % 5 WHEN 0 THEN 'identical-source-review-including-loanwords' WHEN 2 THEN 'corruption-or-repetition-review' WHEN 3 THEN 'length-or-truncation-review' ELSE 'other-recorded-rule-review' END AS category FROM nation""")
+@query("quality_output_rules", "V02 V07", "SELECT p_partkey, codes, category FROM part JOIN (VALUES " + ", ".join(f"({i}, '{codes}', '{category}')" for i, (*_, codes, category) in enumerate(_OUTPUTS)) + f") v(i, codes, category) ON p_partkey % {len(_OUTPUTS)} = i")
 def _(spark, d):
-    from glossa.operators.record_quality import output_issues, review_category
+    from glossa.operators.record_quality import codes, output_rules, review_category
 
-    k = F.col("n_nationkey") % 5
-    source = F.concat(F.lit("land "), F.when(k == 1, "12").otherwise("x"))
-    text = F.when(k == 0, source).when(k == 1, "negara 13").when(k == 2, "ya ya ya ya ya dan lagi satu dua tiga empat").when(k == 3, F.repeat(F.lit("negara "), 3)).otherwise("negara x")
-    found = output_issues(source, text, F.when(k == 3, 200).otherwise(5))
-    return table(spark, d, "nation").select("n_nationkey", F.array_join(found, ",").alias("codes"), review_category(found, text).alias("category"))
+    cases = spark.createDataFrame([(i, *o[:4]) for i, o in enumerate(_OUTPUTS)], "i long, source string, text string, tokens int, more string")
+    rows = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % len(_OUTPUTS)).alias("i")).join(F.broadcast(cases), "i")  # a table of fixed size
+    found = F.array_sort(F.array_union(codes(output_rules(F.col("source"), F.col("text"), F.col("tokens"))), F.filter(F.array("more"), lambda x: x != "")))
+    return rows.withColumn("found", found).select("p_partkey", F.array_join("found", ",").alias("codes"), review_category(F.col("found")).alias("category"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions import text as t
 from glossa.functions import urls as u
-from glossa.operators import classify, inference, rank
+from glossa.operators import classify, inference, packs, rank
 from glossa.plans.registry import query
 from glossa.session import table
 
@@ -33,10 +33,10 @@ def _(spark, d):
 
 
 @query("rank_facets", "X11 X12 A27", """
-WITH f AS (SELECT doc_id, list_filter([CASE WHEN regexp_matches(lower(text), '\\b(the|and)\\b') THEN 'english' END, CASE WHEN regexp_matches(lower(text), '\\b(der|und)\\b') THEN 'german' END, CASE WHEN contains(text, '|') THEN 'table' END], lambda x: x IS NOT NULL) AS fs FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]'))
+WITH f AS (SELECT doc_id, list_filter([CASE WHEN regexp_matches(lower(text), '\\b(the|and)\\b') THEN 'english' END, CASE WHEN regexp_matches(lower(text), '\\b(der|und)\\b') THEN 'german' END, CASE WHEN contains(text, '|') THEN 'table' END], lambda x: x IS NOT NULL) AS fs FROM documents)
 SELECT facet, count(*) AS n FROM (SELECT unnest(fs) AS facet FROM f) GROUP BY facet""")
 def _(spark, d):
-    docs = table(spark, d, "documents").where(~F.col("text").rlike(r"[^\x00-\x7f]"))
+    docs = table(spark, d, "documents")
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9_]+|\|)"), F.lit(1))
     return docs.select(F.explode(rank.facets(words, {"english": ["the", "and"], "german": ["der", "und"], "table": ["|"]})).alias("facet")).groupBy("facet").agg(F.count("*").alias("n"))
 
@@ -44,24 +44,27 @@ def _(spark, d):
 @query("rank_diverse", "W20 X12")
 def _(spark, d):
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), F.lit(1)))
-    docs = table(spark, d, "documents").select("source", "doc_id", (F.col("n_chars") % 100).cast("double").alias("score"), words.alias("terms"))
-    docs = docs.withColumn("facets", F.transform("terms", lambda w: w.substr(1, 1)))
-    return rank.diverse_top(docs, "source", "doc_id", "score", "facets", "terms", k=10)
+    docs = table(spark, d, "documents").select("source", "doc_id", (F.col("n_chars") % 100).cast("double").alias("score"), words.alias("terms"), "text")
+    docs = docs.withColumn("facets", F.array_compact(F.array(F.when(F.contains("text", F.lit("|")), F.lit("symbol")), *[F.when(F.contains("text", F.lit(c)), F.lit(c)) for c in "jqxyz"])))
+    return rank.diverse_top(docs, "source", "doc_id", "score", "facets", "terms", 10, F.contains("text", F.lit("|")), F.contains("text", F.lit("man")), {"q": 2.0, "x": 0.5}, True)
 
 
-@query("rank_overview", "W21")
-def _(spark, d):
-    import pandas as pd
+_OVER = """f AS (SELECT source, doc_id, list_filter(['j', 'k', 'q', 'v', 'w', 'x', 'y', 'z', '0', '7', '|', '@'], lambda c: contains(text, c)) AS f, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS j, count(*) OVER (PARTITION BY source) AS n FROM documents)"""
+
 
-    docs = table(spark, d, "documents").select("source", "doc_id", F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit("([a-z])"), F.lit(1))), 1, 4).alias("facets"))
-    few = docs.where("doc_id < 400")
+def _over(pos: int, seen: str, taken: str, join: str) -> str:
+    return f"""SELECT source, doc_id, f, j FROM (SELECT f.*, row_number() OVER (PARTITION BY f.source ORDER BY len(f.f) - len(list_intersect(f.f, {seen})) DESC, abs(f.j - CAST(floor({pos}.5 * n / least(3, n)) AS BIGINT)), f.j) AS rn FROM f {join}
+      WHERE {pos} < least(3, n) AND {taken}) WHERE rn = 1"""
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id")
-        at = rank.overview([set(x) for x in pdf["facets"]])
-        return pd.DataFrame({"source": pdf["source"].iloc[at], "doc_id": pdf["doc_id"].iloc[at]})
 
-    return few.groupBy("source").applyInPandas(pick, "source string, doc_id long")
+@query("rank_overview", "W21", f"""
+WITH {_OVER}, a AS ({_over(0, "[]::VARCHAR[]", "true", "")}),
+b AS ({_over(1, "a.f", "f.j <> a.j", "JOIN a ON f.source = a.source")}),
+c AS ({_over(2, "list_concat(a.f, b.f)", "f.j <> a.j AND f.j <> b.j", "JOIN a ON f.source = a.source JOIN b ON f.source = b.source")})
+SELECT source, 1 AS pos, doc_id FROM a UNION ALL SELECT source, 2, doc_id FROM b UNION ALL SELECT source, 3, doc_id FROM c""")
+def _(spark, d):
+    shown = F.array_compact(F.array(*[F.when(F.contains("text", F.lit(c)), F.lit(c)) for c in "jkqvwxyz07|@"]))
+    return rank.overview(table(spark, d, "documents").select("source", "doc_id", shown.alias("facets")), "source", "doc_id", "facets")
 
 
 @query("rank_stop_test", "W22 T08", """
@@ -71,23 +74,63 @@ def _(spark, d):
     return docs.groupBy("lang").agg(rank.enough(F.col("f"), "src1", 20).alias("enough"))
 
 
-@query("classify_rules", "X05 X06 X07 X08 X09 X16 X19 P09", """
-SELECT p_partkey, CASE WHEN regexp_matches(x, '\\b(steel|metal|brass|tin|wood|plastic)\\b') THEN 'material' END AS kind, CASE WHEN regexp_matches(x, '\\b(steel|metal|brass|tin|wood|plastic)\\b') THEN regexp_extract(x, '\\b(steel|metal|brass|tin|wood|plastic)\\b', 1) || ' material' END AS query
-FROM (SELECT p_partkey, lower(p_type || ' ' || p_name) AS x FROM part) WHERE NOT regexp_matches(x, 'happy|sad|rain|snow|dog|cat|bird|fish|rice|bread|school|city|^(eat|run|read|write|walk|swim|sing|teach|learn|help)')""")
+#: Categories of nouns, and verbs, as a packed lexicon.
+_LEXICON = [("animal", "dog|tiger|fish"), ("food", "bread|rice"), ("building", "house"), ("concept:act", "running"), ("person", "teacher"), ("verb", "run|eat|write|swim|see|think|attack|listen|read")]
+#: A gloss, its part of speech, and the rule, kind, query, fallback and domain that it gives; no rule: no picture.
+_GLOSSES = (
+    ("to be very happy", None, "state", "emotion", "happy smiling person", "happy person", None), ("over the moon", None, "state", "emotion", "happy smiling person", "happy person", None),
+    ("(fig.) lonely", "adj", "state", "emotion", "lonely person sitting", "lonely person", None), ("feeling sleepy; drowsy", None, "state", "human-state", "sleepy person yawning", "sleepy person", None),
+    ("science and technology", "noun", "domain", "conceptual", "technology computers innovation", "science and technology", "technology"), ("to collaborate", "verb", "domain", "conceptual", "cooperation people teamwork", "collaborate", "cooperation"),
+    ("to eat (food)", "verb", "action", "action", "person eating food", "person eating", None), ("running", None, "concept", "conceptual", "running concept", "running", "act"), ("to run away", "verb", "action", "action", "person running away", "person running away", None),
+    ("writing a letter", None, "action", "action", "person writing", "person writing", None), ("to see", "verb", "action", "action", "person looking at scenery", "person looking", None),
+    ("burst into tears", None, "action", "action", "person crying", "person crying", None), ("to think", "verb", "concept-verb", "conceptual", "think concept", "think", "general"), ("to attack", "verb", None, None, None, None, None),
+    ("red", "adj", "colour", "property", "red color objects", "red", None), ("a tiger", "noun", "noun", "animal", "tiger animal", "tiger", None), ("big old houses", "noun", "noun", "building", "big old houses building", "big old houses", None),
+    ("teacher (CL:個)", "noun", "noun", "person", "teacher person", "teacher", None), ("house of cards", "noun", "concept", "conceptual", "house of cards concept", "house of cards", "general"),
+    ("umbrella", None, "concept", "conceptual", "umbrella concept", "umbrella", "general"), ("see also flag", None, None, None, None, None, None), ("variant of flag", None, None, None, None, None, None),
+    ("surname Li", None, None, None, None, None, None), ("because of this", None, None, None, None, None, None), ("perhaps", None, None, None, None, None, None), ("de (modal particle)", None, None, None, None, None, None),
+    ("and so", "conjunction", None, None, None, None, None), ("", None, None, None, None, None, None), ("旗", None, None, None, None, None, None),
+    *((word, None, "state", kind, query, fallback, None) for kind, query, fallback, words in packs.FAMILIES.values() for word in words),
+    *((word, None, "domain", "conceptual", query, word, name) for name, (query, words) in packs.DOMAINS.items() for word in words),
+)
+
+
+def _sql(x) -> str:
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+_GLOSS_SQL = "(VALUES " + ", ".join(f"({i}, {', '.join(_sql(x) for x in g[2:])})" for i, g in enumerate(_GLOSSES)) + ") v(i, rule, kind, query, fallback, domain)"
+
+
+def _glosses(spark, d):
+    cases = spark.createDataFrame([(i, *g[:2]) for i, g in enumerate(_GLOSSES)], "i long, meaning string, pos string")
+    packed = spark.createDataFrame(_LEXICON, "category string, words string")
+    rows = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % len(_GLOSSES)).alias("i")).join(F.broadcast(cases), "i")  # a table of fixed size
+    return rows.crossJoin(classify.lexicon(packed, "category", "words"))  # one row
+
+
+@query("classify_rules", "X05 X06 X07 X08 X09 X16 X19 P09", f"SELECT p_partkey, rule, kind, query, fallback, domain FROM part JOIN {_GLOSS_SQL} ON p_partkey % {len(_GLOSSES)} = i")
+def _(spark, d):
+    c = classify.classify(F.col("meaning"), F.col("pos"), F.col("verbs"), F.col("nouns"))
+    return _glosses(spark, d).select("p_partkey", c.alias("c")).select("p_partkey", *[F.col(f"c.{n}").alias(n) for n in ("rule", "kind", "query", "fallback", "domain")])
+
+
+@query("classify_diagnose", "X14 X03", f"""
+SELECT p_partkey, CASE WHEN rule IS NULL THEN 'none' ELSE rule END AS rule, i IN (20, 21) AS metadata, CASE WHEN i IN (0, 1) THEN 'state' END AS first_met FROM part JOIN {_GLOSS_SQL} ON p_partkey % {len(_GLOSSES)} = i""")
 def _(spark, d):
-    x = F.concat_ws(" ", F.lower("p_type"), F.lower("p_name"))
-    rows = table(spark, d, "part").where(~x.rlike("happy|sad|rain|snow|dog|cat|bird|fish|rice|bread|school|city|^(eat|run|read|write|walk|swim|sing|teach|learn|help)"))
-    c = classify.classify(x)
-    return rows.select("p_partkey", c["kind"].alias("kind"), c["query"].alias("query"))
+    c = classify.diagnose(F.col("meaning"), F.col("pos"), F.col("verbs"), F.col("nouns"))
+    rows = _glosses(spark, d).select("p_partkey", "i", c.alias("c"))
+    return rows.select("p_partkey", F.coalesce("c.plan.rule", F.lit("none")).alias("rule"), F.coalesce(F.col("c.excluded") == "metadata", F.lit(False)).alias("metadata"), F.when(F.col("i") <= 1, F.get("c.met", F.lit(0))).alias("first_met"))
 
 
-@query("classify_diagnose", "X14 X03", "SELECT n_nationkey, 'dog of ' || replace(lower(n_name), '_', ' ') AS seen, 'animal' AS first_met FROM nation")
+@query("classify_documents", "X05 X14 A07")
 def _(spark, d):
-    c = classify.diagnose(F.concat(F.lit("The dog of "), F.col("n_name"), F.lit(" (n)")))
-    return table(spark, d, "nation").select("n_nationkey", c["text"].alias("seen"), F.get(c["met"], F.lit(0)).alias("first_met"))
+    # what every line of every document shows; the rules are compared with SQL by classify_rules
+    lines = table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    plan = classify.classify(F.col("line"))
+    return lines.select(F.coalesce(plan["rule"], F.lit("none")).alias("rule"), plan["kind"].alias("kind")).groupBy("rule", "kind").agg(F.count("*").alias("n"))
 
 
-@query("classify_plan", "X10 X15", "SELECT n_nationkey, tier, q FROM (SELECT n_nationkey, 'A' AS tier, 'flag of ' || lower(n_name) AS q FROM nation UNION ALL SELECT n_nationkey, 'B', lower(n_name) || ' place' FROM nation UNION ALL SELECT n_nationkey, 'C', lower(n_name) FROM nation)")
+@query("classify_plan", "X10", "SELECT n_nationkey, tier, q FROM (SELECT n_nationkey, 'A' AS tier, 'flag of ' || lower(n_name) AS q FROM nation UNION ALL SELECT n_nationkey, 'B', lower(n_name) || ' place' FROM nation UNION ALL SELECT n_nationkey, 'C', lower(n_name) FROM nation)")
 def _(spark, d):
     plan = classify.search_plan(F.lit("place"), F.concat(F.lit("flag of "), F.lower("n_name")), F.lower("n_name"))
     return table(spark, d, "nation").select("n_nationkey", F.inline(plan))

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glossa.functions import text as t
-from glossa.operators import graph, joins
+from glossa.operators import graph, joins, sample
 from glossa.plans.registry import query
 from glossa.session import table
 
@@ -14,10 +14,10 @@ from glossa.session import table
 @query("proj_senses", "P01 A04", """
 WITH s AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(lower(x), '^the')) AS ls FROM documents)
 SELECT doc_id, 'sense-' || i AS sense_id, sha256('[' || to_json(CAST(doc_id AS VARCHAR)) || ',' || i || ',' || to_json(l) || ']') AS key
-FROM (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) - 1 AS i FROM s) WHERE NOT regexp_matches(l, '[^\\x20-\\x7e]')""")
+FROM (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) - 1 AS i FROM s)""")
 def _(spark, d):
     lines = F.filter(F.split("text", "\n"), lambda x: ~F.lower(x).rlike("^the"))
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(lines).alias("i", "l")).where(~F.col("l").rlike(r"[^\x20-\x7e]"))
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(lines).alias("i", "l"))
     return rows.select("doc_id", F.concat(F.lit("sense-"), F.col("i").cast("string")).alias("sense_id"), t.sense_key(F.col("doc_id").cast("string"), F.col("i"), F.col("l")).alias("key"))
 
 
@@ -113,18 +113,15 @@ def _(spark, d):
     return o.join(kids, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.size("k").cast("long").alias("n"), F.array_join(F.transform("k", lambda x: x["l_partkey"].cast("string")), ",").alias("parts"))
 
 
-_WANT = "SELECT o_orderpriority AS need, l_suppkey % 20 AS member FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 997 = 0"
-
-
-@query("join_division", "J09 J10 J11 J12 X02", f"""
-WITH want AS (SELECT DISTINCT need, member FROM ({_WANT})), have AS (SELECT DISTINCT l_partkey % 50 AS grp, l_suppkey % 20 AS member FROM lineitem WHERE l_quantity < 15),
+@query("join_division", "J09 J10 J11 J12", """
+WITH want AS (SELECT DISTINCT p_type AS need, p_size // 10 AS member FROM part), have AS (SELECT DISTINCT l_suppkey AS grp, p_size // 10 AS member FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity < 3),
 size AS (SELECT need, count(*) AS k FROM want GROUP BY need), met AS (SELECT need, grp, count(*) AS k FROM have JOIN want USING (member) GROUP BY need, grp)
 SELECT met.need, met.grp FROM met JOIN size ON met.need = size.need AND met.k = size.k""")
 def _(spark, d):
-    line = table(spark, d, "lineitem")
-    want = table(spark, d, "orders").where("o_orderkey % 997 = 0").join(line, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderpriority").alias("need"), (F.col("l_suppkey") % 20).alias("member"))
-    pairs = line.where("l_quantity < 15").select((F.col("l_partkey") % 50).alias("grp"), (F.col("l_suppkey") % 20).alias("member"))
-    return joins.divide(pairs, "grp", "member", want)
+    # suppliers that delivered, in small lots, parts of every size class that a type comes in
+    part = table(spark, d, "part").select("p_partkey", "p_type", F.expr("p_size div 10").alias("member"))
+    small = table(spark, d, "lineitem").where("l_quantity < 3").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("grp"))
+    return joins.divide(small.join(part, "p_partkey"), "grp", "member", part.withColumnRenamed("p_type", "need"))
 
 
 @query("join_unique_match", "J09 J22", """
@@ -156,7 +153,7 @@ def _(spark, d):
 @query("join_ordinal_zip", "J15 S15", """
 WITH e AS (SELECT event_id, user_id, row_number() OVER (ORDER BY event_id) AS i FROM events) SELECT a.i, a.event_id, a.user_id = b.user_id AS aligned FROM e a JOIN (SELECT i, user_id + CASE WHEN i % 10 = 0 THEN 1 ELSE 0 END AS user_id FROM e) b ON a.i = b.i""")
 def _(spark, d):
-    e = table(spark, d, "events").select("event_id", "user_id", F.row_number().over(W.orderBy("event_id")).cast("long").alias("i"))
+    e = sample.numbered(table(spark, d, "events").select("event_id", "user_id"), ["event_id"], "i")
     other = e.select("i", (F.col("user_id") + F.when(F.col("i") % 10 == 0, 1).otherwise(0)).alias("user_id"))
     return joins.zip_by_ordinal(e, other, "i", "user_id").select("i", "event_id", "aligned")
 
@@ -246,9 +243,9 @@ def _(spark, d):
 
 
 @query("agg_keep_first", "A12 A15 J21", """
-SELECT k, doc_id FROM (SELECT lower(substring(text, 1, 40)) AS k, doc_id, row_number() OVER (PARTITION BY lower(substring(text, 1, 40)) ORDER BY source, doc_id) AS rn FROM documents) WHERE rn = 1""")
+SELECT k, doc_id FROM (SELECT sha256(lower(text)) AS k, doc_id, row_number() OVER (PARTITION BY lower(text) ORDER BY source, doc_id) AS rn FROM documents) WHERE rn = 1""")
 def _(spark, d):
-    rows = table(spark, d, "documents").select(F.lower(F.substring("text", 1, 40)).alias("k"), "doc_id", "source")
+    rows = table(spark, d, "documents").select(F.sha2(F.lower("text"), 256).alias("k"), "doc_id", "source")
     return joins.keep_first(rows, ["k"], ["source", "doc_id"]).select("k", "doc_id")
 
 
@@ -263,7 +260,7 @@ def _(spark, d):
 SELECT s, n, row_number() OVER (ORDER BY s) - 1 AS id FROM (SELECT p_type AS s, count(*) AS n FROM part GROUP BY 1) WHERE n > 1 AND length(s) > 4""")
 def _(spark, d):
     c = table(spark, d, "part").groupBy(F.col("p_type").alias("s")).agg(F.count("*").alias("n")).where("n > 1 and length(s) > 4")
-    return c.withColumn("id", F.row_number().over(W.orderBy("s")).cast("long") - 1)
+    return sample.numbered(c, ["s"], "id").withColumn("id", F.col("id") - 1)
 
 
 @query("agg_min_distance", "A18 A19 G03", """
@@ -279,11 +276,12 @@ def _(spark, d):
 
 
 @query("agg_digest", "A21 M08 F24", """
-SELECT n_regionkey, sha256(string_agg(n_nationkey || ':' || n_name, chr(10) ORDER BY n_nationkey)) AS digest FROM nation GROUP BY n_regionkey""")
+WITH a AS (SELECT o_orderkey // 1000 AS k, sha256(string_agg(o_orderkey || ':' || o_orderstatus || ':' || o_orderpriority, chr(10) ORDER BY o_orderkey)) AS s, count(*) AS n FROM orders GROUP BY 1),
+b AS (SELECT k // 1000 AS k, sha256(string_agg(s, chr(10) ORDER BY k)) AS s, CAST(sum(n) AS BIGINT) AS n FROM a GROUP BY 1)
+SELECT sha256(string_agg(s, chr(10) ORDER BY k)) AS digest, CAST(sum(n) AS BIGINT) AS rows_ FROM b""")
 def _(spark, d):
-    rows = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))
-    text = F.array_join(F.transform(rows, lambda r: F.concat(r["n_nationkey"].cast("string"), F.lit(":"), r["n_name"])), "\n")
-    return table(spark, d, "nation").groupBy("n_regionkey").agg(F.sha2(text, 256).alias("digest"))
+    orders = table(spark, d, "orders").select("o_orderkey", F.concat_ws(":", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority").alias("line"))
+    return joins.ordered_digest(orders, "o_orderkey", "line")
 
 
 @query("agg_rate_gate", "A23 V09", """
@@ -339,18 +337,25 @@ def _(spark, d):
 
 
 @query("graph_components", "U07 G05", """
-WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 400 AS a, l_suppkey % 400 + 1000 AS b FROM lineitem WHERE l_orderkey % 61 = 0), b AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e),
+WITH RECURSIVE e AS (SELECT o_orderkey AS a, -o_custkey AS b FROM orders), b AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e),
 r AS (SELECT u AS node, u AS seen FROM b UNION SELECT r.node, b.v FROM r JOIN b ON r.seen = b.u) SELECT node, min(seen) AS component FROM r GROUP BY node""")
 def _(spark, d):
-    e = table(spark, d, "lineitem").where("l_orderkey % 61 = 0").select((F.col("l_partkey") % 400).alias("a"), (F.col("l_suppkey") % 400 + 1000).alias("b"))
+    # an order and its customer are one identity; customers are negative
+    e = table(spark, d, "orders").select(F.col("o_orderkey").alias("a"), (-F.col("o_custkey")).alias("b"))
     return graph.connected_components(e, "a", "b")
 
 
+@query("graph_components_dense", "U07 G05")
+def _(spark, d):
+    # parts and suppliers of all lines: dense, so no SQL; random graphs are tested against brute force
+    return graph.connected_components(table(spark, d, "lineitem").select("l_partkey", (-F.col("l_suppkey")).alias("b")), "l_partkey", "b")
+
+
 @query("graph_closure", "G01 G06", """
-WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey < 500 AND p_partkey > 1),
+WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey > 1),
 r AS (SELECT a, b, 1 AS n FROM e UNION ALL SELECT r.a, e.b, n + 1 FROM r JOIN e ON r.b = e.a) SELECT a AS src, b AS dst, min(n) AS distance FROM r GROUP BY 1, 2""")
 def _(spark, d):
-    e = table(spark, d, "part").where("p_partkey < 500 and p_partkey > 1").select("p_partkey", F.floor(F.col("p_partkey") / 2).alias("parent"))
+    e = table(spark, d, "part").where("p_partkey > 1").select("p_partkey", F.floor(F.col("p_partkey") / 2).alias("parent"))
     return graph.transitive_closure(e, "p_partkey", "parent")
 
 

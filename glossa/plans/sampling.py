@@ -94,10 +94,10 @@ def _(spark, d):
 
 
 @query("win_retained_order", "W24", """
-SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_id % 3 = 0 THEN event_id ELSE 1000000000 END, event_id) AS INTEGER) AS pos FROM events WHERE user_id < 20""")
+SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_id % 3 = 0 THEN event_id ELSE 1000000000 END, event_id) AS INTEGER) AS pos FROM events""")
 def _(spark, d):
     kept = F.when(F.col("event_id") % 3 == 0, F.col("event_id")).otherwise(1000000000)
-    return table(spark, d, "events").where("user_id < 20").select("user_id", "event_id", F.row_number().over(W.partitionBy("user_id").orderBy(kept, "event_id")).alias("pos"))
+    return table(spark, d, "events").select("user_id", "event_id", F.row_number().over(W.partitionBy("user_id").orderBy(kept, "event_id")).alias("pos"))
 
 
 @query("sample_capped_groups", "A08 W10", """

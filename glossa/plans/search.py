@@ -73,14 +73,15 @@ def _(spark, d):
 
 
 @query("search_interleave", "W05 Q05", """
-WITH a AS (SELECT p_size % 5 AS qid, p_partkey AS id, row_number() OVER (PARTITION BY p_size % 5 ORDER BY p_partkey) AS rank FROM part WHERE p_partkey < 400), b AS (SELECT * FROM (SELECT p_size % 5 AS qid, p_partkey AS id, row_number() OVER (PARTITION BY p_size % 5 ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part WHERE p_partkey < 400) WHERE rank <= 7),
-n AS (SELECT qid, count(*) AS n2 FROM b GROUP BY 1), r AS (SELECT a.qid, id, CASE WHEN rank <= greatest(1, 24 - least(n2, 12)) THEN 0 ELSE 2 END AS band, rank FROM a JOIN n ON a.qid = n.qid UNION ALL SELECT qid, id, 1, rank FROM b),
-m AS (SELECT qid, id, min(band * 100000 + rank) AS place FROM r GROUP BY 1, 2) SELECT qid, id, pos FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY place, id) AS INTEGER) AS pos FROM m) WHERE pos <= 24""")
+WITH a AS (SELECT p_size % 5 AS qid, p_partkey AS id, p_size % 7 = 0 AS exact, row_number() OVER (PARTITION BY p_size % 5 ORDER BY p_size % 7 = 0 DESC, p_partkey) AS rank FROM part), b AS (SELECT * FROM (SELECT p_size % 5 AS qid, p_partkey AS id, row_number() OVER (PARTITION BY p_size % 5 ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part) WHERE rank <= 7),
+n AS (SELECT qid, count(*) AS n2 FROM b GROUP BY 1), r AS (SELECT a.qid, id, CASE WHEN a.qid IN (1, 3) AND NOT exact THEN 3 WHEN rank <= greatest(1, 24 - least(n2, 12)) THEN 0 ELSE 2 END AS band, rank FROM a JOIN n ON a.qid = n.qid UNION ALL SELECT qid, id, 1, rank FROM b),
+m AS (SELECT qid, id, min(band * 100000000 + rank) AS place FROM r GROUP BY 1, 2) SELECT qid, id, pos FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY place, id) AS INTEGER) AS pos FROM m) WHERE pos <= 24""")
 def _(spark, d):
-    p = table(spark, d, "part").where("p_partkey < 400").select((F.col("p_size") % 5).alias("qid"), F.col("p_partkey").alias("id"), "p_retailprice")
-    a = p.select("qid", "id", F.row_number().over(W.partitionBy("qid").orderBy("id")).alias("rank"))
+    p = table(spark, d, "part").select((F.col("p_size") % 5).alias("qid"), F.col("p_partkey").alias("id"), (F.col("p_size") % 7 == 0).alias("exact"), "p_retailprice")
+    # no more than the limit and the second list's length can come from the first
+    a = p.select("qid", "id", "exact", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("exact"), "id")).alias("rank")).where("rank <= 24 + 7")
     b = p.select("qid", "id", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("p_retailprice"), "id")).alias("rank")).where("rank <= 7")
-    return s.interleave(a, b, 24)
+    return s.interleave(a, b, 24, spark.createDataFrame([(1,), (3,)], "qid int"))
 
 
 @query("search_ranked_groups", "Q06 W01", """

@@ -32,9 +32,9 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", t.display_meaning(F.concat("p_name", F.lit(" (CL:個|个[ge4])"))).alias("shown"))
 
 
-@query("text_norm_terms", "F04", "SELECT doc_id, " + _TERMS.format("substring(text, 1, 300)") + " AS terms FROM documents")
+@query("text_norm_terms", "F04", "SELECT doc_id, " + _TERMS.format("text") + " AS terms FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", t.norm_terms(F.substring("text", 1, 300)).alias("terms"))
+    return table(spark, d, "documents").select("doc_id", t.norm_terms(F.col("text")).alias("terms"))
 
 
 @query("text_grams", "F05 A26", """
@@ -97,11 +97,12 @@ def _(spark, d):
 
 
 @query("text_semantic_english", "F13", r"""
-SELECT item_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(strip_accents(text), '\[[^\]]*\]', ' ', 'g'), '["“”]', '', 'g'), '\.([^\d]|$)', ' \1', 'g'), '&', ' and ', 'g'), '\s+', ' ', 'g')) AS clause
-FROM benchmark WHERE NOT regexp_matches(text, '[|‘’–—°%<>={}#_*~+]|\.\.')""")
+WITH a AS (SELECT item_id, regexp_replace(regexp_replace(strip_accents(text), '\[[^\]]*\]', ' ', 'g'), '[\p{Han}\p{Bopomofo}\p{Hiragana}\p{Katakana}]+(?:\|\p{Han}+)?|[|]', ' ', 'g') AS t FROM benchmark),
+b AS (SELECT item_id, replace(replace(replace(replace(regexp_replace(t, '["“”]', '', 'g'), '‘', chr(39)), '’', chr(39)), '–', '-'), '—', '-') AS t FROM a),
+c AS (SELECT item_id, regexp_replace(regexp_replace(t, '\.([^\d]|$)', ' \1', 'g'), '\.([^\d]|$)', ' \1', 'g') AS t FROM b)
+SELECT item_id, trim(regexp_replace(regexp_replace(replace(replace(replace(t, '&', ' and '), '°', ' degrees '), '%', ' percent '), '[<>={}#_*~+]', ' ', 'g'), '\s+', ' ', 'g')) AS clause FROM c""")
 def _(spark, d):
-    rows = table(spark, d, "benchmark").where(~F.col("text").rlike(r"[|‘’–—°%<>={}#_*~+]|\.\."))
-    return rows.select("item_id", t.semantic_english(F.col("text")).alias("clause"))
+    return table(spark, d, "benchmark").select("item_id", t.semantic_english(F.col("text")).alias("clause"))
 
 
 @query("text_without_parentheses", "F14 F15", r"""
@@ -138,11 +139,11 @@ def _(spark, d):
 
 
 @query("text_evidence", "F19", r"""
-SELECT doc_id, CASE WHEN length(l) > 240 OR len(regexp_extract_all(l, '[A-Za-z]+')) > 24 OR regexp_matches(l, '(?i)\b(?:i|my|mine|me|we|our|ours|us)\b|https?://|\b(?:photographed|photographer|camera|copyright)\b') THEN '' ELSE lower(l) END AS evidence
-FROM (SELECT doc_id, split_part(text, chr(10), 1) AS l FROM documents) WHERE NOT regexp_matches(l, '[^\x00-\x7f]')""")
+SELECT doc_id, line, CASE WHEN length(l) > 240 OR len(regexp_extract_all(l, '[A-Za-z]+')) > 24 OR regexp_matches(l, '(?i)\b(?:i|my|mine|me|we|our|ours|us)\b|https?://|\b(?:photographed|photographer|camera|copyright)\b') THEN '' ELSE lower(l) END AS evidence
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents)""")
 def _(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.split("text", "\n").getItem(0).alias("l")).where(~F.col("l").rlike(r"[^\x00-\x7f]"))
-    return rows.select("doc_id", t.evidence(F.col("l")).alias("evidence"))
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l"))
+    return rows.select("doc_id", F.col("line").cast("long").alias("line"), t.evidence(F.col("l")).alias("evidence"))
 
 
 @query("text_bounded_query", "F38 F40 F39", """
@@ -159,10 +160,9 @@ def _(spark, d):
     return table(spark, d, "nation").select("n_nationkey", a.alias("action"), F.format_string("Translate: %s", a).alias("prompt"))
 
 
-@query("text_cues", "F36", r"SELECT doc_id, regexp_matches(lower(text), '\b(the|und|les)\b') AS hit FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7f]')")
+@query("text_cues", "F36", r"SELECT doc_id, regexp_matches(lower(text), '\b(the|und|les)\b') AS hit FROM documents")
 def _(spark, d):
-    rows = table(spark, d, "documents").where(~F.col("text").rlike(r"[^\x00-\x7f]"))
-    return rows.select("doc_id", t.has_cue(F.col("text"), ["the", "und", "les"]).alias("hit"))
+    return table(spark, d, "documents").select("doc_id", t.has_cue(F.col("text"), ["the", "und", "les"]).alias("hit"))
 
 
 @query("text_hash_keys", "F24 F25 F37", """
@@ -231,10 +231,10 @@ def _(spark, d):
 
 
 @query("text_relations_format", "F43 P02 K07", """
-SELECT conv_id, string_agg(turn || '. ' || role || ': ' || substring(text, 1, 40), ' | ' ORDER BY turn, role, text) AS sheet, count(*) AS turns FROM conversations GROUP BY conv_id""")
+SELECT conv_id, string_agg(turn || '. ' || role || ': ' || text, ' | ' ORDER BY turn, role, text) AS sheet, count(*) AS turns FROM conversations GROUP BY conv_id""")
 def _(spark, d):
     lines = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    shown = F.transform(lines, lambda s: F.concat(s["turn"].cast("string"), F.lit(". "), s["role"], F.lit(": "), s["text"].substr(1, 40)))
+    shown = F.transform(lines, lambda s: F.concat(s["turn"].cast("string"), F.lit(". "), s["role"], F.lit(": "), s["text"]))
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(shown, " | ").alias("sheet"), F.count("*").alias("turns"))
 
 

@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def anchored_windows(events: DataFrame, key: str, millis: str, order: str, length: int, inclusive: bool) -> DataFrame:
@@ -60,3 +61,40 @@ def cooldown(events: DataFrame, key: str, millis: str, order: str, failed: str,
 
     sorted_ = events.where(f"{key} is not null").repartition(key).sortWithinPartitions(key, millis, order)
     return sorted_.mapInPandas(walk, f"{fields}, skipped boolean")
+
+
+def cooldown_millis(status: Column, retry_after: Column) -> Column:
+    """How long a failed answer stops its provider: a refusal for its rate, between a minute and a day as it asks
+    (a minute if it does not); a refusal of the credentials, a minute; any other answer, not at all (null)."""
+    wait = F.greatest(F.lit(60), F.least(F.coalesce(retry_after.cast("long"), F.lit(60).cast("long")), F.lit(86400)))
+    return (F.when(status == 429, wait).when(status.isin(401, 403), 60) * 1000).cast("long")
+
+
+def fifo_cache(events: DataFrame, cache: str, key: str, millis: str, order: str, capacity: int, ttl: int, failed: str | None = None, failure_ttl: int = 60_000) -> DataFrame:
+    """Events with `hit`: whether a cache of `capacity` entries holds the event's key at its time.
+
+    A miss puts the key in, last in line, for `ttl` milliseconds, or `failure_ttl` if the event
+    failed; a full cache then drops the entry that was put in first. A hit changes nothing; an
+    entry found expired leaves. Caches are walked one after another in constant memory.
+    """
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema)
+
+    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, {}
+        for pdf in parts:
+            out = []
+            bad = pdf[failed] if failed else [False] * len(pdf)
+            for c, k, t, f in zip(pdf[cache], pdf[key], pdf[millis], bad):
+                if c != at:
+                    at, held = c, {}
+                hit = held.get(k, -1) > t
+                if not hit:
+                    held.pop(k, None)
+                    held[k] = t + (failure_ttl if f else ttl)
+                    if len(held) > capacity:
+                        del held[next(iter(held))]
+                out.append(hit)
+            yield pdf.assign(hit=out)
+
+    sorted_ = events.where(f"{cache} is not null").repartition(cache).sortWithinPartitions(cache, millis, order)
+    return sorted_.mapInPandas(walk, f"{fields}, hit boolean")

@@ -73,10 +73,65 @@ def test_numbered_is_a_total_order(spark):
     assert sorted((r.x, r.rn) for r in got) == [(i, i + 1) for i in range(1000)]
 
 
-def test_greedy_prefers_new_facets_and_limits_signatures():
-    order = rank.greedy([10, 9, 8, 1], [{"a"}, {"a"}, {"b"}, {"c"}], [{"x"}, {"x"}, {"x"}, {"y"}], 4)
-    assert order[:2] == [0, 3] and len(order) == 3
-    assert rank.overview([{"a"}, {"a"}, {"b"}, {"a"}, {"c"}]) == [0, 2, 4]
+def brute_gallery(rows, k, importance, scenes):
+    """Positions in the order chosen; rows: (score, facets, terms, symbolic, human), sorted by score and id."""
+    cluster = ["symbol" if s else "+".join(sorted(f)) if f else "human-subject" if h else "subject" for _, f, _, s, h in rows]
+    best = max(0, *[r[0] for r in rows])
+    several = len({c for c, r in zip(cluster, rows) if r[0] >= best - 110}) >= 2
+    has_scenes = scenes and any(h and not s for _, _, _, s, h in rows)
+    left, chosen = list(range(len(rows))), []
+    while left and len(chosen) < k:
+        symbols = sum("symbol" in rows[j][1] for j in chosen)
+        if has_scenes and symbols:
+            left = [i for i in left if not rows[i][3]]
+        if several:
+            left = [i for i in left if sum(cluster[j] == cluster[i] and set(rows[j][2]) == set(rows[i][2]) for j in chosen) < 2]
+        if not left:
+            break
+        seen = {f for j in chosen for f in rows[j][1]}
+
+        def worth(i):
+            score, facets, terms, symbolic, human = rows[i]
+            r = sum(cluster[j] == cluster[i] for j in chosen)
+            alike = max((len(set(terms) & set(rows[j][2])) / max(1, len(set(terms) | set(rows[j][2]))) for j in chosen), default=0)
+            gain = sum(38 * importance.get(f, 1) for f in set(facets) - seen)
+            return score + gain + (30 if scenes and human and not symbolic else 0) - min(180, 18 * r + 3 * r * r) - 30 * alike - (120 * symbols if symbolic else 0)
+
+        at = max(left, key=lambda i: (round(worth(i), 9), -i))
+        chosen.append(at)
+        left.remove(at)
+    return chosen
+
+
+@pytest.mark.parametrize("scenes", [False, True])
+def test_diverse_top_matches_the_definition(spark, scenes):
+    rng = random.Random(3)
+    rows = sorted(((float(rng.randrange(0, 150, 5)), rng.sample(["a", "b", "symbol"], rng.randint(0, 2)), rng.sample("uvwxyz", rng.randint(0, 2)), rng.random() < 0.3, rng.random() < 0.4) for _ in range(40)), key=lambda r: -r[0])
+    df = spark.createDataFrame([("g", i, *r) for i, r in enumerate(rows)], "g string, id int, score double, facets array<string>, terms array<string>, s boolean, h boolean")
+    got = rank.diverse_top(df, "g", "id", "score", "facets", "terms", 12, F.col("s"), F.col("h"), {"a": 2.0}, scenes).orderBy("pos").collect()
+    assert [r.id for r in got] == brute_gallery(rows, 12, {"a": 2.0}, scenes)
+
+
+@pytest.mark.parametrize("capacity, ttl", [(3, 50), (100, 20), (1, 1000)])
+def test_fifo_cache(spark, capacity, ttl):
+    rng = random.Random(5)
+    events = [("cd"[rng.randrange(2)], rng.randrange(8), t, t, rng.random() < 0.2) for t in range(0, 300, 3)]
+    df = spark.createDataFrame(events, "cache string, key int, ms long, id long, bad boolean")
+    got = {r.id: r.hit for r in folds.fifo_cache(df, "cache", "key", "ms", "id", capacity, ttl, "bad", 5).collect()}
+    for name in "cd":
+        line: list[tuple[int, int]] = []  # (key, expires), first in first
+        for c, k, t, i, bad in events:
+            if c == name:
+                hit = any(x == k and until > t for x, until in line)
+                assert got[i] == hit
+                if not hit:
+                    line = [(x, until) for x, until in line if x != k] + [(k, t + (5 if bad else ttl))]
+                    line = line[-capacity:]
+
+
+def test_cooldown_waits_as_asked(spark):
+    rows = spark.createDataFrame([(429, 5), (429, 700), (429, 10**7), (429, None), (401, 9), (500, 9)], "s int, r int")
+    assert [r.w for r in rows.select(folds.cooldown_millis(F.col("s"), F.col("r")).alias("w")).collect()] == [60000, 700000, 86400000, 60000, 60000, None]
 
 
 def test_diverse_top_weighs_all_rows_of_a_group(spark):
@@ -84,7 +139,7 @@ def test_diverse_top_weighs_all_rows_of_a_group(spark):
     rows = [("a", i, 9.0, ["p"], [f"t{i % 150}", f"u{i % 7}"]) for i in range(300)] + [("a", 300 + i, 5.0, [f"f{i}", "p"], [f"v{i}"]) for i in range(4)] + [(None, 1, 2.0, [], [])]
     df = spark.createDataFrame(rows, "g string, id long, score double, facets array<string>, terms array<string>")
     got = [(r.g, r.id) for r in sorted(rank.diverse_top(df, "g", "id", "score", "facets", "terms", k=4).collect(), key=lambda r: (r.g is None, r.pos))]
-    order = rank.greedy([r[2] for r in rows[:-1]], [set(r[3]) for r in rows[:-1]], [set(r[4]) for r in rows[:-1]], 4)
+    order = brute_gallery([(*r[2:], False, False) for r in rows[:-1]], 4, {}, False)
     assert got == [("a", i) for i in order] + [(None, 1)]
     assert any(i >= 300 for i in order)
 
