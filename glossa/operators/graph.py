@@ -13,6 +13,8 @@ from glossa.session import cut
 
 #: Forest edges (two ids each) up to this many are settled by one task; more are by rounds over all tasks.
 FEW_EDGES = 250_000
+#: Edges that one task reduces to a forest.
+TASK_EDGES = 500_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,8 +53,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     loops = e.where("u = v").select("u").distinct()
     e = e.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     kind = e.schema["u"].dataType.simpleString()
-    few = max(1, int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
-    e = cut(e.repartition(few, "u").mapInArrow(_forest, f"u {kind}, v {kind}").distinct())
+    e = cut(e)
+    tasks = e.count() // TASK_EDGES + 1
+    # dealt by both ends: a node that a third of all edges have is spread over all tasks
+    e = cut(e.repartition(tasks, "u", "v").mapInArrow(_forest, f"u {kind}, v {kind}").distinct())
     nodes = e.select(F.col("u").alias("node")).union(e.select("v")).union(loops).distinct()
     if e.count() <= FEW_EDGES:
         tied = e.repartition(1).mapInArrow(_forest, f"u {kind}, v {kind}")
