@@ -1,119 +1,244 @@
 """Exact forward-backward over many sequences at once, for linear chains of K states.
 
-Sequences are cut into segments of L positions. The K x K transfer matrix of a segment is
-needed only where a sequence has several; a scan over segments then gives every segment its
-incoming and outgoing vectors, and all segments advance together. A document of any length
-takes L vector steps and a scan of its length / L.
+Sequences are cut into segments of L positions. All segments advance together: arrays lie
+step by step (the first positions of all segments, then the second ones, ...), so each step
+works on one run of memory. Where a sequence has several segments, their K x K transfer
+matrices and a scan over them give every segment its incoming and outgoing vectors; a
+sequence of any length takes L vector steps and a scan of its length / L. A sequence of more
+than MOST positions is walked in stretches, so what is held does not grow with it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-L = 256
+from glossa.llm.common import ragged
 
+L = 512
+#: Positions held at a time, with four vectors each.
+MOST = 400_000
+_TINY = 1e-30
 
-def _advance(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    s = v.sum(-1, keepdims=True)
-    s = np.maximum(s, 1e-290)
-    return v / s, np.log(s[..., 0])
 
+class Plan:
+    """Where the positions of sequences lie, step by step; segments that run longest first."""
 
-def forward_backward(e: np.ndarray, before: np.ndarray, trans: np.ndarray, start: np.ndarray, backward: bool = True):
-    """Forward vectors, backward vectors (or None) and log-likelihoods.
+    def __init__(self, before: np.ndarray):
+        length = np.diff(before)
+        self.parts = -(-length // L)
+        doc, nth = ragged(self.parts)
+        at = before[:-1][doc] + nth * L
+        size = np.minimum(L, before[1:][doc] - at)
+        order = np.argsort(-size, kind="stable")
+        self.doc, self.nth, self.size, at = doc[order], nth[order], size[order], at[order]
+        self.sequences = len(length)
+        where = np.empty(len(order), np.int64)
+        where[order] = np.arange(len(order))
+        self.where, self.first_of = where, np.cumsum(self.parts) - self.parts
+        steps = int(self.size[0]) if len(order) else 0
+        self.active = np.searchsorted(-self.size, -np.arange(1, steps + 1), side="right")
+        self.off = np.concatenate([[0], np.cumsum(self.active)])
+        step, segment = ragged(self.active)
+        self.segment = segment
+        self.position = at[segment] + step  # of each place
+        self.first = self.nth == 0
+        self.last = self.off[self.size - 1] + np.arange(len(order))  # the place of each segment's last position
+        self.long = np.flatnonzero(self.parts[self.doc] > 1)
 
-    e: (N, K) positive emissions of all positions; before: positions before each sequence,
-    one more than sequences; trans: (K, K) positive, start: (K). Forward vectors sum to 1;
-    backward vectors are scaled freely, so alpha * beta is proportional to the posterior.
-    A sequence of no positions has log-likelihood 0.
-    """
-    n, k = e.shape
-    length = np.diff(before)
-    parts = -(-length // L)
-    doc = np.repeat(np.arange(len(length)), parts)
-    nth = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
-    at = before[:-1][doc] + nth * L
-    size = np.minimum(L, before[1:][doc] - at)
-    order = np.argsort(-size, kind="stable")  # long segments first: those still running are a prefix
-    doc, nth, at, size = doc[order], nth[order], at[order], size[order]
-    where = np.empty(len(order), np.int64)
-    where[order] = np.arange(len(order))
-    first_of = np.cumsum(parts) - parts
-    active = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), side="right")
-    first = nth == 0
-    several = parts[doc] > 1
-    enter = np.where(first[:, None], 1.0, 0.0) * np.full(k, 1.0 / k)
-    lik = np.zeros(len(length))
-    # transfer matrices of the segments of long sequences
-    alpha = np.empty((n, k))
-    seg_of_long = np.flatnonzero(several)
-    if len(seg_of_long):
-        m = np.empty((len(seg_of_long), k, k))
-        log_m = np.zeros(len(seg_of_long))
-        for t in range(L):
-            live = np.searchsorted(seg_of_long, active[t]) if t < len(active) else 0
-            if not live:
-                break
-            now = e[at[seg_of_long[:live]] + t][:, None, :]
-            if t:
-                m[:live] = (m[:live].reshape(-1, k) @ trans).reshape(live, k, k) * now
-            else:
-                m[:live] = np.where(first[seg_of_long[:live]][:, None, None], start[None, None, :], trans[None]) * now
-            if t % 8 == 7:
-                s = np.maximum(m[:live].max((1, 2)), 1e-290)
-                m[:live] /= s[:, None, None]
-                log_m[:live] += np.log(s)
-        index = np.full(len(order), -1)
-        index[seg_of_long] = np.arange(len(seg_of_long))
-        longs = np.flatnonzero(parts > 1)
-        longs = longs[np.argsort(-parts[longs], kind="stable")]
-        v = np.full((len(longs), k), 1.0 / k)
-        for s in range(int(parts[longs[0]]) - 1):
-            on = np.searchsorted(-parts[longs], -(s + 1), side="left")
-            seg = where[first_of[longs[:on]] + s]
-            v[:on] = _advance(np.einsum("ni,nij->nj", v[:on], m[index[seg]]))[0]
-            enter[where[first_of[longs[:on]] + s + 1]] = v[:on]
-    a = None
-    for t in range(len(active)):
-        live = active[t]
-        now = e[at[:live] + t]
+    def scan(self) -> np.ndarray:
+        """Sequences of several segments, those of most first."""
+        longs = np.flatnonzero(self.parts > 1)
+        return longs[np.argsort(-self.parts[longs], kind="stable")]
+
+
+def _transfer(p: Plan, e: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The scaled transfer matrices of the segments p.long."""
+    k = e.shape[1]
+    m = np.empty((len(p.long), k, k), e.dtype)
+    for t in range(len(p.active)):
+        live = int(np.searchsorted(p.long, p.active[t]))
+        if not live:
+            break
+        now = e[p.off[t] + p.long[:live]][:, None, :]
         if t:
-            a = (a[:live] @ trans) * now
+            m[:live] = (m[:live].reshape(-1, k) @ trans).reshape(live, k, k) * now
         else:
-            a = np.where(first[:, None], start[None], enter @ trans) * now
-        a, log = _advance(a)
-        lik += np.bincount(doc[:live], log, minlength=len(lik))
-        alpha[at[:live] + t] = a
-    if not backward:
-        return alpha, None, lik
-    leave = np.ones((len(order), k))
-    if len(seg_of_long):
-        w = np.ones((len(longs), k))
-        for s in range(int(parts[longs[0]]) - 1, 0, -1):
-            on = np.searchsorted(-parts[longs], -s, side="left")
-            seg = where[first_of[longs[:on]] + s]
-            w[:on] = _advance(np.einsum("nij,nj->ni", m[index[seg]], w[:on]))[0]
-            leave[where[first_of[longs[:on]] + s - 1]] = w[:on]
-    beta = np.empty((n, k))
-    b = leave.copy()
-    back = trans.T.copy()
-    for t in range(len(active) - 1, -1, -1):
-        live = active[t]
-        inner = active[t + 1] if t + 1 < len(active) else 0
+            m[:live] = np.where(p.first[p.long[:live]][:, None, None], start[None, None, :], trans[None]) * now
+        if t % 4 == 3:
+            m[:live] /= np.maximum(m[:live].max((1, 2)), _TINY)[:, None, None]
+    m /= np.maximum(m.max((1, 2)), _TINY)[:, None, None]
+    return m
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(v.sum(-1, keepdims=True), _TINY)
+
+
+def _enter(p: Plan, m: np.ndarray, e: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The weights of the states at each segment's first position, before its emission."""
+    k = e.shape[1]
+    enter = np.broadcast_to(start.astype(e.dtype), (len(p.doc), k)).copy()
+    if len(p.long):
+        index = np.full(len(p.doc), -1)
+        index[p.long] = np.arange(len(p.long))
+        longs = p.scan()
+        v = np.full((len(longs), k), 1.0 / k, e.dtype)
+        for s in range(int(p.parts[longs[0]]) - 1):
+            on = np.searchsorted(-p.parts[longs], -(s + 1), side="left")
+            v[:on] = _unit(np.einsum("ni,nij->nj", v[:on], m[index[p.where[p.first_of[longs[:on]] + s]]]))
+            enter[p.where[p.first_of[longs[:on]] + s + 1]] = v[:on] @ trans
+    return enter
+
+
+def _leave(p: Plan, m: np.ndarray, k: int, stop: np.ndarray | None, dtype) -> np.ndarray:
+    """How well the states at each segment's last position lead on, up to a factor."""
+    leave = np.broadcast_to((np.ones(k) if stop is None else stop).astype(dtype), (len(p.doc), k)).copy()
+    if len(p.long):
+        index = np.full(len(p.doc), -1)
+        index[p.long] = np.arange(len(p.long))
+        longs = p.scan()
+        w = leave[p.where[p.first_of[longs] + p.parts[longs] - 1]]
+        for s in range(int(p.parts[longs[0]]) - 1, 0, -1):
+            on = np.searchsorted(-p.parts[longs], -s, side="left")
+            w[:on] = _unit(np.einsum("nij,nj->ni", m[index[p.where[p.first_of[longs[:on]] + s]]], w[:on]))
+            leave[p.where[p.first_of[longs[:on]] + s - 1]] = w[:on]
+    return leave
+
+
+def _forward(p: Plan, e: np.ndarray, trans: np.ndarray, enter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward vectors, each of sum 1, and what each was divided by; by place."""
+    alpha, scale, one = np.empty_like(e), np.empty(len(e), e.dtype), np.ones(e.shape[1], e.dtype)
+    last = None
+    for t in range(len(p.active)):
+        lo, hi = p.off[t], p.off[t + 1]
+        x = alpha[lo:hi]
+        if t:
+            np.matmul(last[: hi - lo], trans, out=x)
+            x *= e[lo:hi]
+        else:
+            np.multiply(enter, e[lo:hi], out=x)
+        s = np.maximum(x @ one, _TINY, out=scale[lo:hi])
+        x /= s[:, None]
+        last = x
+    return alpha, scale
+
+
+def _backward(p: Plan, e: np.ndarray, trans: np.ndarray, alpha: np.ndarray, scale: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Backward vectors, so that alpha * beta sums to 1, and the summed expectations of transitions; by place."""
+    k = e.shape[1]
+    beta, xi, back = np.empty_like(e), np.zeros((k, k)), np.ascontiguousarray(trans.T)
+    leave = leave / np.maximum((alpha[p.last] * leave).sum(1, keepdims=True), _TINY)
+    for t in range(len(p.active) - 1, -1, -1):
+        lo, hi = p.off[t], p.off[t + 1]
+        inner = int(p.active[t + 1]) if t + 1 < len(p.active) else 0
         if inner:
-            b[:inner] = _advance((e[at[:inner] + t + 1] * b[:inner]) @ back)[0]
-        beta[at[:live] + t] = b[:live]
-    return alpha, beta, lik
-
-
-def expectations(e: np.ndarray, before: np.ndarray, trans: np.ndarray, start: np.ndarray):
-    """Posteriors (N, K), summed transition expectations (K, K) and log-likelihoods."""
-    alpha, beta, lik = forward_backward(e, before, trans, start)
-    gamma = alpha * beta
-    gamma /= np.maximum(gamma.sum(1, keepdims=True), 1e-290)
-    inner = np.ones(len(e), bool)
-    inner[before[:-1][np.diff(before) > 0]] = False
-    nxt = np.flatnonzero(inner)
-    out = e[nxt] * beta[nxt]
-    z = np.maximum(((alpha[nxt - 1] @ trans) * out).sum(1, keepdims=True), 1e-290)
-    return gamma, trans * ((alpha[nxt - 1] / z).T @ out), lik
+            out = e[hi : hi + inner] * beta[hi : hi + inner]
+            out /= scale[hi : hi + inner, None]
+            np.matmul(out, back, out=beta[lo : lo + inner])
+            xi += alpha[lo : lo + inner].T @ out
+        beta[lo + inner : hi] = leave[inner : hi - lo]
+    later = np.flatnonzero(~p.first)
+    if len(later):  # from a segment to the next
+        out = e[later] * beta[later] / scale[later, None]
+        prev = p.where[p.first_of[p.doc[later]] + p.nth[later] - 1]
+        xi += alpha[p.last[prev]].T @ out
+    return beta, xi * trans
+
+
+def _run(e: np.ndarray, before: np.ndarray, trans: np.ndarray, start: np.ndarray, stop: np.ndarray | None = None, backward: bool = True):
+    """(plan, alpha, beta, xi, log-likelihoods); e by position, vectors by place."""
+    p = Plan(before)
+    e = e[p.position]
+    trans = trans.astype(e.dtype)
+    m = _transfer(p, e, trans, start) if len(p.long) else np.zeros((0, 0, 0), e.dtype)
+    alpha, scale = _forward(p, e, trans, _enter(p, m, e, trans, start))
+    lik = np.bincount(p.doc[p.segment], np.log(scale.astype(float)), minlength=p.sequences) if len(e) else np.zeros(p.sequences)
+    if not backward:
+        return p, alpha, None, None, lik
+    beta, xi = _backward(p, e, trans, alpha, scale, _leave(p, m, e.shape[1], stop, e.dtype))
+    return p, alpha, beta, xi, lik
+
+
+def posteriors(e: np.ndarray, before: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posteriors (N, K), summed transition expectations (K, K) and log-likelihoods.
+
+    e: (N, K) positive emissions of all positions; before: positions before each sequence, one
+    more than sequences; trans: (K, K) positive, start: (K). A sequence of no positions has
+    log-likelihood 0.
+    """
+    p, alpha, beta, xi, lik = _run(e, before, trans, start)
+    gamma = np.empty_like(alpha)
+    gamma[p.position] = alpha * beta
+    return gamma, xi, lik
+
+
+def stretches(before: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of whole sequences of about MOST positions, or one longer sequence."""
+    out, a, last = [], 0, len(before) - 1
+    while a < last:
+        b = max(a + 1, int(np.searchsorted(before, before[a] + MOST, side="right")) - 1)
+        out.append((a, b))
+        a = b
+    return out
+
+
+def expected_counts(emit: np.ndarray, cls: np.ndarray, before: np.ndarray, trans: np.ndarray, start: np.ndarray):
+    """Expected starts (K), transitions (K, K) and emissions (classes, K), and the sum of log-likelihoods.
+
+    emit: (classes, K); cls: the class of each position. Vectors are of emit's precision, sums of double precision.
+    """
+    k = len(start)
+    starts, trans_sum, emitted, total = np.zeros(k), np.zeros((k, k)), np.zeros(emit.shape), 0.0
+
+    def add(c: np.ndarray, at: np.ndarray, first: np.ndarray, stop: np.ndarray | None, begins: bool) -> np.ndarray:
+        nonlocal trans_sum, total
+        p, alpha, beta, xi, lik = _run(emit[c], at, trans, first, stop)
+        gamma = alpha * beta
+        trans_sum += xi
+        total += float(lik.sum())
+        if begins:
+            starts[:] += gamma[: len(p.doc)][p.first].sum(0)
+        by = c[p.position]
+        for j in range(k):
+            emitted[:, j] += np.bincount(by, gamma[:, j], minlength=len(emit))
+        head = p.where[0]  # of a sequence alone: how well its first states lead on
+        return emit[c[0]] * beta[head]
+
+    for a, b in stretches(before):
+        lo, hi = int(before[a]), int(before[b])
+        if hi - lo <= MOST:
+            if hi > lo:
+                add(cls[lo:hi], before[a : b + 1] - lo, start, None, True)
+            continue
+        cuts = [*range(lo, hi, MOST), hi]
+        enters = [(start, None)]
+        for x, y in zip(cuts[:-2], cuts[1:-1]):
+            p, alpha, _, _, _ = _run(emit[cls[x:y]], np.array([0, y - x]), trans, enters[-1][0], backward=False)
+            end = alpha[p.last[p.where[-1]]].astype(float)
+            enters.append((end @ trans, end))
+        stop = None
+        for x, y, (first, end) in reversed(list(zip(cuts[:-1], cuts[1:], enters))):
+            out = add(cls[x:y], np.array([0, y - x]), first, stop, end is None).astype(float)
+            if end is not None:
+                stop = trans @ out
+                stop /= stop.sum()
+                both = trans * np.outer(end, out)
+                trans_sum += both / both.sum()
+    return starts, trans_sum, emitted, total
+
+
+def log_likelihoods(emit: np.ndarray, cls: np.ndarray, before: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Natural logarithms of the probabilities of the sequences."""
+    out = np.zeros(len(before) - 1)
+    for a, b in stretches(before):
+        lo, hi = int(before[a]), int(before[b])
+        if hi - lo <= MOST:
+            out[a:b] = _run(emit[cls[lo:hi]], before[a : b + 1] - lo, trans, start, backward=False)[4]
+            continue
+        enter = start
+        for x in range(lo, hi, MOST):
+            y = min(x + MOST, hi)
+            p, alpha, _, _, lik = _run(emit[cls[x:y]], np.array([0, y - x]), trans, enter, backward=False)
+            out[a] += lik[0]
+            enter = alpha[p.last[p.where[-1]]].astype(float) @ trans
+    return out

@@ -156,6 +156,37 @@ def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         trim()
 
 
+def slices(total: np.ndarray, n: int) -> pa.RecordBatch:
+    """An array in n rows (slice, s), to be summed by `summed`."""
+    return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([x.astype(np.float64).tobytes() for x in np.array_split(total, n)], pa.binary())], ["slice", "s"])
+
+
+def summed(parts: DataFrame, n: int) -> np.ndarray:
+    """The sum of the arrays that tasks sent in n slices; empty if none did. A slice is summed over all
+    tasks at one place, so the driver gets one array, whatever the number of tasks."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, raw in zip(b.column(0).to_pylist(), b.column(1)):
+                x = np.frombuffer(raw.as_buffer(), np.float64)
+                total[k] = total[k] + x if k in total else x.copy()
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slice", "s"])
+
+    rows = parts.repartition(n, "slice").mapInArrow(add, "slice int, s binary").collect()
+    return np.concatenate([np.frombuffer(r["s"]) for r in sorted(rows, key=lambda r: r["slice"])]) if rows else np.zeros(0)
+
+
+def by_bytes(column: pa.Array, limit: int) -> Iterator[pa.Array]:
+    """A column of texts in runs of about `limit` bytes (at least a row)."""
+    size = pc.fill_null(pc.binary_length(column.cast(pa.large_string())), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff((np.cumsum(size) - size) // limit)) + 1).tolist(), len(column)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield column.slice(a, b - a)
+
+
 def pack(values: np.ndarray) -> bytes:
     """An array as bytes: its length and its dtype's letter first."""
     return struct.pack("<c", values.dtype.char.encode()) + np.ascontiguousarray(values).tobytes()

@@ -7,6 +7,11 @@ class, so all counts of all training words enter the model, at any vocabulary si
 Baum-Welch estimates a table of fixed size. The scaled forward recursion gives each text's
 exact likelihood under the model.
 
+Baum-Welch is distributed from its first round on: every round sums expected counts over the
+blocks of all partitions, in slices of the model. Rounds begin with a share of the training
+documents, which grows with the input, from states told apart by noise alone; when the
+likelihood of that share settles, rounds over all training documents go on until it settles too.
+
 Corpus counts go by blocks and owners: a task turns its rows into blocks of word numbers with
 a sorted list of distinct word hashes, owners of hash ranges sum the blocks' counts and send
 each block the corpus counts of its own words. No token row is ever shuffled, and a word that
@@ -25,24 +30,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.chain import expectations, forward_backward
-from glossa.llm.common import crc_mod, each_row, find_words, lower, mix, pack, ragged, slabs, span_hash, tasks_for, text_bytes, unpack, whole_text
+from glossa.llm.chain import expected_counts, log_likelihoods
+from glossa.llm.common import crc_mod, each_row, find_words, lower, mix, pack, ragged, slabs, slices, span_hash, summed, tasks_for, text_bytes, unpack, whole_text
 from glossa.session import cut
 
 STATES = 6
 #: Words with a class of their own, and shape classes; both bound what is broadcast and summed.
 OWN, SHAPES = 8191, 4096
-#: Training documents (about) whose states start the model, and rounds over them.
-SEED_DOCS, SEED_ROUNDS = 1500, 25
-#: Rounds over all training documents go on until one raises the mean logarithm of a position's probability by less
-#: than SETTLED; MOST_ROUNDS only stops a model that never settles.
-SETTLED, MOST_ROUNDS = 0.001, 60
+#: The shares of the training documents that rounds run over, one after another, and by how much a round must raise
+#: the mean logarithm of a position's probability to be followed by another of its share. The last share is all.
+SHARES, SETTLED = (1 / 16, 1.0), (0.004, 0.001)
+#: Only stops a model that never settles.
+MOST_ROUNDS = 60
 #: Bytes of text in a block, and entries that one owner may hold.
 BLOCK_BYTES, OWNER_ENTRIES = 8_000_000, 20_000_000
-#: Positions whose forward and backward vectors are held at a time (whole texts, so one longer text may exceed it).
-POSITIONS = 400_000
 CLASSES = OWN + 1 + SHAPES
-SUM_TASKS = 16
+#: Tasks that merge owners' lists of at most OWN words, and slices of the model in which expected counts are summed.
+SUM_TASKS, SLICES = 16, 32
 
 
 def _shapes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -65,8 +69,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.concatenate([h[3] for h in held])
         held_out = np.concatenate([h[4] for h in held])
         count = np.bincount(ids, np.repeat(~held_out, n), minlength=len(vocab)).astype(np.uint32) if len(ids) else np.zeros(0, np.uint32)
-        ids3 = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T)
-        row = [base + k, pa.array([x for h in held for x in h[5]], pa.int64()).to_pylist(), pack(held_out), pack(n.astype(np.int64)), ids3.tobytes(), pack(vocab), pack(count), pack(shape)]
+        planes = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : 3 if len(vocab) <= 1 << 24 else 4].T)
+        row = [base + k, pa.array([x for h in held for x in h[5]], pa.int64()).to_pylist(), pack(held_out), pack(n.astype(np.int64)), planes.tobytes(), pack(vocab), pack(count), pack(shape)]
         held.clear()
         k += 1
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int64(), pa.list_(pa.int64())] + [pa.binary()] * 6)], ["block", "doc_ids", "held", "n", "ids", "vocab", "count", "shape"])
@@ -86,9 +90,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _ids(row_ids: bytes) -> np.ndarray:
-    planes = np.frombuffer(row_ids, np.uint8).reshape(3, -1)
-    return planes[0].astype(np.int64) | planes[1].astype(np.int64) << 8 | planes[2].astype(np.int64) << 16
+def _ids(raw: bytes, words: int) -> np.ndarray:
+    """Numbers of words from their byte planes: three or, in a block of more than 2**24 distinct words, four."""
+    if not words:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(raw, np.uint8).reshape(-1, words)
+    return sum((p.astype(np.int64) << 8 * k for k, p in enumerate(planes)), np.zeros(words, np.int64))
 
 
 def _send(owners: int):
@@ -146,10 +153,13 @@ class Corpus:
         return np.where(own, at, OWN + 1 + shape.astype(np.int64))
 
 
-def _positions(corpus: Corpus, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _positions(corpus: Corpus, row: dict, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Classes of all positions of a block (each text's words, then its end), positions before
-    each text, where the words stand, and the words' numbers."""
-    n, ids = unpack(row["n"]), _ids(row["ids"])
+    each text, where the words stand, and the words' numbers; of the chosen texts, if given."""
+    n = unpack(row["n"])
+    ids = _ids(row["ids"], int(n.sum()))
+    if chosen is not None:
+        ids, n = ids[np.repeat(chosen, n)], n[chosen]
     before = np.concatenate([[0], np.cumsum(n + 1)])
     at = ragged(n)[0] + np.arange(len(ids))
     cls = np.full(before[-1], OWN, np.int64)
@@ -169,94 +179,62 @@ def _m_step(start: np.ndarray, trans: np.ndarray, emit: np.ndarray, prior: np.nd
     return Hmm((start + 1) / (start + 1).sum(), (trans + 1) / (trans + 1).sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def _parts(before: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about POSITIONS positions."""
-    a, last = 0, len(before) - 1
-    while a < last:
-        b = max(a + 1, int(np.searchsorted(before, before[a] + POSITIONS, side="right")) - 1)
-        yield a, b
-        a = b
-
-
-def _e_step(m: Hmm, cls: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, transitions and emissions; and the log-likelihood and the number of positions."""
-    start, trans, emit, fit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES)), np.zeros(2)
-    for a, b in _parts(before):
-        c, at = cls[before[a] : before[b]], before[a : b + 1] - before[a]
-        gamma, xi, lik = expectations(m.emit[c], at, m.trans, m.start)
-        fit += lik.sum(), len(c)
-        start += gamma[at[:-1][np.diff(at) > 0]].sum(0)
-        trans += xi
-        for j in range(STATES):
-            emit[:, j] += np.bincount(c, gamma[:, j], minlength=CLASSES)
-    return start, trans, emit, fit
-
+def _chosen(row: dict, share: float) -> np.ndarray:
+    """The training texts of a block that a share takes in, by a hash of their ids."""
+    use = ~unpack(row["held"])
+    if share < 1:
+        use &= mix(np.array([x or 0 for x in row["doc_ids"]], np.int64).view(np.uint64)) / 2.0**64 < share
+    return use
 
-def _likelihoods(m: Hmm, cls: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Natural logarithms of the probabilities of the texts' classes."""
-    parts = [forward_backward(m.emit[cls[before[a] : before[b]]], before[a : b + 1] - before[a], m.trans, m.start, backward=False)[2] for a, b in _parts(before)]
-    return np.concatenate(parts) if parts else np.zeros(0)
 
+def _round(blocks: DataFrame, shared, m: Hmm, share: float) -> np.ndarray:
+    """Expected starts, transitions and emissions, the log-likelihood and the number of positions, one after another.
 
-def _keep(cls: np.ndarray, before: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = np.diff(before)
-    return cls[np.repeat(chosen, n)], np.concatenate([[0], np.cumsum(n[chosen])])
-
-
-def train(blocks: DataFrame, corpus: Corpus, prior: np.ndarray) -> Hmm:
-    """Baum-Welch over all training documents until the likelihood settles; a bounded seed of them only starts it."""
+    Each task sums its blocks and sends the sum in SLICES slices; a slice is summed over all tasks
+    at one place, so the driver gets the model's size once, at any number of tasks.
+    """
     spark = blocks.sparkSession
-    shared = spark.sparkContext.broadcast(corpus)
-    rate = min(1.0, SEED_DOCS / max(corpus.docs, 1))
+    model = spark.sparkContext.broadcast(m)
+    size = STATES + STATES * STATES + CLASSES * STATES + 2
 
-    def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        emit = model.value.emit.astype(np.float32)
         for row in each_row(batches):
-            cls, before, _, _ = _positions(shared.value, row)
-            place = mix(np.array([x or 0 for x in row["doc_ids"]], np.int64).view(np.uint64)) / 2.0**64
-            cls, before = _keep(cls, before, ~unpack(row["held"]) & (place < rate))
-            yield pa.RecordBatch.from_arrays([pa.array([pack(cls.astype(np.uint16))], pa.binary()), pa.array([pack(before)], pa.binary())], ["cls", "before"])
-
-    use = blocks.select("block", "doc_ids", "held", "n", "ids", "vocab", "shape")
-    parts = [(unpack(r["cls"]).astype(np.int64), unpack(r["before"])) for r in use.mapInArrow(seed, "cls binary, before binary").collect()]
-    cls = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
-    before = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))]) if parts else np.zeros(1, np.int64)
-    rng = np.random.default_rng(11)
-    noise = rng.gamma(2.0, 0.5, (CLASSES, STATES)) * prior[:, None]
+            use = _chosen(row, share)
+            if use.any():
+                cls, before, _, _ = _positions(shared.value, row, use)
+                starts, trans, emitted, lik = expected_counts(emit, cls, before, model.value.trans, model.value.start)
+                total += np.concatenate([starts, trans.ravel(), emitted.ravel(), [lik, len(cls)]])
+        if total[-1]:
+            yield slices(total, SLICES)
+
+    out = summed(blocks.mapInArrow(count, "slice int, s binary"), SLICES)
+    model.unpersist()
+    return out if len(out) else np.zeros(size)
+
+
+def train(blocks: DataFrame, corpus: Corpus, prior: np.ndarray) -> tuple[Hmm, list[tuple[float, float]]]:
+    """The model, and of each Baum-Welch round its share and the mean logarithm of a position's probability before it."""
+    shared = blocks.sparkSession.sparkContext.broadcast(corpus)
+    use = blocks.select("doc_ids", "held", "n", "ids", "vocab", "shape")
+    noise = np.random.default_rng(11).gamma(2.0, 0.5, (CLASSES, STATES)) * prior[:, None]
     # states stay long enough at first to tell texts, not neighbouring words, apart
     m = Hmm(np.full(STATES, 1 / STATES), np.full((STATES, STATES), 0.1 / STATES) + 0.9 * np.eye(STATES), noise / noise.sum(0))
-    for _ in range(SEED_ROUNDS if len(cls) else 0):
-        m = _m_step(*_e_step(m, cls, before)[:3], prior)
-    last = -np.inf
-    for _ in range(MOST_ROUNDS if corpus.docs else 0):
-        model = spark.sparkContext.broadcast(m)
-
-        def count(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
-            total = None
-            for row in each_row(batches):
-                cls, before, _, _ = _positions(shared.value, row)
-                step = _e_step(model.value, *_keep(cls, before, ~unpack(row["held"])))
-                total = step if total is None else tuple(x + y for x, y in zip(total, step))
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([x.ravel() for x in total]).astype(np.float64).tobytes()], pa.binary())], ["s"])
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
-            for raw in (r for b in batches for r in b.column(0)):
-                x = np.frombuffer(raw.as_buffer(), np.float64)
-                total = x.copy() if total is None else total + x
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
-
-        sums = use.mapInArrow(count, "s binary").repartition(SUM_TASKS).mapInArrow(add, "s binary").collect()
-        s = np.sum([np.frombuffer(r.s) for r in sums], axis=0)
-        model.unpersist()
-        k = STATES
-        m = _m_step(s[:k], s[k : k + k * k].reshape(k, k), s[k + k * k : -2].reshape(CLASSES, k), prior)
-        fit = s[-2] / s[-1]
-        if fit - last < SETTLED:
-            break
-        last = fit
-    return m
+    k, history = STATES, []
+    for share, settled in zip(SHARES, SETTLED):
+        last = -np.inf
+        while corpus.docs and len(history) < MOST_ROUNDS:
+            s = _round(use, shared, m, share)
+            if not s[-1]:
+                break
+            m = _m_step(s[:k], s[k : k + k * k].reshape(k, k), s[k + k * k : -2].reshape(CLASSES, k), prior)
+            fit = s[-2] / s[-1]
+            history.append((share, fit))
+            if fit - last < settled:
+                break
+            last = fit
+    return m, history
 
 
 def corpus_counts(docs: DataFrame, id_col: str, text: str, held: int, folds: int) -> tuple[DataFrame, DataFrame, Corpus, np.ndarray]:
@@ -323,7 +301,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rows repeat and count each for itself; an empty table gives no rows.
     """
     blocks, owned, corpus, prior = corpus_counts(docs, id_col, text, held, folds)
-    model = train(blocks, corpus, prior)
+    model, _ = train(blocks, corpus, prior)
     shared = docs.sparkSession.sparkContext.broadcast((corpus, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +316,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             base = np.bincount(doc, np.log10(c + 1.0)[ids], minlength=len(n)) - (n + 1) * floor + np.log10(corpus.docs + 1)
             known = np.bincount(doc, c[ids] > 0, minlength=len(n)).astype(np.int64) + int(corpus.docs > 0)
             if corpus.docs:
-                lik = _likelihoods(m, cls, before) / np.log(10)
+                lik = log_likelihoods(m.emit, cls, before, m.trans, m.start) / np.log(10)
                 word_cls = corpus.classes(unpack(row["vocab"]), unpack(row["shape"]))
                 shape = np.maximum(word_cls - OWN - 1, 0)
                 share = np.where(word_cls > OWN, np.log10(c + 1.0) - np.log10(corpus.class_tokens[shape] + corpus.class_words[shape] + 1), 0.0)

@@ -15,11 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.chain import expectations
+from glossa.llm.chain import posteriors
 from glossa.llm.common import crc_mod, find_words, lower, mix, ragged, slabs, span_hash, text_bytes, whole_text
+from glossa.session import cut
 
-#: Labelled documents of each language that the model is fitted on; fewer languages than rows, so the bound holds at any size.
-SAMPLE_PER_LANGUAGE = 250
+#: Labelled documents of each language that the model is fitted on, of at most SAMPLE_CHARS characters each; fewer languages than rows, so the bound holds at any size.
+SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 250, 200_000
+#: Languages whose sampling rates (a name and a number) are broadcast; more are joined by a shuffle.
+BROADCAST_LANGUAGES = 10_000
 #: Feature weights are hashed into this many slots.
 SLOTS = 1 << 17
 ROUNDS = 24
@@ -92,7 +95,7 @@ def train(texts: list[str], labels: list[str]) -> Crf:
     same = np.diag(np.bincount(doc_y, np.maximum(np.diff(before) - 1, 0), minlength=k))
     weigh = 1.0 / np.maximum(np.bincount(y, minlength=k), 1) * len(y) / k  # languages weigh alike
     for _ in range(ROUNDS if len(ids) and k > 1 else 0):
-        gamma, xi, _lik = expectations(_emissions(weights, slots, first)[ids], before, np.exp(trans), np.full(k, 1.0 / k))
+        gamma, xi, _lik = posteriors(_emissions(weights, slots, first)[ids], before, np.exp(trans), np.full(k, 1.0 / k))
         expected = np.stack([np.bincount(ids, gamma[:, j] * weigh[y], minlength=len(first)) for j in range(k)], 1)
         g_word = (seen * weigh[None] - expected)[owner]
         g = np.stack([np.bincount(slots, g_word[:, j], minlength=SLOTS) for j in range(k)], 1).astype(np.float32) - 0.05 * weights
@@ -112,21 +115,18 @@ def label_words(model: Crf, column: pa.Array) -> tuple[np.ndarray, np.ndarray, n
     count = np.concatenate([[0], np.cumsum(_LETTER[data])])
     letter = (count[end] - count[start] > 0)[ids] if len(ids) else np.zeros(0, bool)
     k = len(model.languages)
-    gamma = expectations(e[ids], before, model.transitions, np.full(k, 1.0 / k))[0] if len(ids) else np.zeros((0, k))
+    gamma = posteriors(e[ids], before, model.transitions, np.full(k, 1.0 / k))[0] if len(ids) else np.zeros((0, k))
     return gamma, before, letter
 
 
 def sample_labelled(docs: DataFrame, id_col: str, text: str, lang: str, held: int, folds: int, per_language: int) -> list:
     """Up to about per_language labelled documents of each language, whole, by a hash of their ids."""
     usable = docs.where((crc_mod(id_col, folds) != held) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in usable.groupBy(lang).count().collect()}
-    if not counts:
-        return []
-    rate = F.lit(None).cast("double")
-    for name, n in counts.items():
-        rate = F.when(F.col(lang) == name, F.lit(min(1.0, per_language / n))).otherwise(rate)
-    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return usable.where(place < rate).select(F.col(lang).alias("lang"), F.col(text).alias("text")).collect()
+    usable = usable.where(F.length(text) <= SAMPLE_CHARS).select(F.col(id_col).alias("__id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    rates = cut(usable.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(per_language) / F.count("*")).alias("rate")))
+    few = rates.count() <= BROADCAST_LANGUAGES
+    place = F.pmod(F.xxhash64(F.col("__id"), F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return usable.join(F.broadcast(rates) if few else rates, "lang").where(place < F.col("rate")).orderBy("lang", "__id", "text").select("lang", "text").collect()
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", held: int = 2, folds: int = 4, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
