@@ -2,8 +2,8 @@
 
 Document statistics, random Fourier features of a Gaussian kernel over them, ridge
 regression from normal equations that partitions sum, and isotonic calibration on labelled
-rows that the regression did not see. Text is read once for the statistics; what reaches the
-driver is one D x D matrix from each of FIT_PARTITIONS tasks, whatever the input.
+rows that the regression did not see. Text is read once for the statistics; tasks sum their
+matrices in slices, so one D x D matrix reaches the driver, whatever the input.
 """
 
 from __future__ import annotations
@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import crc_mod, find_words, lower, ragged, span_hash, text_bytes, whole_text
+from glossa.llm.common import by_bytes, crc_mod, find_words, lower, ragged, slices, span_hash, summed, tasks_for, text_bytes, whole_text
 from glossa.session import cut
 
-#: Tasks that sum the normal equations; each sends one matrix to the driver.
-FIT_PARTITIONS = 32
+#: Labelled rows that one task sums, and slices in which tasks' sums are added.
+FIT_ROWS, SLICES = 20_000, 16
+#: Bytes of text whose statistics are taken at a time; labelled ids (16 bytes each) that are broadcast, beyond which they are not used to skip texts.
+SLAB_BYTES, BROADCAST_ROWS = 1_000_000, 1_000_000
 #: Fourier features, and bins of the calibration's histogram.
 FEATURES, BINS = 256, 4096
 _KIND = np.full(256, 7, np.uint8)  # other symbols
@@ -109,7 +111,7 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _sums(df: DataFrame, of) -> np.ndarray:
-    """The sum over all rows of of(x, y), an array: summed in tasks, then on the driver."""
+    """The sum over all rows of of(x, y), an array: summed in tasks, then in slices over all tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0
@@ -117,10 +119,9 @@ def _sums(df: DataFrame, of) -> np.ndarray:
             if b.num_rows:
                 total = total + of(_matrix(b), b.column("y").to_numpy(zero_copy_only=False).astype(float))
         if not isinstance(total, int):
-            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float64).tobytes()], pa.binary())], ["s"])
+            yield slices(total, SLICES)
 
-    parts = [np.frombuffer(r.s) for r in df.mapInArrow(run, "s binary").collect()]
-    return np.sum(parts, axis=0) if parts else np.zeros(0)
+    return summed(df.mapInArrow(run, "slice int, s binary"), SLICES)
 
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -128,10 +129,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text: str = "te
 
     @F.arrow_udf("binary")
     def stats(column: pa.Array) -> pa.Array:
-        out: list[bytes] = []
-        for a in range(0, len(column), 256):
-            out += [r.tobytes() for r in statistics(column.slice(a, 256))]
-        return pa.array(out, pa.binary())
+        return pa.array([r.tobytes() for part in by_bytes(column, SLAB_BYTES) for r in statistics(part)], pa.binary())
 
     return docs.select(F.col(id_col).alias("doc_id"), stats(whole_text(docs, text)).alias("x"))
 
@@ -144,7 +142,8 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str
     """
     train = stats.join(labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("double").alias("y")).where("y is not null"), "doc_id")
     train = train.withColumn("fold", crc_mod("doc_id", folds)).where(F.col("fold") != held_out)
-    train = cut(train.repartition(FIT_PARTITIONS))
+    train = cut(train)
+    train = train.repartition(max(1, min(train.count() // FIT_ROWS + 1, tasks_for(stats.sparkSession))))
     m = _sums(train, lambda x, y: np.concatenate([[len(y), y.sum()], x.sum(0), (x * x).sum(0)]))
     if not len(m) or m[1] in (0, m[0]):
         value = 0.5 if not len(m) else m[1] / m[0]
@@ -192,7 +191,7 @@ def score_text(model: Model, column):
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        parts = [model.score(statistics(texts.slice(a, 256))) for a in range(0, len(texts), 256)]
+        parts = [model.score(statistics(part)) for part in by_bytes(texts, SLAB_BYTES)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
     return score(F.coalesce(column, F.lit("")))
@@ -217,8 +216,15 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, all columns, that the classifier does not reject. Text is scored in place and not shuffled."""
-    model = fit(cut(document_statistics(docs, id_col, text)), labels, id_col)
+    """The rows of docs, all columns, that the classifier does not reject. Text is scored in place and not shuffled.
+
+    Null and empty texts have a score like all others, repeated rows the same one, so rows of any
+    id, null included, stay or go by their text; an empty table gives none. The fit takes the
+    statistics of labelled documents only, if their ids are few enough to be broadcast.
+    """
+    ids = labels.select(F.col(id_col)).distinct()
+    few = ids.count() <= BROADCAST_ROWS
+    model = fit(cut(document_statistics(docs.join(F.broadcast(ids), id_col, "left_semi") if few else docs, id_col, text)), labels, id_col)
     return docs.where(score_text(model, F.col(text)) >= threshold)
 
 
