@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from glossa.session import cut
 
-#: Vectors the index is fitted on, at most; a part for each ROWS_PER_PART rows, MOST_PARTS at most.
-SAMPLE, ROWS_PER_PART, MOST_PARTS = 8192, 3000, 256
+#: Vectors the index is fitted on, at most. Parts grow with the square root of the rows, a quarter of it as a power of
+#: two, up to what the sample can tell apart (an eighth of it). A table of fewer than FEW_ROWS is one part: all of it is searched.
+SAMPLE, FEW_ROWS = 8192, 1000
 #: Rows in a chunk of a part, and queries that one task compares with it.
 CHUNK_ROWS, QUERY_BLOCK = 4000, 4096
 #: Recall wanted on the held-out part of the sample when the number of probes is chosen.
@@ -262,6 +263,11 @@ def _map(values: list[int]):
     return F.array(*[F.lit(int(v)) for v in values])
 
 
+def parts_for(n: int) -> int:
+    """The number of parts of a table of n vectors."""
+    return 1 if n < FEW_ROWS else 1 << int(np.clip(np.round(np.log2(np.sqrt(n) / 4)), 1, np.log2(SAMPLE // 8)))
+
+
 def search(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", every: int = 100, k: int = 10) -> DataFrame:
     """Each query's k nearest found: query_id, rank (from 1), vec_id, score.
 
@@ -275,9 +281,9 @@ def search(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", eve
     rows = valid_vectors(df, id_col, vector)
     n = rows.count()
     place = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    got = rows.where(place < min(1.0, 0.9 * SAMPLE / max(n, 1))).limit(SAMPLE).select("v").collect()
+    got = rows.withColumn("p", place).where(F.col("p") < min(1.0, 1.2 * SAMPLE / max(n, 1))).orderBy("p", "vec_id", "v").limit(SAMPLE).select("v").collect()
     sample = np.array([r.v for r in got], np.float64)
-    parts = 1 << int(np.clip(np.floor(np.log2(max(n / ROWS_PER_PART, 1))), 0, np.log2(MOST_PARTS)))
+    parts = parts_for(n)
     router = fit(sample, parts, k)
     index = cut(rows.mapInArrow(_index(router, k), "vec_id long, part int, v binary"))
     count = np.zeros(router.parts, np.int64)
