@@ -12,18 +12,18 @@ For a unigram model the best sum is taken in double precision; of equal sums the
 piece wins, and a character of no piece costs UNKNOWN below the least score.
 
 Texts are cut where no piece can reach across (before a run of spaces that follows other
-characters, and, for BPE, at characters of no piece), and chunks that repeat are encoded once
-while they are remembered. What a worker remembers is bounded: CHUNKS short chunks, some 20 MB,
-dropped at the end of a task, and whether PAIRS pairs of pieces may stand side by side, some
-17 MB, which holds for every text of the vocabulary and stays.
+characters, and, for BPE, at characters of no piece). The chunks of a batch of texts that were
+not met before advance together, a character a step: the automaton's transitions, its failure
+and output links and the verdicts on pairs are arrays. What a worker remembers is bounded:
+CHUNKS short chunks, dropped at the end of a task, and the verdicts on PAIRS pairs, which hold
+for every text of the vocabulary; some 20 MB each.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -31,16 +31,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import slabs, trim, whole_text
+from glossa.llm.common import ragged, slabs, trim, whole_text
 
 SPACE = "▁"
-#: Chunks of at most SHORT characters that a worker remembers, and pairs of pieces.
-CHUNKS, SHORT, PAIRS = 100_000, 64, 200_000
+#: Chunks that a worker remembers, of at most SHORT characters each, and pairs of pieces.
+CHUNKS, SHORT, PAIRS = 100_000, 96, 1_000_000
+#: Lengths up to which chunks advance together, so that short ones do not pay for long ones.
+STEPS = (12, 24, 48, SHORT)
 #: How far below the least score of a unigram model an unknown character lies (a fixed value of the format).
 UNKNOWN = 10.0
 #: A state is a piece's number plus one, shifted by this, so that state + piece names a pair.
 _SHIFT = 20
 _NO_STATE = -(1 << 50)
+_U = np.uint64
+
+
+class Table:
+    """A map from integers to small integers as two arrays, asked and filled many keys at a time; -1: not there."""
+
+    def __init__(self, bits: int, dtype):
+        self.shift, self.mask, self.n = _U(64 - bits), (1 << bits) - 1, 0
+        self.keys, self.values = np.full(1 << bits, (1 << 64) - 1, _U), np.full(1 << bits, -1, dtype)
+
+    def _at(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * _U(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self._at(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], -1)
+        left = np.flatnonzero((found != keys) & (found != _U((1 << 64) - 1)))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            found = self.keys[at[left]]
+            hit = found == keys[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (found != _U((1 << 64) - 1))]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct keys that are not there yet; the caller sees to it that half of the places stay free."""
+        at, left = self._at(keys), np.arange(len(keys))
+        self.n += len(keys)
+        while len(left):
+            free = left[self.keys[at[left]] == _U((1 << 64) - 1)]
+            self.keys[at[free]] = keys[free]
+            won = free[self.keys[at[free]] == keys[free]]
+            self.values[at[won]] = values[won]
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & self.mask
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -108,11 +147,43 @@ class Codec:
         inside = any(SPACE in p.lstrip(SPACE) for p in self.id)
         cut = "".join(c for c in "\n\t\r" if not any(c in p for p in self.id))
         self.chunks = re.compile("[\\s\\S]+" if inside else f"{SPACE}+[^{SPACE}{cut}]*|[^{SPACE}{cut}]+" + (f"|[{cut}]" if cut else "")).findall
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[int, bool] = {}  # may a piece follow a state
+        self.length = np.array([len(p) for p in self.pieces], np.int64)
+        self.pairs: dict[int, bool] = {}  # may a piece follow a state: as asked one by one
+        self.told = Table(21, np.int8)  # and many at a time
+        if self.bpe:
+            self._arrays()
+        self.forget()
         self.least = min((self.scores[i] for i in self.id.values()), default=0.0)
         self.shown = [self._show(i) for i in range(len(self.pieces))]
 
+    def _arrays(self) -> None:
+        """The automaton as arrays: transitions, failure links, the piece that ends in a state, and output links."""
+        goto: list[dict[str, int]] = [{}]
+        ends = [-1]
+        for p, i in self.id.items():
+            at = 0
+            for c in p:
+                if c not in goto[at]:
+                    goto[at][c] = len(goto)
+                    goto.append({})
+                    ends.append(-1)
+                at = goto[at][c]
+            ends[at] = i
+        fail, link = [0] * len(goto), [0] * len(goto)
+        line = list(goto[0].values())
+        for at in line:  # breadth first: links lead to shorter strings
+            link[at] = fail[at] if ends[fail[at]] >= 0 else link[fail[at]]
+            for c, to in goto[at].items():
+                f = fail[at]
+                while f and c not in goto[f]:
+                    f = fail[f]
+                fail[to] = goto[f].get(c, 0)
+                line.append(to)
+        keys = np.array([at << 21 | ord(c) for at, row in enumerate(goto) for c in row], _U)
+        self.goto = Table(max(1, (2 * len(keys)).bit_length()), np.int32)
+        self.goto.put(keys, np.array([to for row in goto for to in row.values()], np.int32))
+        self.fail, self.link, self.ends = np.array(fail), np.array(link), np.array(ends)
+
     def _show(self, i: int) -> str | None:
         """What a piece decodes to; None if its bytes need their neighbours."""
         if self.types[i] == 6:
@@ -205,32 +276,124 @@ class Codec:
                     run = k + 1
         return tuple(out)
 
+    def _may(self, pairs: np.ndarray) -> np.ndarray:
+        """Whether each pair of a state and a piece may stand; verdicts are remembered."""
+        out = self.told.get(pairs)
+        new = np.unique(pairs[out < 0])
+        if len(new):
+            if self.told.n + len(new) > PAIRS:
+                self.told = Table(21, np.int8)
+            told = np.array([self._follows((x >> _SHIFT) - 1, x & (1 << _SHIFT) - 1) for x in new.tolist()], np.int8)
+            self.told.put(new, told)
+            out[out < 0] = told[np.searchsorted(new, pairs[out < 0])]
+        return out > 0
+
+    def _walk(self, codes: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of all chunks one after another, and how many each has. Chunk i holds the characters codes[at[i]:]
+        of number n[i], all of them pieces; the longest come first."""
+        last, start = np.full((len(n), n[0] + 1), -1, np.int32), np.zeros((len(n), n[0] + 1), np.int32)
+        last[:, 0] = 0  # a state: 0 at the start, else a piece's number plus one
+        state = np.zeros(len(n), np.int64)
+        for t in range(int(n[0])):
+            live = int(np.searchsorted(-n, -t, side="left"))
+            c, left = codes[at[:live] + t].astype(_U), np.arange(live)
+            while len(left):  # a transition, or the same from the failure link
+                to = self.goto.get(state[left].astype(_U) << _U(21) | c[left])
+                state[left] = np.where(to >= 0, to, self.fail[state[left]])
+                left = left[to < 0]
+            out, left = np.where(self.ends[state[:live]] >= 0, state[:live], self.link[state[:live]]), np.arange(live)
+            while len(left):  # pieces that end here, the longest first, until one may follow the state before it
+                piece = self.ends[out[left]]
+                begin = t + 1 - self.length[piece]
+                before = last[left, begin]
+                ok = before >= 0
+                ok[ok] = self._may(before[ok].astype(_U) << _U(_SHIFT) | piece[ok].astype(_U))
+                last[left[ok], t + 1], start[left[ok], t + 1] = piece[ok] + 1, begin[ok]
+                left = left[~ok]
+                out[left] = self.link[out[left]]
+                left = left[out[left] > 0]
+        end, rows, found = n.copy(), np.arange(len(n)), []
+        while len(rows):
+            found.append((rows, last[rows, end[rows]] - 1))
+            end[rows] = start[rows, end[rows]]
+            rows = rows[end[rows] > 0]
+        count = np.bincount(np.concatenate([r for r, _ in found]), minlength=len(n))
+        ids, first = np.empty(int(count.sum()), np.int32), np.cumsum(count) - count
+        for k, (r, piece) in enumerate(found):
+            ids[first[r] + count[r] - 1 - k] = piece
+        return ids, count
+
+    def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks one after another, and how many each has."""
+        n = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        at = np.cumsum(n) - n
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+        together = np.zeros(len(chunks), bool)
+        if self.bpe and len(chunks):
+            single = self.goto.get(codes.astype(_U))
+            known = (single >= 0) & (self.ends[np.maximum(single, 0)] >= 0)
+            together = np.logical_and.reduceat(known, at) & (n <= SHORT)
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # chunks, ids, counts
+        low = 0
+        for high in STEPS:
+            mine = np.flatnonzero(together & (n > low) & (n <= high))
+            low = high
+            if len(mine):
+                mine = mine[np.argsort(-n[mine], kind="stable")]
+                parts.append((mine, *self._walk(codes, at[mine], n[mine])))
+        alone = np.flatnonzero(~together)
+        if len(alone):
+            each = [self._chunk(chunks[i]) for i in alone.tolist()]
+            parts.append((alone, np.fromiter(chain.from_iterable(each), np.int32), np.fromiter(map(len, each), np.int64, len(each))))
+        count = np.zeros(len(chunks), np.int64)
+        for mine, _, k in parts:
+            count[mine] = k
+        ids, first = np.empty(int(count.sum()), np.int32), np.cumsum(count) - count
+        for mine, found, k in parts:
+            row, place = ragged(k)
+            ids[first[mine][row] + place] = found
+        return ids, count
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all whole texts one after another, without begin or end, and how many come before each text."""
+        chunks, many = [], []
+        for text in texts:
+            if self.squeeze:
+                text = re.sub(" +", " ", text.strip(" "))
+            mine = self.chunks((SPACE if self.prefix else "") + text.replace(" ", SPACE)) if text else []
+            chunks += mine
+            many.append(len(mine))
+        new = list(set(chunks).difference(self.slot))
+        if len(self.slot) + len(new) > CHUNKS and self.slot:
+            self.forget()
+            new = list(set(chunks))
+        if new:
+            ids, count = self._chunks(new)
+            self.slot.update(zip(new, range(len(self.slot), len(self.slot) + len(new))))
+            self.begin = np.concatenate([self.begin, len(self.store) + np.cumsum(count) - count])
+            self.count = np.concatenate([self.count, count])
+            self.store = np.concatenate([self.store, ids])
+        at = np.fromiter(map(self.slot.__getitem__, chunks), np.int64, len(chunks))
+        row, place = ragged(self.count[at])
+        out = self.store[self.begin[at][row] + place]
+        before = np.concatenate([[0], np.cumsum(self.count[at])])[np.concatenate([[0], np.cumsum(many)]).astype(np.int64)]
+        if not self.byte and len(out):  # neighbouring unknown characters of a text are one piece
+            first = np.zeros(len(out) + 1, bool)
+            first[before] = True
+            keep = (out != self.unk) | first[:-1] | np.concatenate([[True], out[:-1] != self.unk])
+            out, before = out[keep], np.concatenate([[0], np.cumsum(keep)])[before]
+        if any(len(c) > SHORT for c in new) or len(self.slot) > CHUNKS:
+            self.forget()  # long chunks are not kept
+        return out, before
+
     def encode(self, text: str) -> list[int]:
-        """The ids of the whole text, without begin or end."""
-        if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        if not text:
-            return []
-        chunks = self.chunks((SPACE if self.prefix else "") + text.replace(" ", SPACE))
-        cache = self.cache
-        distinct = set(chunks)
-        for c in distinct.difference(cache):
-            cache[c] = self._chunk(c)
-        out = list(chain.from_iterable(map(cache.__getitem__, chunks)))
-        for c in distinct:
-            if len(c) > SHORT:
-                del cache[c]
-        if len(cache) > CHUNKS:
-            for c in list(islice(cache, len(cache) - CHUNKS // 2)):  # the older ones; what is common comes back at once
-                del cache[c]
-        if not self.byte:  # neighbouring unknown characters are one piece
-            out = [i for k, i in enumerate(out) if i != self.unk or not k or out[k - 1] != i]
-        return out
+        """The ids of a whole text, without begin or end."""
+        return self.encode_all([text])[0].tolist()
 
     def forget(self) -> None:
         """At the end of a task: the worker lives on, its chunks need not."""
-        self.cache = {}
-        trim()
+        self.slot: dict[str, int] = {}
+        self.begin, self.count, self.store = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def decode(self, ids) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
@@ -279,14 +442,11 @@ def with_pieces(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for t in slabs(batches, text, 1_000_000):
-            ids, off = array("i"), [0]
-            for s in t[text].to_pylist():
-                ids.extend(c.encode(s or ""))
-                off.append(len(ids))
-            flat = np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32)
+            flat, off = c.encode_all([s or "" for s in t[text].to_pylist()])
             cols = [t[n].combine_chunks() for n in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat)), pa.array(np.diff(off), pa.int64())], [*names, "ids", "n_pieces"])
         c.forget()
+        trim()
 
     return docs.mapInArrow(run, schema)
 
@@ -313,17 +473,14 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for t in slabs(batches, "text", 2_000_000):
-            ids, off, same = array("i"), [0], []
-            for s in t["text"].to_pylist():
-                x = c.encode(s)
-                ids.extend(x)
-                off.append(len(ids))
-                same.append(c.decode(x) == s)
-            flat = np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32)
+            texts = t["text"].to_pylist()
+            flat, off = c.encode_all(texts)
+            same = [c.decode(x.tolist()) == s for x, s in zip(np.split(flat, off[1:-1]), texts)]
             yield pa.RecordBatch.from_arrays(
                 [t["doc_id"].combine_chunks(), pa.array(np.diff(off), pa.int64()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat)), pa.array(same, pa.bool_())],
                 ["doc_id", "n_pieces", "ids", "round_trip"])
         c.forget()
+        trim()
 
     return rows.mapInArrow(run, f"doc_id {kind}, n_pieces long, ids array<int>, round_trip boolean")
 
