@@ -4,7 +4,7 @@ Documents are sets of 5-word shingles. Under any global order of shingles, two s
 Jaccard similarity of at least t share one of the first n - ceil(t n) + 1 shingles of each
 (prefix filter). Several orders are used: one that puts shingles known to be frequent last and
 is indexed, and orders by independent hashes; a candidate pair must meet under all of them
-before its sets are compared.
+before its texts move and its sets are compared.
 
 To find all links without all pairs of a group:
 1. Documents of one set are one node. Prefixes go to buckets of shingles as packed arrays;
@@ -14,12 +14,14 @@ To find all links without all pairs of a group:
 3. Cross round: only pairs of different components that meet under all orders are verified.
 A pair inside one component needs no check, so after the two rounds no link is missing.
 
-Before any text moves, a pair must pass a bound on the symmetric difference: documents carry
-the parities of hash classes of their shingles (about a bit a shingle), and the parities that
-differ are never more than the shingles that do. Near copies just short of linking end there.
+A pair that meets in the index must first pass a bound on the symmetric difference: documents
+carry the parities of hash classes of their shingles (about a bit a shingle), and the parities
+that differ are never more than the shingles that do. The prefixes under the orders by hash are
+cut only of documents in pairs that pass, and intersected.
 
-Verification is exact on whole texts, with shingles as 48-bit hashes (two documents of 1,000
-shingles confuse any two of them with probability 4e-9).
+Filters work on 48-bit hashes of shingles, which can only let a pair pass that need not.
+Verification compares the words themselves. Documents are one node if two independent 64-bit
+hashes of their sets agree; if only one of them does, other hashes are tried.
 """
 
 from __future__ import annotations
@@ -49,6 +51,11 @@ OWNER_NODES = 20_000
 HASH_ORDERS = 2
 #: Parity bits of a document: the power of two from its number of shingles up, within these.
 LEAST_BITS, MOST_BITS = 256, 1 << 15
+#: Seeds that are tried for the hashes that tell sets apart; bits of a node's id (fewer in tests of collisions).
+SEEDS, ALL_BITS = 8, np.uint64((1 << 64) - 1)
+NODE_BITS = ALL_BITS
+#: Shingles of texts that a task remembers while it compares pairs.
+KNOWN = 400_000
 _MASK = np.uint64((1 << 48) - 1)
 _U = np.uint64
 
@@ -65,11 +72,11 @@ def shingle_sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.n
     return key & _MASK, np.searchsorted(key, np.arange(len(off), dtype=_U) << _U(48))
 
 
-def _nodes(sets: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """An id of each set: equal sets, equal ids."""
+def _nodes(sets: np.ndarray, before: np.ndarray, seed: int, mask: np.uint64) -> np.ndarray:
+    """An id of each set: equal sets, equal ids. Seeds give independent ids."""
     n = np.diff(before)
-    total = np.concatenate([[_U(0)], np.cumsum(mix(sets ^ _U(0x5851F42D4C957F2D)), dtype=_U)])
-    return mix((total[before[1:]] - total[before[:-1]]) + n.astype(_U) * _U(0x2545F4914F6CDD1D))
+    total = np.concatenate([[_U(0)], np.cumsum(mix(sets + _U(0x5851F42D4C957F2D * (2 * seed + 1) % (1 << 64))), dtype=_U)])
+    return mix((total[before[1:]] - total[before[:-1]]) + n.astype(_U) * _U(0x2545F4914F6CDD1D)) & mask
 
 
 def _parities(sets: np.ndarray, before: np.ndarray) -> list[bytes]:
@@ -155,9 +162,10 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Ta
             yield part, *shingle_sets(part["text"].combine_chunks(), width)
 
 
-def _describe(width: int, owners: int):
+def _describe(width: int, owners: int, seed: int):
     """Rows of documents (kind 0) and, for owners, shingles that a chunk holds more than once (kind 1)."""
-    names = ["kind", "doc_id", "n", "node", "bits", "owner", "token", "count"]
+    names = ["kind", "doc_id", "n", "node", "check", "bits", "owner", "token", "count"]
+    mask = NODE_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -179,13 +187,13 @@ def _describe(width: int, owners: int):
             full = np.flatnonzero(np.diff(cuts))
             k = len(full)
             none = pa.nulls(k, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(k), pa.int32()), none, none, none, pa.nulls(k, pa.binary()), pa.array(full, pa.int32()),
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(k), pa.int32()), none, none, none, none, pa.nulls(k, pa.binary()), pa.array(full, pa.int32()),
                 pa.array([pack(token[cuts[o] : cuts[o + 1]]) for o in full], pa.binary()), pa.array([pack(count[cuts[o] : cuts[o + 1]]) for o in full], pa.binary())], names)
 
         for t, sets, before in _sets(batches, width):
-            n, nodes = np.diff(before), _nodes(sets, before)
+            n, nodes = np.diff(before), _nodes(sets, before, seed, mask)
             k = t.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k), pa.int32()), t["doc_id"].combine_chunks(), pa.array(n, pa.int64()), pa.array(nodes.view(np.int64)),
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k), pa.int32()), t["doc_id"].combine_chunks(), pa.array(n, pa.int64()), pa.array(nodes.view(np.int64)), pa.array(_nodes(sets, before, SEEDS + seed, ALL_BITS).view(np.int64)),
                 pa.array(_parities(sets, before), pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names)
             held += np.split(sets, before[1:-1])
             seen.append(nodes)
@@ -249,14 +257,39 @@ def _prefixes(sets: np.ndarray, before: np.ndarray, frequent: np.ndarray, classe
     return key[before[:-1][row] + place] & _U((1 << 44) - 1), row
 
 
-def _hash_prefixes(s: np.ndarray, percent: int) -> list[np.ndarray]:
-    """The sorted first shingles of one set under each order by hash."""
-    p = int(prefix_lengths(np.array([len(s)]), percent)[0])
-    return [np.sort(mix(s + _U((o + 1) << 50)))[:p] for o in range(HASH_ORDERS)]
+def _hash_orders(width: int, percent: int):
+    """(node, prefixes): the first shingles of each text under the orders by hash, as sorted 32-bit values one order after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, sets, before in _sets(batches, width):
+            length = prefix_lengths(np.diff(before), percent)
+            row, place = ragged(length)
+            parts = []
+            for o in range(HASH_ORDERS):
+                doc = ragged(np.diff(before))[0]
+                key = np.sort(doc.astype(_U) << _U(48) | mix(sets + _U((o + 1) << 50)) >> _U(16))
+                parts.append(((key[before[:-1][row] + place] & _MASK) >> _U(16)).astype(np.uint32))
+            cuts = np.cumsum(length)[:-1]
+            each = [np.split(p, cuts) for p in parts]
+            yield _batch([(n, pack(np.concatenate(x))) for n, *x in zip(t["node"].to_pylist(), *each)], ["node", "prefixes"], [pa.int64(), pa.binary()])
+
+    return run
 
 
-def _postings(shared, width: int, percent: int, buckets: int):
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that share a first shingle under every order by hash."""
+    for b in batches:
+        keep = []
+        for i, (x, y) in enumerate(zip(b.column("prefixes_a").to_pylist(), b.column("prefixes_b").to_pylist())):
+            if all(_common(u, v) for u, v in zip(unpack(x).reshape(HASH_ORDERS, -1), unpack(y).reshape(HASH_ORDERS, -1))):
+                keep.append(i)
+        keep = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("a").take(keep), b.column("b").take(keep)], ["a", "b"])
+
+
+def _postings(shared, width: int, percent: int, buckets: int, seed: int):
     names = ["bucket", "token", "node", "size"]
+    mask = NODE_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, classes = shared.value
@@ -275,7 +308,7 @@ def _postings(shared, width: int, percent: int, buckets: int):
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *[pa.array(c, pa.binary()) for c in cols]], names)
 
         for t, sets, before in _sets(batches, width):
-            nodes, q = _nodes(sets, before), _size_key(np.diff(before))
+            nodes, q = _nodes(sets, before, seed, mask), _size_key(np.diff(before))
             keep = _first(nodes)
             token, row = _prefixes(sets, before, frequent, classes, percent)
             use = keep[row]
@@ -539,31 +572,40 @@ class Told:
         self.bits = [bits[k] for k in by.tolist()] if bits else []
 
 
+def word_shingles(text: str, width: int, numbers: dict[bytes, int]) -> np.ndarray:
+    """The distinct shingles of a text, sorted, as numbers of their words; numbers: those given out so far."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.uint32, len(words))
+    if len(ids) < width:
+        ids = np.concatenate([ids, np.full(width - len(ids), 0xFFFFFFFF, np.uint32)]) if len(ids) else ids
+    rows = np.lib.stride_tricks.sliding_window_view(ids, width) if len(ids) else np.zeros((0, width), np.uint32)
+    return np.unique(np.ascontiguousarray(rows).view(np.dtype((np.void, 4 * width))).ravel())
+
+
 def _verify(width: int, percent: int):
-    """Pairs that meet under the orders by hash and link."""
+    """Pairs that link, by the words of their whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, tuple] = {}
+        known: dict[int, np.ndarray] = {}
+        numbers: dict[bytes, int] = {}
+        held = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 400):
-                part = batch.slice(lo, 400)
-                a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
-                for ids, col in ((a, "text_a"), (b, "text_b")):
-                    fresh = {x: k for k, x in enumerate(ids) if x not in known}
-                    if fresh:
-                        take = part.column(col).take(pa.array(list(fresh.values())))
-                        sets, before = shingle_sets(take, width)
-                        known.update((x, (s, _hash_prefixes(s, percent))) for x, s in zip(fresh, np.split(sets, before[1:-1])))
-                ok = []
-                for x, y in zip(a, b):
-                    (s, f), (t, g) = known[x], known[y]
-                    meets = all(_common(u, v) for u, v in zip(f, g))
-                    both = _common(s, t) if meets else 0
-                    ok.append(meets and 100 * both >= percent * (len(s) + len(t) - both))
-                if len(known) > 1000:
-                    known.clear()
-                keep = np.flatnonzero(ok)
-                yield pa.RecordBatch.from_arrays([part.column("a").take(pa.array(keep)), part.column("b").take(pa.array(keep))], ["a", "b"])
+            keep = []
+            for i in range(batch.num_rows):
+                pair = []
+                for name, column in (("a", "text_a"), ("b", "text_b")):
+                    node = batch.column(name)[i].as_py()
+                    if node not in known:
+                        known[node] = word_shingles(batch.column(column)[i].as_py(), width, numbers)
+                        held += len(known[node])
+                    pair.append(known[node])
+                both = len(np.intersect1d(*pair, assume_unique=True))
+                if 100 * both >= percent * (len(pair[0]) + len(pair[1]) - both):
+                    keep.append(i)
+                if held > KNOWN:
+                    known, numbers, held = {}, {}, 0
+            keep = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["a", "b"])
             trim()
 
     return run
@@ -577,16 +619,26 @@ def _common(s: np.ndarray, t: np.ndarray) -> int:
     return int((s[at] == t).sum())
 
 
-def _links(pairs: DataFrame, source: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs of nodes (a, b) that link, by their whole texts. One text of each node in a pair is moved, not all texts."""
-    pairs = cut(pairs)
+def _texts(pairs: DataFrame, source: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, text) of one document of each node in the pairs; nodes whose document's row repeats come that often."""
     need = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(reps, "node"))
     few = need.count() <= BROADCAST_ROWS
-    texts = source.join(F.broadcast(need) if few else need, "doc_id").select("node", "text")
-    texts = cut(texts.dropDuplicates(["node"]))
-    both = pairs.join(texts.withColumnRenamed("text", "text_b"), F.col("b") == F.col("node")).drop("node")
-    both = both.join(texts.withColumnRenamed("text", "text_a"), F.col("a") == F.col("node")).drop("node")
-    return cut(both.mapInArrow(_verify(width, percent), "a long, b long"))
+    return source.join(F.broadcast(need) if few else need, "doc_id").select("node", "text")
+
+
+def _both(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
+    for side in ("b", "a"):
+        pairs = pairs.join(of.select(F.col("node").alias(side), F.col(value).alias(f"{value}_{side}")), side)
+    return pairs
+
+
+def _links(pairs: DataFrame, source: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs of nodes (a, b) that link. Pairs must meet under the orders by hash; of those that do, one text of each node is moved."""
+    pairs = cut(pairs)
+    orders = cut(_texts(pairs, source, reps).mapInArrow(_hash_orders(width, percent), "node long, prefixes binary").dropDuplicates(["node"]))
+    pairs = cut(_both(pairs, orders, "prefixes").mapInArrow(_meet, "a long, b long"))
+    texts = cut(_texts(pairs, source, reps).dropDuplicates(["node"]))
+    return cut(_both(pairs, texts, "text").mapInArrow(_verify(width, percent), "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -601,15 +653,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(docs, text).alias("text"))
     owners = min(4096, tasks_for(spark))
-    described = cut(source.mapInArrow(_describe(width, owners), "kind int, doc_id long, n long, node long, bits binary, owner int, token binary, count binary"))
+    shape = "kind int, doc_id long, n long, node long, check long, bits binary, owner int, token binary, count binary"
+    for seed in range(SEEDS):
+        described = cut(source.mapInArrow(_describe(width, owners, seed), shape))
+        info = described.where("kind = 0 and n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("check").alias("low"), F.max("check").alias("high"))
+        info = cut(info)
+        if info.where("low <> high").isEmpty():
+            break
+    else:
+        raise RuntimeError("the sets of documents could not be told apart by their hashes")
+    info = info.drop("low", "high")
     nodes = described.where("kind = 0").select("doc_id", "n", "node")
     shared = spark.sparkContext.broadcast(_frequent(described))
     total = nodes.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
     buckets = int(min(1 << 19, max(tasks_for(spark), total // BUCKET_POSTINGS + 1)))
-    postings = source.mapInArrow(_postings(shared, width, percent, buckets), "bucket int, token binary, node binary, size binary")
+    postings = source.mapInArrow(_postings(shared, width, percent, buckets, seed), "bucket int, token binary, node binary, size binary")
     groups = postings.groupBy("bucket").applyInPandas(_groups, "sizes binary, node binary, size binary")
     groups = cut(groups.withColumn("row", F.monotonically_increasing_id()))
-    info = cut(described.where("kind = 0 and n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     reps = info.select("node", "doc_id")
     gap = _gap(percent)
     owners, packed = int(info.count() // OWNER_NODES + 1), "owner int, a binary, b binary"
