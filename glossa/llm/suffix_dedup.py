@@ -18,14 +18,15 @@ another: if a window is repeated, the bytes around its anchor agree over one of
 that leave out less than a window's CORES-th part.
 
 A core that more than HOT distinct contexts share is not sorted in one piece: windows over it
-are compared by hash, split over tasks by hash range, which is the exact way at any size. Up to
-FEW_PARTS such ranges, each gets the contexts' bytes; beyond it, contexts are cut to windows
-first and only the windows of a range move to it, so what moves grows with the windows alone.
+are compared by hash, split over tasks by hash range, which is the exact way at any size: its
+contexts are cut to windows before they move, so what moves and what a task holds grow with the
+windows over the core alone.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,9 +49,7 @@ BROADCAST_ROWS = 2_000_000
 #: Stretches around an anchor, one of which any two places of a repeated window share whole.
 CORES = 4
 #: Contexts of one core up to which they are sorted as one text; windows that one task compares beyond that; bytes sorted at a time.
-HOT, HOT_WINDOWS, SORT_BYTES = 1500, 600_000, 700_000
-#: Ranges of one core's windows up to which each gets the contexts' bytes.
-FEW_PARTS = 4
+HOT, HOT_WINDOWS, SORT_BYTES = 1500, 150_000, 700_000
 _U = np.uint64
 
 
@@ -352,15 +351,15 @@ def _windows(pos: np.ndarray, k: np.ndarray, begin: np.ndarray, end: np.ndarray,
     return low, np.maximum(np.minimum(left, end - length), low)
 
 
-def _cut_out(length: int, gram: int, hot: int, few: int):
-    """The bytes of the contexts asked for, by core; those of a core with many contexts go to several tasks, and
-    beyond `few` tasks as windows: rows without bytes, with packed hashes, numbers of contexts, and starts."""
-    names = ["core", "part", "parts", "k", "doc_id", "key", "pos", "from", "bytes", "windows"]
-    types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+def _cut_out(length: int, gram: int, hot: int):
+    """The bytes of the contexts asked for, by core; of a core with many contexts the windows over it, by core and
+    hash range: rows without bytes, with packed documents, hashes, numbers of documents, and starts."""
+    names = ["core", "part", "k", "doc_id", "key", "pos", "from", "bytes", "windows"]
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
     over = length - gram - (CORES - 1) * ((length - gram) // CORES) + 1  # windows over a core
 
     def cut_windows(rows: list[tuple]) -> Iterator[tuple]:
-        core, _, parts, k, doc, key, pos, begin, raw, _ = zip(*rows)
+        core, count, k, doc, key, pos, begin, raw, _ = zip(*rows)
         k, pos, begin = (np.array(x, np.int64) for x in (k, pos, begin))
         size = np.array([len(x) for x in raw])
         low, high = _windows(pos, k, begin, begin + size, length, gram)
@@ -368,7 +367,7 @@ def _cut_out(length: int, gram: int, hot: int, few: int):
         start = low[row] + place
         at = start - begin[row] + (np.cumsum(size) - size)[row]
         h = span_hash(np.frombuffer(b"".join(raw), np.uint8), at, at + length)
-        core, parts = np.array(core, np.int64)[row], np.array(parts, np.int64)[row]
+        core, parts = np.array(core, np.int64)[row], (-(-np.array(count, np.int64) * over // HOT_WINDOWS))[row]
         part = (h % parts.astype(_U)).astype(np.int64)
         by = np.lexsort((part, core))
         new = np.flatnonzero(np.concatenate([[True], (np.diff(core[by]) != 0) | (np.diff(part[by]) != 0)])) if len(by) else []
@@ -376,8 +375,8 @@ def _cut_out(length: int, gram: int, hot: int, few: int):
             w = by[a:b]
             docs, nth = np.unique(row[w], return_inverse=True)
             ids = np.array([[doc[i], key[i]] for i in docs.tolist()], np.int64).T
-            packed = pack(np.concatenate([[len(docs)], ids.ravel(), h[w].view(np.int64), nth, start[w]]).astype(np.int64))
-            yield int(core[w[0]]), int(part[w[0]]), int(parts[w[0]]), None, None, None, None, None, None, packed
+            packed = struct.pack("<q", len(docs)) + ids.tobytes() + h[w].tobytes() + nth.astype(np.uint32).tobytes() + start[w].astype(np.uint32).tobytes()
+            yield int(core[w[0]]), int(part[w[0]]), None, None, None, None, None, None, packed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -403,11 +402,7 @@ def _cut_out(length: int, gram: int, hot: int, few: int):
                         left, right = (v[k, np.arange(len(k))] for v in core_spans(pos.astype(np.int64), length, gram))
                         low, high = np.maximum(right - length, 0), np.minimum(left + length, len(raw))
                         for c, p, i, n, a, e in zip(*[v.tolist() for v in (name.view(np.int64), pos, k, count, low, high)]):
-                            parts = 0 if n <= hot else -(-n * over // HOT_WINDOWS)
-                            if parts > few:
-                                many.append((c, 0, parts, i, doc, key, p, a, raw[a:e], None))
-                            else:
-                                out.extend((c, part, parts, i, doc, key, p, a, raw[a:e], None) for part in range(max(parts, 1)))
+                            (many if n > hot else out).append((c, n if n > hot else 0, i, doc, key, p, a, raw[a:e], None))
                     yield from flush(False)
             trim()
         yield from flush(True)
@@ -443,23 +438,15 @@ def _compare(length: int, gram: int):
 
     def hashes(part: pa.Table) -> tuple[np.ndarray, ...]:
         """Windows over the core that fall to this part: hash, document, start."""
-        if part["windows"].null_count < part.num_rows:
-            found = []
-            for raw in part["windows"].to_pylist():
-                x = unpack(raw)
-                n = int(x[0])
-                (doc, key), (h, nth, start) = x[1 : 1 + 2 * n].reshape(2, -1), x[1 + 2 * n :].reshape(3, -1)
-                found.append((h.view(_U), doc[nth], key[nth], start))
-            return tuple(np.concatenate(c) for c in zip(*found))
-        data = np.frombuffer(b"".join(part["bytes"].to_pylist()), np.uint8)
-        low, high, begin, size = windows(part)
-        parts, mine = (part[c].to_numpy().astype(np.int64) for c in ("parts", "part"))
-        offset = np.cumsum(size) - size
-        row, place = ragged(np.minimum(high, begin + size - length) - low + 1)
-        at = low[row] + place
-        h = span_hash(data, at - begin[row] + offset[row], at - begin[row] + offset[row] + length)
-        ok = (h % parts[row].astype(_U)).astype(np.int64) == mine[row]
-        return h[ok], part["doc_id"].to_numpy()[row[ok]], part["key"].to_numpy()[row[ok]], at[ok]
+        found = []
+        for raw in part["windows"].to_pylist():
+            n = struct.unpack_from("<q", raw)[0]
+            doc, key = np.frombuffer(raw, np.int64, 2 * n, 8).reshape(2, -1)
+            m = (len(raw) - 8 - 16 * n) // 16
+            h = np.frombuffer(raw, _U, m, 8 + 16 * n)
+            nth, start = np.frombuffer(raw, np.uint32, 2 * m, 8 + 16 * n + 8 * m).reshape(2, -1)
+            found.append((h, doc[nth], key[nth], start.astype(np.int64)))
+        return tuple(np.concatenate(c) for c in zip(*found))
 
     def match(seen: list[tuple]) -> pa.RecordBatch:
         h, doc, key, start = (np.concatenate(x) for x in zip(*seen))
@@ -480,7 +467,7 @@ def _compare(length: int, gram: int):
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 t = pa.Table.from_batches([batch.slice(lo, 500)])
-                hot = t["parts"].to_numpy() > 0
+                hot = t["windows"].is_valid().to_numpy(zero_copy_only=False)
                 names = t["core"].to_numpy()
                 for at in _runs(names, hot, t["part"].to_numpy()):
                     piece = t.slice(at[0], at[1] - at[0])
@@ -546,8 +533,7 @@ def _union(spans: list[bytes] | None, size: int) -> list[tuple[int, int]]:
     return list(zip(a[first].tolist(), e[last].tolist()))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, few_parts: int = FEW_PARTS,
-                   keep_bytes: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, keep_bytes: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and `kept`, what is left).
 
     Every byte in a window of `length` bytes that starts anywhere else too goes, in all its
@@ -571,7 +557,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     asks = cut(owned.where("kind = 1").select("payload").mapInArrow(_asks, "doc_id long, key long, asks binary").groupBy("doc_id", "key").agg(F.collect_list("asks").alias("asks")))
     few = asks.count() <= BROADCAST_ROWS
     one = source.join(F.broadcast(asks.select("doc_id", "key")) if few else asks.select("doc_id", "key"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
-    pieces = one.join(asks, ["doc_id", "key"]).mapInArrow(_cut_out(length, gram, hot, few_parts), "core long, part int, parts int, k int, doc_id long, key long, pos long, from long, bytes binary, windows binary")
+    pieces = one.join(asks, ["doc_id", "key"]).mapInArrow(_cut_out(length, gram, hot), "core long, part int, k int, doc_id long, key long, pos long, from long, bytes binary, windows binary")
     by_core = pieces.repartition(max(owners, tasks_for(spark)), "core", "part").sortWithinPartitions("core", "part")
     spans = spans.union(by_core.mapInArrow(_compare(length, gram), "doc_id long, key long, spans binary"))
     by_doc = cut(spans.groupBy("doc_id", "key").agg(F.collect_list("spans").alias("spans")))

@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from glossa.llm import ann, chain, exact_dedup, hmm_lm, jaccard_join, language_id, mixing, quality, sentencepiece_codec, suffix_dedup, token_count
 from glossa.llm.common import rice_decode, rice_encode
@@ -26,8 +27,6 @@ def frame(spark, rows, extra=True):
     """Documents with columns whose names the operators use inside."""
     df = spark.createDataFrame(rows, "doc_id long, text string")
     if extra:
-        from pyspark.sql import functions as F
-
         df = df.selectExpr("*", "1 as size", "2 as fp", "3 as node", "'s' as source", "4 as target", "'en' as lang", "5 as key", "6 as uid")
         df = df.withColumn("n", F.lit(7))
     return df
@@ -94,13 +93,27 @@ def brute_nearest(x, ids, q, k=10):
     return ids[np.lexsort((ids, d))[:k]], np.sort(d)[:k]
 
 
-def test_ann_recall_and_exact_scores(spark, monkeypatch):
-    monkeypatch.setattr(ann, "ROWS_PER_PART", 250)
+@pytest.mark.parametrize("table", ["sf0.1", "check_s"])
+def test_ann_recall_on_whole_tables(spark, table):
+    rows = spark.read.parquet(f"/root/testdata/{table}/embeddings.parquet")
+    kept = [(r.vec_id, r.embedding) for r in ann.valid_vectors(rows, "vec_id", "embedding").select("vec_id", F.col("v").alias("embedding")).collect()]
+    ids, x = np.array([i for i, _ in kept]), np.array([v for _, v in kept], float)
+    assert ann.parts_for(len(ids)) > 1
+    got = collections.defaultdict(set)
+    for r in ann.search(rows).collect():
+        got[r.query_id].add(r.vec_id)
+    asked = np.flatnonzero(ids % 100 == 0)
+    want = [set(brute_nearest(x, ids, q)[0].tolist()) for q in asked]
+    assert sum(len(w & got[ids[q]]) for w, q in zip(want, asked)) >= 0.95 * sum(map(len, want))
+
+
+def test_ann_recall_and_exact_scores(spark):
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((40, 16)) * 3
     x = (centres[rng.integers(0, 40, 4000)] + rng.standard_normal((4000, 16))).astype(np.float32)
     x[::3] = x[0]  # one vector that a third of all rows share
     ids = np.arange(4000)
+    assert ann.parts_for(4000) == 16
     got = collections.defaultdict(list)
     for r in ann.search(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
@@ -244,11 +257,12 @@ def brute_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("hot, few", [(1500, 4), (1, 4), (1, 0)])
-def test_repeats_match_brute_force(spark, hot, few):
+@pytest.mark.parametrize("hot, windows", [(1500, 150_000), (1, 150_000), (1, 7)])
+def test_repeats_match_brute_force(spark, monkeypatch, hot, windows):
+    monkeypatch.setattr(suffix_dedup, "HOT_WINDOWS", windows)
     rng = random.Random(3)
     rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randint(0, 60)))) for i in range(40)] + [(100, "x" * 200), (101, None), (102, ""), (None, "éàü" * 20), (100, "x" * 200)]
-    got = suffix_dedup.remove_repeats(frame(spark, rows), length=20, gram=8, hot=hot, few_parts=few, keep_bytes=True).collect()
+    got = suffix_dedup.remove_repeats(frame(spark, rows), length=20, gram=8, hot=hot, keep_bytes=True).collect()
     assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats([(i, (t or "").encode()) for i, t in rows], 20)
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
 
@@ -268,30 +282,50 @@ def test_suffix_array():
 
 
 # 7 and 9
-def test_forward_backward_matches_the_definition(monkeypatch):
+def brute_chain(e, before, t, s):
+    """(posteriors, transition expectations, expected starts, log-likelihoods) by the definition."""
+    k = e.shape[1]
+    gamma, pairs, starts, lik = np.zeros_like(e), np.zeros((k, k)), np.zeros(k), np.zeros(len(before) - 1)
+    for d, (a, b) in enumerate(zip(before, before[1:])):
+        if a == b:
+            continue
+        f, g = [s * e[a]], [np.ones(k)]
+        for i in range(a + 1, b):
+            lik[d] += np.log(f[-1].sum())
+            f.append((f[-1] / f[-1].sum() @ t) * e[i])
+        lik[d] += np.log(f[-1].sum())
+        for i in range(b - 1, a, -1):
+            x = t @ (e[i] * g[-1])
+            g.append(x / x.sum())
+        g.reverse()
+        for i in range(b - a):
+            gamma[a + i] = f[i] * g[i] / (f[i] @ g[i])
+            if i:
+                both = np.outer(f[i - 1], e[a + i] * g[i]) * t
+                pairs += both / both.sum()
+        starts += gamma[a]
+    return gamma, pairs, starts, lik
+
+
+@pytest.mark.parametrize("length, most", [(4, 1000), (512, 1000), (4, 10), (512, 7)])
+def test_forward_backward_matches_the_definition(monkeypatch, length, most):
     rng = np.random.default_rng(0)
-    for length in (4, 256):
-        monkeypatch.setattr(chain, "L", length)
-        before = np.concatenate([[0], np.cumsum([0, 5, 1, 0, 13, 29])])
-        e, t, s = rng.random((before[-1], 3)) + 0.01, rng.random((3, 3)) + 0.05, rng.random(3)
-        gamma, xi, lik = chain.expectations(e, before, t, s)
-        pairs = np.zeros((3, 3))
-        for a, b, got in zip(before, before[1:], lik):
-            if a == b:
-                assert got == 0
-                continue
-            f, g = [s * e[a]], [np.ones(3)]
-            for k in range(a + 1, b):
-                f.append((f[-1] @ t) * e[k])
-            for k in range(b - 1, a, -1):
-                g.insert(0, t @ (e[k] * g[0]))
-            z = f[-1].sum()
-            assert np.isclose(np.log(z), got)
-            for k in range(b - a):
-                assert np.allclose(f[k] * g[k] / z, gamma[a + k])
-                if k:
-                    pairs += np.outer(f[k - 1], e[a + k] * g[k]) * t / z
-        assert np.allclose(pairs, xi)
+    monkeypatch.setattr(chain, "L", length)
+    monkeypatch.setattr(chain, "MOST", most)
+    before = np.concatenate([[0], np.cumsum([0, 5, 1, 0, 13, 29, 3])])
+    emit, t, s = rng.random((9, 3)) + 0.01, rng.random((3, 3)) + 0.05, rng.random(3)
+    t, s = t / t.sum(1, keepdims=True), s / s.sum()
+    cls = rng.integers(0, 9, before[-1])
+    gamma, pairs, starts, lik = brute_chain(emit[cls], before, t, s)
+    for got, want in zip(chain.posteriors(emit[cls], before, t, s), (gamma, pairs, lik)):
+        assert np.allclose(got, want)
+    emitted = np.zeros_like(emit)
+    np.add.at(emitted, cls, gamma)
+    for got, want in zip(chain.expected_counts(emit, cls, before, t, s), (starts, pairs, emitted, lik.sum())):
+        assert np.allclose(got, want)
+    for got, want in zip(chain.expected_counts(emit.astype(np.float32), cls, before, t, s), (starts, pairs, emitted, lik.sum())):
+        assert np.allclose(got, want, atol=1e-4)
+    assert np.allclose(chain.log_likelihoods(emit, cls, before, t, s), lik)
 
 
 def test_language_on_held_out_rows(spark):
@@ -335,20 +369,59 @@ def test_language_model_beats_its_base(spark):
     assert hmm_lm.score_documents(frame(spark, [])).count() == 0
 
 
-def test_language_model_settles_over_all_documents(spark, monkeypatch):
-    monkeypatch.setattr(hmm_lm, "SEED_DOCS", 4)
-    blocks, _, corpus_, prior = hmm_lm.corpus_counts(spark.read.parquet(f"{D}/documents.parquet"), "doc_id", "text", 2, 7)
-    m = hmm_lm.train(blocks, corpus_, prior)
-    gains, n = [], 0
-    for row in blocks.collect():
-        cls, before, _, _ = hmm_lm._positions(corpus_, row.asDict())
-        cls, before = hmm_lm._keep(cls, before, ~hmm_lm.unpack(row["held"]))
-        gains.append((cls, before))
-        n += len(cls)
-    steps = [hmm_lm._e_step(m, *x)[:3] for x in gains]
-    further = hmm_lm._m_step(*[sum(x) for x in zip(*steps)], prior)
-    gain = sum(hmm_lm._likelihoods(further, *x).sum() - hmm_lm._likelihoods(m, *x).sum() for x in gains) / n
-    assert abs(gain) < 0.002
+def test_language_model_is_baum_welch_over_all_documents(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    blocks, _, counted, prior = hmm_lm.corpus_counts(docs, "doc_id", "text", 2, 7)
+    m, history = hmm_lm.train(blocks, counted, prior)
+    texts = [hmm_lm._positions(counted, r.asDict(), ~hmm_lm.unpack(r.held)) for r in blocks.collect()]
+
+    def step(m):  # by the definition, in double precision
+        sums, n = [0, 0, 0, 0], 0
+        for cls, before, _, _ in texts:
+            gamma, pairs, starts, lik = brute_chain(m.emit[cls], before, m.trans, m.start)
+            emitted = np.zeros_like(m.emit)
+            np.add.at(emitted, cls, gamma)
+            sums, n = [x + y for x, y in zip(sums, (starts, pairs, emitted, lik.sum()))], n + len(cls)
+        return sums[:3], sums[3] / n
+
+    class Shared:
+        value = counted
+
+    got = hmm_lm._round(blocks.select("doc_ids", "held", "n", "ids", "vocab", "shape"), Shared, m, 1.0)
+    want, fit = step(m)
+    assert np.allclose(got[:-2], np.concatenate([x.ravel() for x in want]), rtol=1e-2, atol=1e-2) and abs(got[-2] / got[-1] - fit) < 1e-4
+    full = [f for share, f in history if share == 1.0]
+    assert len(full) > 1 and fit >= full[-1] - 1e-4 and full[-1] - full[-2] < hmm_lm.SETTLED[1]
+    assert all(b > a - 1e-4 for a, b in zip(full, full[1:]))  # no round lowers the likelihood
+
+
+def test_language_model_scores_are_the_forward_recursion(spark):
+    rows = corpus(8, 40)
+    docs = frame(spark, rows)
+    blocks, owned, counted, prior = hmm_lm.corpus_counts(docs, "doc_id", "text", 2, 7)
+    m, _ = hmm_lm.train(blocks, counted, prior)
+    got = {r.doc_id: r.score for r in hmm_lm.score_documents(docs).collect()}
+    count = collections.Counter()
+    tokens = {i: WORDS.findall(t.translate(LOWER)) for i, t in rows}
+    for i, w in tokens.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            count.update(w)
+    for r in blocks.collect():
+        cls, before, at, _ = hmm_lm._positions(counted, r.asDict())
+        lik = brute_chain(m.emit[cls], before, m.trans, m.start)[3] / math.log(10)
+        for d, i in enumerate(r.doc_ids):
+            share = 0.0
+            for w, c in zip(tokens[i], cls[before[d] : before[d + 1] - 1]):
+                if c > hmm_lm.OWN:
+                    s = c - hmm_lm.OWN - 1
+                    share += math.log10((count[w] + 1) / (counted.class_tokens[s] + counted.class_words[s] + 1))
+            assert abs(got[i] - lik[d] - share) < 1e-6
+
+
+def test_word_numbers_beyond_three_bytes():
+    ids = np.array([0, 5, (1 << 24) + 7])
+    planes = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    assert hmm_lm._ids(planes.tobytes(), 3).tolist() == ids.tolist() and hmm_lm._ids(planes[:3].tobytes(), 3).tolist() == [0, 5, 7]
 
 
 # 8
@@ -446,6 +519,30 @@ def test_components_without_broadcast(spark, monkeypatch):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
 
 
+def test_sets_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    rows = corpus(1)
+    monkeypatch.setattr(jaccard_join, "NODE_BITS", np.uint64(0x3FF << 5))  # the first seed puts two different sets on one id
+    got = jaccard_join.jaccard_components(frame(spark, rows)).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+    monkeypatch.setattr(jaccard_join, "NODE_BITS", np.uint64(3))
+    with pytest.raises(RuntimeError, match="told apart"):
+        jaccard_join.jaccard_components(frame(spark, rows))
+
+
+def test_components_of_long_texts(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(5000)}" for _ in range(40_000)]
+    near = words.copy()
+    for k in range(0, 40_000, 80):  # a change in 80 words costs 5 of 80 shingles: still a link
+        near[k] = "x"
+    far = words.copy()
+    for k in range(0, 40_000, 30):
+        far[k] = "y"
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(words).upper())]
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(frame(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 1}
+
+
 def test_near_copies_leave_the_smallest(spark):
     rows = corpus(4, 80)
     best = {d: c for d, _, c in brute_components(rows)}
