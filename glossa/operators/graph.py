@@ -98,3 +98,20 @@ def transitive_closure(edges: DataFrame, src: str, dst: str, max_rounds: int = 4
             return found
         found = cut(found.unionByName(fresh))
     raise RuntimeError("closure deeper than max_rounds")
+
+
+def neighbourhood(seeds: DataFrame, edges: DataFrame, node: str, label: str, src: str, dst: str, most: int = 2, through: str | None = None) -> DataFrame:
+    """(node, label, distance) of nodes within `most` steps of a seed (node, label), each with the label of the
+    nearest seed, the smallest of equals. through: a boolean column of edges; beyond the first step only such edges count.
+
+    Each step joins only the nodes found last and keeps a minimum a node, so it is bounded by nodes, not by paths.
+    """
+    e = edges.select(F.col(src).alias("node"), F.col(dst).alias("to"), (F.lit(True) if through is None else F.col(through)).alias("on"))
+    found = cut(seeds.groupBy(F.col(node).alias("node")).agg(F.min(label).alias("label")).withColumn("distance", F.lit(0)))
+    fresh = found
+    for k in range(1, most + 1):
+        steps = e if k == 1 else e.where("on")
+        reached = fresh.join(steps, "node").groupBy(F.col("to").alias("node")).agg(F.min("label").alias("label")).withColumn("distance", F.lit(k))
+        fresh = cut(reached.join(found, "node", "left_anti"))
+        found = cut(found.unionByName(fresh))
+    return found

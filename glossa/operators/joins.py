@@ -17,6 +17,12 @@ def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return _first(df, keys, order)
 
 
+def prefer(df: DataFrame, keys: list[str], preferences: list[Column], order: list) -> DataFrame:
+    """Of rows with equal keys, the one that meets the earliest preference, else any; the first by order among equals."""
+    rank = F.coalesce(*[F.when(p, F.lit(i)) for i, p in enumerate(preferences)], F.lit(len(preferences)))
+    return _first(df, keys, [rank, *order])
+
+
 def _first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("__rn = 1").drop("__rn")
 

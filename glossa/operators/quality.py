@@ -23,12 +23,10 @@ def split_flags(found: Column, review: list[str], exempt: Column | None = None)
     return F.struct((hard if exempt is None else F.when(exempt, F.array().cast("array<string>")).otherwise(hard)).alias("errors"), F.array_intersect(found, kind).alias("flags"))
 
 
-def reject_batch(df: DataFrame, found: Column) -> DataFrame:
-    """The batch, or an error if any of its rows has an issue."""
-    bad = df.where(F.size(found) > 0).limit(1).count()
-    if bad:
-        raise ValueError("the batch holds invalid rows and is rejected as a whole")
-    return df
+def accept_batches(df: DataFrame, batch: str, found: Column) -> DataFrame:
+    """The rows of batches in which no row has an issue; one bad row rejects its whole batch."""
+    bad = df.where(F.size(found) > 0).select(F.col(batch).alias("__batch")).distinct()
+    return df.join(bad, F.col(batch).eqNullSafe(F.col("__batch")), "left_anti")
 
 
 def require(df: DataFrame, name: str, bad: Column) -> DataFrame:

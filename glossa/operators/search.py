@@ -116,3 +116,24 @@ def interleave(first: DataFrame, second: DataFrame, limit: int, both: DataFrame
     rows = a.union(second.select("qid", "id", F.lit(1), "rank"))
     best = rows.groupBy("qid", "id").agg(F.min(F.struct("band", "rank")).alias("at"))
     return best.withColumn("pos", F.row_number().over(W.partitionBy("qid").orderBy("at", "id"))).where(F.col("pos") <= limit).select("qid", "id", "pos")
+
+
+def shaped(hits: DataFrame, senses: DataFrame, language: str) -> DataFrame:
+    """Q10: hits (qid, ord, key) with `matched_sense`, the first sense that has the key, and `matched_language`.
+
+    senses: (ord, sense, key). A hit that no sense has keeps a null sense."""
+    first = senses.groupBy("ord", "key").agg(F.min("sense").alias("matched_sense"))
+    return hits.join(first, ["ord", "key"], "left").withColumn("matched_language", F.lit(language))
+
+
+def early_exact(queries: DataFrame, core: DataFrame, rest: DataFrame, limit: int = 24) -> DataFrame:
+    """Q12: (qid, id, pos): what may be shown before any other search has run: for queries that are Han throughout,
+    entries (id, simplified, traditional) equal to them in either script, those of the core first, each id once."""
+    han = queries.withColumn("q", F.trim("q")).where(F.col("q").rlike(r"^\p{IsHan}+$"))
+    hits = None
+    for side, entries in enumerate((core, rest)):
+        keys = entries.select("id", F.explode(F.array_distinct(F.array("simplified", "traditional"))).alias("q"))
+        one = han.join(keys, "q").select("qid", "id", F.lit(side).alias("side"))
+        hits = one if hits is None else hits.union(one)
+    best = hits.groupBy("qid", "id").agg(F.min("side").alias("side"))
+    return best.withColumn("pos", F.row_number().over(W.partitionBy("qid").orderBy("side", "id"))).where(F.col("pos") <= limit).select("qid", "id", "pos")

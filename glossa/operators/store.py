@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.operators.joins import keep_first, row_diff
+from glossa.operators.sample import batches
 
 
 def build(existing: DataFrame, candidates: DataFrame, corpus: DataFrame, keys: list[str], issues) -> DataFrame:
@@ -125,3 +126,20 @@ def delta(old: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, D
 def apply_delta(old: DataFrame, upserts: DataFrame, removals: DataFrame, keys: list[str]) -> DataFrame:
     gone = upserts.select(*keys).union(removals.select(*keys))
     return old.join(gone, keys, "left_anti").unionByName(upserts)
+
+
+def snapshots(df: DataFrame, order: list[str], size: int = 128) -> DataFrame:
+    """(batch, records, sha256, payload): rows in immutable batches of `size`, each one JSON array in order."""
+    numbered = batches(df, order, size)
+    rows = F.array_sort(F.collect_list(F.struct(*order, F.struct(*df.columns).alias("row"))))  # of `size` rows at most
+    payload = F.to_json(F.transform(rows, lambda r: r["row"]))
+    one = numbered.groupBy("batch").agg(F.count("*").alias("records"), payload.alias("payload"))
+    return one.select("batch", "records", F.sha2("payload", 256).alias("sha256"), "payload")
+
+
+def resume(done: DataFrame, planned: DataFrame) -> DataFrame:
+    """The batches of planned that are not done; fails if one that is done holds something else."""
+    if done.join(planned.select("batch", F.col("sha256").alias("__sha")), "batch").where("sha256 <> __sha").limit(1).count():
+        raise ValueError("a batch that is done differs from what is planned")
+    return planned.join(done.select("batch"), "batch", "left_anti")
+

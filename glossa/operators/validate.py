@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,3 +29,22 @@ def sentences_verdict(content: Column, word: Column, n: int = 3, limit: int = 40
         .when(rows.isNull() | (F.size(rows) != n), "count").when(bad, "text").when(F.size(F.array_distinct(keys)) != n, "duplicate")
         .when(F.exists(texts, lambda t: ~F.contains(t, word)), "headword").otherwise("valid")
     )
+
+
+def corpus_audit(entries: DataFrame) -> DataFrame:
+    """One row of counts over entries (traditional, simplified, pinyin, definitions): a sense is a definition that is
+    no measure-word note. Distinct characters are counted after they are exploded, so no set is collected."""
+    notes = F.filter("definitions", lambda x: x.rlike("(?i)^CL:"))
+    senses = F.filter("definitions", lambda x: ~x.rlike("(?i)^CL:"))
+    rows = entries.withColumn("notes", F.size(notes)).withColumn("senses", senses)
+    simple = F.col("simplified")
+    one, han = F.length(simple) == 1, simple.rlike(r"^\p{IsHan}$")
+    count = lambda c: F.sum(F.size(c)).cast("long")
+    told = rows.agg(
+        F.count("*").alias("rows"), F.count_distinct("traditional", "simplified", "pinyin").alias("unique_entries"), F.count_distinct("simplified").alias("unique_headwords"), count("senses").alias("sense_records"),
+        count("definitions").alias("raw_definitions"), F.sum("notes").cast("long").alias("classifier_only"), F.count_if(one).alias("single_entries"), F.count_distinct(F.when(one, simple)).alias("single_characters"),
+        F.count_if(han).alias("single_han_entries"), F.count_distinct(F.when(han, simple)).alias("single_han_characters"), F.count_if(F.length(simple) > 1).alias("compound_entries"),
+        count(F.filter("senses", lambda x: x.rlike(r"\(idiom\)"))).alias("idiom_senses"), count(F.filter("senses", lambda x: F.trim(x) != "")).alias("english_nonempty"), F.count_if(F.size("senses") > 1).alias("multiple_sense_entries"),
+    )
+    characters = entries.select(F.explode(F.regexp_extract_all(F.concat("traditional", "simplified"), F.lit(r"(\p{IsHan})"), F.lit(1))).alias("c")).agg(F.count_distinct("c").alias("han_characters"))
+    return told.crossJoin(characters)  # single rows

@@ -48,12 +48,66 @@ def _(spark, d):
     return t.select("conv_id", "turn", (F.trim("text") == "").alias("empty"), (F.col("text") == F.col("source")).alias("copy"), (F.length("text") > F.greatest(F.lit(160), F.length("source") * 4)).alias("length_"), (numbers[0] == numbers[1]).alias("same_numbers"))
 
 
-@query("quality_two_paths", "V04 V06 V03", """
-SELECT doc_id, CASE WHEN quality = 1 AND n_chars > 500 THEN 'definition' WHEN quality = 1 THEN 'lexical' WHEN quality IS NULL AND n_chars BETWEEN 200 AND 3000 THEN 'mixed' ELSE 'invalid' END AS kind FROM documents LEFT JOIN labels USING (doc_id)""")
+#: A gloss, its part of speech, whether it is an idiom, an output, and the codes against it; references of all: bendera, me-something.
+_EVIDENCE = (
+    ("flag", "n", False, "bendera", ""), ("flag", "n", False, "• Bendera; untuk bendera", ""), ("flag", "n", False, "panji", "whole-output-reference-mismatch"), ("flag", "n", False, "bendera ✔", "corrupt-or-hallucinated,non-lexical-symbols-or-script"),
+    ("flag", "n", False, "kain: bendera", "unresolved-definition-structure,whole-output-reference-mismatch"), ("flag (idiom)", "n", False, "bendera", "special-sense-needs-context-review"), ("flag", "n", True, "bendera", "special-sense-needs-context-review"),
+    ("banner", "n", False, "bendera", "no-independent-sense-reference,whole-output-reference-mismatch"), ("ensign", "n", False, "bendera", "known-synset-scope-conflict"), ("flag", "n", False, "mobil", "malaysian-scope-review,whole-output-reference-mismatch"),
+    ("standard", "n", False, "bendera", "mandarin-context-conflict"), ("to flag", "v", False, "bendera", "bare-verb-needs-review"), ("to flag", "v", False, "menanda", ""), ("to flag", "v", False, "ikat", ""), ("flag", "n", False, " ", "empty,non-lexical-symbols-or-script"),
+)
+
+
+@query("quality_concordance", "V03", f"SELECT p_partkey, codes FROM part JOIN (VALUES " + ", ".join(f"({i}, '{c[4]}')" for i, c in enumerate(_EVIDENCE)) + f") v(i, codes) ON p_partkey % {len(_EVIDENCE)} = i")
+def _(spark, d):
+    from glossa.operators import qualify
+
+    cases = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(_EVIDENCE)], "i long, gloss string, pos string, idiom boolean, output string")
+    rows = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % len(_EVIDENCE)).alias("i")).join(F.broadcast(cases), "i")  # a table of fixed size
+    words = lambda *w: F.array(*[F.lit(x) for x in w]).cast("array<string>")
+    gloss = F.col("gloss")
+    found = qualify.output_evidence(F.col("output"), F.lit(True), gloss, F.col("pos"), F.col("idiom"), F.when(gloss == "banner", words()).otherwise(words("Bendera", "menanda", "ikat")), gloss == "ensign",
+                                    words("mobil"), F.when(gloss == "standard", words("bendera")).otherwise(words()), words("ikat"))
+    return rows.select("p_partkey", F.array_join(F.array_sort(found), ",").alias("codes"))
+
+
+#: A gloss, an output, whether a second source attests it, and what it is.
+_RECOVERED = (
+    ("variant of 猫[mao1]", "varian 猫[mao1]", False, "definition", "variant"), ("see also 猫[mao1]", "Lihat juga 猫[mao1]", False, "definition", "see"), ("abbr. for 猫[mao1]", "singkatan bagi 猫[mao1]", False, "definition", "abbreviation"),
+    ("see 猫[mao1]", "lihat 狗[gou3]", False, "invalid", None), ("cat", "kucing", True, "lexical", None), ("cat", "kucing", False, "mixed", None), ("cat", "anjing", True, "mixed", None), ("cat", "anjing", False, "invalid", None),
+)
+
+
+@query("quality_recovery", "V04 V06 F26", "SELECT p_partkey, kind, rule FROM part JOIN (VALUES " + ", ".join(f"({i}, '{r[3]}', {'NULL' if r[4] is None else repr(r[4])})" for i, r in enumerate(_RECOVERED)) + f") v(i, kind, rule) ON p_partkey % {len(_RECOVERED)} = i")
+def _(spark, d):
+    from glossa.operators import qualify
+
+    cases = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(_RECOVERED)], "i long, gloss string, output string, attested boolean")
+    rows = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % len(_RECOVERED)).alias("i")).join(F.broadcast(cases), "i")  # a table of fixed size
+    no, none = F.lit(False), F.array().cast("array<string>")
+    definition = qualify.reference_definition(F.col("gloss"), F.col("output"))
+    codes = qualify.output_evidence(F.col("output"), F.lit(True), F.col("gloss"), F.lit("n"), no, F.array(F.lit("kucing")), no, none, none, none)
+    return rows.select("p_partkey", qualify.recovered(definition, codes, F.col("attested")).alias("kind"), definition["rule"].alias("rule"))
+
+
+@query("quality_whole_batches", "V10", """
+SELECT lang, count(*) AS n FROM documents WHERE lang NOT IN (SELECT lang FROM documents WHERE length(text) > 100000 OR contains(text, '|  |')) AND lang <> (SELECT min(lang) FROM documents) GROUP BY lang""")
 def _(spark, d):
-    j = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
-    good = F.col("quality") == 1
-    return j.select("doc_id", q.waterfall({"definition": good & (F.col("n_chars") > 500), "lexical": good, "mixed": F.col("quality").isNull() & F.col("n_chars").between(200, 3000)}, "invalid").alias("kind"))
+    docs = table(spark, d, "documents")
+    first = docs.agg(F.min("lang").alias("first"))  # a batch with a bad row for certain
+    docs = docs.crossJoin(first)  # one row
+    found = q.issues({"long": F.length("text") > 100000, "cells": F.contains("text", F.lit("|  |")), "first": F.col("lang") == F.col("first")})
+    return q.accept_batches(docs, "lang", found).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query("quality_provenance", "V18", """
+SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'license' WHEN 1 THEN 'particulars' WHEN 2 THEN 'sha256' WHEN 3 THEN 'not-redistributable' WHEN 4 THEN 'not-redistributable,license,particulars' ELSE '' END AS issues FROM pages""")
+def _(spark, d):
+    from glossa.operators import qualify
+
+    k = F.col("page_id") % 6
+    actual = F.sha2("html", 256)
+    found = qualify.provenance(F.when(k.isin(0, 4), "unknown").otherwise("CC-BY-SA-4.0"), F.lit("the site"), F.when(k != 1, "1"), F.when(k != 4, F.col("url")), ~k.isin(3, 4), F.when(k == 2, F.sha2(F.lit("other"), 256)).when(k != 5, actual), actual)
+    return table(spark, d, "pages").select("page_id", F.array_join(found, ",").alias("issues"))
 
 
 @query("quality_exclusions", "P10 V14", r"""
@@ -78,7 +132,7 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", c.rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}").alias("mail"), c.rlike(r"\b(?:sk|pk|ghp|AKIA)[-_A-Za-z0-9]{12,}").alias("secret"), c.rlike("Ã.|â€").alias("mojibake"), c.rlike(r"[ \t]+(\n|$)").alias("trailing"))
 
 
-@query("quality_gate", "V09 A23 V10", """
+@query("quality_gate", "V09 A23", """
 SELECT lang, count(*) AS n, CASE WHEN avg(quality) < 0.8 OR count(*) < 20 THEN 'blocked' ELSE 'open' END AS gate FROM documents JOIN labels USING (doc_id) GROUP BY lang""")
 def _(spark, d):
     g = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").groupBy("lang").agg(F.count("*").alias("n"), F.avg("quality").alias("rate"))

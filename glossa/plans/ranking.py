@@ -148,7 +148,7 @@ def _(spark, d):
     return c.select(F.col("node").alias("page_id"), F.col("component").alias("identity"))
 
 
-@query("infer_memoised", "T11 T12 T13 T15 X01 X02 A17", """
+@query("infer_memoised", "T11 T12 X01 A17", """
 SELECT doc_id, CASE WHEN lang = 'de' THEN NULL ELSE upper(lang) END AS output, lang = 'de' AS failed, doc_id <> min(doc_id) OVER (PARTITION BY lang) AS reused FROM documents""")
 def _(spark, d):
     @inference.adapter("upper")
@@ -157,11 +157,55 @@ def _(spark, d):
             raise ValueError("not supported")
         return [x.upper() for x in batch]
 
-    out = inference.infer(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", "lang", run)
+    out = inference.infer(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", "lang", run, tries=1)
     return out.select("doc_id", "output", F.col("error").isNotNull().alias("failed"), "reused")
 
 
-@query("infer_rounds", "T08 X04", "SELECT p_partkey FROM part WHERE p_partkey % 10 IN (1, 2)")
+@query("infer_retried", "T15 T13", """
+SELECT doc_id, CASE WHEN lang = 'de' THEN NULL ELSE upper(lang) END AS output, CASE WHEN lang = 'de' THEN 3 ELSE 1 END AS tries FROM documents""")
+def _(spark, d):
+    def run(batch: list[str]) -> list[str]:
+        if "de" in batch:
+            raise ValueError("not supported")
+        return [x.upper() for x in batch]
+
+    # so little memory that every batch is one of eight rows at most
+    out = inference.infer(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", "lang", run, pause=0.001, memory=lambda: 1)
+    return out.select("doc_id", "output", F.when(F.col("error").isNotNull(), F.col("tries")).otherwise(1).alias("tries"))
+
+
+@query("infer_observed", "X04", """
+SELECT count(*) AS rows, count(*) FILTER (lang = 'de') AS failed, count(*) - count(DISTINCT lang) AS reused FROM documents""")
+def _(spark, d):
+    from glossa.session import cut
+
+    def run(batch: list[str]) -> list[str]:
+        if "de" in batch:
+            raise inference.PolicyError("barred") if len(batch) == 1 else ValueError("split it")
+        return batch
+
+    results, seen = inference.observed(inference.infer(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", "lang", run, tries=1), "documents")
+    cut(results)
+    return spark.createDataFrame([(seen.get["rows"], seen.get["failed"], seen.get["reused"])], "rows long, failed long, reused long")
+
+
+@query("qualify_terms", "X02 J09 J14", """
+SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'bidal ' || lower(p_brand) WHEN p_size % 5 = 0 OR p_partkey % 7 = 1 THEN NULL WHEN p_size % 3 = 0 AND p_partkey % 7 <> 2 THEN 'Kata ' || p_size END AS malay,
+  CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_size % 5 = 0 OR p_partkey % 7 = 1 THEN 'linguistic-assessment-rejected' WHEN p_size % 3 <> 0 THEN 'no-qualified-exact-sense-term' WHEN p_partkey % 7 = 2 THEN 'qualified-term-not-in-concordant-synset' END AS reason FROM part""")
+def _(spark, d):
+    from glossa.operators import qualify
+
+    senses = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", F.col("p_partkey").cast("string").alias("headword"), F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("english"))
+    k = F.col("p_partkey") % 7
+    sizes = senses.select("english", "p_size").distinct()
+    terms = sizes.where("p_size % 3 = 0").select("english", F.concat(F.lit("Kata "), F.col("p_size").cast("string")).alias("malay"))
+    idioms = senses.where(k == 0).select("headword", "english", F.concat(F.lit("bidal "), F.lower("p_brand")).alias("malay"))
+    bad = sizes.where("p_size % 5 = 0").select(F.lit(None).cast("string").alias("headword"), "english").union(senses.where(k == 1).select("headword", "english"))
+    both = senses.where(k != 2).select("headword", "english", F.concat(F.lit("KATA-"), F.col("p_size").cast("string")).alias("malay"))
+    return qualify.qualify_terms(senses, terms, idioms, bad, both).select("p_partkey", "malay", "reason")
+
+
+@query("infer_rounds", "T08", "SELECT p_partkey FROM part WHERE p_partkey % 10 IN (1, 2)")
 def _(spark, d):
     p = table(spark, d, "part").select("p_partkey")
     return inference.rounds(lambda k: p.where(F.col("p_partkey") % 10 == min(k + 1, 2)), "p_partkey", 10**9)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions import text as t
 from glossa.operators import graph, joins, sample
+from glossa.operators.validate import corpus_audit
 from glossa.plans.registry import query
 from glossa.session import table
 
@@ -205,11 +206,26 @@ def _(spark, d):
     return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.size(s).cast("long").alias("n"), F.array_join(s, "").alias("flags"))
 
 
-@query("agg_audit", "A04 A22", """
-SELECT count(*) AS n, count(DISTINCT text) AS texts, count(DISTINCT source) AS sources, count(*) FILTER (length(text) > 2000) AS long_texts, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents""")
+_HEADS = "猫", "爱好", "A", "电脑", "B超"
+_AUDIT = r"""
+WITH r AS (SELECT p_type AS trad, ['猫','爱好','A','电脑','B超'][p_partkey % 5 + 1] AS simp, p_size AS py, CASE p_partkey % 4 WHEN 0 THEN [p_name, 'CL:个'] WHEN 1 THEN [p_name, p_brand] WHEN 2 THEN ['CL:只'] ELSE [p_name || ' (idiom)', ''] END AS defs FROM part),
+s AS (SELECT simp, py, unnest(list_filter(defs, lambda x: NOT regexp_matches(x, '(?i)^CL:'))) AS def FROM r)
+SELECT (SELECT count(*) FROM r) AS "rows", (SELECT count(DISTINCT (trad, simp, py)) FROM r) AS unique_entries, (SELECT count(DISTINCT simp) FROM r) AS unique_headwords, (SELECT count(*) FROM s) AS sense_records,
+  (SELECT CAST(sum(len(defs)) AS BIGINT) FROM r) AS raw_definitions, (SELECT CAST(sum(len(list_filter(defs, lambda x: regexp_matches(x, '(?i)^CL:')))) AS BIGINT) FROM r) AS classifier_only,
+  (SELECT count(*) FROM r WHERE length(simp) = 1) AS single_entries, (SELECT count(DISTINCT simp) FROM r WHERE length(simp) = 1) AS single_characters,
+  (SELECT count(*) FROM r WHERE regexp_matches(simp, '^\p{Han}$')) AS single_han_entries, (SELECT count(DISTINCT simp) FROM r WHERE regexp_matches(simp, '^\p{Han}$')) AS single_han_characters,
+  (SELECT count(DISTINCT c) FROM (SELECT unnest(regexp_extract_all(trad || simp, '\p{Han}')) AS c FROM r)) AS han_characters, (SELECT count(*) FROM r WHERE length(simp) > 1) AS compound_entries,
+  (SELECT count(*) FROM s WHERE regexp_matches(def, '\(idiom\)')) AS idiom_senses, (SELECT count(*) FROM s WHERE trim(def) <> '') AS english_nonempty,
+  (SELECT count(*) FROM r WHERE len(list_filter(defs, lambda x: NOT regexp_matches(x, '(?i)^CL:'))) > 1) AS multiple_sense_entries"""
+
+
+@query("agg_audit", "A04 A22", _AUDIT)
 def _(spark, d):
-    return table(spark, d, "documents").agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts"), F.count_distinct("source").alias("sources"), F.count_if(F.length("text") > 2000).alias("long_texts"),
-        F.sum(F.size(F.split("text", "\n"))).alias("lines"), F.sum("n_chars").alias("chars"))
+    k = F.col("p_partkey")
+    heads = F.array(*[F.lit(h) for h in _HEADS])
+    defs = F.when(k % 4 == 0, F.array("p_name", F.lit("CL:个"))).when(k % 4 == 1, F.array("p_name", "p_brand")).when(k % 4 == 2, F.array(F.lit("CL:只"))).otherwise(F.array(F.concat("p_name", F.lit(" (idiom)")), F.lit("")))
+    rows = table(spark, d, "part").select(F.col("p_type").alias("traditional"), F.element_at(heads, (k % 5 + 1).cast("int")).alias("simplified"), F.col("p_size").alias("pinyin"), defs.alias("definitions"))
+    return corpus_audit(rows)
 
 
 @query("agg_characters", "A05", "SELECT c, count(*) AS n FROM (SELECT unnest(string_split(p_name || p_type, '')) AS c FROM part) GROUP BY c")
@@ -263,7 +279,7 @@ def _(spark, d):
     return sample.numbered(c, ["s"], "id").withColumn("id", F.col("id") - 1)
 
 
-@query("agg_min_distance", "A18 A19 G03", """
+@query("agg_min_distance", "A18 A19", """
 SELECT n_regionkey, min_by(n_name, abs(n_nationkey - 12) * 100 + n_nationkey) AS label, CASE WHEN min(CASE n_name WHEN 'CHINA' THEN 1 WHEN 'INDIA' THEN 2 ELSE 9 END) < 9 THEN 'priority' ELSE 'default' END AS category FROM nation GROUP BY 1""")
 def _(spark, d):
     prio = F.min(F.when(F.col("n_name") == "CHINA", 1).when(F.col("n_name") == "INDIA", 2).otherwise(9))
@@ -370,6 +386,31 @@ def _(spark, d):
     return hit.join(closure.join(F.broadcast(veto), "dst"), "src", "left_anti").select((F.col("src") - 100).cast("int").alias("n_nationkey"), "category")
 
 
+@query("graph_neighbourhood", "G03 A18", """
+WITH e AS (SELECT p_partkey AS a, p_partkey // 2 AS b, p_size % 2 = 0 AS on_ FROM part WHERE p_partkey > 1 UNION ALL SELECT p_partkey // 2, p_partkey, p_size % 2 = 0 FROM part WHERE p_partkey > 1),
+s0 AS (SELECT p_partkey AS node, min(p_brand) AS label FROM part WHERE p_size = 50 GROUP BY 1),
+s1 AS (SELECT b AS node, min(label) AS label FROM s0 JOIN e ON node = a WHERE b NOT IN (SELECT node FROM s0) GROUP BY b),
+s2 AS (SELECT b AS node, min(label) AS label FROM s1 JOIN e ON node = a AND on_ WHERE b NOT IN (SELECT node FROM s0 UNION ALL SELECT node FROM s1) GROUP BY b)
+SELECT node, label, 0 AS distance FROM s0 UNION ALL SELECT node, label, 1 FROM s1 UNION ALL SELECT node, label, 2 FROM s2""")
+def _(spark, d):
+    p = table(spark, d, "part")
+    up = p.where("p_partkey > 1").select("p_partkey", F.expr("p_partkey div 2").alias("parent"), (F.col("p_size") % 2 == 0).alias("even"))
+    edges = up.union(up.select("parent", "p_partkey", "even"))
+    return graph.neighbourhood(p.where("p_size = 50"), edges, "p_partkey", "p_brand", "p_partkey", "parent", 2, "even")
+
+
+@query("join_preferred_row", "X15 A12 P02", """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN regexp_matches(p_name, 'steel') THEN 0 WHEN NOT regexp_matches(p_name, 'red|tin') THEN 1 ELSE 2 END, p_partkey) AS rn FROM part)
+SELECT p_brand, p_partkey, CASE WHEN p_size % 2 = 0 THEN 'curated' ELSE p_type END AS p_type, list_concat(list_filter(string_split(p_name, ' '), lambda w: length(w) = 3), list_filter(string_split(p_name, ' '), lambda w: length(w) <> 3)) AS senses FROM r WHERE rn = 1""")
+def _(spark, d):
+    # the collection's row of each headword: the first that a preference meets; then its senses in another order, and a field of its own
+    p = table(spark, d, "part")
+    best = joins.prefer(p, ["p_brand"], [F.col("p_name").rlike("steel"), ~F.col("p_name").rlike("red|tin")], ["p_partkey"])
+    senses = F.split("p_name", " ")
+    first = F.concat(F.filter(senses, lambda w: F.length(w) == 3), F.filter(senses, lambda w: F.length(w) != 3))
+    return best.select("p_brand", "p_partkey", F.when(F.col("p_size") % 2 == 0, "curated").otherwise(F.col("p_type")).alias("p_type"), first.alias("senses"))
+
+
 @query("graph_vocabulary", "G04", """
 WITH v AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS tok FROM part WHERE p_partkey % 7 = 0), p AS (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS tok FROM part)
 SELECT p_partkey FROM p LEFT JOIN v USING (tok) GROUP BY p_partkey HAVING count(*) = count(v.tok)""")

@@ -50,7 +50,7 @@ def _(spark, d):
     return s.round_robin(table(spark, d, "part").select("p_partkey", "p_brand"), "p_brand", ["p_partkey"])
 
 
-@query("batch_fixed", "W13 K06 T16", "SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 128 AS batch FROM events")
+@query("batch_fixed", "W13", "SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 128 AS batch FROM events")
 def _(spark, d):
     return s.batches(table(spark, d, "events").select("event_id"), ["event_id"], 128)
 

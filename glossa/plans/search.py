@@ -65,7 +65,7 @@ def _(spark, d):
     return s.fuzzy(posts, q, cap=5000)
 
 
-@query("search_topk", "Q02 Q03 Q04 W06 Q10 Q12 V15", _POSTS + """, h AS (SELECT qid, ord, CASE WHEN key = q THEN 0 WHEN starts_with(key, q) THEN 1 ELSE 2 END AS tier FROM q JOIN p ON starts_with(key, q) OR (length(q) > 2 AND contains(key, q))),
+@query("search_topk", "Q02 Q03 Q04 W06 V15", _POSTS + """, h AS (SELECT qid, ord, CASE WHEN key = q THEN 0 WHEN starts_with(key, q) THEN 1 ELSE 2 END AS tier FROM q JOIN p ON starts_with(key, q) OR (length(q) > 2 AND contains(key, q))),
 b AS (SELECT qid, ord, min(tier) AS tier FROM h GROUP BY 1, 2) SELECT qid, ord, tier, pos FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY tier, ord) AS INTEGER) AS pos FROM b) WHERE pos <= 24""")
 def _(spark, d):
     posts, q = _index(spark, d), _ask(spark)
@@ -113,6 +113,27 @@ def _(spark, d):
     return core.union(rest)
 
 
+@query("search_shaped", "Q10", """
+WITH h AS (SELECT p_partkey AS ord, p_size % 4 AS qid, lower(p_brand) AS key FROM part), s AS (SELECT p_partkey AS ord, 'sense-' || i AS sense, lower(CASE i WHEN 0 THEN p_type WHEN 1 THEN p_brand ELSE p_brand END) AS key FROM part, (VALUES (0), (1), (2)) v(i) WHERE p_partkey % 3 > 0)
+SELECT h.ord, h.key, h.qid, min(sense) AS matched_sense, 'malay' AS matched_language FROM h LEFT JOIN s ON h.ord = s.ord AND h.key = s.key GROUP BY 1, 2, 3""")
+def _(spark, d):
+    p = table(spark, d, "part")
+    hits = p.select(F.col("p_partkey").alias("ord"), (F.col("p_size") % 4).alias("qid"), F.lower("p_brand").alias("key"))
+    senses = p.where("p_partkey % 3 > 0").select(F.col("p_partkey").alias("ord"), F.posexplode(F.array(F.lower("p_type"), F.lower("p_brand"), F.lower("p_brand"))).alias("i", "key"))
+    return s.shaped(hits, senses.select("ord", "key", F.concat(F.lit("sense-"), F.col("i").cast("string")).alias("sense")), "malay")
+
+
+@query("search_early_exact", "Q12", """
+WITH q(qid, q) AS (VALUES (1, '猫'), (2, '电脑'), (3, 'cat'), (4, '猫a'), (5, '貓')), e AS (SELECT p_partkey AS id, ['猫', '电脑', '狗'][p_partkey % 3 + 1] AS simp, ['貓', '電腦', '狗'][p_partkey % 3 + 1] AS trad, p_partkey % 10 > 7 AS late FROM part)
+SELECT qid, id, pos FROM (SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY late, id) AS INTEGER) AS pos FROM q JOIN e ON q = simp OR q = trad WHERE regexp_matches(q, '^\\p{Han}+$')) WHERE pos <= 24""")
+def _(spark, d):
+    k = (F.col("p_partkey") % 3 + 1).cast("int")
+    words = lambda *w: F.element_at(F.array(*[F.lit(x) for x in w]), k)
+    e = table(spark, d, "part").select(F.col("p_partkey").alias("id"), words("猫", "电脑", "狗").alias("simplified"), words("貓", "電腦", "狗").alias("traditional"))
+    q = spark.createDataFrame([(1, "猫"), (2, "电脑"), (3, "cat"), (4, "猫a"), (5, " 貓 ")], "qid int, q string")
+    return s.early_exact(q, e.where("id % 10 <= 7"), e.where("id % 10 > 7"))
+
+
 @query("search_self_check", "Q14 V15", "SELECT count(DISTINCT p_partkey) AS documents, 0::BIGINT AS lost FROM part")
 def _(spark, d):
     posts = _index(spark, d)

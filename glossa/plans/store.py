@@ -68,7 +68,7 @@ def _(spark, d):
     return parts[0].union(parts[1]).union(parts[2])
 
 
-@query("store_drift", "M08 V18", "SELECT n_regionkey, count(*) AS n, true AS unchanged FROM nation GROUP BY n_regionkey")
+@query("store_drift", "M08", "SELECT n_regionkey, count(*) AS n, true AS unchanged FROM nation GROUP BY n_regionkey")
 def _(spark, d):
     def manifest(df):
         return df.groupBy("n_regionkey").agg(F.count("*").alias("n"), F.sum(F.xxhash64("n_nationkey", "n_name").cast("decimal(38,0)")).alias("digest"))

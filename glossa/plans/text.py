@@ -87,9 +87,13 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(t.alternatives(c), "|").alias("parts"))
 
 
-@query("text_content_words", "F12 F33 P11", """
-WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+(?:-[a-z]+)*')) AS ws FROM documents),
-k AS (SELECT doc_id, list_filter(ws, lambda w: length(w) > 1 AND NOT list_contains(['a','an','the','to','of','in','on','at','for','and','or','with','by','from','into','out'], w)) AS ws FROM w)
+_FILLERS = ", ".join("'" + w.replace("'", "''") + "'" for w in t.FILLERS)
+
+
+@query("text_content_words", "F12 F33 P11", rf"""
+WITH x AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(text), '\[[^\]]*\]', ' ', 'g'), '\b\w+[''’]s\b', ' ', 'g'), '\b(?:lit|fig|coll|usu|esp)\.', ' ', 'g') AS t FROM documents),
+w AS (SELECT doc_id, list_distinct(regexp_extract_all(t, '[a-z]+(?:-[a-z]+)*')) AS ws FROM x),
+k AS (SELECT doc_id, list_filter(ws, lambda w: length(w) > 1 AND NOT list_contains([{_FILLERS}], w)) AS ws FROM w)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, list_aggregate(ws, 'min') AS first_word, len(list_filter(ws, lambda w: length(w) > 12)) > 0 AS has_long FROM k""")
 def _(spark, d):
     w = t.content_words(F.col("text"))
@@ -146,12 +150,13 @@ def _(spark, d):
     return rows.select("doc_id", F.col("line").cast("long").alias("line"), t.evidence(F.col("l")).alias("evidence"))
 
 
-@query("text_bounded_query", "F38 F40 F39", """
-SELECT p_partkey, lower(p_name) AS query, 10 + least(6, len(list_distinct(regexp_extract_all(lower(p_name), '[a-z]+')))) AS score FROM part""")
+@query("text_bounded_query", "F38 F40 F39", f"""
+SELECT p_partkey, lower(p_name) AS query, CASE p_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 10 ELSE 40 END + least(6, len(list_filter(list_distinct(regexp_extract_all(lower(p_name), '[a-z]+')), lambda w: length(w) > 1 AND NOT list_contains([{_FILLERS}], w)))) + CASE WHEN p_partkey % 2 = 0 THEN 5 ELSE 0 END AS score FROM part""")
 def _(spark, d):
     words = F.split(F.lower("p_name"), " ")
     q = t.bounded_query(words)
-    return table(spark, d, "part").select("p_partkey", t.visual_query(q).alias("query"), (F.lit(10).cast("long") + F.least(F.lit(6), F.size(F.array_distinct(F.regexp_extract_all(F.lower("p_name"), F.lit("([a-z]+)"), F.lit(1)))))).alias("score"))
+    k = F.col("p_partkey")
+    return table(spark, d, "part").select("p_partkey", t.visual_query(q).alias("query"), t.visual_score(F.col("p_name"), k % 3 == 0, k % 3 == 1, k % 2 == 0).cast("long").alias("score"))
 
 
 @query("text_positive_action", "F41 F42", "SELECT n_nationkey, 'see ' || lower(n_name) AS action, 'Translate: see ' || lower(n_name) AS prompt FROM nation")
@@ -192,7 +197,7 @@ def _(spark, d):
     return rows.select("l_orderkey", "l_linenumber", F.round(u.usability(w, h), 6).alias("usability"), (F.floor(F.col("l_extendedprice") / 100) % 7).alias("bucket"))
 
 
-@query("text_json_maps", "F32 F34 S03 S06 U06", """
+@query("text_json_maps", "F32 F34 S06 U06", """
 SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_keys(props) = ['k'] AS only_k, '{"K":' || CAST(CAST(json_extract(props, '$.k') AS BIGINT) + 1 AS VARCHAR) || '}' AS raised FROM events""")
 def _(spark, d):
     m = F.from_json("props", "map<string,bigint>")

@@ -23,20 +23,69 @@ def header_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     return lines.where(F.col(col).startswith("#"))
 
 
-def parse_json_lines(lines: DataFrame, schema: str, col: str = "value", most: int = MIB) -> DataFrame:
-    """(row, error) of each non-blank line; error is oversized-record or malformed-json, with a null row."""
+def parse_json_lines(lines: DataFrame, schema: str, col: str = "value", most: int = MIB, keep: list[str] | None = None) -> DataFrame:
+    """(row, error) of each non-blank line, after the columns to keep; error is oversized-record or malformed-json, with a null row."""
     bare = F.regexp_replace(col, "^﻿", "")
     fields = T.StructType.fromDDL(schema).add("__corrupt", T.StringType())
     parsed = F.from_json(bare, fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"})
     error = F.when(F.octet_length(col) > most, "oversized-record").when(F.get_json_object(bare, "$").isNull(), "malformed-json")
     kept = F.struct(*[F.col("__p")[f.name].alias(f.name) for f in fields if f.name != "__corrupt"])
-    rows = lines.where(F.trim(col) != "").select(parsed.alias("__p"), error.alias("error"))
-    return rows.select(F.when(F.col("error").isNull(), kept).alias("row"), "error")
+    rows = lines.where(F.trim(col) != "").select(*(keep or []), parsed.alias("__p"), error.alias("error"))
+    return rows.select(*(keep or []), F.when(F.col("error").isNull(), kept).alias("row"), "error")
 
 
-def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The elements of a JSON array; a truncated or trailing file fails."""
-    return spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
+def read_json_array(spark: SparkSession, path: str, schema: str, most: int = MIB) -> DataFrame:
+    """(row, error) of the elements of JSON array files; error is oversized-record or malformed-json, with a
+    null row. A file that is no array, is cut short, or goes on after its end fails.
+
+    An array cannot be split without reading it from its start, so a file is one task; only the element
+    it is at is held. Arrays that need more tasks come as lines.
+    """
+    import json
+
+    import pandas as pd
+
+    def elements(raw: str):
+        """Each element's text; a scan that knows strings and nesting."""
+        import re
+
+        at = re.match(r"\ufeff?\s*\[", raw)
+        if not at:
+            raise ValueError("not a JSON array")
+        depth, begin, place = 0, at.end(), at.end()
+        for m in re.finditer(r'"(?:[^"\\]|\\.)*"|[\[\]{},]', raw[place:], re.S):
+            c, k = m.group(), place + m.start()
+            if c in "[{":
+                depth += 1
+            elif depth == 0 and c in ",]":
+                if raw[begin:k].strip():
+                    yield raw[begin:k]
+                begin = k + 1
+                if c == "]":
+                    if raw[begin:].strip():
+                        raise ValueError("content after the end of a JSON array")
+                    return
+            elif c in "]}":
+                depth -= 1
+        raise ValueError("a JSON array is cut short")
+
+    def split(parts):
+        for pdf in parts:
+            for raw in pdf["content"]:
+                out = []
+                for text in elements(raw.decode("utf-8")):
+                    out.append(text.strip())
+                    if len(out) == 1000:
+                        yield pd.DataFrame({"value": [json.dumps(x) if len(x.encode()) > most else x for x in out], "large": [len(x.encode()) > most for x in out]})
+                        out = []
+                if out:
+                    yield pd.DataFrame({"value": [json.dumps("") if len(x.encode()) > most else x for x in out], "large": [len(x.encode()) > most for x in out]})
+
+    values = spark.read.format("binaryFile").load(path).select("content").mapInPandas(split, "value string, large boolean")
+    fields = T.StructType.fromDDL(schema)
+    error = F.when(F.col("large"), "oversized-record").when(F.get_json_object("value", "$").isNull(), "malformed-json")
+    rows = values.select(F.from_json("value", fields).alias("row"), error.alias("error"))
+    return rows.select(F.when(F.col("error").isNull(), F.col("row")).alias("row"), "error")
 
 
 def read_json_map(lines: DataFrame, col: str, key: str, value: str) -> DataFrame:
@@ -93,8 +142,8 @@ def wordnet_data(lines: DataFrame, col: str = "value") -> DataFrame:
     return lines.where(F.col(col).rlike(r"^\d{8} ")).select(F.get(f, F.lit(0)).alias("offset"), F.get(f, F.lit(1)).alias("lexfile"), words.alias("words"), parents.alias("parents"), F.trim(F.regexp_extract(col, r"\|\s*(.*)$", 1)).alias("gloss"))
 
 
-def tar_members(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, member, content) of tar files, one archive a task."""
+def tar_members(files: DataFrame) -> DataFrame:
+    """(archive, member, content) of tar files (path, content), as `read.format("binaryFile")` gives them; a member at a time."""
     import io
     import tarfile
 
@@ -108,7 +157,7 @@ def tar_members(spark: SparkSession, path: str) -> DataFrame:
                         if m.isfile():
                             yield pd.DataFrame({"archive": [p], "member": [m.name], "content": [t.extractfile(m).read()]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, "archive string, member string, content binary")
+    return files.select("path", "content").mapInPandas(unpack, "archive string, member string, content binary")
 
 
 def flatten_senses(df: DataFrame, word: str, senses: str, drop_tags: str) -> DataFrame:
@@ -133,3 +182,25 @@ def oriented(df: DataFrame, english: list[str], other: list[str]) -> DataFrame:
 def inventory(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of the files of a folder."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def changed_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """(path, change) of files that are not as a manifest (path, length, sha256) says: changed, missing or added."""
+    now = inventory(spark, path).select("path", F.col("sha256").alias("__now"))
+    both = manifest.select("path", F.col("sha256").alias("__then")).join(now, "path", "full_outer")
+    change = F.when(F.col("__then").isNull(), "added").when(F.col("__now").isNull(), "missing").when(F.col("__then") != F.col("__now"), "changed")
+    return both.select("path", change.alias("change")).where("change is not null")
+
+
+def restore(snapshots: DataFrame, schema: str, key: str, expected: int) -> DataFrame:
+    """The rows of snapshots (`store.snapshots`); fails if a payload is not what its SHA-256 says, holds another number
+    of rows, a batch is missing or twice, keys repeat, or the rows are not `expected` in all."""
+    rows = snapshots.withColumn("__rows", F.from_json("payload", F.lit(f"array<struct<{', '.join(f'{f.name}:{f.dataType.simpleString()}' for f in T.StructType.fromDDL(schema))}>>")))
+    bad = F.count_if((F.sha2("payload", 256) != F.col("sha256")) | (F.size("__rows") != F.col("records")))
+    told = rows.agg(bad.alias("bad"), F.count("*").alias("n"), F.count_distinct("batch").alias("batches"), F.coalesce(F.max("batch") + 1, F.lit(0)).alias("last"), F.sum("records").alias("records")).first()
+    if told["bad"] or told["n"] != told["batches"] or told["n"] != told["last"] or (told["records"] or 0) != expected:
+        raise ValueError("a snapshot is not what its checkpoint says")
+    out = rows.select("batch", F.posexplode("__rows").alias("place", "row")).select("batch", "place", "row.*")
+    if out.groupBy(key).count().where("count > 1").limit(1).count():
+        raise ValueError("a key stands in two snapshots")
+    return out

@@ -150,7 +150,31 @@ def test_bisect_isolates_the_row_at_fault():
             raise ValueError("no")
         return [x.upper() for x in batch]
 
-    assert inference.bisect(run, ["a", "b", "bad", "c"]) == [("A", None), ("B", None), (None, "ValueError: no"), ("C", None)]
+    assert inference.bisect(run, ["a", "b", "bad", "c"], tries=1) == [("A", None, 1), ("B", None, 1), (None, "ValueError: no", 1), ("C", None, 1)]
+
+
+def test_failures_are_tried_again_after_longer_pauses():
+    pauses, left = [], [2]
+
+    def run(batch):
+        if left[0]:
+            left[0] -= 1
+            raise ValueError("not now")
+        return batch
+
+    assert inference.attempt(run, ["a"], sleep=pauses.append) == (["a"], 3) and pauses == [0.25, 0.5]
+    asked = []
+
+    def barred(batch):
+        asked.append(batch)
+        raise inference.PolicyError("barred")
+
+    assert inference.bisect(barred, ["a", "b"], sleep=pauses.append) == [(None, "PolicyError: barred", 1)] * 2 and len(asked) == 1
+    assert inference.bisect(lambda batch: [], ["a"], sleep=lambda s: None)[0][1].startswith("ValueError")
+
+
+def test_batches_shrink_with_memory():
+    assert [inference.batch_size(m * inference.MIB, 64) for m in (100, 599, 600, 999, 1000)] == [8, 8, 24, 24, 64] and inference.batch_size(10**12, 5) == 5
 
 
 def test_anchored_windows_match_a_walk(spark):
@@ -207,11 +231,45 @@ def test_tar_members(spark, tmp_path):
         info = tarfile.TarInfo("dict/x.txt")
         info.size = 3
         t.addfile(info, io.BytesIO(b"abc"))
-    assert [(r.member, bytes(r.content)) for r in readers.tar_members(spark, str(tmp_path / "a.tar")).collect()] == [("dict/x.txt", b"abc")]
-
-
-def test_batch_is_rejected_whole(spark):
-    df = spark.createDataFrame([(1,), (2,)], "x int")
-    assert quality.reject_batch(df, quality.issues({"big": F.col("x") > 5})).count() == 2
-    with pytest.raises(ValueError):
-        quality.reject_batch(df, quality.issues({"big": F.col("x") > 1}))
+    assert [(r.member, bytes(r.content)) for r in readers.tar_members(spark.read.format("binaryFile").load(str(tmp_path / "a.tar"))).collect()] == [("dict/x.txt", b"abc")]
+
+
+def test_batches_are_accepted_whole_or_not_at_all(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 9), ("b", 2), (None, 3), (None, 4)], "g string, x int")
+    found = quality.issues({"big": F.col("x") > 5})
+    assert sorted(r.x for r in quality.accept_batches(df, "g", found).collect()) == [2, 3, 4]
+    assert quality.accept_batches(df, "g", quality.issues({"three": F.col("x") == 3})).where("g is null").count() == 0
+
+
+def test_json_arrays(spark, tmp_path):
+    def read(text, **how):
+        (tmp_path / "a.json").write_text(text, encoding="utf-8")
+        return [(r.row.a if r.row else None, r.error) for r in readers.read_json_array(spark, str(tmp_path / "a.json"), "a string", **how).collect()]
+
+    assert read('﻿ [ {"a": "x, ]"} , {"a": "\\"[{"} ,\n{"a": null}]  ') == [("x, ]", None), ('"[{', None), (None, None)]
+    assert read("[]") == [] and read('[{"a":"x"},{"a" "y"}]') == [("x", None), (None, "malformed-json")]
+    assert read('[{"a":"' + "y" * 50 + '"},{"a":"x"}]', most=30) == [(None, "oversized-record"), ("x", None)]
+    for bad in ('[{"a":"x"}', '[{"a":"x"}] y', '{"a":"x"}'):
+        with pytest.raises(Exception, match="JSON array"):
+            read(bad)
+
+
+def test_snapshots_restore_what_was_written(spark):
+    df = spark.createDataFrame([(i, f"v{i % 3}") for i in range(300)], "k long, v string")
+    planned = store.snapshots(df, ["k"], 128).cache()
+    assert sorted((r.batch, r.records) for r in planned.collect()) == [(0, 128), (1, 128), (2, 44)]
+    back = readers.restore(planned, "k long, v string", "k", 300)
+    assert [tuple(r) for r in back.orderBy("k").select("batch", "k", "v").collect()] == [(i // 128, i, f"v{i % 3}") for i in range(300)]
+    assert [r.batch for r in store.resume(planned.where("batch < 2"), planned).collect()] == [2]
+    for broken in (planned.where("batch <> 1"), planned.withColumn("sha256", F.lit("x")), planned.union(planned.where("batch = 0"))):
+        with pytest.raises(ValueError, match="snapshot|checkpoint"):
+            readers.restore(broken, "k long, v string", "k", 300)
+    with pytest.raises(ValueError, match="differs"):
+        store.resume(planned.withColumn("sha256", F.lit("x")), planned)
+
+
+def test_neighbourhood(spark):
+    seeds = spark.createDataFrame([("a", "L"), ("z", "K")], "n string, l string")
+    edges = spark.createDataFrame([("a", "b", False), ("b", "c", True), ("b", "d", False), ("z", "b", True), ("c", "e", True), ("b", "a", True)], "s string, t string, on boolean")
+    got = {r.node: (r.label, r.distance) for r in graph.neighbourhood(seeds, edges, "n", "l", "s", "t", 2, "on").collect()}
+    assert got == {"a": ("L", 0), "z": ("K", 0), "b": ("K", 1), "c": ("K", 2)}
