@@ -6,6 +6,8 @@ pointer file is what readers follow. Writers stage, verify, then flip the pointe
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,43 +76,68 @@ def _fs(spark: SparkSession, path: str):
 def publish(df: DataFrame, root: str, keys: list[str]) -> str:
     """Writes df as a version of the store at root and flips its pointer; returns the version.
 
-    Nothing is written if that version is current. The version is written under a staging name,
-    read back and compared, then renamed; the pointer is renamed last, so readers see the old
-    or the new store whole, whatever fails.
+    Nothing is written if that version is current. The version is written under a name of this
+    writer's own, read back and compared, then renamed; the pointer, which also names the version
+    before, is replaced last and in one step, so readers see the old or the new store whole,
+    whatever fails, and `rollback` finds the way back.
     """
     spark = df.sparkSession
-    name = version(df)
+    name, before = version(df), current(spark, root)
     fs, target, jvm = _fs(spark, f"{root}/{name}")
-    if current(spark, root) == name:
+    if before == name:
         return name
     if not fs.exists(target):
-        staged = f"{root}/_staged-{name}"
-        df.write.mode("overwrite").parquet(staged)
+        staged = f"{root}/_staged-{uuid.uuid4().hex}"
+        df.write.parquet(staged)
         back = spark.read.schema(df.schema).parquet(staged)
         if version(back) != name or back.groupBy(*keys).count().where("count > 1").limit(1).count():
+            fs.delete(jvm.org.apache.hadoop.fs.Path(staged), True)
             raise ValueError("the staged version does not hold what was to be written, or a key is not unique")
-        fs.rename(jvm.org.apache.hadoop.fs.Path(staged), target)
-    out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{root}/_CURRENT.next"), True)
-    out.writeUTF(name)
-    out.close()
-    pointer = jvm.org.apache.hadoop.fs.Path(f"{root}/_CURRENT")
-    fs.delete(pointer, False)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(f"{root}/_CURRENT.next"), pointer)
+        if fs.exists(target) or not fs.rename(jvm.org.apache.hadoop.fs.Path(staged), target):  # another writer was faster with the same version
+            fs.delete(jvm.org.apache.hadoop.fs.Path(staged), True)
+    _point(spark, root, name, before)
     return name
 
 
+def rollback(spark: SparkSession, root: str) -> str:
+    """Points the store back to the version before the current one, and returns it; fails if there is none."""
+    name, before = _pointer(spark, root)
+    if not before or not _fs(spark, f"{root}/{before}")[0].exists(_fs(spark, f"{root}/{before}")[1]):
+        raise ValueError("there is no version to go back to")
+    _point(spark, root, before, name)
+    return before
+
+
+def _point(spark: SparkSession, root: str, name: str, before: str | None) -> None:
+    """Replaces the pointer in one step."""
+    fs, pointer, jvm = _fs(spark, f"{root}/_CURRENT")
+    new = jvm.org.apache.hadoop.fs.Path(f"{root}/_CURRENT-{uuid.uuid4().hex}")
+    out = fs.create(new, True)
+    out.writeUTF(f"{name} {before or ''}")
+    out.close()
+    pointer, new = fs.makeQualified(pointer), fs.makeQualified(new)
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(new, pointer, how)
+
+
+def _pointer(spark: SparkSession, root: str) -> tuple[str | None, str | None]:
+    """The current version and the one before it."""
+    fs, pointer, _ = _fs(spark, f"{root}/_CURRENT")
+    if not fs.exists(pointer):
+        return None, None
+    stream = fs.open(pointer)
+    try:
+        name, before = stream.readUTF().split(" ")
+    finally:
+        stream.close()
+    return name, before or None
+
+
 def current(spark: SparkSession, root: str) -> str | None:
     """The version that readers of the store see."""
-    fs, pointer, jvm = _fs(spark, f"{root}/_CURRENT")
-    for name in ("_CURRENT", "_CURRENT.next"):  # between delete and rename only the next one is there
-        p = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-        if fs.exists(p):
-            stream = fs.open(p)
-            try:
-                return stream.readUTF()
-            finally:
-                stream.close()
-    return None
+    return _pointer(spark, root)[0]
 
 
 def load(spark: SparkSession, root: str) -> DataFrame:

@@ -54,11 +54,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the cluster's own, or, where none is set (tests), one of ours."""
+    """The shared checkpoint folder: the cluster's own, or, where none is set and all runs on this machine (tests), one of ours."""
     given = spark.conf.get("spark.checkpoint.dir", "") or ""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
+    if not given and not (spark.sparkContext.master + "[").startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(given or os.path.join(tempfile.gettempdir(), "checkpoints"))
     return jsc.getCheckpointDir().get()
 
