@@ -69,9 +69,12 @@ def bisect(run: Adapter, inputs: list[str], **how) -> list[tuple[str | None, str
         return bisect(run, inputs[:half], **how) + bisect(run, inputs[half:], **how)
 
 
-def infer(df: DataFrame, key: str, text: str, run: Adapter, batch: int = 64, tries: int = 3, pause: float = 0.25, memory: Callable[[], int] = free_memory) -> DataFrame:
+def infer(df: DataFrame, key: str, text: str, run: Adapter, batch: int = 64, tries: int = 3, pause: float = 0.25, memory: Callable[[], int] = free_memory,
+          concurrency: int | None = None) -> DataFrame:
     """Df with output, error, tries and reused. Equal texts are run once and joined back; every further row of a
-    text is marked as reused."""
+    text is marked as reused. concurrency: T16, how many tasks may ask the adapter at a time."""
+    if concurrency is not None and concurrency < 1:
+        raise ValueError("at least one task must ask the adapter")
 
     def apply(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -83,7 +86,8 @@ def infer(df: DataFrame, key: str, text: str, run: Adapter, batch: int = 64, tri
                 yield pd.DataFrame({text: chunk[text].to_numpy(), "output": [f[0] for f in found], "error": [f[1] for f in found], "tries": [f[2] for f in found]})
 
     kind = df.schema[text].dataType.simpleString()
-    once = df.select(text).where(F.col(text).isNotNull()).distinct().mapInPandas(apply, f"{text} {kind}, output string, error string, tries int")
+    texts = df.select(text).where(F.col(text).isNotNull()).distinct()
+    once = (texts if concurrency is None else texts.repartition(concurrency, text)).mapInPandas(apply, f"{text} {kind}, output string, error string, tries int")
     first = df.groupBy(text).agg(F.min(key).alias("__first"))
     return df.join(once, text, "left").join(first, text, "left").withColumn("reused", F.col(key) != F.col("__first")).drop("__first")
 

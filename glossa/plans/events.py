@@ -64,7 +64,7 @@ def _(spark, d):
     return out.agg(F.count("*").alias("flights"))
 
 
-@query("stream_snapshots", "T06 K08", "SELECT event_id, CAST(row_number() OVER (ORDER BY value DESC, event_id) AS INTEGER) AS pos FROM events QUALIFY pos <= 20")
+@query("stream_snapshots", "T06", "SELECT event_id, CAST(row_number() OVER (ORDER BY value DESC, event_id) AS INTEGER) AS pos FROM events QUALIFY pos <= 20")
 def _(spark, d):
     seen: list[list] = []
     rank = lambda df: df.orderBy(F.desc("value"), "event_id")
@@ -73,6 +73,22 @@ def _(spark, d):
     return spark.createDataFrame([(e, i + 1) for i, e in enumerate(last)], "event_id long, pos int")
 
 
+@query("stream_lines", "K08 T09", """
+WITH e AS (SELECT user_id, event_id, event_type, lag(event_type) OVER w AS before, lead(event_id) OVER w IS NULL AS done FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+k AS (SELECT * FROM e WHERE done OR before IS NULL OR before <> event_type)
+SELECT user_id, CASE user_id % 5 WHEN 0 THEN 'no-final' WHEN 1 THEN 'after-final' WHEN 2 THEN 'malformed' WHEN 3 THEN 'oversized' END AS error, CASE WHEN user_id % 5 = 4 THEN max_by(event_type, event_id) END AS result, count(*) AS n FROM k GROUP BY user_id""")
+def _(spark, d):
+    lines = folds.to_lines(table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type")
+    n = lines.groupBy("user_id").agg(F.count("*").alias("n"))
+    k = F.col("user_id") % 5
+    # streams as they may arrive: cut short, gone on, broken, or with a line too long
+    end = F.contains("line", F.lit('"done":true'))
+    cut_short = F.when(end & (k == 0), F.replace("line", F.lit("true"), F.lit("false"))).when(end & (k == 2), '{"result":').when(end & (k == 3), F.concat("line", F.repeat(F.lit(" "), 200))).otherwise(F.col("line"))
+    more = lines.where(end & (k == 1)).withColumn("event_id", F.col("event_id") + 1)
+    told = folds.check_lines(lines.withColumn("line", cut_short).union(more), "user_id", "event_id", "line", 120)
+    return told.join(n, "user_id")
+
+
 @query("window_tumbling_extension", "T06", """
 SELECT epoch_us(date_trunc('hour', ts)) // 1000000 AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def _(spark, d):

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -98,3 +99,23 @@ def fifo_cache(events: DataFrame, cache: str, key: str, millis: str, order: str,
 
     sorted_ = events.where(f"{cache} is not null").repartition(cache).sortWithinPartitions(cache, millis, order)
     return sorted_.mapInPandas(walk, f"{fields}, hit boolean")
+
+
+def to_lines(snapshots: DataFrame, stream: str, order: str, result: str) -> DataFrame:
+    """(stream, order, line): snapshots as lines of JSON {result, done}. A snapshot like the one before it is left
+    out, but the last of a stream always comes, and only it is done."""
+    w = W.partitionBy(stream).orderBy(order)
+    rows = snapshots.withColumn("__before", F.lag(F.struct(result)).over(w)).withColumn("done", F.lead(F.lit(1)).over(w).isNull())
+    rows = rows.where(F.col("done") | F.col("__before").isNull() | ~F.col(f"__before.{result}").eqNullSafe(F.col(result)))
+    return rows.select(stream, order, F.to_json(F.struct(F.col(result).alias("result"), "done"), {"ignoreNullFields": "false"}).alias("line"))
+
+
+def check_lines(lines: DataFrame, stream: str, order: str, line: str, most: int = 1 << 20) -> DataFrame:
+    """(stream, error, result): what the lines of a stream end in, or why it is refused: a line over `most` bytes,
+    one that is no JSON object, no final line, or a line after it. A partially aggregated fold; no stream is collected."""
+    bad = F.get_json_object(line, "$.done").isNull()
+    done = F.get_json_object(line, "$.done") == "true"
+    last = F.max_by(F.get_json_object(line, "$.result"), F.col(order))
+    told = lines.groupBy(stream).agg(F.max(F.octet_length(line)).alias("size"), F.max(bad).alias("bad"), F.min(F.when(done, F.col(order))).alias("final"), F.max(order).alias("end"), last.alias("last"))
+    error = F.when(F.col("size") > most, "oversized").when(F.col("bad"), "malformed").when(F.col("final").isNull(), "no-final").when(F.col("final") < F.col("end"), "after-final")
+    return told.select(stream, error.alias("error"), F.when(error.isNull(), F.col("last")).alias("result"))

@@ -86,21 +86,3 @@ def snapshots(sink: list[list], rank: Callable[[DataFrame], DataFrame], id_col:
             sink.append(ids)
 
     return each
-
-
-def check_lines(lines: list[str], most: int = 1 << 20) -> str:
-    """A sequence of {result, done} lines is `ok` with exactly one final event, at the end, and no line too long."""
-    import json
-
-    done = False
-    for line in lines:
-        if len(line.encode()) > most:
-            return "oversized"
-        try:
-            event = json.loads(line)
-        except ValueError:
-            return "malformed"
-        if done:
-            return "after-final"
-        done = bool(event.get("done")) if isinstance(event, dict) else False
-    return "ok" if done else "no-final"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glossa.operators import graph, inference, joins, quality, rank, sample, store, validate
 from glossa.sources import readers
-from glossa.streaming import folds, streams
+from glossa.streaming import folds
 
 
 @pytest.mark.parametrize("few", [0, 1000])
@@ -199,9 +199,16 @@ def test_cooldown(spark):
     assert {r.id: r.skipped for r in folds.cooldown(df, "k", "ms", "id", "bad", "wait").collect()} == {1: False, 2: True, 3: False, 4: False}
 
 
-@pytest.mark.parametrize(("lines", "want"), [(['{"done":false}', '{"done":true}'], "ok"), (['{"done":false}'], "no-final"), (['{"done":true}', "{}"], "after-final"), (["{"], "malformed")])
-def test_check_lines(lines, want):
-    assert streams.check_lines(lines) == want
+def test_lines_leave_out_repeats_and_end_once(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "x"), ("a", 3, "y"), ("a", 4, "y"), ("b", 1, None)], "s string, i int, r string")
+    got = [(r.s, r.i, r.line) for r in folds.to_lines(df, "s", "i", "r").orderBy("s", "i").collect()]
+    assert got == [("a", 1, '{"result":"x","done":false}'), ("a", 3, '{"result":"y","done":false}'), ("a", 4, '{"result":"y","done":true}'), ("b", 1, '{"result":null,"done":true}')]
+
+
+@pytest.mark.parametrize(("lines", "want"), [(['{"done":false}', '{"result":"x","done":true}'], (None, "x")), (['{"done":false}'], ("no-final", None)), (['{"done":true}', '{"done":true}'], ("after-final", None)), (["{"], ("malformed", None)), (['{"done":true}' + " " * 90], ("oversized", None))])
+def test_check_lines(spark, lines, want):
+    df = spark.createDataFrame([("s", i, line) for i, line in enumerate(lines)], "s string, i int, line string")
+    assert [(r.error, r.result) for r in folds.check_lines(df, "s", "i", "line", 100).collect()] == [want]
 
 
 def test_structured_content(spark):
