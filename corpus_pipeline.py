@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from glossa.llm import exact_dedup, jaccard_join, mixing, quality, sentencepiece_codec
-from glossa.session import ensure_checkpoint_dir, ship, table
+from glossa.session import ensure_checkpoint_dir, remove, ship, table
 
 VOCABULARY = "piece_bpe_32k.model"
 
@@ -56,7 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; every stage but the last is written to the shared folder and read again."""
+    """All stages over documents; every stage but the last is written to the shared folder and read again.
+
+    Rows of null, empty or repeated texts and of null or repeated ids pass through every stage as
+    its operator says; an empty table gives an empty result; columns beside those of documents
+    travel with their rows. What a stage wrote is removed when the next one is written.
+    """
     ship(spark)
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
@@ -65,4 +70,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.schema(docs.schema).parquet(f"{folder}/{k}")
+            if k:
+                remove(spark, f"{folder}/{k - 1}")
     return docs
