@@ -218,6 +218,17 @@ def rice_decode(raw: bytes) -> np.ndarray:
     return (q.astype(U64) << U64(k)) | (low.astype(U64) << np.arange(k, dtype=U64)[None, :]).sum(1, dtype=U64)
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def crc_mod(column: str, m: int):
     """crc32 of the id as text modulo m (null id: as the empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % m

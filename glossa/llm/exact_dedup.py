@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import pack, rice_decode, rice_encode, tasks_for, unpack, whole_text
+from glossa.llm.common import pack, rice_decode, rice_encode, spare, tasks_for, unpack, whole_text
 from glossa.session import cut
 
 #: Bits of fingerprint beyond log2(documents): one in 2**EXTRA_BITS unique texts is a false suspect, cleared by its bytes.
@@ -153,19 +153,20 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     """The rows of docs, all columns, that exact_dedup keeps. Text that stays is not shuffled (but for rows that repeat a kept one)."""
     found = cut(exact_dedup(docs, id_col, text).where("not kept").select("doc_id", "keep_id", "text_sha256"))
     same_row = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    own, dropped, sha = spare(docs, "__id", "__dropped", "__sha")
 
     def ids(df: DataFrame) -> DataFrame:
-        df = df.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__dropped")).distinct()
+        df = df.select(F.col("doc_id").alias(own), F.col("text_sha256").alias(dropped)).distinct()
         return F.broadcast(df) if found.count() <= BROADCAST_ROWS // 8 else df
 
-    keyed = docs.withColumn("__sha", F.sha2(whole_text(docs, text), 256))
-    is_in = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__dropped"))
+    keyed = docs.withColumn(sha, F.sha2(whole_text(docs, text), 256))
+    is_in = F.col(id_col).eqNullSafe(F.col(own)) & (F.col(sha) == F.col(dropped))
     kept = keyed.join(ids(found.where(~same_row)), is_in, "left_anti")
     repeats = found.where(same_row)
     if not repeats.isEmpty():
-        once = kept.join(ids(repeats), is_in, "left_semi").dropDuplicates([id_col, "__sha"])
+        once = kept.join(ids(repeats), is_in, "left_semi").dropDuplicates([id_col, sha])
         kept = kept.join(ids(repeats), is_in, "left_anti").unionByName(once)
-    return kept.drop("__sha")
+    return kept.drop(sha)
 
 
 ORACLE = """

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import each_row, find_words, lower, mix, pack, ragged, shingle_hashes, slabs, span_hash, tasks_for, text_bytes, trim, unpack, whole_text
+from glossa.llm.common import each_row, find_words, lower, mix, pack, ragged, shingle_hashes, slabs, span_hash, spare, tasks_for, text_bytes, trim, unpack, whole_text
 from glossa.operators.graph import connected_components
 from glossa.session import cut
 
@@ -693,10 +693,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width:
 
     An id stays if any of its rows does; rows without an id and texts without words stay.
     """
+    own = spare(docs, "__id")[0]
     found = jaccard_components(docs, id_col, text, width, percent).where("doc_id is not null")
-    gone = cut(found.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone").select(F.col("doc_id").alias("__id")))
+    gone = cut(found.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone").select(F.col("doc_id").alias(own)))
     few = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("__id"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col(own), "left_anti")
 
 
 def query(spark, sf_dir):

@@ -477,6 +477,18 @@ def test_curriculum_keeps_rows_of_null_and_repeated_ids(spark):
     assert any(r.doc_id is None for r in got)
 
 
+def test_curriculum_of_odd_rows(spark):
+    names = "size long, target double, position string, ordinal int, copies int, begin long, taken long, source_size long, row string"
+    rows = [(i, None if i == 3 else "w " * ((i or 5) % 4), None if (i or 5) % 2 else "s", 1, 2.0, "p", 3, 4, 5, 6, 7, "r") for i in (1, 2, 2, 3, 4, 4, None, None, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + names)
+    got = mixing.curriculum(df)
+    assert got.columns == df.columns
+    counts = collections.Counter(tuple(r) for r in got.collect())
+    assert set(counts) <= set(rows) and all(r[1] and r[1].strip() for r in counts)  # rows without words are not taken
+    assert all(n <= 2 * rows.count(r) for r, n in counts.items())
+    assert mixing.curriculum(df.limit(0)).count() == 0
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
@@ -596,3 +608,29 @@ def test_pipeline_stages_match_brute_force(spark):
     for r in stage["sentencepiece encoding"](spark, mixed, D).limit(50).collect():
         assert list(r.ids) == library.encode(r.text) and r.n_pieces == len(r.ids)
     assert corpus_pipeline.run(spark, D).count() == mixed.count()
+
+
+def test_pipeline_stages_take_odd_rows(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = corpus(6, 40) + ODD + [(400, None), (401, "the end of a very long text " * 20_000), (None, None)]
+    docs = frame(spark, rows).withColumn("__id", F.lit(1)).withColumn("ids", F.lit("x")).withColumn("score", F.lit(0.5))
+    stage = dict(corpus_pipeline.STAGES)
+    last = "sentencepiece encoding"
+    for name in [n for n, _ in corpus_pipeline.STAGES if n != last]:
+        assert stage[name](spark, docs.limit(0), D).count() == 0
+        got = stage[name](spark, docs, D)
+        assert got.columns == docs.columns
+        found = collections.Counter((r.doc_id, r.text) for r in got.collect())
+        assert set(found) <= set(rows)
+        if name == "exact dedup":
+            assert collections.Counter(t or "" for _, t in found.elements()) == collections.Counter({t or "" for _, t in rows})
+        if name == "n-gram jaccard join":
+            stay = {d for d, _, c in brute_components(rows) if d == c}
+            assert {d for d, _ in found} == stay | {None}
+        if name == "quality classifier":
+            good = {(r.doc_id, r.predicted) for r in quality.classify(docs, spark.read.parquet(f"{D}/labels.parquet")).collect()}
+            assert all((d, 1) in good for d, _ in found)
+    out = stage[last](spark, docs, D)
+    assert out.columns == [c for c in docs.columns if c != "ids"] + ["ids", "n_pieces"] and stage[last](spark, docs.limit(0), D).count() == 0
+    assert collections.Counter((r.doc_id, r.text) for r in out.collect()) == collections.Counter(rows)
+    assert all(r.n_pieces == len(r.ids) and (r.n_pieces == 0) == (not (r.text or "").strip(" ")) for r in out.collect())
