@@ -43,7 +43,7 @@ class Merger:
         order = np.argsort(code, kind="stable")
         self.code, self.rank = code[order], order.astype(np.int64)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.special = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)  # the longest at a place wins
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.find = regex.compile(PATTERN).findall
         self.cache: dict[str, int] = {}
