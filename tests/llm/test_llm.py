@@ -219,7 +219,52 @@ def test_token_counts_are_the_librarys(spark):
     assert all(by[i][0] == len(t.encode()) and by[i][2] == (by[i][1] > 512) for i, t in enumerate(texts))
 
 
+def test_codecs_take_long_texts_and_empty_tables(spark):
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    rng = random.Random(4)
+    long = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(60_000)), "z" * 30_000, "<|endoftext|> " * 5000]
+    pieces, tokens = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
+    docs = frame(spark, list(enumerate(long))).withColumn("n_pieces", F.lit("x")).withColumn("n_tokens", F.lit(1))
+    library, other = sentencepiece.SentencePieceProcessor(model_file=pieces), Tokenizer.from_file(tokens)
+    assert {r.doc_id: list(r.ids) for r in sentencepiece_codec.encode_documents(docs, pieces).collect()} == dict(enumerate(library.encode(long)))
+    assert {r.doc_id: r.n_tokens for r in token_count.token_counts(docs, tokens).collect()} == {i: len(other.encode(t, add_special_tokens=False).ids) for i, t in enumerate(long)}
+    for got in (sentencepiece_codec.encode_documents(docs.limit(0), pieces), sentencepiece_codec.with_pieces(docs.limit(0), pieces), token_count.token_counts(docs.limit(0), tokens)):
+        assert got.count() == 0
+
+
 # 4
+def test_quality_matches_a_direct_solve(spark):
+    docs, labels = spark.read.parquet(f"{D}/documents.parquet"), spark.read.parquet(f"{D}/labels.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    label = {r.doc_id: float(r.quality) for r in labels.collect()}
+    x = {i: v for (i, _), v in zip(rows, quality.statistics(pa.array([t for _, t in rows])))}
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i, _ in rows}
+    use = [i for i in x if i in label and fold[i] != 0]
+    a, y = np.array([x[i] for i in use]), np.array([label[i] for i in use])
+    scale = a.std(0)
+    scale[scale <= 1e-9] = 1.0
+    p = quality._fourier((a - a.mean(0)) / scale)
+    first = np.array([fold[i] != 1 for i in use])
+    d = p.shape[1]
+    beta = np.linalg.solve(p[first].T @ p[first] + 1e-3 * len(use) / d * np.eye(d), p[first].T @ y[first])
+    raw = {i: float(quality._fourier(((v - a.mean(0)) / scale)[None]) @ beta) for i, v in x.items()}
+    # the monotone fit of the labels of the calibrating fold, by pooling neighbours in order
+    at = sorted((raw[i], label[i]) for i in use if fold[i] == 1)
+    pools: list[list[float]] = []
+    for r, v in at:
+        pools.append([r, v, 1])
+        while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
+            b = pools.pop()
+            pools[-1] = [pools[-1][0] + b[0], pools[-1][1] + b[1], pools[-1][2] + b[2]]
+    knots, values = np.array([q[0] / q[2] for q in pools]), np.array([q[1] / q[2] for q in pools])
+    got = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
+    off = [abs(got[i] - np.interp(raw[i], knots, values)) for i in got]
+    assert np.quantile(off, 0.95) < 0.02  # the histogram of the calibration rounds raw scores to 1/2048
+
+
 def test_isotonic_is_the_monotone_fit():
     at, n, s = np.arange(5.0), np.array([1, 2, 0, 1, 2.0]), np.array([1, 0, 0, 1, 1.0])
     knots, values = quality.isotonic(at, n, s)
@@ -336,6 +381,23 @@ def test_language_on_held_out_rows(spark):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1 for i, r in got.items())
 
 
+def test_languages_match_a_direct_computation(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    sample = language_id.sample_labelled(docs, "doc_id", "text", "lang", 2, 4, language_id.SAMPLE_PER_LANGUAGE)
+    model = language_id.train([r.text for r in sample], [r.lang for r in sample])
+    k = len(model.languages)
+    got = {r.doc_id: r for r in language_id.identify(docs).collect()}
+    for r in docs.limit(60).collect():
+        words = [w.encode() for w in WORDS.findall(r.text.translate(LOWER))]
+        data = np.frombuffer(b" ".join(words), np.uint8)
+        end = np.cumsum([len(w) + 1 for w in words]) - 1
+        e = np.array([model.emissions(*language_id.word_features(data, np.array([b - len(w)]), np.array([b])))[0] for w, b in zip(words, end)])
+        gamma = brute_chain(e, np.array([0, len(words)]), model.transitions, np.full(k, 1 / k))[0]
+        letter = [bool(re.search(rb"[A-Za-z\x80-\xff]", w)) for w in words]
+        share = gamma[letter].sum(0) / sum(letter)
+        assert got[r.doc_id].lang_pred == model.languages[share.argmax()] and abs(got[r.doc_id].score - share.max()) < 1e-6
+
+
 def test_language_inside_a_text():
     model = language_id.train(["the cat and the dog and the bird"] * 20 + ["der hund und die katze und das haus"] * 20, ["en"] * 20 + ["de"] * 20)
     gamma, before, letter = language_id.label_words(model, pa.array(["the dog and the cat und die katze und das haus 12"]))
