@@ -700,6 +700,23 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width:
     return docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col(own), "left_anti")
 
 
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (
+  SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+x AS (SELECT r, len(sh) AS n, unnest(sh) AS k FROM s),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.k = b.k AND a.r < b.r GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 80 * (na + nb - c)),
+edges AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT r AS a, r AS b FROM s UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a)
+SELECT s.doc_id, CAST(any_value(len(s.sh)) AS BIGINT) AS n_shingles, min(t.doc_id) AS component_id
+FROM s JOIN reach ON s.r = reach.a JOIN s t ON t.r = reach.b GROUP BY s.r, s.doc_id
+"""
+
+
 def query(spark, sf_dir):
     """op10: all documents."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -19,5 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op6_suffix_dedup": suffix_dedup.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
+    "op10_jaccard_join": jaccard_join.ORACLE,
 }

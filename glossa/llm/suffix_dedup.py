@@ -566,6 +566,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return out if keep_bytes else out.drop("kept")
 
 
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(COALESCE(text, ''))) AS h, octet_length(encode(COALESCE(text, ''))) AS n FROM documents),
+w AS (SELECT r, i, md5_number(substring(h, 2 * i + 1, 800)) AS k FROM (SELECT r, h, unnest(range(0, n - 399)) AS i FROM d)),
+g AS (SELECT r, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+b AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM g),
+u AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS island FROM b),
+s AS (SELECT r, min(i) AS a, max(i) + 400 AS e FROM u GROUP BY r, island),
+t AS (SELECT r, sum(e - a) AS gone, count(*) AS spans, max(e) AS last FROM s GROUP BY r),
+kept AS (SELECT r, COALESCE(lag(e) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS e FROM s UNION ALL SELECT t.r, last, n FROM t JOIN d USING (r)),
+k AS (SELECT r, string_agg(substring(h, 2 * a + 1, 2 * (e - a)), '' ORDER BY a) AS h FROM kept JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(COALESCE(gone, 0) AS BIGINT) AS n_removed, CAST(COALESCE(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(COALESCE(k.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN t USING (r) LEFT JOIN k USING (r)
+"""
+
+
 def query(spark, sf_dir):
     """op6: all documents."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))

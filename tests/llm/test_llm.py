@@ -642,6 +642,19 @@ def test_parities_never_lose_a_link():
         assert ok or 100 * both < 80 * (len(each[a]) + len(each[b]) - both)
 
 
+def test_queries_match_their_sql(spark):
+    import duckdb
+
+    from glossa.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{D}/documents.parquet'")
+    plain = lambda rows, names: collections.Counter(tuple((n, round(v, 6) if isinstance(v, float) else v) for n, v in sorted(zip(names, r))) for r in rows)
+    for name, sql in queries.ORACLES.items():
+        got, want = queries.QUERIES[name](spark, D), con.sql(sql)
+        assert plain(got.collect(), got.columns) == plain(want.fetchall(), want.columns), name
+
+
 # the pipeline
 def test_pipeline_stages_match_brute_force(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
