@@ -19,15 +19,22 @@ def postings(docs: DataFrame, order: str, keys: list[Column]) -> DataFrame:
     return rows.where("key is not null and key <> ''").distinct()
 
 
-def gram_postings(posts: DataFrame) -> DataFrame:
-    """Distinct (gram, ord)."""
-    return posts.select("ord", F.explode(grams(F.col("key"))).alias("gram")).distinct()
+def sorted_keys(posts: DataFrame) -> DataFrame:
+    """Postings in runs of keys, as they are kept: a file's statistics tell which keys and prefixes it can hold."""
+    return posts.repartitionByRange("key").sortWithinPartitions("key", "ord")
+
+
+def gram_rows(posts: DataFrame) -> DataFrame:
+    """(gram, df, ord, key) in runs of grams, as they are kept; df: in how many postings the gram stands."""
+    rows = posts.select(F.explode(grams(F.col("key"))).alias("gram"), "ord", "key")
+    df = rows.groupBy("gram").agg(F.count("*").alias("df"))
+    return rows.join(df, "gram").repartitionByRange("gram").sortWithinPartitions("gram", "key", "ord")
 
 
 def statistics(posts: DataFrame) -> DataFrame:
-    """Numbers of terms, tokens, grams and postings, as one row."""
+    """Numbers of terms, tokens, grams and postings, and the bytes of all terms, as one row."""
     terms = posts.select("key").distinct()
-    one = terms.agg(F.count("*").alias("terms"))
+    one = terms.agg(F.count("*").alias("terms"), F.sum(F.octet_length("key")).cast("long").alias("bytes"))
     tokens = terms.select(F.explode(F.split("key", " ")).alias("t")).agg(F.count_distinct("t").alias("tokens"))
     g = terms.select(F.explode(grams(F.col("key"))).alias("g")).agg(F.count_distinct("g").alias("grams"))
     return one.crossJoin(tokens).crossJoin(g).crossJoin(posts.agg(F.count("*").alias("postings")))  # single rows
@@ -56,14 +63,13 @@ def prefix(posts: DataFrame, queries: DataFrame, least: int = 3, cap: int | None
     return hits.select("qid", "ord").distinct()
 
 
-def substring(posts: DataFrame, queries: DataFrame) -> DataFrame:
-    """Documents with a key that contains the query, for queries of three characters or more.
+def substring(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """Documents with a key that contains the query, for queries of three characters or more. rows: gram_rows().
 
     Only the rarest gram of a query is looked up; the keys found are verified.
     """
     long_ = queries.where(F.length("q") > 2)
-    rows = posts.select("ord", "key", F.explode(grams(F.col("key"))).alias("gram"))
-    df = rows.groupBy("gram").agg(F.count("*").alias("df"))
+    df = rows.groupBy("gram").agg(F.first("df").alias("df"))
     asked = long_.select("qid", "q", F.explode(grams(F.col("q"))).alias("gram")).join(df, "gram", "left")
     rarest = asked.groupBy("qid", "q").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
     return rarest.join(rows, "gram").where(F.contains("key", "q")).select("qid", "ord").distinct()

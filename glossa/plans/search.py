@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glossa.functions import text as t
 from glossa.operators import search as s
 from glossa.plans.registry import query
-from glossa.session import table
+from glossa.session import kept, table
 
 _PQ = "(VALUES (1, 'red metal box'), (2, 'red'), (3, 'eel'), (4, 'blu'), (5, 'zzz'), (6, 'metal'))"
 _QUERIES = [(1, "red metal box"), (2, "red"), (3, "eel"), (4, "blu"), (5, "zzz"), (6, "metal")]
@@ -16,7 +16,13 @@ _POSTS = "WITH q(qid, q) AS (SELECT * FROM (VALUES (1, 'red metal box'), (2, 're
 
 
 def _index(spark, d):
-    return s.postings(table(spark, d, "part"), "p_partkey", [F.lower("p_name"), F.lower("p_type"), F.lower("p_brand")])
+    """The postings of part, built once for the table as it is and then read."""
+    keys = [F.lower("p_name"), F.lower("p_type"), F.lower("p_brand")]
+    return kept(spark, [f"{d}/part.parquet"], "part-keys", lambda: s.sorted_keys(s.postings(table(spark, d, "part"), "p_partkey", keys)))
+
+
+def _grams(spark, d):
+    return kept(spark, [f"{d}/part.parquet"], "part-grams", lambda: s.gram_rows(_index(spark, d)))
 
 
 def _ask(spark):
@@ -26,7 +32,7 @@ def _ask(spark):
 @query("search_postings", "Q01 A26", """
 WITH p AS (SELECT DISTINCT p_partkey AS ord, unnest([lower(p_name), lower(p_type), lower(p_brand)]) AS key FROM part), k AS (SELECT DISTINCT key FROM p)
 SELECT (SELECT count(*) FROM k) AS terms, (SELECT count(DISTINCT w) FROM (SELECT unnest(string_split(key, ' ')) AS w FROM k)) AS tokens,
-  (SELECT count(DISTINCT g) FROM (SELECT unnest(list_transform(range(1, length(key) - 1), lambda i: substring(key, i, 3))) AS g FROM k)) AS grams, (SELECT count(*) FROM p) AS postings""")
+  (SELECT count(DISTINCT g) FROM (SELECT unnest(list_transform(range(1, length(key) - 1), lambda i: substring(key, i, 3))) AS g FROM k)) AS grams, (SELECT count(*) FROM p) AS postings, (SELECT CAST(sum(strlen(key)) AS BIGINT) FROM k) AS bytes""")
 def _(spark, d):
     return s.statistics(_index(spark, d))
 
@@ -48,7 +54,7 @@ def _(spark, d):
 
 @query("search_substring", "Q04 W04", _POSTS + " SELECT DISTINCT qid, ord FROM q JOIN p ON contains(key, q) WHERE length(q) > 2")
 def _(spark, d):
-    return s.substring(_index(spark, d), _ask(spark))
+    return s.substring(_grams(spark, d), _ask(spark))
 
 
 @query("search_phrase", "Q07 J19", _POSTS + " SELECT DISTINCT qid, ord FROM q JOIN p ON contains(key, q) AND key <> q AND list_has_all(string_split(key, ' '), string_split(q, ' '))")
@@ -69,7 +75,7 @@ def _(spark, d):
 b AS (SELECT qid, ord, min(tier) AS tier FROM h GROUP BY 1, 2) SELECT qid, ord, tier, pos FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY tier, ord) AS INTEGER) AS pos FROM b) WHERE pos <= 24""")
 def _(spark, d):
     posts, q = _index(spark, d), _ask(spark)
-    return s.tiered([s.exact(posts, q), s.prefix(posts, q), s.substring(posts, q)], 24)
+    return s.tiered([s.exact(posts, q), s.prefix(posts, q), s.substring(_grams(spark, d), q)], 24)
 
 
 @query("search_interleave", "W05 Q05", """

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import os
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,6 +73,24 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def kept(spark: SparkSession, inputs: list[str], name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """build(), written once to the shared folder for the input files as they are now, and read from there from then on.
+
+    Files that change their length or time give another name, so no answer comes from old data.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    stamps = []
+    for i in inputs:
+        p = jvm.org.apache.hadoop.fs.Path(i)
+        fs = p.getFileSystem(conf)
+        stamps += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(p)]
+    path = f"{ensure_checkpoint_dir(spark)}/kept-{name}-{hashlib.sha256(repr(sorted(stamps)).encode()).hexdigest()[:32]}"
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(conf).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there.
 
