@@ -70,7 +70,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source).alias("__source"), word_count(F.col(text)).alias("size"),
-        F.sha2(F.concat_ws("|", F.lit("mix"), F.col(id_col).cast("string")), 256).alias("__digest"), *[F.col(c) for c in extra],
+        F.sha2(F.concat_ws("|", F.lit("mix"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null "), F.xxhash64(text).cast("string")))), 256).alias("__digest"), *[F.col(c) for c in extra],
     )
     rows = rows if extra else cut(rows)  # the words of a text are counted once; what travels with the rows is not written for that
     counted = rows.groupBy("__source").agg(F.sum("size").alias("source_size"), F.count("*").alias("__n"))
