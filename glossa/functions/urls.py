@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Parameters that do not change which image or page is meant (fixed values).
 IMAGE_PARAMS = "w|h|width|height|fit|crop|auto|quality|q|flip|fm|utm_.*"
 PAGE_PARAMS = "utm_.*|ref|fbclid|gclid"
+#: Widths that a picture's name may end in (fixed values).
+SIZES = "150|180|340|640|960|1280|1920"
 _URL = r"^(https?)://(?:[^/?#]*@)?([^/:?#]+)(?::\d+)?([^?#]*)(?:\?([^#]*))?"
 
 
@@ -28,7 +30,7 @@ def kept_query(url: Column, dropped: str) -> Column:
 
 def image_identity(url: Column) -> Column:
     """host, path without a size suffix, and what is left of the query."""
-    name = F.regexp_replace(path(url), r"(?i)_(?:150|180|340|640|960|1280|1920)(?=\.[a-z]+$)", "")
+    name = F.regexp_replace(path(url), rf"(?i)_(?:{SIZES})(?=\.[a-z]+$)", "")
     return F.concat(host(url), name, kept_query(url, IMAGE_PARAMS))
 
 

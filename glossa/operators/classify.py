@@ -31,7 +31,7 @@ _DOMAIN_OF = {word: name for name, (_, words) in packs.DOMAINS.items() for word
 def phrase(meaning: Column) -> Column:
     """The phrase that rules look at: no notes, labels, annotations or leading article, the first alternative, in lower case; null if nothing is left."""
     text = F.regexp_replace(meaning, "[‘’]", "'")
-    text = F.regexp_replace(text, r"(?i)^\s*(?:(?:fig|lit|coll|colloq|arch|dial)\.\s*|(?:figurative(?:ly)?|literal(?:ly)?|idiom|literary|classical)\s*:\s*)+", "")
+    text = F.regexp_replace(text, r"(?i)^\s*" + packs.LABELS, "")
     text = F.regexp_replace(F.regexp_replace(without_parentheses(text), r"\[[^\]]*\]", " "), r"\bCL:.*$", "")
     text = F.trim(F.regexp_extract(text, "^([^;/,]*)", 1))
     text = squeeze(F.lower(F.regexp_replace(text, "(?i)^(?:a|an|the) ", "")))
@@ -42,11 +42,11 @@ def exclusion(meaning: Column, part_of_speech: Column) -> Column:
     """Why a gloss gets no picture, null if it may: metadata, barred, grammar."""
     low = F.lower(F.trim(meaning))
     return (
-        F.when(low.rlike(r"^(?:cl:|see" + _END + "|(?:old )?variant of" + _END + r"|abbr\.|abbreviation|used (?:as|in|to)|a (?:particle|suffix|prefix)|grammatical)"), "metadata")
-        .when(low.rlike(f"{_START}(?:{packs.BARRED_WORDS}){_END}") | low.rlike(r"\((?:euph|derog)\.?\)"), "barred")
-        .when(F.coalesce(F.lower(part_of_speech), F.lit("")).rlike("^(?:particle|conjunction|preposition|pronoun|determiner|auxiliary|connector)" + _END), "grammar")
+        F.when(low.rlike("^" + packs.METADATA_STARTS), "metadata")
+        .when(low.rlike(f"{_START}(?:{packs.BARRED_WORDS}){_END}") | low.rlike(packs.EUPHEMISMS), "barred")
+        .when(F.coalesce(F.lower(part_of_speech), F.lit("")).rlike(f"^(?:{packs.FUNCTION_CLASSES}){_END}"), "grammar")
         .when(low.rlike(rf"^(?:(?:{packs.GRAMMAR_STARTS}){_END}.*|(?:{packs.GRAMMAR_WORDS}))$"), "grammar")
-        .when(low.rlike(r"\([^)]*(?:particle|suffix|prefix|action marker|modal marker|discourse connector)[^)]*\)"), "grammar")
+        .when(low.rlike(packs.GRAMMAR_NOTES), "grammar")
     )
 
 
@@ -63,7 +63,7 @@ def noun_of(words: Column, nouns: Column) -> Column:
     """The category of a noun phrase: of the whole, else of its last word or that word's singular, in phrases of five words and without a preposition."""
     head = F.element_at(F.split(words, " "), -1)
     one = F.when(head.endswith("ies"), F.regexp_replace(head, "ies$", "y")).when(head.endswith("s"), F.regexp_replace(head, "s$", ""))
-    short = (F.size(F.split(words, " ")) <= 5) & ~words.rlike(f"{_START}(?:of|for|that|which|with|without|by|at|as|from){_END}")
+    short = (F.size(F.split(words, " ")) <= 5) & ~words.rlike(f"{_START}(?:{packs.NOT_IN_NOUNS}){_END}")
     return F.coalesce(F.element_at(nouns, words), F.when(short, F.coalesce(F.element_at(nouns, head), F.element_at(nouns, one))))
 
 
@@ -81,21 +81,24 @@ def _struct(rule: str, m: Made) -> Column:
     return F.struct(F.lit(rule).alias("rule"), m.kind.cast("string").alias("kind"), m.subject.cast("string").alias("subject"), cut(m.query).alias("query"), cut(m.fallback).alias("fallback"), m.domain.cast("string").alias("domain"))
 
 
-def rules(words: Column, part_of_speech: Column, verbs: Column, nouns: Column) -> list[tuple[str, Column, Made]]:
-    """(name, condition, what it makes) in order."""
-    none = F.lit(None).cast("string")
+def parts(words: Column, verbs: Column, nouns: Column) -> dict[str, Column]:
+    """What the rules ask of a phrase: without its `to`, the family and the domain that it names, its verb, its noun's category."""
     plain = F.regexp_replace(words, "^to ", "")
-    state = F.regexp_replace(F.regexp_replace(plain, "^(?:be|being|feel|feeling|get|getting|become|becoming|look|looking|seem|seeming) ", ""), "^(?:very|deeply|extremely|really|utterly|completely) ", "")
-    family = _lookup(_FAMILY_OF, F.regexp_replace(state, "-", " "))
-    of = lambda i: _lookup({name: row[i] for name, row in packs.FAMILIES.items()}, family)
-    domain = _lookup(_DOMAIN_OF, plain)
+    state = F.regexp_replace(F.regexp_replace(plain, f"^(?:{packs.COPULAS}) ", ""), f"^(?:{packs.INTENSIFIERS}) ", "")
     shown = F.coalesce(_lookup(packs.ACTION_PHRASES, plain), verb_of(words, verbs))
+    return {"plain": plain, "family": _lookup(_FAMILY_OF, F.regexp_replace(state, "-", " ")), "domain": _lookup(_DOMAIN_OF, plain), "shown": shown, "category": noun_of(words, nouns), "known": F.element_at(nouns, words)}
+
+
+def rules(words: Column, part_of_speech: Column, p: dict[str, Column]) -> list[tuple[str, Column, Made]]:
+    """(name, condition, what it makes) in order; p: parts()."""
+    none = F.lit(None).cast("string")
+    plain, family, domain, shown, category = (p[n] for n in ("plain", "family", "domain", "shown", "category"))
+    of = lambda i: _lookup({name: row[i] for name, row in packs.FAMILIES.items()}, family)
     verb = F.coalesce(_lookup(packs.SHOWN_AS, shown), shown)
-    acts = words.startswith("to ") | F.coalesce(F.lower(part_of_speech), F.lit("")).rlike("^v(?:erb)?" + _END) | (F.element_at(nouns, words).isNull() & ((plain == shown) | words.rlike("^[a-z]+ing(?: |$)"))) | _lookup(packs.ACTION_PHRASES, plain).isNotNull()
+    phrase_of = _lookup(packs.ACTION_PHRASES, plain).isNotNull()
+    acts = words.startswith("to ") | F.coalesce(F.lower(part_of_speech), F.lit("")).rlike("^v(?:erb)?" + _END) | (p["known"].isNull() & ((plain == shown) | words.rlike("^[a-z]+ing(?: |$)"))) | phrase_of
     doing = F.concat(F.lit("person "), participle(verb))
-    particle = F.regexp_extract(plain, "^[a-z]+ (away|up|down|out|in|off|over|back)$", 1)
-    subject = F.trim(F.concat_ws(" ", doing, particle))
-    category = noun_of(words, nouns)
+    subject = F.trim(F.concat_ws(" ", doing, F.regexp_extract(plain, f"^[a-z]+ ({packs.PARTICLES})$", 1)))
     concept = Made(F.lit("conceptual"), plain, F.concat(plain, F.lit(" concept")), plain, F.coalesce(F.regexp_replace(category, "^concept:", ""), F.lit("general")))
     return [
         ("state", family.isNotNull(), Made(of(0), of(2), of(1), of(2), none)),
@@ -113,17 +116,28 @@ def _lexicon(verbs: Column | None, nouns: Column | None) -> tuple[Column, Column
     return (F.array().cast("array<string>") if verbs is None else verbs), (F.create_map().cast("map<string,string>") if nouns is None else nouns)
 
 
-def classify(meaning: Column, part_of_speech: Column | None = None, verbs: Column | None = None, nouns: Column | None = None) -> Column:
-    """Struct (rule, kind, subject, query, fallback, domain) of the first rule that meets; null for an excluded or empty gloss.
+def classify(df: DataFrame, meaning: Column, part_of_speech: Column | None = None, verbs: Column | None = None, nouns: Column | None = None) -> DataFrame:
+    """Df with `excluded` (why there is no picture), `phrase` (what rules look at), `met` (all rules that
+    hold) and `plan`: struct (rule, kind, subject, query, fallback, domain) of the first of them; null for an excluded or
+    empty gloss.
 
-    verbs: an array of known verbs; nouns: a map of nouns to categories (`lexicon`).
+    verbs: an array of known verbs; nouns: a map of nouns to categories (`lexicon`). What the rules
+    ask of a phrase is computed once, in columns of its own.
     """
     pos = F.lit(None).cast("string") if part_of_speech is None else part_of_speech
-    words = phrase(meaning)
-    cases = F.when(exclusion(meaning, pos).isNotNull() | words.isNull(), None)
-    for name, holds, made in rules(words, pos, *_lexicon(verbs, nouns)):
-        cases = cases.when(F.coalesce(holds, F.lit(False)), F.when(F.lit(name != "barred-verb"), _struct(name, made)))
-    return cases
+    v, n = _lexicon(verbs, nouns)
+    rows = df.withColumns({"excluded": exclusion(meaning, pos), "phrase": phrase(meaning), "__pos": pos, "__verbs": v, "__nouns": n})
+    asked = parts(F.col("phrase"), F.col("__verbs"), F.col("__nouns"))
+    rows = rows.withColumns({f"__{name}": c for name, c in asked.items()})
+    table = rules(F.col("phrase"), F.col("__pos"), {name: F.col(f"__{name}") for name in asked})
+    met = F.array_compact(F.array(*[F.when(F.coalesce(holds, F.lit(False)), F.lit(name)) for name, holds, _ in table]))
+    rows = rows.withColumn("met", F.when(F.col("excluded").isNull() & F.col("phrase").isNotNull(), met))
+    first = F.get("met", F.lit(0))
+    plan = None
+    for name, _, made in table:
+        if name != "barred-verb":
+            plan = F.when(first == name, _struct(name, made)) if plan is None else plan.when(first == name, _struct(name, made))
+    return rows.withColumn("plan", plan).drop("__pos", "__verbs", "__nouns", *[f"__{name}" for name in asked])
 
 
 def lexicon(packed: DataFrame, category: str, words: str) -> DataFrame:
@@ -136,14 +150,6 @@ def lexicon(packed: DataFrame, category: str, words: str) -> DataFrame:
     return verbs.crossJoin(nouns)  # one row by one row
 
 
-def diagnose(meaning: Column, part_of_speech: Column | None = None, verbs: Column | None = None, nouns: Column | None = None) -> Column:
-    """Struct of the steps to a plan: why the gloss is excluded, the phrase, all rules that meet, and the plan."""
-    pos = F.lit(None).cast("string") if part_of_speech is None else part_of_speech
-    words = phrase(meaning)
-    met = F.array_compact(F.array(*[F.when(F.coalesce(holds, F.lit(False)), F.lit(name)) for name, holds, _ in rules(words, pos, *_lexicon(verbs, nouns))]))
-    return F.struct(exclusion(meaning, pos).alias("excluded"), words.alias("text"), met.alias("met"), classify(meaning, pos, verbs, nouns).alias("plan"))
-
-
 def search_plan(kind: Column, query: Column, fallback: Column) -> Column:
     """Candidate queries with tiers A to C, most specific first, each once."""
     tiers = F.array(F.struct(F.lit("A").alias("tier"), query.alias("q")), F.struct(F.lit("B").alias("tier"), F.concat_ws(" ", fallback, kind).alias("q")), F.struct(F.lit("C").alias("tier"), fallback.alias("q")))

@@ -110,24 +110,23 @@ def _glosses(spark, d):
 
 @query("classify_rules", "X05 X06 X07 X08 X09 X16 X19 P09", f"SELECT p_partkey, rule, kind, query, fallback, domain FROM part JOIN {_GLOSS_SQL} ON p_partkey % {len(_GLOSSES)} = i")
 def _(spark, d):
-    c = classify.classify(F.col("meaning"), F.col("pos"), F.col("verbs"), F.col("nouns"))
-    return _glosses(spark, d).select("p_partkey", c.alias("c")).select("p_partkey", *[F.col(f"c.{n}").alias(n) for n in ("rule", "kind", "query", "fallback", "domain")])
+    c = classify.classify(_glosses(spark, d), F.col("meaning"), F.col("pos"), F.col("verbs"), F.col("nouns"))
+    return c.select("p_partkey", *[F.col(f"plan.{n}").alias(n) for n in ("rule", "kind", "query", "fallback", "domain")])
 
 
 @query("classify_diagnose", "X14 X03", f"""
 SELECT p_partkey, CASE WHEN rule IS NULL THEN 'none' ELSE rule END AS rule, i IN (20, 21) AS metadata, CASE WHEN i IN (0, 1) THEN 'state' END AS first_met FROM part JOIN {_GLOSS_SQL} ON p_partkey % {len(_GLOSSES)} = i""")
 def _(spark, d):
-    c = classify.diagnose(F.col("meaning"), F.col("pos"), F.col("verbs"), F.col("nouns"))
-    rows = _glosses(spark, d).select("p_partkey", "i", c.alias("c"))
-    return rows.select("p_partkey", F.coalesce("c.plan.rule", F.lit("none")).alias("rule"), F.coalesce(F.col("c.excluded") == "metadata", F.lit(False)).alias("metadata"), F.when(F.col("i") <= 1, F.get("c.met", F.lit(0))).alias("first_met"))
+    c = classify.classify(_glosses(spark, d), F.col("meaning"), F.col("pos"), F.col("verbs"), F.col("nouns"))
+    return c.select("p_partkey", F.coalesce("plan.rule", F.lit("none")).alias("rule"), F.coalesce(F.col("excluded") == "metadata", F.lit(False)).alias("metadata"), F.when(F.col("i") <= 1, F.get("met", F.lit(0))).alias("first_met"))
 
 
 @query("classify_documents", "X05 X14 A07")
 def _(spark, d):
     # what every line of every document shows; the rules are compared with SQL by classify_rules
     lines = table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
-    plan = classify.classify(F.col("line"))
-    return lines.select(F.coalesce(plan["rule"], F.lit("none")).alias("rule"), plan["kind"].alias("kind")).groupBy("rule", "kind").agg(F.count("*").alias("n"))
+    c = classify.classify(lines, F.col("line"))
+    return c.groupBy(F.coalesce("plan.rule", F.lit("none")).alias("rule"), F.col("plan.kind").alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query("classify_plan", "X10", "SELECT n_nationkey, tier, q FROM (SELECT n_nationkey, 'A' AS tier, 'flag of ' || lower(n_name) AS q FROM nation UNION ALL SELECT n_nationkey, 'B', lower(n_name) || ' place' FROM nation UNION ALL SELECT n_nationkey, 'C', lower(n_name) FROM nation)")
