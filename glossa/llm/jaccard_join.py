@@ -43,8 +43,8 @@ WIDTH, PERCENT = 5, 80
 FREQUENT = 1 << 19
 #: Bytes of text in a chunk, postings in a bucket, postings in a row of groups.
 CHUNK_BYTES, BUCKET_POSTINGS, ROW_POSTINGS = 8_000_000, 1_000_000, 60_000
-#: Ids of documents whose texts are asked for (16 bytes each) are broadcast up to this many; beyond it they are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Ids of documents whose texts are asked for (some 40 bytes each) are broadcast up to this many; beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Nodes that one owner answers for.
 OWNER_NODES = 20_000
 #: Orders by hash that candidates must meet under, besides the indexed one.
@@ -164,7 +164,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Ta
 
 def _describe(width: int, owners: int, seed: int):
     """Rows of documents (kind 0) and, for owners, shingles that a chunk holds more than once (kind 1)."""
-    names = ["kind", "doc_id", "n", "node", "check", "bits", "owner", "token", "count"]
+    names = ["kind", "doc_id", "key", "key2", "n", "node", "check", "bits", "owner", "token", "count"]
     mask = NODE_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,13 +187,13 @@ def _describe(width: int, owners: int, seed: int):
             full = np.flatnonzero(np.diff(cuts))
             k = len(full)
             none = pa.nulls(k, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(k), pa.int32()), none, none, none, none, pa.nulls(k, pa.binary()), pa.array(full, pa.int32()),
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(k), pa.int32()), none, none, none, none, none, none, pa.nulls(k, pa.binary()), pa.array(full, pa.int32()),
                 pa.array([pack(token[cuts[o] : cuts[o + 1]]) for o in full], pa.binary()), pa.array([pack(count[cuts[o] : cuts[o + 1]]) for o in full], pa.binary())], names)
 
         for t, sets, before in _sets(batches, width):
             n, nodes = np.diff(before), _nodes(sets, before, seed, mask)
             k = t.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k), pa.int32()), t["doc_id"].combine_chunks(), pa.array(n, pa.int64()), pa.array(nodes.view(np.int64)), pa.array(_nodes(sets, before, SEEDS + seed, ALL_BITS).view(np.int64)),
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k), pa.int32()), t["doc_id"].combine_chunks(), t["key"].combine_chunks(), t["key2"].combine_chunks(), pa.array(n, pa.int64()), pa.array(nodes.view(np.int64)), pa.array(_nodes(sets, before, SEEDS + seed, ALL_BITS).view(np.int64)),
                 pa.array(_parities(sets, before), pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names)
             held += np.split(sets, before[1:-1])
             seen.append(nodes)
@@ -620,10 +620,14 @@ def _common(s: np.ndarray, t: np.ndarray) -> int:
 
 
 def _texts(pairs: DataFrame, source: DataFrame, reps: DataFrame) -> DataFrame:
-    """(node, text) of one document of each node in the pairs; nodes whose document's row repeats come that often."""
+    """(node, text) of one document of each node in the pairs; nodes whose document's row repeats come that often.
+
+    A document is found by its id, which may be null or repeat, and two hashes of its text.
+    """
     need = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(reps, "node"))
     few = need.count() <= BROADCAST_ROWS
-    return source.join(F.broadcast(need) if few else need, "doc_id").select("node", "text")
+    need = need.select("node", F.col("rep.doc_id").alias("id_"), F.col("rep.key").alias("key_"), F.col("rep.key2").alias("key2_"))
+    return source.join(F.broadcast(need) if few else need, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_")) & (F.col("key2") == F.col("key2_"))).select("node", "text")
 
 
 def _both(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
@@ -641,36 +645,30 @@ def _links(pairs: DataFrame, source: DataFrame, reps: DataFrame, width: int, per
     return cut(_both(pairs, texts, "text").mapInArrow(_verify(width, percent), "a long, b long"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id.
-
-    A-Z are lower-cased; words are runs of characters other than space and \\x09-\\x0D. A text
-    with fewer words than width, but some, is one shingle; one without words (or null) has none,
-    links with nothing and is its own component. Linked: 100 * intersection >= percent * union.
-    component_id is the smallest id reachable. Repeated rows repeat; an empty table gives none.
-    Ids are expected to be integers; rows with a null id are returned with the component of their text.
-    """
+def _components(docs: DataFrame, id_col: str, text: str, width: int, percent: int) -> DataFrame:
+    """(doc_id, key, key2, n, least) of every row: least is the row (no_id, doc_id, key, key2) that comes first in its component."""
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(docs, text).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(docs, text).alias("text")).select("*", F.xxhash64("text").alias("key"), F.xxhash64(F.lit(1), "text").alias("key2"))
     owners = min(4096, tasks_for(spark))
-    shape = "kind int, doc_id long, n long, node long, check long, bits binary, owner int, token binary, count binary"
+    shape = "kind int, doc_id long, key long, key2 long, n long, node long, check long, bits binary, owner int, token binary, count binary"
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "key2")
     for seed in range(SEEDS):
         described = cut(source.mapInArrow(_describe(width, owners, seed), shape))
-        info = described.where("kind = 0 and n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("check").alias("low"), F.max("check").alias("high"))
+        info = described.where("kind = 0 and n > 0").groupBy("node").agg(F.min(own).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("check").alias("low"), F.max("check").alias("high"))
         info = cut(info)
         if info.where("low <> high").isEmpty():
             break
     else:
         raise RuntimeError("the sets of documents could not be told apart by their hashes")
     info = info.drop("low", "high")
-    nodes = described.where("kind = 0").select("doc_id", "n", "node")
+    nodes = described.where("kind = 0").select("doc_id", "key", "key2", "n", "node")
     shared = spark.sparkContext.broadcast(_frequent(described))
     total = nodes.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
     buckets = int(min(1 << 19, max(tasks_for(spark), total // BUCKET_POSTINGS + 1)))
-    postings = source.mapInArrow(_postings(shared, width, percent, buckets, seed), "bucket int, token binary, node binary, size binary")
+    postings = source.select("text").mapInArrow(_postings(shared, width, percent, buckets, seed), "bucket int, token binary, node binary, size binary")
     groups = postings.groupBy("bucket").applyInPandas(_groups, "sizes binary, node binary, size binary")
     groups = cut(groups.withColumn("row", F.monotonically_increasing_id()))
-    reps = info.select("node", "doc_id")
+    reps = info.select("node", "rep")
     gap = _gap(percent)
     owners, packed = int(info.count() // OWNER_NODES + 1), "owner int, a binary, b binary"
     stars = _distinct_pairs(_attach(groups, _degrees(groups, owners), "degree", owners).mapInArrow(_star(gap, owners), packed))
@@ -681,23 +679,40 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     more = _links(crossed, source, reps, width, percent)
     if not more.isEmpty():
         comps = cut(connected_components(edges.union(more), "a", "b"))
-    least = reps.join(comps, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_node = comps.join(least, "component").select("node", "component_id")
-    alone = reps.join(comps, "node", "left_anti").select("node", F.col("doc_id").alias("component_id"))
+    least = reps.join(comps, "node").groupBy("component").agg(F.min("rep").alias("least"))
+    by_node = comps.join(least, "component").select("node", "least")
+    alone = reps.join(comps, "node", "left_anti").select("node", F.col("rep").alias("least"))
     named = cut(by_node.union(alone))
-    return nodes.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return nodes.join(named, "node", "left").select("doc_id", "key", "key2", "n", F.when(F.col("n") > 0, F.col("least")).otherwise(own).alias("least"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id.
+
+    A-Z are lower-cased; words are runs of characters other than space and \\x09-\\x0D. A text
+    with fewer words than width, but some, is one shingle; one without words (or null) has none,
+    links with nothing and is its own component. Linked: 100 * intersection >= percent * union.
+    component_id is the smallest id reachable. Repeated rows repeat; an empty table gives none.
+    Ids are expected to be integers; null and repeated ids name documents of their own, by their
+    texts. A component whose ids are all null has a null component_id.
+    """
+    return _components(docs, id_col, text, width, percent).select("doc_id", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, all columns, without near copies: of each component the smallest id stays.
+    """The rows of docs, all columns, without near copies: of each component the row of smallest id stays (null ids last).
 
-    An id stays if any of its rows does; rows without an id and texts without words stay.
+    Rows that share an id are told apart by their texts; of such rows in one component one text
+    stays. Rows of one id and one text stay or go together. Texts without words stay.
     """
-    own = spare(docs, "__id")[0]
-    found = jaccard_components(docs, id_col, text, width, percent).where("doc_id is not null")
-    gone = cut(found.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone").select(F.col("doc_id").alias(own)))
+    names = spare(docs, "__id", "__key", "__key2")
+    found = _components(docs, id_col, text, width, percent)
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "key2")
+    gone = cut(found.where(~own.eqNullSafe(F.col("least"))).select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "key", "key2"), names)]).distinct())
     few = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col(own), "left_anti")
+    mine = whole_text(docs, text)
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(names[0])) & (F.xxhash64(mine) == F.col(names[1])) & (F.xxhash64(F.lit(1), mine) == F.col(names[2]))
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
 
 
 ORACLE = r"""

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glossa.llm.chain import posteriors
@@ -21,7 +22,7 @@ from glossa.session import cut
 
 #: Labelled documents of each language that the model is fitted on, of at most SAMPLE_CHARS characters each; fewer languages than rows, so the bound holds at any size.
 SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 250, 200_000
-#: Languages whose sampling rates (a name and a number) are broadcast; more are joined by a shuffle.
+#: Languages whose samples' ends (a name and a number) are broadcast; more are joined by a shuffle.
 BROADCAST_LANGUAGES = 10_000
 #: Feature weights are hashed into this many slots.
 SLOTS = 1 << 17
@@ -120,13 +121,19 @@ def label_words(model: Crf, column: pa.Array) -> tuple[np.ndarray, np.ndarray, n
 
 
 def sample_labelled(docs: DataFrame, id_col: str, text: str, lang: str, held: int, folds: int, per_language: int) -> list:
-    """Up to about per_language labelled documents of each language, whole, by a hash of their ids."""
-    usable = docs.where((crc_mod(id_col, folds) != held) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    usable = usable.where(F.length(text) <= SAMPLE_CHARS).select(F.col(id_col).alias("__id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    rates = cut(usable.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(per_language) / F.count("*")).alias("rate")))
-    few = rates.count() <= BROADCAST_LANGUAGES
-    place = F.pmod(F.xxhash64(F.col("__id"), F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return usable.join(F.broadcast(rates) if few else rates, "lang").where(place < F.col("rate")).orderBy("lang", "__id", "text").select("lang", "text").collect()
+    """per_language labelled documents of each language (all, if it has fewer), whole: the first by a hash of id and text.
+
+    Ids may be null or repeat; rows equal in id and text count as often as they occur. A first
+    pass over hashes alone finds how far each language's sample reaches.
+    """
+    usable = docs.where((crc_mod(id_col, folds) != held) & F.col(lang).isNotNull() & F.col(text).isNotNull()).where(F.length(text) <= SAMPLE_CHARS)
+    usable = usable.select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).withColumn("place", F.xxhash64(F.lit(7), "id", "text"))
+    first = lambda *by: F.row_number().over(W.partitionBy("lang").orderBy(*by))
+    reach = usable.select("lang", "place").withColumn("nth", first("place")).where(F.col("nth") <= per_language)
+    reach = cut(reach.groupBy("lang").agg(F.max("place").alias("last")))
+    few = reach.count() <= BROADCAST_LANGUAGES
+    near = usable.join(F.broadcast(reach) if few else reach, "lang").where(F.col("place") <= F.col("last"))
+    return near.withColumn("nth", first("place", "id", "text")).where(F.col("nth") <= per_language).orderBy("lang", "id", "text").select("lang", "text").collect()
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", held: int = 2, folds: int = 4, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:

@@ -93,9 +93,8 @@ def brute_nearest(x, ids, q, k=10):
     return ids[np.lexsort((ids, d))[:k]], np.sort(d)[:k]
 
 
-@pytest.mark.parametrize("table", ["sf0.1", "check_s"])
-def test_ann_recall_on_whole_tables(spark, table):
-    rows = spark.read.parquet(f"/root/testdata/{table}/embeddings.parquet")
+def test_ann_recall_on_whole_tables(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     kept = [(r.vec_id, r.embedding) for r in ann.valid_vectors(rows, "vec_id", "embedding").select("vec_id", F.col("v").alias("embedding")).collect()]
     ids, x = np.array([i for i, _ in kept]), np.array([v for _, v in kept], float)
     assert ann.parts_for(len(ids)) > 1
@@ -405,6 +404,18 @@ def test_language_inside_a_text():
     assert best[:4] == ["en"] * 4 and best[6:11] == ["de"] * 5 and not letter[-1]
 
 
+@pytest.mark.parametrize("number", [None, 40])
+def test_language_of_null_and_shared_ids(spark, number):
+    say = {"en": "the cat and the dog see the bird number", "de": "der hund und die katze sehen das haus nummer"}
+    rows = [(number, f"{say[g]} {k // 2}", g) for k in range(2100) for g in say] + [(number, say["en"], "en")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    sample = language_id.sample_labelled(docs, "doc_id", "text", "lang", 2, 4, 250)
+    assert collections.Counter(r.lang for r in sample) == {"en": 250, "de": 250}
+    assert sorted(map(tuple, sample)) == sorted(map(tuple, language_id.sample_labelled(docs.repartition(7), "doc_id", "text", "lang", 2, 4, 250)))
+    got = language_id.identify(docs).groupBy("lang_pred").count().collect()
+    assert {r.lang_pred: r["count"] for r in got} == {"en": 5100, "de": 2100}
+
+
 def test_language_odd_rows(spark):
     got = collections.Counter((r.doc_id, r.lang_pred) for r in language_id.identify(frame(spark, ODD)).collect())
     assert got[(1, "und")] == got[(2, "und")] == got[(6, "und")] == 1 and sum(got.values()) == len(ODD)
@@ -623,6 +634,40 @@ def test_near_copies_leave_the_smallest(spark):
     assert {r.doc_id for r in jaccard_join.keep_one(frame(spark, rows)).collect()} == {d for d, c in best.items() if d == c}
 
 
+def shared_ids(seed):
+    """Near copies among rows of repeated and null ids, on either side, and null ids as the only bridge."""
+    rng = random.Random(seed)
+    make = lambda: [f"w{rng.randrange(4000)}" for _ in range(60)]
+    changed = lambda w, k: [*w[:k], "changed", *w[k + 1 :]]
+    rows = []
+    for k in range(12):
+        w = make()
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(changed(w, 3)))]
+        rows.append((2 * k + k % 2, " ".join(make())))  # the id again, with a text of its own
+    for k in range(6):
+        w = make()
+        rows += [(100 + k, " ".join(w)), (None, " ".join(changed(w, 2))), (200 + k, " ".join(changed(changed(w, 2), 30)))]
+    w = make()
+    rows += [(None, " ".join(w)), (None, " ".join(changed(w, 30))), (7, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f"), (None, None), (7, "")]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_components_of_null_and_repeated_ids(spark, monkeypatch, broadcast):
+    rows = shared_ids(3)
+    if not broadcast:
+        monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    got = jaccard_join.jaccard_components(frame(spark, rows).repartition(3)).collect()
+    want = brute_components(rows)
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    assert want[(200, 56, 100)] == 1  # reached through a row without an id only
+    left = sorted(r.text or "" for r in jaccard_join.keep_one(frame(spark, rows)).collect())
+    groups = jaccard_join.jaccard_components(spark.createDataFrame([(i, t) for i, t in enumerate({t for _, t in rows if t})], "doc_id long, text string"))
+    assert len({t for t in left if t}) == len([t for t in left if t]) - 1 == groups.select("component_id").distinct().count()  # the equal rows of id 7 stay together
+    assert left.count("") == 2
+
+
 def test_parities_never_lose_a_link():
     rng = random.Random(2)
     words = [str(i) for i in range(60)]
