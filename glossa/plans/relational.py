@@ -132,15 +132,6 @@ def _(spark, d):
     return joins.only_match(m.select(F.col("c_nationkey").alias("need"), "s_suppkey"), "need")
 
 
-@query("join_cross_reference", "J13 F26", """
-WITH p AS (SELECT page_id, CAST(regexp_extract(url, '(\\d+)(?:\\?|$)', 1) AS VARCHAR) AS ref FROM pages), r AS (SELECT ref, count(*) AS targets, count(DISTINCT length(h)) = 1 AS agree FROM (SELECT regexp_extract(url, '(\\d+)(?:\\?|$)', 1) AS ref, html AS h FROM pages) WHERE ref <> '' GROUP BY ref)
-SELECT page_id, p.ref, targets, agree FROM p JOIN r ON p.ref = r.ref""")
-def _(spark, d):
-    p = table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"(\d+)(?:\?|$)", 1).alias("ref"), F.length("html").alias("n")).where("ref <> ''")
-    r = p.groupBy("ref").agg(F.count("*").alias("targets"), (F.count_distinct("n") == 1).alias("agree"))
-    return p.select("page_id", "ref").join(r, "ref")
-
-
 @query("join_anti_list", "J14 V05", """
 SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_orderpriority LIKE '1%' THEN 'pair' WHEN o_orderpriority LIKE '5%' THEN 'term' END AS reason FROM orders""")
 def _(spark, d):

@@ -87,6 +87,30 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(t.alternatives(c), "|").alias("parts"))
 
 
+def _nested(spark, d):
+    """Lines of all documents with common letters as parentheses and separators: dozens of levels, most of them without a partner somewhere."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l"))
+    return lines.select("doc_id", F.col("line").cast("long").alias("line"), F.translate("l", "ensr", "();/").alias("l"))
+
+
+_NESTED = """n AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+s AS (SELECT doc_id, line, translate(l, 'ensr', '();/') AS s FROM n)"""
+
+
+@query("text_alternatives_of_lines", "F11", r"""
+WITH """ + _NESTED + r""", g AS (SELECT doc_id, line, array_to_string(list_transform(regexp_extract_all(s, '\([^)]*\)|[^(]+|\('), lambda x: CASE WHEN starts_with(x, '(') THEN translate(x, ';/', ',,') ELSE x END), '') AS s FROM s)
+SELECT doc_id, line, array_to_string(list_filter(list_transform(string_split_regex(s, '[;/]'), lambda x: trim(x)), lambda x: x <> ''), '|') AS parts FROM g""")
+def _(spark, d):
+    return _nested(spark, d).select("doc_id", "line", F.array_join(t.alternatives(F.col("l")), "|").alias("parts"))
+
+
+@query("text_nested_parentheses", "F14", r"""
+WITH RECURSIVE """ + _NESTED + r""", r AS (SELECT doc_id, line, s FROM s UNION ALL SELECT doc_id, line, regexp_replace(s, '\([^()]*\)', ' ', 'g') FROM r WHERE regexp_matches(s, '\([^()]*\)'))
+SELECT doc_id, line, trim(regexp_replace(s, '\s+', ' ', 'g')) AS plain FROM r WHERE NOT regexp_matches(s, '\([^()]*\)')""")
+def _(spark, d):
+    return _nested(spark, d).select("doc_id", "line", t.without_parentheses(F.col("l")).alias("plain"))
+
+
 _FILLERS = ", ".join("'" + w.replace("'", "''") + "'" for w in t.FILLERS)
 
 
@@ -117,11 +141,13 @@ def _(spark, d):
 
 
 @query("text_participle", "F16 F17", """
-SELECT w, CASE WHEN regexp_matches(w, 'ie$') THEN regexp_replace(w, 'ie$', 'ying') WHEN regexp_matches(w, '[^eoy]e$') THEN regexp_replace(w, 'e$', 'ing')
-  WHEN regexp_matches(w, '^[^aeiou]*[aeiou][bdgmnprt]$') THEN w || right(w, 1) || 'ing' ELSE w || 'ing' END AS ing, n
-FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w, count(*) AS n FROM part GROUP BY 1)""")
+SELECT w, CASE WHEN regexp_matches(w, 'ie$') THEN left(w, -2) || 'ying' WHEN regexp_matches(w, '[^e]e$') THEN left(w, -1) || 'ing'
+  WHEN regexp_matches(w, '^[^aeiou]*[aeiou][^aeiouwxy]$') THEN w || right(w, 1) || 'ing' ELSE w || 'ing' END AS ing, n
+FROM (SELECT w, count(*) AS n FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part UNION ALL SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) FROM documents) GROUP BY 1)""")
 def _(spark, d):
-    words = table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    named = table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("w"))
+    written = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("w"))
+    words = named.union(written).groupBy("w").agg(F.count("*").alias("n"))
     return words.select("w", t.participle(F.col("w")).alias("ing"), "n")
 
 
@@ -241,14 +267,3 @@ def _(spark, d):
     lines = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     shown = F.transform(lines, lambda s: F.concat(s["turn"].cast("string"), F.lit(". "), s["role"], F.lit(": "), s["text"]))
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(shown, " | ").alias("sheet"), F.count("*").alias("turns"))
-
-
-@query("text_reference_templates", "F27 F26", """
-SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'variant of ' || p_brand || ' [x1]' WHEN 1 THEN 'see ' || p_brand ELSE p_name END AS restored FROM part""")
-def _(spark, d):
-    # a reference is cut out of its template for translation, and the template is put back after it
-    k = F.col("p_partkey") % 3
-    raw = F.when(k == 0, F.concat(F.lit("variant of "), "p_brand", F.lit(" [x1]"))).when(k == 1, F.concat(F.lit("see "), "p_brand")).otherwise(F.col("p_name"))
-    template = F.regexp_extract(raw, r"^(variant of|see) ", 1)
-    inner = F.when(template == "", raw).otherwise(F.regexp_extract(raw, r"^(?:variant of|see) (.*)$", 1))
-    return table(spark, d, "part").select("p_partkey", F.when(template == "", inner).otherwise(F.concat_ws(" ", template, inner)).alias("restored"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from glossa.functions import references as r
 from glossa.functions import text as t
 from glossa.functions import urls as u
 
@@ -47,6 +51,44 @@ def test_gloss_and_parts(spark):
     assert values(spark, ["N", "adverb", "noun"], lambda d: t.norm_pos(F.col("_2"))) == ["noun", "adv", "noun"]
 
 
+def brackets(seed, n=60):
+    rng = random.Random(seed)
+    rows = ["".join(rng.choice("(()) ab;/") for _ in range(rng.randint(0, 120))) for _ in range(n)]
+    return rows + ["a " + "(" * 50 + "x" + ")" * 50 + " b", "(" * 50, ")" * 50, "a (b; c; d; e) f; g", "", "((a) b", "a) (b"]
+
+
+def test_nested_parentheses_at_any_depth(spark):
+    def removed(s):
+        before = None
+        while before != s:
+            before, s = s, re.sub(r"\([^()]*\)", " ", s)
+        return " ".join(s.split())
+
+    rows = brackets(1)
+    assert values(spark, rows, lambda d: t.without_parentheses(F.col("_2"))) == [removed(s) for s in rows]
+
+
+def test_alternatives_with_many_separators(spark):
+    def split(s):
+        return [x.strip() for x in re.split("[;/]", re.sub(r"\([^)]*\)", lambda m: re.sub("[;/]", ",", m.group()), s)) if x.strip()]
+
+    rows = brackets(2)
+    assert values(spark, rows, lambda d: t.alternatives(F.col("_2"))) == [split(s) for s in rows]
+    assert split("a (b; c; d; e) f; g") == ["a (b, c, d, e) f", "g"]
+
+
+def test_participles(spark):
+    words = ["lie", "rev", "bus", "dye", "toe", "run", "see", "make", "fix", "play", "read"]
+    assert values(spark, words, lambda d: t.participle(F.col("_2"))) == ["lying", "revving", "bussing", "dying", "toing", "running", "seeing", "making", "fixing", "playing", "reading"]
+
+
+def test_references(spark):
+    rows = [("variant of 个|個[ge4]", "bentuk lain daripada X.", "alternative written form of X"), ("see 个[ge4]", "Lihat KANJIANREF", "see KANJIANREF"), ("abbr. for 个[ge4]", "• singkatan untuk 个[ge4].", "abbr. for 个[ge4]"),
+        ("variant of 个[ge4]", "varian bagi Y", "alternative written form of X"), ("variant of a[ge4]", "varian X", "alternative written form of X"), ("variant of 个[ge4], old", "varian X", "alternative written form of X"), ("see 个[ge4]", "lihat X", "look at X"), (None, "lihat X", "see X")]
+    got = values(spark, rows, lambda d: r.restore(F.col("_2"), F.col("_3"), F.col("_4")))
+    assert [x and (x.kind, x.reference, x.definition) for x in got] == [("variant", "个|個[ge4]", "Varian bagi 个|個[ge4]."), ("see", "个[ge4]", "Lihat 个[ge4]."), ("abbreviation", "个[ge4]", "Singkatan bagi 个[ge4]."), None, None, None, None, None]
+
+
 def test_bounded_query_stops_at_the_first_word_that_does_not_fit(spark):
     words = ["a" * 60, "b" * 60, "c"]
     assert values(spark, [" ".join(words)], lambda d: t.bounded_query(F.split("_2", " "))) == ["a" * 60]

@@ -280,3 +280,29 @@ def test_neighbourhood(spark):
     edges = spark.createDataFrame([("a", "b", False), ("b", "c", True), ("b", "d", False), ("z", "b", True), ("c", "e", True), ("b", "a", True)], "s string, t string, on boolean")
     got = {r.node: (r.label, r.distance) for r in graph.neighbourhood(seeds, edges, "n", "l", "s", "t", 2, "on").collect()}
     assert got == {"a": ("L", 0), "z": ("K", 0), "b": ("K", 1), "c": ("K", 2)}
+
+
+def test_references_need_every_sense_to_agree(spark):
+    """Random mentions, senses and seeds, with nulls and repeats, against a walk."""
+    import random
+
+    from glossa.operators import references as x
+
+    rng = random.Random(5)
+    senses = [(rng.choice("abcdefgh"), k % 40) for k in range(60)] + [("a", 0), ("a", 0), (None, 3)]
+    seed = [(k, rng.choice(["x; y", "Y;x", "z", None]), rng.choice(["n", "n", None])) for k in range(36)] + [(0, "x; y", "n"), (99, "x", "n")]
+    rows = [(k, [(rng.choice(["variant", "see", "also-written"]), rng.choice([*"abcdefghij", None])) for _ in range(rng.randint(0, 3))]) for k in range(40)] + [(41, None)]
+    found = x.mentions(spark.createDataFrame(rows, "key long, m array<struct<kind:string,ref:string>>"), "key", F.col("m"))
+    got = {tuple(r) for r in x.resolve(found, spark.createDataFrame(senses, "ref string, sense long"), spark.createDataFrame(seed, "sense long, text string, cls string")).select("key", "nth", "text", "cls", "reason").collect()}
+    told = {}
+    for k, text, cls in sorted((s for s in seed if s[1]), key=lambda s: (s[0], s[1], s[2] is not None, s[2] or "")):
+        told.setdefault(k, (text, cls))
+    want = set()
+    for key, ms in rows:
+        for nth, (kind, ref) in enumerate(ms or []):
+            mine = sorted({s for e, s in senses if e == ref and e is not None})
+            terms = {";".join(sorted(p.strip().lower() for p in told[s][0].split(";"))) for s in mine if s in told}
+            classes = {told[s][1] for s in mine if s in told}
+            reason = x.NOT_EQUIVALENT if kind == "see" else x.UNKNOWN if not mine else x.UNRESOLVED if any(s not in told for s in mine) else x.CONFLICTING if len(terms) > 1 or len(classes) > 1 else None
+            want.add((key, nth, *((None, None) if reason else told[mine[0]]), reason))
+    assert got == want and {r[4] for r in want} >= {x.NOT_EQUIVALENT, x.UNKNOWN, x.UNRESOLVED, x.CONFLICTING}
