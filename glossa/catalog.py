@@ -6,7 +6,7 @@ import importlib
 
 from glossa.plans.registry import ENTRIES
 
-MODULES = ("text", "references", "relational", "search", "quality", "store", "sampling", "ranking", "events", "sources")
+MODULES = ("text", "references", "phrases", "relational", "search", "quality", "store", "sampling", "ranking", "events", "sources")
 
 
 def _load() -> None:

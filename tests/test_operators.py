@@ -306,3 +306,54 @@ def test_references_need_every_sense_to_agree(spark):
             reason = x.NOT_EQUIVALENT if kind == "see" else x.UNKNOWN if not mine else x.UNRESOLVED if any(s not in told for s in mine) else x.CONFLICTING if len(terms) > 1 or len(classes) > 1 else None
             want.add((key, nth, *((None, None) if reason else told[mine[0]]), reason))
     assert got == want and {r[4] for r in want} >= {x.NOT_EQUIVALENT, x.UNKNOWN, x.UNRESOLVED, x.CONFLICTING}
+
+
+def test_phrase_rules_meet_as_in_a_walk(spark, monkeypatch):
+    """Random rules and texts with every place and guard, broadcast or not, against a walk over all pairs."""
+    import random
+
+    from glossa.operators import phrase_rules as p
+
+    rng = random.Random(3)
+    make = lambda n: [rng.choice(["a", "b", "c", "d'e", "!", "f-g"]) for _ in range(n)]
+    some = lambda: [" ".join(make(rng.randint(1, 2))) for _ in range(rng.choice([0, 0, 0, 1, 2]))]
+    rules = [(f"r{k:04}", rng.randrange(900), " ".join(make(rng.randint(1, 6))), rng.choice(["whole", "start", "end", "any"]), some(), some(), some(), "k", "p", ["q"], []) for k in range(1500)]
+    rules += [("none", 0, "...", "any", [], [], [], "k", "p", [], [])]
+    texts = [(k, " ".join(make(rng.randint(0, 9))).upper()) for k in range(120)] + [(500, None), (501, "")]
+    want = {}
+    for k, t in texts:
+        ws = (t or "").lower().split(" ") if t else []
+        x, best = " " + " ".join(ws) + " ", None
+        for rule, priority, phrase, place, also, without, after, *_ in rules:
+            r = phrase.split(" ") if phrase != "..." else []
+            for at in range(len(ws) - len(r) + 1) if r else []:
+                ok = ws[at : at + len(r)] == r and (place == "any" or (place != "end") * at == 0 and (place == "start" or at + len(r) == len(ws)))
+                ok = ok and (not also or any(f" {a} " in x for a in also)) and not any(f" {a} " in x for a in without)
+                ok = ok and (not after or any((" " + " ".join(ws[at + len(r) :]) + " ").startswith(f" {a} ") for a in after))
+                if ok and (best is None or (priority, rule, at + 1) < best):
+                    best = (priority, rule, at + 1)
+        if best:
+            want[k] = best
+    units, table = spark.createDataFrame(texts, "id long, t string"), spark.createDataFrame(rules, p.SCHEMA)
+    for most in (p.BROADCAST_RULES, 10):
+        monkeypatch.setattr(p, "BROADCAST_RULES", most)
+        found = p.match(units, ["id"], F.col("t"), table)
+        assert {r.id: (r.priority, r.rule, r.at) for r in found.collect()} == want
+    small = p.match(units, ["id"], F.col("t"), table.limit(3))
+    size = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert abs(size(found) - size(small)) <= 2 and len(want) > 60
+
+
+def test_phrase_packs(spark):
+    from glossa.operators import phrase_packs, phrase_rules as p
+
+    rows = phrase_packs.rows()
+    rules = spark.createDataFrame(rows + phrase_packs.noun_rows({"pump": "object", "fear": "emotion"}, len(rows)), p.SCHEMA)
+    cases = [
+        ("(coll.) Watch out!", "expression", "warn"), ("a still, from a movie", "reviewed", "film still"), ("a still night", None, None), ("Unable to sleep", "state", "sleepless"),
+        ("to make a mountain out of a molehill over it", "turn", "exaggerate"), ("to lose one’s head out of fear", "idiom", "panicked"), ("to lose one's head", None, None), ("never run for his life", None, None),
+        ("a person who asks for advice", "social", "ask"), ("to ask the price", None, None), ("practice of helping others", "social", "help"), ("a pump used for water", "described", "pump"), ("hand pump", "named", "pump"), ("not a pump", None, None), ("great fear", None, None), (None, None, None), ("[x]", None, None),
+    ]
+    got = {r.id: r for r in p.plans(spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "id long, m string"), ["id"], F.col("m"), rules).collect()}
+    assert [(got[k].rule, got[k].predicate) if k in got else (None, None) for k in range(len(cases))] == [c[1:] for c in cases]
+    assert got[12].query == "hand pump" and got[11].queries == ["pump object", "pump"] and got[0].fallback == got[0].query
