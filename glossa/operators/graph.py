@@ -115,3 +115,36 @@ def neighbourhood(seeds: DataFrame, edges: DataFrame, node: str, label: str, src
         fresh = cut(reached.join(found, "node", "left_anti"))
         found = cut(found.unionByName(fresh))
     return found
+
+
+def inherited(edges: DataFrame, marks: DataFrame, child: str, parent: str, node: str, mark: str, max_rounds: int = 200) -> DataFrame:
+    """(node, mark): the marks that a node has itself or that any of its ancestors has, over parents of any number and depth.
+
+    Marks move down from where they are set, a step a round, and only pairs not seen before move
+    on, so cycles end, work is bounded by nodes times marks, and no pairs of nodes and ancestors are formed.
+    """
+    step = cut(edges.select(F.col(parent).alias("node"), F.col(child).alias("to")).where("node is not null and to is not null").distinct())
+    found = cut(marks.select(F.col(node).alias("node"), F.col(mark).alias("mark")).where("node is not null and mark is not null").distinct())
+    fresh = found
+    for _ in range(max_rounds):
+        moved = fresh.join(step, "node").select(F.col("to").alias("node"), "mark").distinct()
+        fresh = cut(moved.join(found, ["node", "mark"], "left_anti"))
+        if fresh.isEmpty():
+            return found
+        found = cut(found.unionByName(fresh))
+    raise RuntimeError("the hierarchy is deeper than max_rounds")
+
+
+def categories(nodes: DataFrame, edges: DataFrame, marks: DataFrame, rules: DataFrame, veto: DataFrame, default: str) -> DataFrame:
+    """(node, category): by the first rule (mark, priority, category) whose mark a node or an ancestor has, else its own
+    `default` column; nodes that have a vetoed mark so are left out, as are those without any category.
+
+    nodes: (node, default); edges: (child, parent); marks: (node, mark); veto: (mark). Only marks
+    of rules and vetoes move through the graph, vetoes and rules together.
+    """
+    told = rules.select("mark", F.struct("priority", "category").alias("rule"), F.lit(False).alias("bars")).unionByName(veto.select("mark", F.lit(None).cast(rules.select(F.struct("priority", "category")).schema[0].dataType).alias("rule"), F.lit(True).alias("bars")))
+    used = marks.join(F.broadcast(told.select("mark").distinct()), "mark", "left_semi")  # rule tables, of fixed size
+    reached = inherited(edges, used, "child", "parent", "node", "mark").join(F.broadcast(told), "mark")
+    best = reached.groupBy("node").agg(F.min("rule").alias("rule"), F.max("bars").alias("barred"))
+    named = nodes.join(best, "node", "left").where(~F.coalesce("barred", F.lit(False)))
+    return named.select("node", F.coalesce("rule.category", F.col(default)).alias("category")).where("category is not null")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.operators.sample import numbered
-from glossa.session import cut
+from glossa.session import cut, ensure_checkpoint_dir, remove
 
 
 #: Rows chosen so far, in all groups, that may be broadcast to the candidates; more are joined by a shuffle.
@@ -46,41 +48,56 @@ def diverse_top(df: DataFrame, group: str, id_col: str, score: str, facet_col: s
     group of two clusters or more within 110 of the best score, a cluster shows the same terms
     twice at most. Without facets, a row's facet is the subject, which counts for nothing.
 
-    Each step is one partially aggregated minimum over all rows, so no group reaches one task whole.
+    Terms are compared by 64-bit hashes. A row's sum without its terms is an upper bound, and terms
+    cost 30 at most: only rows whose bound is within 30 of their group's best have their terms
+    read and compared. Each step is two partially aggregated extremes over all rows, so no group
+    reaches one task whole.
     """
+    spark = df.sparkSession
     no = F.lit(False)
     symbol, person = F.coalesce(no if symbolic is None else symbolic, no), F.coalesce(no if human is None else human, no)
     terms, facet_set = (F.array_distinct(F.coalesce(F.col(c), F.array())) for c in (term_col, facet_col))
-    rows = df.select(F.col(group).alias("g"), F.col(id_col).alias("i"), F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))).alias("score"), facet_set.alias("f"), terms.alias("t"),
+    rows = df.select(F.col(group).alias("g"), F.col(id_col).alias("i"), F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))).alias("score"), facet_set.alias("f"), F.array_sort(F.transform(terms, lambda x: F.xxhash64(x))).alias("t"),
                      symbol.alias("symbol"), (person & ~symbol).alias("person"), F.monotonically_increasing_id().alias("row"))
-    cluster = cluster_key(F.col("f"), F.col("symbol"), F.col("person"))
-    rows = cut(rows.withColumn("cluster", cluster).withColumn("sign", F.concat_ws("|", F.col("cluster"), F.lit(""), F.array_sort("t"))))
+    rows = rows.withColumn("cluster", cluster_key(F.col("f"), F.col("symbol"), F.col("person"))).withColumn("sign", F.xxhash64("cluster", "t"))
+    folder = f"{ensure_checkpoint_dir(spark)}/gallery-{uuid.uuid4().hex}"
+    rows.write.parquet(folder)  # by columns: bounds are found without reading terms
+    rows = spark.read.schema(rows.schema).parquet(folder)
     top = rows.groupBy("g").agg(F.greatest(F.lit(0.0), F.max("score")).alias("best"), F.max("person").alias("people"))
     near = rows.groupBy("g", "cluster").agg(F.max("score").alias("score")).join(top.withColumnRenamed("g", "of"), F.col("g").eqNullSafe(F.col("of")))
     kinds = cut(near.groupBy("g").agg((F.count_if(F.col("score") >= F.col("best") - 110) >= 2).alias("several"), (F.max("people") & F.lit(human_scenes)).alias("scenes")))
+    few = kinds.count() * k <= BROADCAST_CHOSEN
 
     def gain(fresh: Column) -> Column:
         own = F.transform(F.array_except(fresh, F.array(F.lit("subject"))), lambda x: 38 * _weight(x, importance))
         return F.aggregate(own, F.lit(0.0), lambda s, x: s + x)
 
+    def of_group(left: DataFrame, right: DataFrame) -> DataFrame:
+        right = right.withColumnRenamed("g", "of")
+        return left.join(F.broadcast(right) if few else right, F.col("g").eqNullSafe(F.col("of"))).drop("of")
+
     scenes = F.when(F.lit(human_scenes) & F.col("person"), 30).otherwise(0)
     chosen = None
     for pos in range(1, k + 1):
         now, value = rows, F.col("score") + gain(F.col("f")) + scenes
         if chosen is not None:
-            state = chosen.groupBy("g").agg(F.collect_list("row").alias("rows"), F.collect_list("cluster").alias("clusters"), F.collect_list("sign").alias("signs"), F.collect_list("t").alias("ts"),
-                                            F.array_distinct(F.flatten(F.collect_list("f"))).alias("seen"), F.count_if(F.array_contains("f", "symbol")).alias("symbols"))
-            state = state.withColumnRenamed("g", "of").join(kinds.withColumnRenamed("g", "kind_of"), F.col("of").eqNullSafe(F.col("kind_of"))).drop("kind_of")
-            few = chosen.count() <= BROADCAST_CHOSEN
-            now = rows.join(F.broadcast(state) if few else state, F.col("g").eqNullSafe(F.col("of"))).where(~F.array_contains("rows", F.col("row")))
+            state = chosen.groupBy("g").agg(F.collect_list("row").alias("rows"), F.collect_list("cluster").alias("clusters"), F.collect_list("sign").alias("signs"), F.array_distinct(F.flatten(F.collect_list("f"))).alias("seen"), F.count_if(F.array_contains("f", "symbol")).alias("symbols"))
+            now = of_group(rows, of_group(state, kinds)).where(~F.array_contains("rows", F.col("row")))
             now = now.where(~(F.col("scenes") & (F.col("symbols") >= 1) & F.col("symbol"))).where(~F.col("several") | (F.size(F.filter("signs", lambda x: x == F.col("sign"))) < 2))
             now = now.withColumn("r", F.size(F.filter("clusters", lambda x: x == F.col("cluster"))))
-            alike = F.array_max(F.transform("ts", lambda x: F.size(F.array_intersect("t", x)) / F.greatest(F.lit(1), F.size(F.array_union("t", x)))))
-            less = F.least(F.lit(180), 18 * F.col("r") + 3 * F.col("r") * F.col("r")) + 30 * alike + F.when(F.col("symbol"), 120 * F.col("symbols")).otherwise(0)
-            value = F.col("score") + gain(F.array_except("f", "seen")) + scenes - less
+            gained = F.col("score") + gain(F.array_except("f", "seen")) + scenes
+            less = F.least(F.lit(180), 18 * F.col("r") + 3 * F.col("r") * F.col("r"))
+            symbols = F.when(F.col("symbol"), 120 * F.col("symbols")).otherwise(0)
+            now = now.withColumns({"gained": gained, "less": less, "symbol_less": symbols, "bound": gained - less - symbols})
+            now = of_group(now, now.groupBy("g").agg(F.max("bound").alias("most"))).where(F.col("bound") >= F.col("most") - 30.001)
+            now = of_group(now, chosen.groupBy("g").agg(F.collect_list("t").alias("ts")))
+            both = lambda x: F.size(F.array_intersect("t", x))
+            alike = F.array_max(F.transform("ts", lambda x: both(x) / F.greatest(F.lit(1), F.size("t") + F.size(x) - both(x))))
+            value = F.col("gained") - (F.col("less") + 30 * alike + F.col("symbol_less"))
         best = now.groupBy("g").agg(F.min(F.struct((-value).alias("v"), (-F.col("score")).alias("s"), "i", "row", "t", "f", "cluster", "sign")).alias("b"))
         step = best.select("g", "b.i", "b.row", "b.t", "b.f", "b.cluster", "b.sign", F.lit(pos).alias("pos"))
         chosen = cut(step if chosen is None else chosen.unionByName(step))
+    remove(spark, folder)
     return chosen.select(F.col("g").alias(group), F.col("i").alias(id_col), "pos")
 
 

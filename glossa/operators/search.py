@@ -83,17 +83,38 @@ def phrase(posts: DataFrame, queries: DataFrame) -> DataFrame:
     return hits.where((F.col("k") == F.col("n")) & F.contains("key", "q") & (F.col("key") != F.col("q"))).select("qid", "ord").distinct()
 
 
-def fuzzy(posts: DataFrame, queries: DataFrame, cap: int = 256) -> DataFrame:
-    """Of the keys that share most grams with the query, those one edit away."""
+def near_keys(c: Column) -> Column:
+    """A term and all it becomes without one letter. Terms one edit apart share one: the longer one's deletion, or what both are without the letters that differ."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)))
+    return F.array_distinct(F.concat(F.array(c), F.transform(at, lambda i: F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1)))))
+
+
+def near_rows(posts: DataFrame) -> DataFrame:
+    """(near, key) of all distinct keys, in runs of near, as they are kept. One string stands for no more terms than it has places for a letter."""
     terms = posts.select("key").distinct()
-    rows = terms.select("key", F.explode(grams(F.col("key"))).alias("gram"))
-    asked = queries.where(F.length("q") >= 4).select("qid", "q", F.explode(grams(F.col("q"))).alias("gram"))
-    shared = asked.join(rows, "gram").groupBy("qid", "q", "key").agg(F.count("*").alias("c"))
-    top = shared.withColumn("rk", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("c"), "key"))).where(F.col("rk") <= cap)
-    close = top.where(near(F.col("q"), F.col("key"))).select("qid", "key")
+    return terms.select(F.explode(near_keys(F.col("key"))).alias("near"), "key").repartitionByRange("near").sortWithinPartitions("near", "key")
+
+
+def fuzzy(rows: DataFrame, posts: DataFrame, queries: DataFrame, least: int = 4) -> DataFrame:
+    """Q09: documents with a key one edit from the query, for queries of `least` characters or more. rows: near_rows().
+
+    An equi-join finds every such key, whatever the number of keys; what it finds is verified.
+    """
+    asked = queries.where(F.length("q") >= least).select("qid", "q", F.explode(near_keys(F.col("q"))).alias("near"))
+    close = asked.join(rows, "near").where(near(F.col("q"), F.col("key"))).select("qid", "key").distinct()
     return close.join(posts, "key").select("qid", "ord").distinct()
 
 
+def most_shared(posts: DataFrame, queries: DataFrame, most: int = 256) -> DataFrame:
+    """(qid, key, shared, pos): the keys that share most grams with the query, `most` at most; of equals the first by key."""
+    terms = posts.select("key").distinct()
+    rows = terms.select("key", F.explode(grams(F.col("key"))).alias("gram"))
+    asked = queries.select("qid", F.explode(grams(F.col("q"))).alias("gram"))
+    shared = asked.join(rows, "gram").groupBy("qid", "key").agg(F.count("*").alias("shared"))
+    pos = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("shared"), "key"))
+    return shared.withColumn("pos", pos).where(F.col("pos") <= most)
+
+
 def tiered(tiers: list[DataFrame], k: int) -> DataFrame:
     """(qid, ord, tier, pos): each document at its best tier, tiers in order, documents in order inside a tier, k at most."""
     rows = None

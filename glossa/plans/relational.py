@@ -366,15 +366,25 @@ def _(spark, d):
     return graph.transitive_closure(e, "p_partkey", "parent")
 
 
+_RULES = [("Brand#3", 2, "warm"), ("Brand#11", 1, "west"), ("Brand#20", 3, "old")]
+
+
 @query("graph_category", "G02", """
-WITH c AS (SELECT n_nationkey, n_regionkey FROM nation), rules(anc, prio, cat) AS (VALUES (0, 2, 'warm'), (1, 1, 'west'), (3, 3, 'old')), veto(anc) AS (VALUES (2))
-SELECT n_nationkey, min_by(cat, prio) AS category FROM c JOIN rules ON n_regionkey = anc WHERE n_nationkey NOT IN (SELECT n_nationkey FROM c JOIN veto ON n_regionkey = veto.anc) GROUP BY 1""")
-def _(spark, d):
-    closure = graph.transitive_closure(table(spark, d, "nation").select((F.col("n_nationkey") + 100).alias("a"), F.col("n_regionkey").alias("b")), "a", "b")
-    rules = spark.createDataFrame([(0, 2, "warm"), (1, 1, "west"), (3, 3, "old")], "dst int, prio int, cat string")
-    veto = spark.createDataFrame([(2,)], "dst int")
-    hit = closure.join(F.broadcast(rules), "dst").groupBy("src").agg(F.min_by("cat", "prio").alias("category"))  # rule tables of fixed size
-    return hit.join(closure.join(F.broadcast(veto), "dst"), "src", "left_anti").select((F.col("src") - 100).cast("int").alias("n_nationkey"), "category")
+WITH RECURSIVE e AS (SELECT p_partkey AS c, p_partkey * 2 // 3 AS p FROM part WHERE p_partkey > 0 UNION SELECT p_partkey, p_partkey // 5 FROM part WHERE p_partkey > 0 AND p_size % 3 = 0),
+r(node, anc) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT r.node, e.p FROM r JOIN e ON r.anc = e.c),
+m AS (SELECT p_partkey AS node, p_brand AS mark FROM part WHERE p_size % 4 = 1 UNION ALL SELECT p_partkey, 'tiny' FROM part WHERE p_size = 2 AND p_partkey > 50),
+rules(mark, prio, cat) AS (VALUES ('Brand#3', 2, 'warm'), ('Brand#11', 1, 'west'), ('Brand#20', 3, 'old')),
+k AS (SELECT r.node, min_by(cat, prio) AS cat, bool_or(m.mark = 'tiny') AS barred FROM r JOIN m ON m.node = r.anc LEFT JOIN rules USING (mark) GROUP BY r.node)
+SELECT p_partkey, coalesce(cat, CASE WHEN p_size > 40 THEN 'concept' END) AS category FROM part LEFT JOIN k ON node = p_partkey WHERE NOT coalesce(barred, false) AND coalesce(cat, CASE WHEN p_size > 40 THEN 'concept' END) IS NOT NULL""")
+def _(spark, d):
+    # a hierarchy of parts, some with two parents, deeper than ten steps from 60 parts on
+    p = table(spark, d, "part")
+    up = p.where("p_partkey > 0")
+    edges = up.selectExpr("p_partkey as child", "p_partkey * 2 div 3 as parent").union(up.where("p_size % 3 = 0").selectExpr("p_partkey", "p_partkey div 5"))
+    marks = p.where("p_size % 4 = 1").selectExpr("p_partkey as node", "p_brand as mark").union(p.where("p_size = 2 and p_partkey > 50").selectExpr("p_partkey", "'tiny'"))
+    nodes = p.selectExpr("p_partkey as node", "case when p_size > 40 then 'concept' end as own")
+    found = graph.categories(nodes, edges, marks, spark.createDataFrame(_RULES, "mark string, priority int, category string"), spark.createDataFrame([("tiny",)], "mark string"), "own")
+    return found.withColumnRenamed("node", "p_partkey")
 
 
 @query("graph_neighbourhood", "G03 A18", """

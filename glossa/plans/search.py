@@ -62,13 +62,38 @@ def _(spark, d):
     return s.phrase(_index(spark, d), _ask(spark))
 
 
-@query("search_fuzzy", "Q09 W03 F06", """
+def _customers(spark, d):
+    return s.postings(table(spark, d, "customer"), "c_custkey", [F.lower("c_name")])
+
+
+def _near(spark, d):
+    return kept(spark, [f"{d}/customer.parquet"], "customer-near", lambda: s.near_rows(_customers(spark, d)))
+
+
+@query("search_fuzzy", "Q09 F06", """
 WITH q(qid, q) AS (VALUES (1, 'customer#000000012'), (2, 'customer#00000021'), (3, 'custmoer#000000007')), p AS (SELECT c_custkey AS ord, lower(c_name) AS key FROM customer)
 SELECT qid, ord FROM q JOIN p ON damerau_levenshtein(q, key) = 1""")
 def _(spark, d):
-    posts = s.postings(table(spark, d, "customer"), "c_custkey", [F.lower("c_name")])
     q = spark.createDataFrame([(1, "customer#000000012"), (2, "customer#00000021"), (3, "custmoer#000000007")], "qid int, q string")
-    return s.fuzzy(posts, q, cap=5000)
+    return s.fuzzy(_near(spark, d), _customers(spark, d), q)
+
+
+@query("search_fuzzy_all", "Q09 F06", """
+WITH p AS (SELECT c_custkey AS ord, lower(c_name) AS key FROM customer) SELECT a.ord AS qid, b.ord FROM p a JOIN p b ON a.key <> b.key AND damerau_levenshtein(a.key, b.key) = 1""")
+def _(spark, d):
+    # every name asks for all names one edit away
+    posts = _customers(spark, d)
+    return s.fuzzy(_near(spark, d), posts, posts.select(F.col("ord").alias("qid"), F.col("key").alias("q")))
+
+
+@query("search_shared_grams", "W03", """
+WITH q(qid, q) AS (VALUES (1, 'customer#000000012'), (2, 'custmoer#000000007')), p AS (SELECT DISTINCT lower(c_name) AS key FROM customer),
+g AS (SELECT key, unnest(list_distinct(list_transform(range(1, length(key) - 1), lambda i: substring(key, i, 3)))) AS gram FROM p),
+a AS (SELECT qid, unnest(list_distinct(list_transform(range(1, length(q) - 1), lambda i: substring(q, i, 3)))) AS gram FROM q),
+c AS (SELECT qid, key, count(*) AS shared FROM a JOIN g USING (gram) GROUP BY ALL)
+SELECT qid, key, shared, CAST(row_number() OVER (PARTITION BY qid ORDER BY shared DESC, key) AS INTEGER) AS pos FROM c QUALIFY pos <= 256""")
+def _(spark, d):
+    return s.most_shared(_customers(spark, d), spark.createDataFrame([(1, "customer#000000012"), (2, "custmoer#000000007")], "qid int, q string"))
 
 
 @query("search_topk", "Q02 Q03 Q04 W06 V15", _POSTS + """, h AS (SELECT qid, ord, CASE WHEN key = q THEN 0 WHEN starts_with(key, q) THEN 1 ELSE 2 END AS tier FROM q JOIN p ON starts_with(key, q) OR (length(q) > 2 AND contains(key, q))),

@@ -357,3 +357,56 @@ def test_phrase_packs(spark):
     got = {r.id: r for r in p.plans(spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "id long, m string"), ["id"], F.col("m"), rules).collect()}
     assert [(got[k].rule, got[k].predicate) if k in got else (None, None) for k in range(len(cases))] == [c[1:] for c in cases]
     assert got[12].query == "hand pump" and got[11].queries == ["pump object", "pump"] and got[0].fallback == got[0].query
+
+
+def test_fuzzy_finds_every_term_one_edit_away(spark):
+    import random
+
+    from glossa.operators import search as s
+
+    rng = random.Random(9)
+    terms = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(0, 7))) for _ in range(700)} - {""})
+    posts = spark.createDataFrame([(k, t) for k, t in enumerate(terms)] + [(9999, terms[0])], "ord long, key string")
+
+    def one_edit(a, b):
+        if a == b:
+            return False
+        if len(a) == len(b):
+            differ = [i for i in range(len(a)) if a[i] != b[i]]
+            return len(differ) == 1 or (len(differ) == 2 and differ[1] == differ[0] + 1 and a[differ[0]] == b[differ[1]] and a[differ[1]] == b[differ[0]])
+        a, b = sorted((a, b), key=len)
+        return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    asked = [(k, t) for k, t in enumerate(terms) if k % 3 == 0] + [(-1, "abca"), (-2, "zzzzz"), (-3, None)]
+    got = {tuple(r) for r in s.fuzzy(s.near_rows(posts), posts, spark.createDataFrame(asked, "qid long, q string")).collect()}
+    want = {(q, o) for q, t in asked if t and len(t) >= 4 for o, k in [*enumerate(terms), (9999, terms[0])] if one_edit(t, k)}
+    assert got == want and len(want) > 500
+
+
+def test_categories_of_a_deep_graph_with_cycles(spark):
+    import random
+
+    rng = random.Random(10)
+    edges = [(k, rng.randrange(max(0, k - 4), k)) for k in range(1, 80)] + [(k, rng.randrange(80)) for k in range(2, 80, 33)] + [(None, 3), (3, None)]
+    marks = [(rng.randrange(12, 80), rng.choice(["x", "y", "z", "bad", "unused"])) for _ in range(14)] + [(None, "x"), (5, None)]
+    rules, veto = [("x", 2, "X"), ("y", 1, "Y"), ("z", 3, "Z")], {"bad"}
+    up = {}
+    for c, p in edges:
+        if c is not None and p is not None:
+            up.setdefault(c, set()).add(p)
+    want = {}
+    for n in range(85):
+        seen, todo = {n}, [n]
+        while todo:
+            for p in up.get(todo.pop(), ()):
+                if p not in seen:
+                    seen.add(p)
+                    todo.append(p)
+        mine = {m for k, m in marks if k in seen and m}
+        hit = [(pr, c) for m, pr, c in rules if m in mine]
+        if not mine & veto and (hit or n % 2):
+            want[n] = min(hit)[1] if hit else "own"
+    got = graph.categories(
+        spark.createDataFrame([(n, "own" if n % 2 else None) for n in range(85)], "node long, own string"), spark.createDataFrame(edges, "child long, parent long"), spark.createDataFrame(marks, "node long, mark string"),
+        spark.createDataFrame(rules, "mark string, priority int, category string"), spark.createDataFrame([("bad",)], "mark string"), "own")
+    assert {r.node: r.category for r in got.collect()} == want and len(set(want.values())) > 2
