@@ -61,7 +61,7 @@ def diverse_top(df: DataFrame, group: str, id_col: str, score: str, facet_col: s
                      symbol.alias("symbol"), (person & ~symbol).alias("person"), F.monotonically_increasing_id().alias("row"))
     rows = rows.withColumn("cluster", cluster_key(F.col("f"), F.col("symbol"), F.col("person"))).withColumn("sign", F.xxhash64("cluster", "t"))
     folder = f"{ensure_checkpoint_dir(spark)}/gallery-{uuid.uuid4().hex}"
-    rows.write.parquet(folder)  # by columns: bounds are found without reading terms
+    rows.repartition("row").write.parquet(folder)  # spread once for all steps; by columns: bounds are found without reading terms
     rows = spark.read.schema(rows.schema).parquet(folder)
     top = rows.groupBy("g").agg(F.greatest(F.lit(0.0), F.max("score")).alias("best"), F.max("person").alias("people"))
     near = rows.groupBy("g", "cluster").agg(F.max("score").alias("score")).join(top.withColumnRenamed("g", "of"), F.col("g").eqNullSafe(F.col("of")))
