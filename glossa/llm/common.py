@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -133,8 +133,27 @@ def trim() -> None:
         _libc.malloc_trim(0)
 
 
-def slabs(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2_000_000) -> Iterator[pa.Table]:
-    """Regroup Arrow batches into tables of about `limit` bytes of text each (at least a row)."""
+#: What operators leave in a worker between their tasks: a name, and how to drop it.
+_resident: dict[str, Callable[[], None]] = {}
+
+
+def resident(name: str, drop: Callable[[], None]) -> None:
+    """Says that this worker now holds something of use to later tasks of the operator `name`."""
+    _resident[name] = drop
+
+
+def alone(name: str = "") -> None:
+    """Drops what other operators than `name` left in this worker: workers outlive stages."""
+    others = [n for n in _resident if n != name]
+    for n in others:
+        _resident.pop(n)()
+    if others:
+        trim()
+
+
+def slabs(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2_000_000, name: str = "") -> Iterator[pa.Table]:
+    """Regroup Arrow batches into tables of about `limit` bytes of text each (at least a row). name: the operator's, if it left something in the worker."""
+    alone(name)
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -180,6 +199,7 @@ def summed(parts: DataFrame, n: int) -> np.ndarray:
 
 def by_bytes(column: pa.Array, limit: int) -> Iterator[pa.Array]:
     """A column of texts in runs of about `limit` bytes (at least a row)."""
+    alone()
     size = pc.fill_null(pc.binary_length(column.cast(pa.large_string())), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     cuts = [0, *(np.flatnonzero(np.diff((np.cumsum(size) - size) // limit)) + 1).tolist(), len(column)]
     for a, b in zip(cuts, cuts[1:]):

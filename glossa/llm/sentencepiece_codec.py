@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import ragged, slabs, trim, whole_text
+from glossa.llm.common import ragged, resident, slabs, trim, whole_text
 
 SPACE = "▁"
 #: Chunks that a worker remembers, of at most SHORT characters each, and pairs of pieces.
@@ -425,6 +425,7 @@ _codecs: dict[str, Codec] = {}
 def codec(path: str) -> Codec:
     if path not in _codecs:
         _codecs[path] = Codec(path)
+    resident("codec", _codecs.clear)
     return _codecs[path]
 
 
@@ -441,7 +442,7 @@ def with_pieces(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for t in slabs(batches, text, 1_000_000):
+        for t in slabs(batches, text, 1_000_000, "codec"):
             flat, off = c.encode_all([s or "" for s in t[text].to_pylist()])
             cols = [t[n].combine_chunks() for n in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat)), pa.array(np.diff(off), pa.int64())], [*names, "ids", "n_pieces"])
@@ -472,7 +473,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for t in slabs(batches, "text", 2_000_000):
+        for t in slabs(batches, "text", 2_000_000, "codec"):
             texts = t["text"].to_pylist()
             flat, off = c.encode_all(texts)
             same = [c.decode(x.tolist()) == s for x, s in zip(np.split(flat, off[1:-1]), texts)]

@@ -262,3 +262,15 @@ def test_queries_equal_sql(spark, module):
     got = module.query(spark, D)
     want = db.sql(module.ORACLE)
     assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_workers_drop_what_other_operators_left():
+    from glossa.llm import common
+
+    held = {"codec": [1], "other": [2]}
+    for name in held:
+        common.resident(name, held[name].clear)
+    common.alone("codec")
+    assert held == {"codec": [1], "other": []}
+    common.alone()
+    assert held["codec"] == [] and not common._resident
