@@ -29,6 +29,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
+#: Powers that stay in a worker (16 bytes each); larger slabs make their own.
+KEPT_POWERS = 1 << 19
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
@@ -47,13 +49,17 @@ _TABLE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n."""
+    """base**i and base**-i modulo 2**64 for i below n. A worker keeps those up to KEPT_POWERS."""
+    found = _powers
     if len(_powers[0]) < n:
-        for k, b in enumerate((_BASE, _INV)):
+        found = []
+        for b in (_BASE, _INV):
             p = np.full(n, b, U64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p)
-    return _powers[0][:n], _powers[1][:n]
+            p[:1] = 1
+            found.append(np.cumprod(p, out=p))
+        for k in range(2 if len(_powers[0]) < KEPT_POWERS else 0):
+            _powers[k] = found[k][:KEPT_POWERS].copy()
+    return found[0][:n], found[1][:n]
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -55,7 +55,7 @@ LEAST_BITS, MOST_BITS = 256, 1 << 15
 SEEDS, ALL_BITS = 8, np.uint64((1 << 64) - 1)
 NODE_BITS = ALL_BITS
 #: Shingles of texts that a task remembers while it compares pairs.
-KNOWN = 400_000
+KNOWN = 200_000
 _MASK = np.uint64((1 << 48) - 1)
 _U = np.uint64
 
@@ -198,7 +198,7 @@ def _describe(width: int, owners: int, seed: int):
             held += np.split(sets, before[1:-1])
             seen.append(nodes)
             size += t.nbytes
-            if size > 2 * CHUNK_BYTES:
+            if size > CHUNK_BYTES:
                 if (b := flush()) is not None:
                     yield b
                 size = 0

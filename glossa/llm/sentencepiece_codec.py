@@ -442,7 +442,7 @@ def with_pieces(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for t in slabs(batches, text, 1_000_000, "codec"):
+        for t in slabs(batches, text, 500_000, "codec"):
             flat, off = c.encode_all([s or "" for s in t[text].to_pylist()])
             cols = [t[n].combine_chunks() for n in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat)), pa.array(np.diff(off), pa.int64())], [*names, "ids", "n_pieces"])
