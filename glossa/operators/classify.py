@@ -6,6 +6,7 @@ the normalised phrase, and what it makes. Adding words is adding rows, not code.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,11 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.element_at(F.create_map(*pairs), key)
 
 
+_any = lambda words: "(?:" + "|".join(re.escape(w) for w in words) + ")"
+_METADATA = f"^(?:{_any(packs.METADATA_WORDS)}{_END}|{_any(packs.METADATA_BEGINNINGS)})"
+_BARRING = rf"\({_any(packs.BARRING_MARKS)}\.?\)"
+_GRAMMAR_NOTE = rf"\([^)]*{_any(packs.GRAMMAR_NOTE_WORDS)}[^)]*\)"
+_LABELS = rf"(?i)^\s*(?:{_any(packs.SHORT_LABELS)}\.\s*|{_any(packs.WORD_LABELS)}\s*:\s*)+"
 _FAMILY_OF = {word: name for name, (_, _, _, words) in packs.FAMILIES.items() for word in words} | packs.FAMILY_PHRASES
 _DOMAIN_OF = {word: name for name, (_, words) in packs.DOMAINS.items() for word in words}
 
@@ -31,7 +37,7 @@ _DOMAIN_OF = {word: name for name, (_, words) in packs.DOMAINS.items() for word
 def phrase(meaning: Column) -> Column:
     """The phrase that rules look at: no notes, labels, annotations or leading article, the first alternative, in lower case; null if nothing is left."""
     text = F.regexp_replace(meaning, "[‘’]", "'")
-    text = F.regexp_replace(text, r"(?i)^\s*" + packs.LABELS, "")
+    text = F.regexp_replace(text, _LABELS, "")
     text = F.regexp_replace(F.regexp_replace(without_parentheses(text), r"\[[^\]]*\]", " "), r"\bCL:.*$", "")
     text = F.trim(F.regexp_extract(text, "^([^;/,]*)", 1))
     text = squeeze(F.lower(F.regexp_replace(text, "(?i)^(?:a|an|the) ", "")))
@@ -42,11 +48,11 @@ def exclusion(meaning: Column, part_of_speech: Column) -> Column:
     """Why a gloss gets no picture, null if it may: metadata, barred, grammar."""
     low = F.lower(F.trim(meaning))
     return (
-        F.when(low.rlike("^" + packs.METADATA_STARTS), "metadata")
-        .when(low.rlike(f"{_START}(?:{packs.BARRED_WORDS}){_END}") | low.rlike(packs.EUPHEMISMS), "barred")
+        F.when(low.rlike(_METADATA), "metadata")
+        .when(low.rlike(f"{_START}(?:{packs.BARRED_WORDS}){_END}") | low.rlike(_BARRING), "barred")
         .when(F.coalesce(F.lower(part_of_speech), F.lit("")).rlike(f"^(?:{packs.FUNCTION_CLASSES}){_END}"), "grammar")
         .when(low.rlike(rf"^(?:(?:{packs.GRAMMAR_STARTS}){_END}.*|(?:{packs.GRAMMAR_WORDS}))$"), "grammar")
-        .when(low.rlike(packs.GRAMMAR_NOTES), "grammar")
+        .when(low.rlike(_GRAMMAR_NOTE), "grammar")
     )
 
 

@@ -108,7 +108,7 @@ def _glosses(spark, d):
     return rows.crossJoin(classify.lexicon(packed, "category", "words"))  # one row
 
 
-@query("classify_rules", "X05 X06 X07 X08 X09 X16 X19 P09", f"SELECT p_partkey, rule, kind, query, fallback, domain FROM part JOIN {_GLOSS_SQL} ON p_partkey % {len(_GLOSSES)} = i")
+@query("classify_rules", "X05 X06 X07 X16 X19", f"SELECT p_partkey, rule, kind, query, fallback, domain FROM part JOIN {_GLOSS_SQL} ON p_partkey % {len(_GLOSSES)} = i")
 def _(spark, d):
     c = classify.classify(_glosses(spark, d), F.col("meaning"), F.col("pos"), F.col("verbs"), F.col("nouns"))
     return c.select("p_partkey", *[F.col(f"plan.{n}").alias(n) for n in ("rule", "kind", "query", "fallback", "domain")])
