@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glossa.plans.registry import query
-from glossa.session import table
+from glossa.session import ensure_checkpoint_dir, table
 from glossa.streaming import folds, streams
 
 _ANCHORED = """
@@ -89,6 +92,26 @@ def _(spark, d):
     return told.join(n, "user_id")
 
 
+@query("stream_ordered_lines", "T09 T10", """
+WITH e AS (SELECT user_id, event_id, event_type, lag(event_type) OVER w AS before, lead(event_id) OVER w IS NULL AS done FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+k AS (SELECT * FROM e WHERE done OR before IS NULL OR before <> event_type)
+SELECT user_id, CASE user_id % 5 WHEN 1 THEN 'after-final' WHEN 2 THEN 'malformed' WHEN 3 THEN 'oversized' END AS error, CASE WHEN user_id % 5 = 4 THEN max_by(event_type, event_id) END AS result,
+  count(*) + CASE user_id % 5 WHEN 1 THEN 1 ELSE 0 END AS place FROM k WHERE user_id % 5 <> 0 GROUP BY user_id""")
+def _(spark, d):
+    said = folds.to_lines(table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type")
+    lines = said.select("user_id", F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).cast("long").alias("place"), "line")
+    k, end = F.col("user_id") % 5, F.contains("line", F.lit('"done":true'))
+    broken = F.when(end & (k == 0), F.replace("line", F.lit("true"), F.lit("false"))).when(end & (k == 2), '{"result":').when(end & (k == 3), F.concat("line", F.repeat(F.lit(" "), 200))).otherwise(F.col("line"))
+    lines = lines.withColumn("line", broken).union(lines.where(end & (k == 1)).withColumn("place", F.col("place") + 1))
+    # lines come in three batches in which some are early, some late, and every fourth comes again
+    folder, piece = f"{ensure_checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}", F.pmod(F.xxhash64("user_id", "place"), F.lit(12))
+    for i in range(3):
+        lines.where((piece % 3 == i) | (piece % 4 == i)).withColumn("ts", F.timestamp_seconds(F.lit(1000 + i))).coalesce(1).write.mode("append").parquet(folder)
+    read = spark.readStream.schema("user_id long, place long, line string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(folder)
+    told = streams.with_rocksdb(spark, lambda: streams.run_available(streams.ordered_lines(read, "user_id", 120)))
+    return told.groupBy("user_id").agg(F.max_by("error", "place").alias("error"), F.max_by("result", "place").alias("result"), F.max("place").alias("place"))
+
+
 @query("window_tumbling_extension", "T06", """
 SELECT epoch_us(date_trunc('hour', ts)) // 1000000 AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def _(spark, d):

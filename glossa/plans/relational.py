@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glossa.functions import text as t
-from glossa.operators import graph, joins, sample
+from glossa.operators import graph, joins, sample, selection
 from glossa.operators.validate import corpus_audit
 from glossa.plans.registry import query
 from glossa.session import table
@@ -235,11 +235,17 @@ def _(spark, d):
 @query("agg_upper_median", "A10 A09", """
 SELECT event_type, list_sort(list(value))[len(list(value)) // 2 + 1] AS upper_median, max(value) AS top, round(avg(value), 6) AS mean FROM events GROUP BY event_type""")
 def _(spark, d):
-    # by rank, not by collecting a group: an event type may hold any share of all rows
     e = table(spark, d, "events").select("event_type", "value")
-    n = e.groupBy("event_type").agg(F.count("*").alias("n"), F.max("value").alias("top"), F.round(F.avg("value"), 6).alias("mean"))
-    mid = e.withColumn("rn", F.row_number().over(W.partitionBy("event_type").orderBy("value"))).join(n, "event_type").where(F.col("rn") == F.floor(F.col("n") / 2) + 1)
-    return mid.select("event_type", F.col("value").alias("upper_median"), "top", "mean")
+    told = e.groupBy("event_type").agg(F.max("value").alias("top"), F.round(F.avg("value"), 6).alias("mean"))
+    mid = selection.select_rank(e, "event_type", "value", lambda n: F.floor(n / 2) + 1)
+    return mid.select("event_type", F.col("value").alias("upper_median")).join(told, "event_type")
+
+
+@query("agg_upper_medians_of_many", "A10", """
+SELECT l_suppkey, count(*) AS n, list_sort(list(l_extendedprice))[(count(*) * 9 + 9) // 10] AS ninth_decile FROM lineitem GROUP BY l_suppkey""")
+def _(spark, d):
+    decile = selection.select_rank(table(spark, d, "lineitem"), "l_suppkey", "l_extendedprice", lambda n: F.ceil(n * 9 / 10))
+    return decile.withColumnRenamed("l_extendedprice", "ninth_decile")
 
 
 @query("agg_dominant", "A11", """

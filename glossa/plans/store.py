@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from glossa.operators import quality, store
+from glossa.operators import quality, store, versions
 from glossa.plans.registry import query
-from glossa.session import table
+from glossa.session import ensure_checkpoint_dir, table
 
 
 @query("store_build", "M01 J06 A12", """
@@ -76,3 +78,16 @@ def _(spark, d):
     n = table(spark, d, "nation")
     then, now = manifest(n), manifest(n.repartition(3)).withColumnRenamed("digest", "now").drop("n")
     return then.join(now, "n_regionkey").select("n_regionkey", "n", F.col("digest").eqNullSafe(F.col("now")).alias("unchanged"))
+
+
+@query("store_version_diff", "J17 M07 M08 A21", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 500 = 2 THEN 'removed' ELSE 'changed' END AS change FROM orders WHERE o_orderkey % 500 IN (2, 3)
+UNION ALL SELECT -o_orderkey, 'added' FROM orders WHERE o_orderkey % 500 = 4""")
+def _(spark, d):
+    o, root = table(spark, d, "orders"), f"{ensure_checkpoint_dir(spark)}/versions-{uuid.uuid4().hex}"
+    new = o.where("o_orderkey % 500 <> 2").withColumn("o_totalprice", F.col("o_totalprice") + F.when(F.col("o_orderkey") % 500 == 3, 1.0).otherwise(0.0))
+    new = new.union(o.where("o_orderkey % 500 = 4").withColumn("o_orderkey", -F.col("o_orderkey")))
+    buckets = versions.buckets_for(o.count())
+    for df, name in ((o, "old"), (new, "new")):
+        versions.write(df, f"{root}/{name}", ["o_orderkey"], buckets)
+    return versions.diff(spark, f"{root}/old", f"{root}/new", ["o_orderkey"], buckets)

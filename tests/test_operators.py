@@ -7,9 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from glossa.operators import graph, inference, joins, quality, rank, sample, store, validate
+from glossa.operators import graph, inference, joins, quality, rank, sample, selection, store, validate, versions
 from glossa.sources import readers
-from glossa.streaming import folds
+from glossa.streaming import folds, streams
 
 
 @pytest.mark.parametrize("few", [0, 1000])
@@ -410,3 +410,98 @@ def test_categories_of_a_deep_graph_with_cycles(spark):
         spark.createDataFrame([(n, "own" if n % 2 else None) for n in range(85)], "node long, own string"), spark.createDataFrame(edges, "child long, parent long"), spark.createDataFrame(marks, "node long, mark string"),
         spark.createDataFrame(rules, "mark string, priority int, category string"), spark.createDataFrame([("bad",)], "mark string"), "own")
     assert {r.node: r.category for r in got.collect()} == want and len(set(want.values())) > 2
+
+
+def _leaf_files(df):
+    """Files that a plan without exchanges has read."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().get("numFiles").get().value()
+
+
+@pytest.mark.parametrize("few, many", [(4096, True), (8, True), (8, False)])
+def test_select_rank_of_hot_groups(spark, monkeypatch, few, many):
+    monkeypatch.setattr(selection, "BROADCAST_GROUPS", 100_000 if many else 0)
+    monkeypatch.setattr(selection, "CELLS", 16)
+    rng = random.Random(9)
+    rows = [("hot", rng.choice([1e300, -1e300, 1e-300, rng.gauss(0, 1), rng.expovariate(1) ** 9])) for _ in range(900)]
+    rows += [("ties", 1.0)] * 300 + [("ties", 2.0)] * 300 + [("one", 5.0), (None, 4.0), (None, 2.0), ("null", None), ("hot", None)]
+    rows += [("nan", float("nan"))] * 3 + [("nan", 1.0), ("nan", 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    for rank in (lambda n: F.floor(n / 2) + 1, lambda n: F.floor(n / 4)) if many else (lambda n: n,):
+        got = {r.k: (r.n, r.v) for r in selection.select_rank(df, "k", "v", rank, few).collect()}
+        groups = {}
+        for k, v in rows:
+            groups.setdefault(k, []).extend([] if v is None else [v])
+        for k, vs in groups.items():
+            vs.sort(key=lambda v: (v != v, v))
+            n = len(vs)
+            r = spark.range(1).select(rank(F.lit(n)).alias("r")).first().r
+            want = vs[int(r) - 1] if 1 <= r <= n else None
+            assert got[k][0] == n
+            assert got[k][1] == want or (want != want and got[k][1] != got[k][1]), (k, r)
+        assert len(got) == len(groups)
+
+
+def test_select_rank_of_integers_and_nothing(spark):
+    df = spark.range(10_000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 10_007).alias("v"))
+    got = {r.k: r.v for r in selection.select_rank(df, "k", "v", lambda n: F.floor(n / 2) + 1, 16).collect()}
+    for k in range(3):
+        vs = sorted(i * 7919 % 10_007 for i in range(k, 10_000, 3))
+        assert got[k] == vs[len(vs) // 2]
+    assert selection.select_rank(df.where("false"), "k", "v", lambda n: n).collect() == []
+
+
+def test_versions_read_only_what_differs(spark, tmp_path):
+    base = spark.range(5000).select("id", (F.col("id") % 7).alias("a"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("x"), "id")).alias("b"))
+    more = base.where("id <> 17").withColumn("a", F.when(F.col("id") == 99, 50).otherwise(F.col("a"))).union(spark.sql("select 9001L, 1L, 'new'"))
+    old, new, same = (str(tmp_path / x) for x in ("old", "new", "same"))
+    first = versions.write(base, old, ["id"], 16)
+    assert versions.write(base.select("b", "id", "a").repartition(5), same, ["id"], 16) == first != versions.write(more, new, ["id"], 16)
+    assert versions.diff(spark, old, same, ["id"], 16).collect() == []
+    got = {r.id: r.change for r in versions.diff(spark, old, new, ["id"], 16).collect()}
+    assert got == {17: "removed", 99: "changed", 9001: "added"}
+    touched = versions.unequal(spark, old, new, 16)
+    assert len(touched) <= 3 and versions.buckets_for(10**7) == 256
+    assert _leaf_files(versions.part(spark, old, touched)) <= 3 < _leaf_files(spark.read.parquet(f"{old}/rows").where("id >= 0"))
+
+
+def test_versions_of_odd_tables(spark, tmp_path):
+    empty = spark.createDataFrame([], "id long, v string")
+    odd = spark.createDataFrame([(None, "a"), (1, None), (1, "b"), (1, "b")], "id long, v string")
+    roots = [str(tmp_path / x) for x in "abc"]
+    assert versions.write(empty, roots[0], ["id"], 16) == ""
+    versions.write(odd, roots[1], ["id"], 16)
+    versions.write(odd.where("v = 'a' or v is null"), roots[2], ["id"], 16)
+    assert {(r.id, r.change) for r in versions.diff(spark, roots[0], roots[2], ["id"], 16).collect()} == {(1, "added"), (None, "added")}
+    assert versions.unequal(spark, roots[1], roots[2], 16)
+    with pytest.raises(ValueError):
+        versions.write(odd, str(tmp_path / "d"), ["id"], 20)
+
+
+def test_ordered_lines_over_batches_and_restarts(spark, tmp_path):
+    say = lambda result, done: '{"result":"%s","done":%s}' % (result, "true" if done else "false")
+    told = {1: [say("a", False), say("b", False), say("c", True)], 2: [say("a", True), say("b", False)], 3: [say("a", False), "{", say("c", True)],
+            4: [say("x" * 99, False)], 5: [say("a", False), say("b", False)], 6: [say("z", True)]}
+    rows = [(k, i + 1, line) for k, ls in told.items() for i, line in enumerate(ls)]
+    rng = random.Random(3)
+    rng.shuffle(rows)
+    pieces = [rows[:4], rows[4:8] + rows[:2], rows[8:] + rows[5:6], [(7, 1, say("q", True))]]  # early, late and repeated lines
+    source, folder = str(tmp_path / "in"), str(tmp_path / "run")
+
+    def put(i, second):
+        df = spark.createDataFrame(pieces[i], "k long, place long, line string").withColumn("ts", F.timestamp_seconds(F.lit(second)))
+        df.coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        lines = spark.readStream.schema("k long, place long, line string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+        return streams.with_rocksdb(spark, lambda: streams.run_available(streams.ordered_lines(lines, "k", 80), folder=folder))
+
+    put(0, 1000), put(1, 1001)
+    run()
+    put(2, 1002)
+    out = run()  # goes on from the checkpoint
+    last = lambda df: {r.k: (r.error, r.result) for r in df.groupBy("k").agg(F.max_by("error", "place").alias("error"), F.max_by("result", "place").alias("result")).collect()}
+    ends = {1: (None, "c"), 2: ("after-final", None), 3: ("malformed", None), 4: ("oversized", None), 6: (None, "z")}
+    assert last(out) == ends
+    put(3, 9000)  # time passes: a stream without its final line is given up
+    assert last(run()) == ends | {5: ("no-final", None), 7: (None, "q")}
