@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from glossa.session import cut
+
 
 def hash_sample(df: DataFrame, key: Column, salt: str, n: int) -> DataFrame:
     """N rows in the order of SHA-256 of key and salt."""
@@ -17,16 +19,17 @@ def stratified(df: DataFrame, stratum: list[str], order: list, quota: int | Colu
     return df.withColumn("__rn", F.row_number().over(W.partitionBy(*stratum).orderBy(*order))).where(F.col("__rn") <= quota).drop("__rn")
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "rn", buckets: int = 64) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], name: str = "rn", buckets: int | None = None) -> DataFrame:
     """df with row numbers from 1 over a total order, without one task that sorts everything.
 
-    Rows are range-partitioned; the partitions' sizes, summed before each, offset its own numbers.
+    Rows are range-partitioned, into as many parts as the session shuffles into if `buckets` is not given; the parts' sizes,
+    summed before each, offset its own numbers. The sorted parts are written once, so sizes and rows are of the same order if an executor is lost.
     """
-    parts = df.repartitionByRange(buckets, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    parts = parts.withColumn("__i", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("long"), 33))
+    parts = df.repartitionByRange(*([buckets] if buckets else []), *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    parts = cut(parts.withColumn("__i", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("long"), 33)))
     sizes = parts.groupBy("__p").agg(F.count("*").alias("__n"))
     offset = sizes.select("__p", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
-    return parts.join(F.broadcast(offset), "__p").withColumn(name, (F.col("__o") + F.col("__i") + 1).cast("long")).drop("__p", "__i", "__o")  # one row a bucket
+    return parts.join(F.broadcast(offset), "__p").withColumn(name, (F.col("__o") + F.col("__i") + 1).cast("long")).drop("__p", "__i", "__o")  # one row a part
 
 
 def systematic(df: DataFrame, order: list[str], n: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from glossa.operators import store
 from glossa.plans.registry import query
 from glossa.session import ensure_checkpoint_dir, table
+from glossa.sources import ranges
 from glossa.sources import readers as r
 
 
@@ -91,7 +92,7 @@ def _(spark, d):
     return r.read_commented_tsv(spark, f"{folder}/terms.tsv", "term string, malay string", ["term"])
 
 
-@query("source_tar_members", "S12 S20", "SELECT n_regionkey || '.txt' AS member, CAST(sum(strlen(n_name) + 1) AS BIGINT) AS bytes FROM nation GROUP BY n_regionkey")
+@query("source_tar_members", "S12", "SELECT n_regionkey || '.txt' AS member, CAST(sum(strlen(n_name) + 1) AS BIGINT) AS bytes FROM nation GROUP BY n_regionkey")
 def _(spark, d):
     import io
     import tarfile
@@ -111,6 +112,42 @@ def _(spark, d):
     return r.tar_members(archives).select("member", F.octet_length("content").cast("long").alias("bytes"))
 
 
+@query("source_tar_glosses", "S12 S20", """
+SELECT lpad(CAST(p_partkey AS VARCHAR), 8, '0') || CASE p_partkey % 4 WHEN 0 THEN '-n' WHEN 1 THEN '-v' WHEN 2 THEN '-a' ELSE '-r' END AS synset, trim(p_name) || ' | ' || p_type AS gloss FROM part""")
+def _(spark, d):
+    import io
+    import tarfile
+
+    import pandas as pd
+
+    p = table(spark, d, "part")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("noun", "verb", "adj", "adv")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    lines = p.select(kind.alias("kind"), F.floor(F.col("p_partkey") / 10_000).alias("block"), F.format_string("%08d 03 x 01 a 0 000 | %s | %s", "p_partkey", "p_name", "p_type").alias("line"))
+
+    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        raw = io.BytesIO()
+        with tarfile.open(fileobj=raw, mode="w") as t:
+            for kind, rows in pdf.groupby("kind"):
+                body = ("  1 a header\n" + "".join(x + "\n" for x in rows["line"])).encode()
+                for name, text in ((f"w/data.{kind}", body), (f"w/index.{kind}", b"00000000 none | none\n")):
+                    info = tarfile.TarInfo(name)
+                    info.size = len(text)
+                    t.addfile(info, io.BytesIO(text))
+        return pd.DataFrame({"name": [f"{key[0]}.tar"], "content": [raw.getvalue()]})
+
+    folder = _folder(spark)
+
+    def save(parts):
+        for pdf in parts:
+            for name, content in zip(pdf["name"], pdf["content"]):
+                with ranges.open_file(f"{folder}/{name}", write=True) as f:
+                    f.write(content)
+            yield pdf[["name"]]
+
+    lines.groupBy("block").applyInPandas(pack, "name string, content binary").mapInPandas(save, "name string").count()  # an archive for each 10,000 parts
+    return r.tar_glosses(ranges.read_tar_lines(spark, folder, 1 << 20, r"^w/data\."))
+
+
 @query("source_wordnet_tab", "S10", "SELECT n_nationkey || '-n' AS synset, lower(replace(n_name, '_', ' ')) AS lemma FROM nation WHERE n_nationkey % 2 = 0")
 def _(spark, d):
     field = F.when(F.col("n_nationkey") % 2 == 0, "lemma").otherwise("def")

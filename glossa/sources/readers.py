@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glossa.sources import ranges
+
 MIB = 1 << 20
 
 
@@ -34,60 +36,25 @@ def parse_json_lines(lines: DataFrame, schema: str, col: str = "value", most: in
     return rows.select(*(keep or []), F.when(F.col("error").isNull(), kept).alias("row"), "error")
 
 
-def read_json_array(spark: SparkSession, path: str, schema: str, most: int = MIB) -> DataFrame:
+def read_json_array(spark: SparkSession, path: str, schema: str, most: int = MIB, part: int = ranges.PART) -> DataFrame:
     """(row, error) of the elements of JSON array files; error is oversized-record or malformed-json, with a
-    null row. A file that is no array, is cut short, or goes on after its end fails.
-
-    An array cannot be split without reading it from its start, so a file is one task; only the element
-    it is at is held. Arrays that need more tasks come as lines.
-    """
-    import json
-
-    import pandas as pd
-
-    def elements(raw: str):
-        """Each element's text; a scan that knows strings and nesting."""
-        import re
-
-        at = re.match(r"\ufeff?\s*\[", raw)
-        if not at:
-            raise ValueError("not a JSON array")
-        depth, begin, place = 0, at.end(), at.end()
-        for m in re.finditer(r'"(?:[^"\\]|\\.)*"|[\[\]{},]', raw[place:], re.S):
-            c, k = m.group(), place + m.start()
-            if c in "[{":
-                depth += 1
-            elif depth == 0 and c in ",]":
-                if raw[begin:k].strip():
-                    yield raw[begin:k]
-                begin = k + 1
-                if c == "]":
-                    if raw[begin:].strip():
-                        raise ValueError("content after the end of a JSON array")
-                    return
-            elif c in "]}":
-                depth -= 1
-        raise ValueError("a JSON array is cut short")
-
-    def split(parts):
-        for pdf in parts:
-            for raw in pdf["content"]:
-                out = []
-                for text in elements(raw.decode("utf-8")):
-                    out.append(text.strip())
-                    if len(out) == 1000:
-                        yield pd.DataFrame({"value": [json.dumps(x) if len(x.encode()) > most else x for x in out], "large": [len(x.encode()) > most for x in out]})
-                        out = []
-                if out:
-                    yield pd.DataFrame({"value": [json.dumps("") if len(x.encode()) > most else x for x in out], "large": [len(x.encode()) > most for x in out]})
-
-    values = spark.read.format("binaryFile").load(path).select("content").mapInPandas(split, "value string, large boolean")
+    null row. Files are read by byte ranges (`ranges.array_elements`); one that is no array, is cut short, or goes on after its end fails."""
+    values = ranges.array_elements(spark, path, most, part)
     fields = T.StructType.fromDDL(schema)
     error = F.when(F.col("large"), "oversized-record").when(F.get_json_object("value", "$").isNull(), "malformed-json")
     rows = values.select(F.from_json("value", fields).alias("row"), error.alias("error"))
     return rows.select(F.when(F.col("error").isNull(), F.col("row")).alias("row"), "error")
 
 
+def tar_glosses(lines: DataFrame) -> DataFrame:
+    """(synset, gloss) of the data lines of an archive's members `.../data.<part of speech>` (lines: member, line); the
+    synset is its offset with the letter of its part of speech."""
+    letter = F.create_map(*[F.lit(x) for x in ("noun", "n", "verb", "v", "adj", "a", "adv", "r")])
+    kind = letter[F.regexp_extract("member", r"/data\.(\w+)$", 1)]
+    rows = lines.where(F.col("line").rlike(r"^\d{8} ") & kind.isNotNull())
+    return rows.select(F.concat_ws("-", F.substring("line", 1, 8), kind).alias("synset"), F.trim(F.regexp_extract("line", r"\|(.*)$", 1)).alias("gloss"))
+
+
 def read_json_map(lines: DataFrame, col: str, key: str, value: str) -> DataFrame:
     """One row a pair of JSON objects of strings."""
     return lines.select(F.explode(F.from_json(col, "map<string,string>")).alias(key, value))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import json
 import random
+import tarfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from glossa.operators import graph, inference, joins, quality, rank, sample, selection, store, validate, versions
-from glossa.sources import readers
+from glossa.sources import ranges, readers
 from glossa.streaming import folds, streams
 
 
@@ -505,3 +509,68 @@ def test_ordered_lines_over_batches_and_restarts(spark, tmp_path):
     assert last(out) == ends
     put(3, 9000)  # time passes: a stream without its final line is given up
     assert last(run()) == ends | {5: ("no-final", None), 7: (None, "q")}
+
+
+@pytest.mark.parametrize("part", [1, 7, 64, 1 << 20])
+def test_json_arrays_by_byte_ranges(tmp_path, part):
+    rng = random.Random(part)
+    pieces = ["a", '"', "\\", "[", "]", "{", "}", ",", "é", " ", "\n", "\\\\\\"]
+    values = [{"i": i, "s": "".join(rng.choices(pieces, k=rng.randrange(12))), "n": [[i], {"x": "]"}]} for i in range(30)] + ["", 3, None, [], {}]
+    raw = ("\ufeff \n[" + " ,\n".join(json.dumps(v, ensure_ascii=i % 2 == 0) for i, v in enumerate(values)) + " ]\n").encode()
+    path = tmp_path / "a.json"
+    path.write_bytes(raw)
+    cuts = list(range(0, len(raw), part))
+    found = [r for pdf in ranges._summaries(iter([pd.DataFrame({"path": [str(path)] * len(cuts), "size": len(raw), "begin": cuts, "end": [min(len(raw), a + part) for a in cuts]})])) for r in pdf.itertuples(index=False)]
+    got, inside, depth, begun = [], False, 0, False
+    with ranges.open_file(str(path)) as f:
+        for r in found:
+            got += list(ranges._elements(f, r.size, r.begin, r.end, inside, depth, begun, 10_000))
+            inside, depth, begun = (r.s1, depth + r.d1, begun) if inside else (r.s0, depth + r.d0, begun or not r.blank)
+    assert [json.loads(x) for x in got] == values and not inside and depth == 0
+
+
+def test_json_array_read_by_several_tasks(spark, tmp_path):
+    rows = [{"id": i, "name": "[]{},\\\"" * (i % 9), "more": "x" * (500 if i % 10 == 0 else 1)} for i in range(400)]
+    (tmp_path / "a.json").write_text(json.dumps(rows, indent=1))
+    (tmp_path / "b.json").write_text("[]")
+    read = readers.read_json_array(spark, str(tmp_path / "*.json"), "id int, name string, more string", most=400, part=1000)
+    got = read.collect()
+    assert sorted((r.row.id, r.row.name) for r in got if r.error is None) == [(r["id"], r["name"]) for r in rows if r["id"] % 10]
+    assert sum(r.error == "oversized-record" for r in got) == 40
+    for bad in ("[1, 2", "{}", "[1] 2", '["a]'):
+        (tmp_path / "c.txt").write_text(bad)
+        with pytest.raises(Exception, match="JSON array"):
+            readers.read_json_array(spark, str(tmp_path / "c.txt"), "id int", part=3).collect()
+
+
+@pytest.mark.parametrize("part", [1, 5, 64, 1 << 20])
+def test_tar_lines_by_byte_ranges(tmp_path, part):
+    bodies = {"d/data.noun": "one\n\ntwé\r\nthree" + "x" * 30 + "\n", "d/empty": "", "d/data.verb": "no break at its end", "e": "\n\n"}
+    path = str(tmp_path / "a.tar")
+    with tarfile.open(path, "w") as t:
+        for name, body in bodies.items():
+            info = tarfile.TarInfo(name)
+            info.size = len(body.encode())
+            t.addfile(info, io.BytesIO(body.encode()))
+    reader = ranges._TarReader([path], part)
+    got = {}
+    for piece in reader.partitions():
+        for _, member, _, line in reader.read(piece):
+            got.setdefault(member, []).append(line)
+    assert got == {name: [x.rstrip("\r") for x in body.removesuffix("\n").split("\n")] for name, body in bodies.items() if body}
+
+
+def test_tar_members_that_are_not_asked_for_are_not_read(spark, tmp_path):
+    path = str(tmp_path / "a.tar")
+    with tarfile.open(path, "w") as t:
+        for name, body in (("w/data.noun", "  head\n00000001 03 n | a thing | of sorts\n"), ("w/data.adj", "00000002 03 a | nice "), ("w/index", "00000003 | no\n")):
+            info = tarfile.TarInfo(name)
+            info.size = len(body)
+            t.addfile(info, io.BytesIO(body.encode()))
+    lines = ranges.read_tar_lines(spark, path, 16)
+    got = {tuple(r) for r in readers.tar_glosses(lines).collect()}
+    assert got == {("00000001-n", "a thing | of sorts"), ("00000002-a", "nice")}
+    assert lines.where("member = 'w/index'").select("line").collect()[0].line == "00000003 | no"
+    some = ranges.read_tar_lines(spark, path, 16, "/data[.]")
+    assert lines.count() == 4 and some.count() == 3
+    assert 1 < some.rdd.getNumPartitions() < lines.rdd.getNumPartitions()
