@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glossa.functions.text import grams, near
+from glossa.session import paired
 
 
 def postings(docs: DataFrame, order: str, keys: list[Column]) -> DataFrame:
@@ -110,7 +111,7 @@ def most_shared(posts: DataFrame, queries: DataFrame, most: int = 256) -> DataFr
     terms = posts.select("key").distinct()
     rows = terms.select("key", F.explode(grams(F.col("key"))).alias("gram"))
     asked = queries.select("qid", F.explode(grams(F.col("q"))).alias("gram"))
-    shared = asked.join(rows, "gram").groupBy("qid", "key").agg(F.count("*").alias("shared"))
+    shared = paired(asked).join(rows, "gram").groupBy("qid", "key").agg(F.count("*").alias("shared"))
     pos = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("shared"), "key"))
     return shared.withColumn("pos", pos).where(F.col("pos") <= most)
 
