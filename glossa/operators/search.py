@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glossa.functions.text import grams, near
+from glossa.functions.text import grams
 from glossa.session import paired
 
 
@@ -84,14 +84,39 @@ def phrase(posts: DataFrame, queries: DataFrame) -> DataFrame:
     return hits.where((F.col("k") == F.col("n")) & F.contains("key", "q") & (F.col("key") != F.col("q"))).select("qid", "ord").distinct()
 
 
+def _cut_out(c: Column, i: Column) -> Column:
+    """A term without its letter at place i."""
+    return F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1))
+
+
+def _tagged(tag: Column | str, c: Column) -> Column:
+    return F.concat(F.lit(tag) if isinstance(tag, str) else tag.cast("string"), F.lit(":"), c)
+
+
+def _places(c: Column, last: int = 0) -> Column:
+    """The places of a term's letters, but for the last ones that are not wanted; none is an empty array."""
+    n = F.length(c) - last
+    return F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+
+
 def near_keys(c: Column) -> Column:
-    """A term and all it becomes without one letter. Terms one edit apart share one: the longer one's deletion, or what both are without the letters that differ."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)))
-    return F.array_distinct(F.concat(F.array(c), F.transform(at, lambda i: F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1)))))
+    """What a term is found by: itself, each of its deletions, and each deletion with its place."""
+    cuts = F.transform(_places(c), lambda i: _cut_out(c, i))
+    own = F.transform(F.array_distinct(cuts), lambda x: _tagged("-", x))
+    return F.concat(F.array(_tagged("=", c)), own, F.transform(cuts, lambda x, i: _tagged(i + 1, x)))
+
+
+def near_asked(c: Column) -> Column:
+    """What a query looks up in near_keys(): terms it becomes by a deletion or a swap, terms that become it by a deletion,
+    and terms that are like it without the letter at one place. A term that it meets there is one edit away, or equal."""
+    cuts = F.transform(_places(c), lambda i: _cut_out(c, i))
+    swapped = F.transform(_places(c, 1), lambda i: F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1, F.lit(1)), F.substr(c, i, F.lit(1)), F.substr(c, i + 2)))
+    made = F.array_distinct(F.concat(cuts, swapped))
+    return F.concat(F.transform(made, lambda x: _tagged("=", x)), F.array(_tagged("-", c)), F.transform(cuts, lambda x, i: _tagged(i + 1, x)))
 
 
 def near_rows(posts: DataFrame) -> DataFrame:
-    """(near, key) of all distinct keys, in runs of near, as they are kept. One string stands for no more terms than it has places for a letter."""
+    """(near, key) of all distinct keys, in runs of near, as they are kept. One string stands for no more terms than there are letters that fit its place."""
     terms = posts.select("key").distinct()
     return terms.select(F.explode(near_keys(F.col("key"))).alias("near"), "key").repartitionByRange("near").sortWithinPartitions("near", "key")
 
@@ -99,11 +124,11 @@ def near_rows(posts: DataFrame) -> DataFrame:
 def fuzzy(rows: DataFrame, posts: DataFrame, queries: DataFrame, least: int = 4) -> DataFrame:
     """Q09: documents with a key one edit from the query, for queries of `least` characters or more. rows: near_rows().
 
-    An equi-join finds every such key, whatever the number of keys; what it finds is verified.
+    An equi-join forms these pairs and, of others, only equal ones, whatever the number of keys; nothing large is broadcast.
     """
-    asked = queries.where(F.length("q") >= least).select("qid", "q", F.explode(near_keys(F.col("q"))).alias("near"))
-    close = asked.join(rows, "near").where(near(F.col("q"), F.col("key"))).select("qid", "key").distinct()
-    return close.join(posts, "key").select("qid", "ord").distinct()
+    asked = queries.where(F.length("q") >= least).select("qid", "q", F.explode(near_asked(F.col("q"))).alias("near"))
+    close = paired(asked).join(rows, "near").where("q <> key").select("qid", "key")
+    return close.hint("merge").join(posts, "key").select("qid", "ord").distinct()
 
 
 def most_shared(posts: DataFrame, queries: DataFrame, most: int = 256) -> DataFrame:

@@ -67,7 +67,7 @@ def _customers(spark, d):
 
 
 def _near(spark, d):
-    return kept(spark, [f"{d}/customer.parquet"], "customer-near", lambda: s.near_rows(_customers(spark, d)))
+    return kept(spark, [f"{d}/customer.parquet"], "customer-edits", lambda: s.near_rows(_customers(spark, d)))
 
 
 @query("search_fuzzy", "Q09 F06", """

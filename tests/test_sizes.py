@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,3 +35,18 @@ def test_shared_grams_of_many_queries_broadcast_nothing(spark, posts, monkeypatc
     got = s.most_shared(posts, asked, 5)
     assert sorted(map(tuple, got.collect())) == want and len(want) == 10
     assert "Broadcast" not in final_plan(got)
+
+
+def test_fuzzy_of_all_terms_broadcasts_nothing_and_forms_only_near_pairs(spark, posts):
+    rows = s.near_rows(posts)
+    asked = posts.select(F.col("ord").alias("qid"), F.col("key").alias("q"))
+    got = s.fuzzy(rows, posts, asked)
+    n = got.count()
+    near = lambda a, b: a != b and (sum(x != y for x, y in zip(a, b)) == 1 or any(a[:i] + a[i + 1] + a[i] + a[i + 2 :] == b for i in range(3)))
+    some = random.Random(1).sample(range(4000), 20)
+    want = sum(near(f"{a:04d}", f"{b:04d}") for a in some for b in range(4000))
+    assert got.where(F.col("qid").isin(some)).count() == want
+    got.collect()
+    assert "Broadcast" not in final_plan(got)
+    asked_rows = asked.select("qid", "q", F.explode(s.near_asked(F.col("q"))).alias("near"))
+    assert asked_rows.join(rows, "near").where("q <> key").count() == n
