@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.session import cut
+from glossa.session import cut, paired
 
 
 #: Forest edges (two ids each) up to this many are settled by one task; more are by rounds over all tasks.
@@ -85,18 +85,19 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 def transitive_closure(edges: DataFrame, src: str, dst: str, max_rounds: int = 40) -> DataFrame:
     """(src, dst, distance): every ancestor a node reaches, with the fewest steps.
 
-    Semi-naive frontier expansion: each round joins only the pairs found last, so cycles end.
+    A round doubles the distance: pairs exactly that far apart are joined to all pairs found, as a shortest path
+    consists of both, so a pair is formed for each node halfway and cycles end. Rounds grow with the logarithm of the depth;
+    max_rounds bounds the depth to 2**max_rounds.
     """
     base = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct()
-    step = base.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
     found = cut(base.withColumn("distance", F.lit(1)))
-    fresh = found
-    for d in range(2, max_rounds + 2):
-        reached = fresh.join(step, "dst").select("src", F.col("next").alias("dst")).distinct()
-        fresh = cut(reached.join(found, ["src", "dst"], "left_anti").withColumn("distance", F.lit(d)))
-        if fresh.isEmpty():
+    for k in range(max_rounds):
+        ends = found.where(F.col("distance") == 1 << k).select("src", F.col("dst").alias("mid"), F.col("distance").alias("so_far"))
+        if ends.isEmpty():
             return found
-        found = cut(found.unionByName(fresh))
+        steps = found.select(F.col("src").alias("mid"), "dst", "distance")
+        reached = paired(ends).join(steps, "mid").select("src", "dst", (F.col("so_far") + F.col("distance")).alias("distance"))
+        found = cut(found.unionByName(reached).groupBy("src", "dst").agg(F.min("distance").alias("distance")))
     raise RuntimeError("closure deeper than max_rounds")
 
 
@@ -111,8 +112,8 @@ def neighbourhood(seeds: DataFrame, edges: DataFrame, node: str, label: str, src
     fresh = found
     for k in range(1, most + 1):
         steps = e if k == 1 else e.where("on")
-        reached = fresh.join(steps, "node").groupBy(F.col("to").alias("node")).agg(F.min("label").alias("label")).withColumn("distance", F.lit(k))
-        fresh = cut(reached.join(found, "node", "left_anti"))
+        reached = paired(fresh).join(steps, "node").groupBy(F.col("to").alias("node")).agg(F.min("label").alias("label")).withColumn("distance", F.lit(k))
+        fresh = cut(reached.join(found.hint("merge"), "node", "left_anti"))
         found = cut(found.unionByName(fresh))
     return found
 
@@ -124,14 +125,13 @@ def inherited(edges: DataFrame, marks: DataFrame, child: str, parent: str, node:
     on, so cycles end, work is bounded by nodes times marks, and no pairs of nodes and ancestors are formed.
     """
     step = cut(edges.select(F.col(parent).alias("node"), F.col(child).alias("to")).where("node is not null and to is not null").distinct())
-    found = cut(marks.select(F.col(node).alias("node"), F.col(mark).alias("mark")).where("node is not null and mark is not null").distinct())
-    fresh = found
-    for _ in range(max_rounds):
-        moved = fresh.join(step, "node").select(F.col("to").alias("node"), "mark").distinct()
-        fresh = cut(moved.join(found, ["node", "mark"], "left_anti"))
+    found = cut(marks.select(F.col(node).alias("node"), F.col(mark).alias("mark"), F.lit(0).alias("round")).where("node is not null and mark is not null").distinct())
+    for k in range(max_rounds):
+        fresh = found.where(F.col("round") == k).select("node", "mark")
         if fresh.isEmpty():
-            return found
-        found = cut(found.unionByName(fresh))
+            return found.select("node", "mark")
+        moved = paired(fresh).join(step, "node").select(F.col("to").alias("node"), "mark", F.lit(k + 1).alias("round"))
+        found = cut(found.unionByName(moved).groupBy("node", "mark").agg(F.min("round").alias("round")))
     raise RuntimeError("the hierarchy is deeper than max_rounds")
 
 
@@ -146,5 +146,5 @@ def categories(nodes: DataFrame, edges: DataFrame, marks: DataFrame, rules: Data
     used = marks.join(F.broadcast(told.select("mark").distinct()), "mark", "left_semi")  # rule tables, of fixed size
     reached = inherited(edges, used, "child", "parent", "node", "mark").join(F.broadcast(told), "mark")
     best = reached.groupBy("node").agg(F.min("rule").alias("rule"), F.max("bars").alias("barred"))
-    named = nodes.join(best, "node", "left").where(~F.coalesce("barred", F.lit(False)))
+    named = nodes.join(best.hint("merge"), "node", "left").where(~F.coalesce("barred", F.lit(False)))
     return named.select("node", F.coalesce("rule.category", F.col(default)).alias("category")).where("category is not null")

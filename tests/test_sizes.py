@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossa import session
+from glossa.operators import graph
 from glossa.operators import search as s
 
 
@@ -50,3 +51,50 @@ def test_fuzzy_of_all_terms_broadcasts_nothing_and_forms_only_near_pairs(spark,
     assert "Broadcast" not in final_plan(got)
     asked_rows = asked.select("qid", "q", F.explode(s.near_asked(F.col("q"))).alias("near"))
     assert asked_rows.join(rows, "near").where("q <> key").count() == n
+
+
+def shortest(edges):
+    """(src, dst): steps, by a walk from every node."""
+    after, out = {}, {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    for a in after:
+        reached, step = after[a], 1
+        while reached:
+            out |= {(a, b): step for b in reached if (a, b) not in out}
+            reached, step = {c for b in reached for c in after.get(b, ())} - {b for x, b in out if x == a}, step + 1
+    return out
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_closure_of_random_graphs_has_the_fewest_steps(spark, monkeypatch, few):
+    monkeypatch.setattr(session, "FEW_ROWS", few)
+    rng = random.Random(3)
+    edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(55)] + [(k, k + 1) for k in range(100, 170)] + [(170, 150), (None, 1)]
+    got = graph.transitive_closure(spark.createDataFrame(edges, "a int, b int"), "a", "b", max_rounds=8)  # a chain of 70 steps
+    assert {(r.src, r.dst): r.distance for r in got.collect()} == shortest([e for e in edges if None not in e])
+
+
+def test_rounds_of_graphs_broadcast_only_small_frontiers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "FEW_ROWS", 5)
+    plans, cut = [], graph.cut
+
+    def watched(df):
+        out = cut(df)
+        plans.append(final_plan(df))
+        return out
+
+    monkeypatch.setattr(graph, "cut", watched)
+    spark.range(1, 400).selectExpr("id as a", "id div 2 as b").coalesce(1).write.parquet(f"{tmp_path}/e")
+    e = spark.read.parquet(f"{tmp_path}/e")
+    assert graph.transitive_closure(e, "a", "b").count() == sum(n.bit_length() for n in range(1, 400))
+    marks = e.where("a <= 300").selectExpr("a", "a % 7 as m")
+    got = graph.inherited(e, marks, "a", "b", "a", "m")
+    want = set()
+    for n in range(1, 400):
+        x = n
+        while x:
+            want |= {(n, x % 7)} if x <= 300 else set()
+            x //= 2
+    assert {tuple(r) for r in got.collect()} == want
+    assert not any("Broadcast" in p for p in plans if "SortMergeJoin" in p) and sum("SortMergeJoin" in p for p in plans) >= 8
