@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.functions.text import norm_terms
+from glossa.functions.text import named, norm_terms
 from glossa.operators.quality import issues, waterfall
 
 # What no lexical output holds, and glosses that need more than a reference.
@@ -30,11 +30,20 @@ def clean(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), r"^[•·]\s*", "")
 
 
+def _forms(parts: Column) -> Column:
+    return F.transform(parts, norm_terms)
+
+
+def _parts(text: Column) -> Column:
+    """The parts of an output between semicolons, without a leading `untuk`."""
+    return F.filter(F.transform(F.split(clean(text), ";"), lambda p: F.regexp_replace(F.trim(p), r"(?i)^untuk\s+", "")), lambda p: p != "")
+
+
 def equivalents(text: Column) -> Column:
     """The parts of an output between semicolons, without a leading `untuk`, each once by its normal form."""
-    parts = F.filter(F.transform(F.split(clean(text), ";"), lambda p: F.regexp_replace(F.trim(p), r"(?i)^untuk\s+", "")), lambda p: p != "")
-    forms = F.transform(parts, norm_terms)
-    return F.filter(parts, lambda p, i: F.array_position(forms, F.get(forms, i)) == i + 1)
+    told = F.struct(_parts(text).alias("parts"))
+    told = named(told, lambda x: F.struct(x["parts"].alias("parts"), _forms(x["parts"]).alias("forms")))
+    return named(told, lambda x: F.filter(x["parts"], lambda p, i: F.array_position(x["forms"], F.get(x["forms"], i)) == i + 1))
 
 
 def output_evidence(output: Column, aligned: Column, gloss: Column, part_of_speech: Column, idiom: Column, references: Column, excluded_synset: Column,
@@ -45,18 +54,25 @@ def output_evidence(output: Column, aligned: Column, gloss: Column, part_of_spee
     barred whole; excluded_terms, excluded_pairs: normal forms barred everywhere, and for this
     gloss; bare_verbs: verbs that may stand without a prefix. No codes: it qualifies.
     """
-    text = clean(output)
-    forms = F.transform(equivalents(output), norm_terms)
-    allowed = F.transform(F.coalesce(references, F.array().cast("array<string>")), norm_terms)
-    bare = F.filter(forms, lambda f: ~f.rlike(VERB_PREFIXES) & ~F.contains(f, F.lit(" ")) & ~F.array_contains(bare_verbs, f))
-    return issues({
-        "sense-misalignment": ~aligned, "non-lexical-symbols-or-script": ~text.rlike(LEXICAL_OUTPUT), "corrupt-or-hallucinated": text.rlike(CORRUPT_OUTPUT),
-        "unresolved-definition-structure": F.contains(text, F.lit(":")), "special-sense-needs-context-review": idiom | gloss.rlike(SPECIAL_GLOSS),
-        "no-independent-sense-reference": F.size(allowed) == 0, "known-synset-scope-conflict": excluded_synset,
-        "whole-output-reference-mismatch": F.size(F.array_except(forms, allowed)) > 0, "mandarin-context-conflict": F.arrays_overlap(forms, excluded_pairs),
-        "malaysian-scope-review": F.arrays_overlap(forms, excluded_terms), "bare-verb-needs-review": (part_of_speech == "v") & (F.size(bare) > 0) | F.array_contains(forms, "terima"),
-        "empty": F.size(forms) == 0,
-    })
+    # normal forms, each once, are those of the equivalents
+    known = F.struct(
+        clean(output).alias("text"), F.array_distinct(_forms(_parts(output))).alias("forms"), _forms(F.coalesce(references, F.array().cast("array<string>"))).alias("allowed"), aligned.alias("aligned"), gloss.alias("gloss"),
+        (part_of_speech == "v").alias("verb"), idiom.alias("idiom"), excluded_synset.alias("barred"), excluded_terms.alias("terms"), excluded_pairs.alias("pairs"), bare_verbs.alias("bare"),
+    )
+
+    def judged(k: Column) -> Column:
+        text, forms = k["text"], k["forms"]
+        bare = F.exists(forms, lambda f: ~f.rlike(VERB_PREFIXES) & ~F.contains(f, F.lit(" ")) & ~F.array_contains(k["bare"], f))
+        return issues({
+            "sense-misalignment": ~k["aligned"], "non-lexical-symbols-or-script": ~text.rlike(LEXICAL_OUTPUT), "corrupt-or-hallucinated": text.rlike(CORRUPT_OUTPUT),
+            "unresolved-definition-structure": F.contains(text, F.lit(":")), "special-sense-needs-context-review": k["idiom"] | k["gloss"].rlike(SPECIAL_GLOSS),
+            "no-independent-sense-reference": F.size(k["allowed"]) == 0, "known-synset-scope-conflict": k["barred"],
+            "whole-output-reference-mismatch": F.size(F.array_except(forms, k["allowed"])) > 0, "mandarin-context-conflict": F.arrays_overlap(forms, k["pairs"]),
+            "malaysian-scope-review": F.arrays_overlap(forms, k["terms"]), "bare-verb-needs-review": k["verb"] & bare | F.array_contains(forms, "terima"),
+            "empty": F.size(forms) == 0,
+        })
+
+    return named(known, judged)
 
 
 def reference_definition(gloss: Column, output: Column) -> Column:
@@ -72,8 +88,8 @@ def reference_definition(gloss: Column, output: Column) -> Column:
 def recovered(definition: Column, codes: Column, attested: Column) -> Column:
     """What a recovered output is: a definition, by its cross-reference; else a lexical equivalent, if no code
     stands against it and a second source attests it; mixed, if only one of both holds; else invalid."""
-    none = F.size(codes) == 0
-    return waterfall({"definition": definition.isNotNull(), "lexical": none & attested, "mixed": none | attested}, "invalid")
+    known = F.struct(definition.isNotNull().alias("definition"), (F.size(codes) == 0).alias("none"), attested.alias("attested"))
+    return named(known, lambda k: waterfall({"definition": k["definition"], "lexical": k["none"] & k["attested"], "mixed": k["none"] | k["attested"]}, "invalid"))
 
 
 def qualify_terms(senses: DataFrame, terms: DataFrame, idioms: DataFrame, excluded: DataFrame, concordance: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glossa.operators import quality as q
 from glossa.plans.registry import query
-from glossa.session import table
+from glossa.session import spread, table
 
 _RULES = r"""[CASE WHEN trim(text) = '' THEN 'missing' END, CASE WHEN regexp_matches(text, '(?i)\b(todo|placeholder|tbd)\b') THEN 'placeholder' END, CASE WHEN contains(text, chr(65533)) THEN 'unicode' END,
   CASE WHEN regexp_matches(text, '\|') THEN 'table' END, CASE WHEN length(text) > 10000 THEN 'long' END, CASE WHEN regexp_matches(text, '[$%&#*]{3}') THEN 'noise' END, CASE WHEN upper(text) = text THEN 'shouting' END]"""
@@ -62,7 +62,7 @@ def _(spark, d):
     from glossa.operators import qualify
 
     cases = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(_EVIDENCE)], "i long, gloss string, pos string, idiom boolean, output string")
-    rows = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % len(_EVIDENCE)).alias("i")).join(F.broadcast(cases), "i")  # a table of fixed size
+    rows = spread(table(spark, d, "part").select("p_partkey"), "p_partkey").select("p_partkey", (F.col("p_partkey") % len(_EVIDENCE)).alias("i")).join(F.broadcast(cases), "i")  # a table of fixed size
     words = lambda *w: F.array(*[F.lit(x) for x in w]).cast("array<string>")
     gloss = F.col("gloss")
     found = qualify.output_evidence(F.col("output"), F.lit(True), gloss, F.col("pos"), F.col("idiom"), F.when(gloss == "banner", words()).otherwise(words("Bendera", "menanda", "ikat")), gloss == "ensign",
@@ -82,7 +82,7 @@ def _(spark, d):
     from glossa.operators import qualify
 
     cases = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(_RECOVERED)], "i long, gloss string, output string, attested boolean")
-    rows = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % len(_RECOVERED)).alias("i")).join(F.broadcast(cases), "i")  # a table of fixed size
+    rows = spread(table(spark, d, "part").select("p_partkey"), "p_partkey").select("p_partkey", (F.col("p_partkey") % len(_RECOVERED)).alias("i")).join(F.broadcast(cases), "i")  # a table of fixed size
     no, none = F.lit(False), F.array().cast("array<string>")
     definition = qualify.reference_definition(F.col("gloss"), F.col("output"))
     codes = qualify.output_evidence(F.col("output"), F.lit(True), F.col("gloss"), F.lit("n"), no, F.array(F.lit("kucing")), no, none, none, none)

@@ -7,8 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from glossa import session
-from glossa.operators import graph
+from glossa import catalog, session
+from glossa.operators import graph, qualify
 from glossa.operators import search as s
 
 
@@ -98,3 +98,22 @@ def test_rounds_of_graphs_broadcast_only_small_frontiers(spark, tmp_path, monkey
             x //= 2
     assert {tuple(r) for r in got.collect()} == want
     assert not any("Broadcast" in p for p in plans if "SortMergeJoin" in p) and sum("SortMergeJoin" in p for p in plans) >= 8
+
+
+@pytest.mark.parametrize("name", ["quality_concordance", "quality_recovery"])
+def test_costly_rules_are_dealt_over_tasks_and_computed_once(spark, name):
+    df = catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count(r"[^\p{L}\p{N}]+") <= 2
+
+
+def test_qualification_of_odd_outputs(spark):
+    none = F.array().cast("array<string>")
+    rows = [(None, None, None), ("", "g", False), ("Ä; ä ;a;", "g", False), ("untuk ;untuk X", "g", None), ("ﬁ；Ｘ", "fig. g", False)]
+    df = spark.createDataFrame(rows, "o string, g string, i boolean")
+    codes = qualify.output_evidence(F.col("o"), F.lit(True), F.col("g"), F.lit("v"), F.col("i"), F.array(F.lit("A")), F.lit(False), F.array(F.lit("x")), none, none)
+    got = [(list(r.c or []), r.e) for r in df.select(codes.alias("c"), qualify.equivalents(F.col("o")).alias("e")).collect()]
+    assert got == [
+        ([], None), (["non-lexical-symbols-or-script", "empty"], []), (["bare-verb-needs-review"], ["Ä"]), (["whole-output-reference-mismatch", "malaysian-scope-review", "bare-verb-needs-review"], ["untuk", "X"]),
+        (["non-lexical-symbols-or-script", "special-sense-needs-context-review", "whole-output-reference-mismatch"], ["ﬁ；Ｘ"]),
+    ]
