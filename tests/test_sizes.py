@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from glossa import catalog, session
+from glossa.functions import text
 from glossa.operators import graph, qualify
 from glossa.operators import search as s
 
@@ -117,3 +119,13 @@ def test_qualification_of_odd_outputs(spark):
         ([], None), (["non-lexical-symbols-or-script", "empty"], []), (["bare-verb-needs-review"], ["Ä"]), (["whole-output-reference-mismatch", "malaysian-scope-review", "bare-verb-needs-review"], ["untuk", "X"]),
         (["non-lexical-symbols-or-script", "special-sense-needs-context-review", "whole-output-reference-mismatch"], ["ﬁ；Ｘ"]),
     ]
+
+
+def test_parentheses_cost_what_the_text_is_long(spark):
+    # deep ones and many, which once copied all that was kept for each of them
+    deep, wide = "a(" * 20_000 + ")" * 19_999, "x (y) " * 20_000
+    df = spark.createDataFrame([(0, deep), (1, wide), (2, "a ) b ( c (d) e"), (3, None), (4, "((()"), (5, ")(")], "i int, s string")
+    begun = time.monotonic()
+    got = {r.i: r.p for r in df.select("i", text.without_parentheses(F.col("s")).alias("p")).collect()}
+    assert got == {0: "a(a", 1: " ".join("x" * 20_000), 2: "a ) b ( c e", 3: "", 4: "((", 5: ")("}
+    assert time.monotonic() - begun < 30
