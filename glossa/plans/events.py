@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glossa.plans.registry import query
-from glossa.session import ensure_checkpoint_dir, table
+from glossa.session import cut, ensure_checkpoint_dir, table
 from glossa.streaming import folds, streams
 
 _ANCHORED = """
@@ -105,10 +105,13 @@ def _(spark, d):
     lines = lines.withColumn("line", broken).union(lines.where(end & (k == 1)).withColumn("place", F.col("place") + 1))
     # lines come in three batches in which some are early, some late, and every fourth comes again
     folder, piece = f"{ensure_checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}", F.pmod(F.xxhash64("user_id", "place"), F.lit(12))
+    lines = cut(lines.withColumn("piece", piece))  # three batches are taken from it
     for i in range(3):
-        lines.where((piece % 3 == i) | (piece % 4 == i)).withColumn("ts", F.timestamp_seconds(F.lit(1000 + i))).coalesce(1).write.mode("append").parquet(folder)
-    read = spark.readStream.schema("user_id long, place long, line string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(folder)
-    told = streams.with_rocksdb(spark, lambda: streams.run_available(streams.ordered_lines(read, "user_id", 120)))
+        came = lines.where((F.col("piece") % 3 == i) | (F.col("piece") % 4 == i)).drop("piece").withColumn("ts", F.timestamp_seconds(F.lit(1000 + i)))
+        came.write.mode("append").parquet(f"{folder}/in")
+        read = spark.readStream.schema("user_id long, place long, line string, ts timestamp").parquet(f"{folder}/in")
+        # a run goes on from the last one's checkpoint and takes all files that are new as one batch
+        told = streams.with_rocksdb(spark, lambda: streams.run_available(streams.ordered_lines(read, "user_id", 120), folder=folder))
     return told.groupBy("user_id").agg(F.max_by("error", "place").alias("error"), F.max_by("result", "place").alias("result"), F.max("place").alias("place"))
 
 

@@ -110,9 +110,10 @@ class _OrderedLines(StatefulProcessor):
             last = max([last, *pdf["ms"]])
             came.update((int(p), line) for p, line in zip(pdf["place"], pdf["line"]) if p >= at)  # others were taken before
         begun = at
+        waiting = {place[0] for place in self.early.keys()}  # asked at once, not line by line
         while error is None:
             line = came.pop(at, None)
-            if self.early.containsKey((at,)):
+            if at in waiting:
                 line = self.early.getValue((at,))[0] if line is None else line
                 self.early.removeKey((at,))
             if line is None:
@@ -122,7 +123,7 @@ class _OrderedLines(StatefulProcessor):
         if error is None:
             for place, line in came.items():
                 self.early.updateValue((place,), (line,))
-        elif self.early.exists():
+        elif waiting:
             self.early.clear()
         self.told.update((at, done, error, result))
         for timer in list(self.handle.listTimers()):

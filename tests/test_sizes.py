@@ -12,6 +12,7 @@ from glossa import catalog, session
 from glossa.functions import text
 from glossa.operators import graph, qualify
 from glossa.operators import search as s
+from glossa.plans import events
 
 
 def final_plan(df) -> str:
@@ -129,3 +130,20 @@ def test_parentheses_cost_what_the_text_is_long(spark):
     got = {r.i: r.p for r in df.select("i", text.without_parentheses(F.col("s")).alias("p")).collect()}
     assert got == {0: "a(a", 1: " ".join("x" * 20_000), 2: "a ) b ( c e", 3: "", 4: "((", 5: ")("}
     assert time.monotonic() - begun < 30
+
+
+def test_batches_of_ordered_lines_are_written_by_all_tasks(spark, monkeypatch):
+    folders, seen = set(), events.streams.run_available
+
+    def watched(df, folder):
+        folders.add(folder)
+        return seen(df, folder=folder)
+
+    monkeypatch.setattr(events.streams, "run_available", watched)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        catalog.queries()["stream_ordered_lines"](spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    (folder,) = folders
+    assert len(spark.read.parquet(f"{folder}/in").inputFiles()) > 3
