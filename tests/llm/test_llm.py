@@ -372,6 +372,23 @@ def test_forward_backward_matches_the_definition(monkeypatch, length, most):
     assert np.allclose(chain.log_likelihoods(emit, cls, before, t, s), lik)
 
 
+@pytest.mark.parametrize("length, most", [(8, 1000), (8, 25)])
+def test_forward_backward_of_rare_words_in_single_precision(monkeypatch, length, most):
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(chain, "L", length)
+    monkeypatch.setattr(chain, "MOST", most)
+    before = np.array([0, 60, 67])
+    emit, t, s = (rng.random((9, 3)) + 0.01) * 1e-11, rng.random((3, 3)) + 0.05, np.full(3, 1 / 3)
+    t /= t.sum(1, keepdims=True)
+    cls = rng.integers(0, 9, before[-1])
+    gamma, pairs, starts, lik = brute_chain(emit[cls], before, t, s)
+    emitted = np.zeros_like(emit)
+    np.add.at(emitted, cls, gamma)
+    for got, want in zip(chain.expected_counts(emit.astype(np.float32), cls, before, t, s), (starts, pairs, emitted, lik.sum())):
+        assert np.allclose(got, want, rtol=1e-5, atol=1e-4)
+    assert np.allclose(chain.log_likelihoods(emit.astype(np.float32), cls, before, t, s), lik, rtol=1e-5)
+
+
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: r for r in language_id.identify(docs).collect()}
