@@ -325,6 +325,23 @@ def test_suffix_array():
         assert suffix_dedup.suffix_array(t, 1000).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tobytes())
 
 
+@pytest.mark.parametrize("most", [1, 1_000_000])
+def test_neighbours_compare_each_byte_of_a_passage_once(monkeypatch, most):
+    rng = np.random.default_rng(2)
+    passage, compared, real = rng.integers(1, 200, 900).astype(np.uint8), [], suffix_dedup.ragged
+    other = passage.copy()
+    other[450] ^= 1
+    text = np.concatenate([passage, [255], passage, [255], other, [255], [0]]).astype(np.uint8)
+    at = np.arange(len(text))
+    left = np.where(at < 2703, 900 - at % 901, 0)
+    sa = suffix_dedup.suffix_array(text, 1000)
+    want = [bool(left[i] >= 400 and left[j] >= 400 and (text[i : i + 400] == text[j : j + 400]).all()) for i, j in zip(sa, sa[1:])] + [False]
+    monkeypatch.setattr(suffix_dedup, "COMPARED", most, raising=False)
+    monkeypatch.setattr(suffix_dedup, "ragged", lambda n: compared.append(int(n.sum())) or real(n))
+    assert suffix_dedup.equal_neighbours(text, sa, 400, left).tolist() == want and sum(want) > 500
+    assert 0 < sum(compared) < 6 * 900 + 1503
+
+
 # 7 and 9
 def brute_chain(e, before, t, s):
     """(posteriors, transition expectations, expected starts, log-likelihoods) by the definition."""
